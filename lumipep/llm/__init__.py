@@ -1,7 +1,7 @@
 """Training-data operators. Nothing else in the library imports this subpackage."""
 
-from . import byte_bpe, exact_dedup, language_id, line_dedup, mixing, quality, topk, url_filter
+from . import byte_bpe, exact_dedup, jaccard_join, language_id, line_dedup, mixing, quality, topk, url_filter
 
-_MODULES = (url_filter, mixing, exact_dedup, byte_bpe, quality, language_id, topk, line_dedup)
+_MODULES = (url_filter, jaccard_join, mixing, exact_dedup, byte_bpe, quality, language_id, topk, line_dedup)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
