@@ -195,6 +195,14 @@ def digest_of_round_trip(df: DataFrame, bpe: ByteBPE, text: str = "text", id_col
     )
 
 
+def round_trip(df: DataFrame, bpe: ByteBPE, text: str = "text") -> DataFrame:
+    """df with token_ids, n_tokens and `intact`: whether the ids decode to the bytes of the text. Columns of these names are replaced."""
+    kept = [c for c in df.columns if c not in ("token_ids", "n_tokens", "intact")]
+    coded = df.select(*kept, bpe.ids_text(F.col(text)).alias("_ids")).select(*kept, id_array(F.col("_ids")).alias("token_ids"))
+    intact = bpe.decode(F.col("token_ids")) == F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
+    return coded.select(*kept, "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), intact.alias("intact"))
+
+
 def public_bpe(name: str = "byte_bpe_50k.tiktoken") -> ByteBPE:
     import public_tokenizers
 

@@ -132,6 +132,21 @@ def predicted(docs: DataFrame, profiles: Profiles, text: str, columns: list[str]
     return plain.mapInArrow(score, schema + (", " if schema else "") + "lang_pred string, score double, distance double")
 
 
+#: A text farther than this from every profile is in no language of theirs.
+FARTHEST = 0.95
+
+
+def accepted(docs: DataFrame, profiles: Profiles, text: str) -> DataFrame:
+    """The rows of docs, with their columns, whose text has letters and lies no farther than FARTHEST from some profile; rows with a null text go. Without any profile all rows with a letter stay."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [profiles.predict(t)[2] <= FARTHEST if profiles.languages else bool(t) and len(grams(t)) > 0 for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+            yield b.filter(pa.array(ok, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id")))
     profiles = fit(docs.filter(~F.col("held_out")), "text", "lang", "doc_id")
