@@ -41,11 +41,11 @@ def prior(weights: DataFrame) -> DataFrame:
 
 def to_abundance(pi: DataFrame, weights: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Share of reads to share of molecules: divide by exp_n, normalise."""
-    return share(pi.join(weights.select("protein_id", "exp_n"), "protein_id"), F.col("pi") / F.col("exp_n"), "p_y", by)
+    return share(pi.drop("exp_n").join(weights.select("protein_id", "exp_n"), "protein_id"), F.col("pi") / F.col("exp_n"), "p_y", by)
 
 
 def to_read_share(p_y: DataFrame, weights: DataFrame, by: list[str] | None = None) -> DataFrame:
-    return share(p_y.join(weights.select("protein_id", "exp_n"), "protein_id"), F.col("p_y") * F.col("exp_n"), "pi", by)
+    return share(p_y.drop("exp_n").join(weights.select("protein_id", "exp_n"), "protein_id"), F.col("p_y") * F.col("exp_n"), "pi", by)
 
 
 def flu_distribution(emission: DataFrame, pi: DataFrame) -> DataFrame:

@@ -61,8 +61,8 @@ def numbers_csv(spark: SparkSession, path: str, kind: str = "double") -> DataFra
 
 def emission_csv(spark: SparkSession, counts: str, flus: str, ps: str) -> DataFrame:
     """protein_id, flu_id, p from three columns of numbers: entries of each protein, and all ids and probabilities in a row."""
-    ends = numbered(numbers_csv(spark, counts, "int").withColumnRenamed("at", "protein_id"), ["protein_id"], "_i", F.col("value"), "start")
-    at = ends.select(F.col("protein_id").cast("int").alias("protein_id"), F.explode(F.sequence(F.col("start"), F.col("start") + F.col("value") - 1)).alias("at")).withColumn("at", F.col("at").cast("long"))
+    ends = numbered(numbers_csv(spark, counts, "int").withColumnRenamed("at", "protein_id").filter("value > 0"), ["protein_id"], "_i", F.col("value"), "start")
+    at = ends.select(F.col("protein_id").cast("int").alias("protein_id"), F.explode(F.sequence(F.col("start").cast("long"), F.col("start").cast("long") + F.col("value") - 1)).alias("at"))
     both = numbers_csv(spark, flus, "int").withColumnRenamed("value", "flu_id").join(numbers_csv(spark, ps).withColumnRenamed("value", "p"), "at")
     return at.join(both, "at").select("protein_id", "flu_id", "p")
 

@@ -26,7 +26,7 @@ def dataset(path: str, emission: DataFrame | None = None, protein: DataFrame | N
 
 
 def fixed(x: Column, digits: int = 10) -> Column:
-    return F.format_string(f"%.{digits}f", x)
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", x))
 
 
 def errors_csv(errors: DataFrame, path: str) -> None:
