@@ -81,7 +81,7 @@ def deduplicated(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> D
     """The rows of df that exact_dedup keeps, with all their columns."""
     gone = exact_dedup(df, text, id_col).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_gone_sha")).distinct()
     sha = F.sha2(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), BLANKS, " "), 256)
-    return df.join(gone, (F.col(id_col) == F.col("_gone")) & (sha == F.col("_gone_sha")), "left_anti")
+    return df.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (sha == F.col("_gone_sha")), "left_anti")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
