@@ -30,7 +30,7 @@ from .common import stage, table
 
 #: Members of a tile that one task compares with as many others.
 BLOCK = 2048
-#: Sets below this size have a part for each element.
+#: Sets below this size have a part for each element, as have all sets where they may differ in too large a share of them to fill as many parts.
 SINGLE = 64
 #: Bytes of text hashed at a time; sets seen in a task, for copies that need no tiles of their own; bits of the filter of ids.
 CHUNK, SEEN, FILTER_BITS = 1 << 20, 200_000, 1 << 26
@@ -130,7 +130,7 @@ class Rule:
         """Keys of the tiles in which a set stands."""
         keys, want, dealt = [], self.parts_of(len(s)), mix(s + _ODD[50])
         for band in self.bands(len(s)):
-            if 1 << band <= SINGLE:
+            if 1 << band <= SINGLE or 5 * (self.den - self.num) > 2 * self.num:
                 parts, content = dealt, dealt
                 if len(parts) > want:
                     parts = content = np.partition(parts, want - 1)[:want]
