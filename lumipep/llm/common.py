@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import written as stage  # noqa: F401  the operators' written tables
+
 #: White space of the contracts: ASCII blanks only.
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -16,26 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not where:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumipep-"))
-        where = spark.sparkContext.getCheckpointDir()
-    return where.rstrip("/")
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, is removed when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lumipep-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def constant(values: str, kind: str) -> Column:
     """A foldable constant of a nested type, from its JSON text: Catalyst folds it into one literal."""
     return F.from_json(F.lit(values), kind)
