@@ -387,15 +387,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         return found if links is None else links.unionByName(found)
 
     links = with_links(members.filter("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct(), links)
-    own = F.coalesce("comp", F.col("doc"))
+    own, rows = F.coalesce("comp", F.col("doc")), members
     for last in (False, True):
         comps = components(links) if links is not None else None
-        known = members.select("tile", "doc")
+        known = rows.select("tile", "doc")
         known = known.join(comps, "doc", "left").select("tile", "doc", own.alias("comp")) if comps is not None else known.withColumn("comp", F.col("doc"))
         spread = known.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
         open_tiles = stage(known.join(spread, "tile"), "open")
         if open_tiles.isEmpty():
             break
+        rows = open_tiles  # components only grow: a tile that is down to one stays so
         if last:
             links = with_links(tile_pairs(open_tiles.select("tile", "doc", "comp"), signed, rule), links)
         else:
