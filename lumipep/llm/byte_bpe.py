@@ -9,23 +9,29 @@ its edge has taken a part of them.) Ranks and cuts are a literal map dealt into
 in one map of 50,000 entries would scan it.
 
 Distinct words are folded once: the words of all texts are counted, and the CACHE_WORDS most frequent ones are
-encoded by the fold and kept as a second literal map, whose size is bounded by that number and by
-CACHE_CHARS. Words outside the map are folded where they stand, so the map's size changes the speed and never
-the result. Decoding looks every id up in a literal array of byte pieces and joins them.
+encoded by the fold and kept as a map, whose size is bounded by that number and by CACHE_CHARS. Of the other
+words of a text each is folded once. So the map's size changes the speed and never the result. Cutting texts,
+looking words up and joining ids and byte pieces is done in Arrow batches, next to the text; nothing is shuffled
+but the counts of words.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import constant, stage, table
 
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 17
 #: Longer words are never kept in the map.
 CACHE_CHARS = 32
 RANK_BUCKETS = 1 << 16
@@ -45,14 +51,21 @@ def java_pattern(pattern: str) -> str:
     return "(?U)" + pattern
 
 
+def python_pattern(pattern: str) -> str:
+    r"""The pattern for the regex module, with the same white space."""
+    return pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
+
+
 class Buckets:
     """A map from strings, as an array of small maps by hash. Use it inside `with_maps`, which puts its literal into the plan once."""
 
-    def __init__(self, items: dict[str, int | str], kind: str, buckets: int):
-        dealt: list[dict] = [{} for _ in range(buckets)]
-        for k, v in items.items():
-            dealt[xxhash.xxh64_intdigest(k.encode("utf-8"), 42) % buckets][k] = v
-        self.literal, self.mask = constant(json.dumps(dealt), f"array<map<string,{kind}>>"), buckets - 1
+    def __init__(self, items: Iterable[tuple[str, int | str]], kind: str, buckets: int):
+        # As text from the start: a dict for each bucket would take far more of the driver's memory.
+        dealt = [""] * buckets
+        for k, v in items:
+            at = xxhash.xxh64_intdigest(k.encode("utf-8"), 42) % buckets
+            dealt[at] += ("," if dealt[at] else "") + json.dumps(k) + ":" + json.dumps(v)
+        self.literal, self.mask = constant("[" + ",".join("{" + x + "}" for x in dealt) + "]", f"array<map<string,{kind}>>"), buckets - 1
 
     def get(self, maps: Column, key: Column) -> Column:
         # The number of buckets is a power of 2, so the low bits of the signed hash name the bucket.
@@ -95,12 +108,14 @@ class ByteBPE:
         left = merges(ranks)
         self.longest = max(map(len, ranks))
         # Rank and cut of a token in one number: they sort by rank.
-        self.ranks = Buckets({b.decode("latin-1"): r * CUTS + left.get(b, 0) for b, r in ranks.items()}, "int", RANK_BUCKETS)
+        self.ranks = Buckets(((b.decode("latin-1"), r * CUTS + left.get(b, 0)) for b, r in ranks.items()), "int", RANK_BUCKETS)
         pieces: list[str | None] = [None] * (max(ranks.values()) + 1)
         for b, r in ranks.items():
             pieces[r] = b.decode("latin-1")
         self.pieces = constant(json.dumps(pieces), "array<string>")
-        self.cache: Buckets | None = None
+        self.python_pattern = python_pattern(pattern)
+        self.pieces_bytes = {str(r): b for b, r in ranks.items()}
+        self.known: dict[str, str] = {}
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
@@ -139,31 +154,59 @@ class ByteBPE:
         return let(self.ranks.literal, lambda ranks: self._fold(ranks, word))
 
     def learn_words(self, df: DataFrame, text: str = "text", most: int = CACHE_WORDS) -> ByteBPE:
-        """Count the words of all texts, fold the most frequent ones and keep them as a literal map of at most `most` entries."""
+        """Count the words of all texts, fold the most frequent ones once and keep their ids: at most `most` entries of at most CACHE_CHARS characters."""
         counted = df.select(F.explode(self.words(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
         top = counted.filter(F.length("word") <= CACHE_CHARS).orderBy(F.desc("n"), "word").limit(most)
-        rows = stage(top.select("word"), "words").select("word", self.fold(F.col("word")).alias("ids")).collect()
-        size = 1 << max(4, (max(1, len(rows)) - 1).bit_length())
-        self.cache = Buckets({r["word"]: r["ids"] for r in rows}, "string", size)
+        rows = stage(top.select("word"), "words").select("word", self.fold(F.col("word")).alias("ids")).toArrow()
+        self.known = {w.as_py(): i.as_py() for b in rows.to_batches() for w, i in zip(*b.columns, strict=True)}
         return self
 
+    def cut(self, df: DataFrame, text: str, columns: list[str]) -> DataFrame:
+        """The named columns, then what `joined` makes a text's ids of: _runs, _order, _rest.
+
+        Words whose ids are known are looked up where the text is read; what is left of a text, each of its
+        other words once, goes through the fold.
+        """
+        held = df.sparkSession.sparkContext.broadcast(self.known)
+        pattern = self.python_pattern
+        plain = df.select(*columns, F.coalesce(text, F.lit("")).alias("_text"))
+
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            find, known = regex.compile(pattern).findall, held.value
+            for b in pieces_of(batches):
+                runs, orders, rest = [], [], []
+                for t in b.column(b.num_columns - 1).to_pylist():
+                    words = find(t)
+                    ids = list(map(known.get, words))
+                    new: dict[str, int] = {}
+                    run, order, at = [], [], 0
+                    if None in ids:
+                        for i, x in enumerate(ids):
+                            if x is None:
+                                run.append(" ".join(ids[at:i]))
+                                order.append(new.setdefault(words[i], len(new)))
+                                at = i + 1
+                    run.append(" ".join(ids[at:]))
+                    runs.append(run)
+                    orders.append(order)
+                    rest.append(list(new))
+                cols = [pa.array(runs, pa.list_(pa.string())), pa.array(orders, pa.list_(pa.int32())), pa.array(rest, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=[*columns, "_runs", "_order", "_rest"])
+
+        found = plain.mapInArrow(look_up, schema_of(plain, columns) + "_runs array<string>, _order array<int>, _rest array<string>")
+        rest = let(self.ranks.literal, lambda ranks: F.transform("_rest", lambda w: self._fold(ranks, w)))
+        return found.select(*columns, "_runs", "_order", rest.alias("_rest"))
+
     def ids_text(self, text: Column) -> Column:
-        """Ids of a text, as decimal numbers joined by a space; null counts as empty."""
+        """Ids of a text, as decimal numbers joined by a space, by the fold alone; null counts as empty."""
         words = self.words(F.coalesce(text, F.lit("")))
-
-        def every(ranks: Column, cache: Column | None) -> Column:
-            one = lambda w: self._fold(ranks, w)
-            return F.array_join(F.transform(words, one if cache is None else lambda w: F.coalesce(self.cache.get(cache, w), one(w))), " ")
-
-        if self.cache is None:
-            return let(self.ranks.literal, lambda ranks: every(ranks, None))
-        return let(self.ranks.literal, lambda ranks: let(self.cache.literal, lambda cache: every(ranks, cache)))
+        return F.array_join(let(self.ranks.literal, lambda ranks: F.transform(words, lambda w: self._fold(ranks, w))), " ")
 
     def decode(self, ids: Column) -> Column:
-        """Bytes of an array of ids; an id without a piece is an error."""
+        """Bytes of an array of ids, whole numbers or their decimal text; an id without a piece is an error."""
 
         def known(pieces: Column) -> Column:
-            return F.transform(ids, lambda i: F.coalesce(F.get(pieces, i), F.raise_error(F.concat(F.lit("no piece has the id "), i.cast("string"))).cast("string")))
+            return F.transform(ids, lambda i: F.coalesce(F.get(pieces, i.cast("int")), F.raise_error(F.concat(F.lit("no piece has the id "), i.cast("string"))).cast("string")))
 
         return F.encode(F.array_join(let(self.pieces, known), ""), "ISO-8859-1")
 
@@ -172,9 +215,37 @@ def id_array(ids_text: Column) -> Column:
     return F.transform(F.filter(F.split(ids_text, " "), lambda x: x != ""), lambda x: x.cast("int"))
 
 
+def pieces_of(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows: what a worker holds as Python objects stays small."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
+def schema_of(df: DataFrame, columns: list[str]) -> str:
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*columns).schema.fields)
+
+
+def joined(b: pa.RecordBatch) -> list[list[str]]:
+    """Ids of each row of a batch that ends in _runs, _order, _rest, as decimal text."""
+    out = []
+    for run, order, folded in zip(*(c.to_pylist() for c in b.columns[-3:]), strict=True):
+        parts = [run[0]]
+        for x, y in zip(order, run[1:], strict=True):
+            parts += (folded[x], y)
+        out.append(" ".join(filter(None, parts)).split())
+    return out
+
+
 def encoded(df: DataFrame, bpe: ByteBPE, text: str = "text") -> DataFrame:
     """df with `token_ids` (array<int>), which replaces a column of that name. A null or empty text has no ids; repeated rows are alike."""
-    return df.withColumn("token_ids", id_array(bpe.ids_text(F.col(text))))
+    kept = [c for c in df.columns if c != "token_ids"]
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces_of(batches):
+            yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array([np.array(i, np.int32) for i in joined(b)], pa.list_(pa.int32()))], names=[*kept, "token_ids"])
+
+    return bpe.cut(df, text, kept).mapInArrow(ids, schema_of(df, kept) + "token_ids array<int>")
 
 
 def decoded(df: DataFrame, bpe: ByteBPE, ids: str = "token_ids") -> DataFrame:
@@ -183,24 +254,33 @@ def decoded(df: DataFrame, bpe: ByteBPE, ids: str = "token_ids") -> DataFrame:
 
 
 def digest_of_round_trip(df: DataFrame, bpe: ByteBPE, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256: encode every whole text, then decode the ids."""
-    coded = df.select(F.col(id_col), bpe.ids_text(F.col(text)).alias("_ids"))
-    # Written out once, so that the two digests do not each encode the texts again.
-    blanks = F.length("_ids") - F.length(F.replace("_ids", F.lit(" "), F.lit("")))
-    return coded.select(
-        id_col,
-        F.when(F.col("_ids") == "", 0).otherwise(blanks + 1).cast("long").alias("n_tokens"),
-        F.sha2("_ids", 256).alias("ids_sha256"),
-        F.sha2(bpe.decode(id_array(F.col("_ids"))), 256).alias("decoded_sha256"),
-    )
+    """id, n_tokens, ids_sha256, decoded_sha256: encode every whole text, then decode the ids by joining their pieces."""
+    held = df.sparkSession.sparkContext.broadcast(bpe.pieces_bytes)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces_of(batches):
+            piece, rows = held.value.__getitem__, joined(b)
+            x = [hashlib.sha256(" ".join(ids).encode()).hexdigest() for ids in rows]
+            y = [hashlib.sha256(b"".join(map(piece, ids))).hexdigest() for ids in rows]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, rows), pa.int64()), pa.array(x, pa.string()), pa.array(y, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return bpe.cut(df, text, [id_col]).mapInArrow(digest, schema_of(df, [id_col]) + "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def round_trip(df: DataFrame, bpe: ByteBPE, text: str = "text") -> DataFrame:
     """df with token_ids, n_tokens and `intact`: whether the ids decode to the bytes of the text. Columns of these names are replaced."""
     kept = [c for c in df.columns if c not in ("token_ids", "n_tokens", "intact")]
-    coded = df.select(*kept, bpe.ids_text(F.col(text)).alias("_ids")).select(*kept, id_array(F.col("_ids")).alias("token_ids"))
-    intact = bpe.decode(F.col("token_ids")) == F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
-    return coded.select(*kept, "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), intact.alias("intact"))
+    held = df.sparkSession.sparkContext.broadcast(bpe.pieces_bytes)
+    at = kept.index(text)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces_of(batches):
+            piece, rows = held.value.__getitem__, joined(b)
+            ok = [b"".join(map(piece, ids)) == (t or "").encode("utf-8", "surrogatepass") for t, ids in zip(b.column(at).to_pylist(), rows, strict=True)]
+            ids = pa.array([np.array(i, np.int32) for i in rows], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-3], ids, pa.array(map(len, rows), pa.int64()), pa.array(ok, pa.bool_())], names=[*kept, "token_ids", "n_tokens", "intact"])
+
+    return bpe.cut(df, text, kept).mapInArrow(check, schema_of(df, kept) + "token_ids array<int>, n_tokens long, intact boolean")
 
 
 def public_bpe(name: str = "byte_bpe_50k.tiktoken") -> ByteBPE:
