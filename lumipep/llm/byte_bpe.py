@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import constant, stage, table
 
-CACHE_WORDS = 1 << 17
+CACHE_WORDS = 1 << 20
 #: Longer words are never kept in the map.
 CACHE_CHARS = 32
 RANK_BUCKETS = 1 << 16
@@ -115,7 +115,8 @@ class ByteBPE:
         self.pieces = constant(json.dumps(pieces), "array<string>")
         self.python_pattern = python_pattern(pattern)
         self.pieces_bytes = {str(r): b for b, r in ranks.items()}
-        self.known: dict[str, str] = {}
+        #: Columns word, ids; as Arrow memory on the driver, as a dict only in the workers.
+        self.known: pa.Table | None = None
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
@@ -156,9 +157,18 @@ class ByteBPE:
     def learn_words(self, df: DataFrame, text: str = "text", most: int = CACHE_WORDS) -> ByteBPE:
         """Count the words of all texts, fold the most frequent ones once and keep their ids: at most `most` entries of at most CACHE_CHARS characters."""
         counted = df.select(F.explode(self.words(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-        top = counted.filter(F.length("word") <= CACHE_CHARS).orderBy(F.desc("n"), "word").limit(most)
-        rows = stage(top.select("word"), "words").select("word", self.fold(F.col("word")).alias("ids")).toArrow()
-        self.known = {w.as_py(): i.as_py() for b in rows.to_batches() for w, i in zip(*b.columns, strict=True)}
+        counted = stage(counted.filter(F.length("word") <= CACHE_CHARS), "words")
+        # The lowest count that leaves at most `most` words, from the number of words of each count: no sort of all words.
+        least, held = None, 0
+        for r in counted.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).toLocalIterator():
+            held += r["words"]
+            if held > most:
+                break
+            least = r["n"]
+        if least is None:
+            self.known = None
+            return self
+        self.known = counted.filter(F.col("n") >= least).select("word", self.fold(F.col("word")).alias("ids")).toArrow()
         return self
 
     def cut(self, df: DataFrame, text: str, columns: list[str]) -> DataFrame:
@@ -167,12 +177,19 @@ class ByteBPE:
         Words whose ids are known are looked up where the text is read; what is left of a text, each of its
         other words once, goes through the fold.
         """
-        held = df.sparkSession.sparkContext.broadcast(self.known)
+        sink = pa.BufferOutputStream()
+        if self.known is not None:
+            with pa.ipc.new_stream(sink, self.known.schema) as out:
+                out.write_table(self.known)
+        held = df.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
         pattern = self.python_pattern
         plain = df.select(*columns, F.coalesce(text, F.lit("")).alias("_text"))
 
         def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            find, known = regex.compile(pattern).findall, held.value
+            find, known = regex.compile(pattern).findall, {}
+            for t in pa.ipc.open_stream(held.value) if held.value else ():
+                for part in pieces_of([t], 4096):
+                    known.update(zip(*(c.to_pylist() for c in part.columns), strict=True))
             for b in pieces_of(batches):
                 runs, orders, rest = [], [], []
                 for t in b.column(b.num_columns - 1).to_pylist():
@@ -215,7 +232,7 @@ def id_array(ids_text: Column) -> Column:
     return F.transform(F.filter(F.split(ids_text, " "), lambda x: x != ""), lambda x: x.cast("int"))
 
 
-def pieces_of(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+def pieces_of(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Batches of few rows: what a worker holds as Python objects stays small."""
     for b in batches:
         for lo in range(0, b.num_rows, rows):
