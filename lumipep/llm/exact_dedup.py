@@ -21,10 +21,12 @@ FANOUT = 8
 SAME = ["_sha", "_bytes", "_check"]
 
 
-def digests(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def digests(df: DataFrame, text: str = "text", id_col: str = "doc_id", *more: str) -> DataFrame:
+    """SAME and _id of each row, and the columns named in `more`."""
     norm = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), BLANKS, " ")
-    return df.select(F.col(id_col).alias("_id"), norm.alias("_norm")).select(
+    return df.select(F.col(id_col).alias("_id"), norm.alias("_norm"), *more).select(
         "_id",
+        *more,
         F.unhex(F.sha2("_norm", 256)).alias("_sha"),
         F.octet_length("_norm").alias("_bytes"),
         F.xxhash64("_norm").alias("_check"),
@@ -60,6 +62,7 @@ def exact_dedup(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> Da
     Texts are equal when identical after replacing each run of ASCII blanks by one space. Null text counts
     as empty. Ties: the smallest id stays; rows that repeat the same id and text all carry kept = true.
     A null id never wins over a number; in a group of null ids alone keep_id is null and all rows are kept.
+    `deduplicated` breaks these ties and keeps one row.
     Empty input gives an empty result; other columns of df are ignored.
     """
     rows = stage(digests(df, text, id_col), "digests")
@@ -78,10 +81,18 @@ def exact_dedup(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> Da
 
 
 def deduplicated(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of df that exact_dedup keeps, with all their columns."""
-    gone = exact_dedup(df, text, id_col).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_gone_sha")).distinct()
-    sha = F.sha2(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), BLANKS, " "), 256)
-    return df.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (sha == F.col("_gone_sha")), "left_anti")
+    """Exactly one row of each distinct text, with all its columns: one with the smallest id, of these the first by row number.
+
+    Null ids come after all numbers; in a group of null ids alone one row stays.
+    """
+    numbered = stage(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    rows = stage(digests(numbered, text, id_col, "_row"), "digests")
+    groups = stage(tree_merge(rows).filter("_n > 1"), "groups")
+    g = groups.select(*[F.col(c).alias(f"_g{c}") for c in [*SAME, "_keep"]])
+    copies = stage(rows.join(g, [F.col(c) == F.col(f"_g{c}") for c in SAME]).select(*SAME, "_row", F.col("_id").eqNullSafe(F.col("_g_keep")).alias("_first")), "copies")
+    stays = copies.filter("_first").groupBy(*SAME).agg(F.min("_row").alias("_row"))
+    gone = copies.select("_row").join(stays.select("_row"), "_row", "left_anti")
+    return numbered.join(gone, "_row", "left_anti").select(*df.columns)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,6 +64,12 @@ def test_exact_dedup(odd, none):
     assert exact_dedup.exact_dedup(none).count() == 0 and exact_dedup.deduplicated(none).count() == 0
 
 
+def test_exact_dedup_of_a_table_read_twice(spark):
+    rows = [(1, "x y"), (2, "x  y"), (None, "x y"), (None, "n"), (None, "n"), (3, "z"), (4, None)]
+    df = spark.createDataFrame([*rows, *rows], "doc_id long, text string").repartition(3)
+    assert Counter(i for i, _ in docs(exact_dedup.deduplicated(df))) == Counter([1, None, 3, 4])
+
+
 @pytest.mark.parametrize("fanout, parts", [(2, 1), (2, 7), (3, 10)])
 def test_tree_merge(spark, fanout, parts):
     rows = exact_dedup.digests(spark.range(500).select(F.col("id").alias("doc_id"), (F.col("id") % 50).cast("string").alias("text"))).repartition(parts)
