@@ -24,13 +24,18 @@ from .common import held_out, table
 FIT_DOCS = 1500
 DICTIONARY_BYTES = 256 << 10
 BLOCK = 4096
+#: Bytes of the segments that training picks.
+SEGMENT = 256
 LEVEL = 6
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
-    """Equal shares of every text, from its beginning, as far as the dictionary goes: content that zstandard matches against."""
-    share = max(64, DICTIONARY_BYTES // max(1, len(texts)))
-    return b"\n".join(t[:share] for t in texts)[:DICTIONARY_BYTES]
+    """Content that zstandard matches against: the whole texts where they fit, else trained on every block of every text."""
+    whole = b"\n".join(texts)
+    if len(whole) <= DICTIONARY_BYTES:
+        return whole
+    blocks = [t[j : j + BLOCK] for t in texts for j in range(0, len(t), BLOCK)]
+    return zstandard.train_dictionary(DICTIONARY_BYTES, blocks, k=SEGMENT, d=8).as_bytes()
 
 
 @dataclass
@@ -43,7 +48,7 @@ class Compressor:
     def sizes(self, texts: list[bytes]) -> np.ndarray:
         """For each text: size with the good dictionary, with the bad one, and its own."""
         with_dict = [
-            zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+            zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_AUTO), write_content_size=False, write_dict_id=False)
             if d
             else zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
             for d in (self.good, self.bad)

@@ -308,6 +308,12 @@ def test_quality(spark, sf_dir, odd, none):
     assert {r["score"] for r in quality.scored(odd, nothing, "text", ["doc_id"]).collect()} == {0.5}
 
 
+def test_dictionary_learns_all_of_a_text():
+    openings = np.random.default_rng(3).integers(97, 123, (200, 2000), np.uint8)
+    assert b"a mark at the end of the text" in quality._dictionary([o.tobytes() + b" a mark at the end of the text, every time" for o in openings])
+    assert quality._dictionary([b"short", b"text"]) == b"short\ntext"
+
+
 def test_language(spark, sf_dir, odd, none):
     out = language_id.op8_language_id(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id")
     held = out.filter("held_out and lang is not null").collect()
