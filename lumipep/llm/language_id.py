@@ -11,6 +11,7 @@ counting is a Spark aggregation. Whole texts are counted when profiles are made
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,27 +30,27 @@ UNDETERMINED = "und"
 
 
 def _letters() -> np.ndarray:
-    """True for the code points below 2**16 that are letters; those above are folded to 0xFFFF and count as letters."""
-    t = np.array([chr(i).isalpha() for i in range(1 << 16)])
-    t[0xFFFF] = True
-    return t
+    """True for the code points that are letters, over all of Unicode."""
+    return np.array([chr(i).isalpha() for i in range(sys.maxunicode + 1)])
 
 
 LETTERS = _letters()
+#: Bits of a code point; three of them fit in a code.
+POINT = 21
 
 
 def grams(text: str) -> np.ndarray:
     """Codes of all n-grams of a text, repeated as they occur; none if it has no letter."""
-    c = np.minimum(np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF).astype(np.int64)
+    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     is_letter = LETTERS[c]
     if not is_letter.any():
         return np.zeros(0, np.int64)
     c = np.where(is_letter, c, 32)
     keep = is_letter | np.r_[True, is_letter[:-1]]  # of a run of other characters, the first
     c = np.r_[32, c[keep], 32]
-    two = (c[:-1] << 16) | c[1:]
-    three = (two[:-1] << 16) | c[2:]
-    return np.concatenate([c[c != 32], two[two != ((32 << 16) | 32)], three[c[1:-1] != 32]])
+    two = (c[:-1] << POINT) | c[1:]
+    three = (two[:-1] << POINT) | c[2:]
+    return np.concatenate([c[c != 32], two[two != ((32 << POINT) | 32)], three[c[1:-1] != 32]])
 
 
 def ranked(codes: np.ndarray, most: int) -> np.ndarray:

@@ -332,6 +332,12 @@ def test_out_of_place_by_hand():
     assert p.distances(np.array([7, 5, 8])) == pytest.approx([(2 + 1 + 3) / 9, (0 + 1 + 3) / 9])
 
 
+def test_letters_of_all_planes():
+    gothic, deseret = "\U00010330\U00010331\U00010332 \U00010333\U00010330", "\U00010400\U00010401\U00010402 \U00010403"
+    p = language_id.Profiles({n: language_id.ranked(language_id.grams(t), 400).tolist() for n, t in (("deseret", deseret), ("gothic", gothic))})
+    assert [p.predict(t)[0] for t in (gothic, deseret, "\U0001f600 \U0001f600!", "\uffff")] == ["gothic", "deseret", "und", "und"]
+
+
 # Top-k ---------------------------------------------------------------------------------------------------------
 
 
