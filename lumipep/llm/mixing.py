@@ -2,8 +2,9 @@
 
 A source's mean repetition rate is (its share of the weights) * (rows wanted) / (its rows). Each document
 draws its number of copies by inverting the Poisson distribution of that mean at a uniform number hashed
-from (seed, id), so a run can be repeated, and no task needs to know about any other. Copies are then
-shuffled globally by a hashed key.
+from (seed, id), so a run can be repeated, and no task needs to know about any other. A mean above MAX_RATE is
+split into equal parts below it, each drawn from its own hash: their sum has the Poisson distribution of the
+whole mean. Copies are then shuffled globally by a hashed key.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from .common import table
 SEED = "mix-1"
 #: Target weight of a source with n rows: n ** TEMPERATURE.
 TEMPERATURE = 0.7
-#: Rates above this are refused: the distribution is inverted by a table of its probabilities.
+#: Largest rate that one table of probabilities inverts; a larger one is the sum of independent draws of at most this rate. Also the largest rate that an explicit rows_wanted may ask for.
 MAX_RATE = 200.0
 
 
@@ -54,7 +55,8 @@ def poisson_mix(
     a source of n rows weighs n ** temperature. rows_wanted: expected rows of the result; default the rows of df.
     Null sources are one source. A document with a null or empty text is replicated as any other. Equal ids
     of one source draw equal numbers of copies. Columns of df with the names that are added are replaced.
-    A rate above MAX_RATE raises an error, since the shape of the mix would then rest on a handful of rows.
+    A rate above MAX_RATE raises an error where rows_wanted is given, since the mix asked for would then rest on a
+    handful of rows; without it, every rate is drawn.
     """
     df = df.drop("copy_no", "n_copies", "shuffle_key")
     counts = df.groupBy(F.col(source).alias("_source")).agg(F.count(F.lit(1)).cast("double").alias("_rows"))
@@ -69,11 +71,16 @@ def poisson_mix(
         return df.withColumns({"copy_no": F.lit(0), "n_copies": F.lit(0), "shuffle_key": F.lit("")}).limit(0)
     wanted = float(rows_wanted if rows_wanted is not None else totals["_all"])
     rate = F.col("_weight") / F.lit(totals["_weights"]) * F.lit(wanted) / F.col("_rows")
-    rated = rated.select("_source", F.when(rate > MAX_RATE, F.raise_error(F.lit(f"repetition rate above {MAX_RATE}"))).otherwise(rate).alias("_rate"))
-    rated = rated.select("_source", poisson_table(F.col("_rate")).alias("_table"))
+    if rows_wanted is not None:
+        rate = F.when(rate > MAX_RATE, F.raise_error(F.lit(f"repetition rate above {MAX_RATE}"))).otherwise(rate)
+    rated = rated.select("_source", rate.alias("_rate")).withColumn("_draws", F.greatest(F.lit(1), F.ceil(F.col("_rate") / MAX_RATE)).cast("int"))
+    rated = rated.select("_source", "_draws", poisson_table(F.col("_rate") / F.col("_draws")).alias("_table"))
     drawn = df.join(rated, F.col(source).eqNullSafe(F.col("_source")), "left").withColumn("_u", uniform(F.lit(seed), F.col(id_col)))
-    n = F.size(F.filter("_table", lambda c: c <= F.col("_u"))).cast("int")
-    copies = drawn.withColumn("n_copies", n).filter("n_copies > 0").drop("_source", "_table", "_u")
+    below = lambda u: F.size(F.filter("_table", lambda c: c <= u))
+    # The first draw is _u; the further ones of a large rate are hashed with their number.
+    more = F.aggregate(F.sequence(F.lit(2), F.col("_draws")), F.lit(0), lambda acc, j: acc + below(uniform(F.lit(seed), F.col(id_col), j)))
+    n = (below(F.col("_u")) + F.when(F.col("_draws") > 1, more).otherwise(0)).cast("int")
+    copies = drawn.withColumn("n_copies", n).filter("n_copies > 0").drop("_source", "_draws", "_table", "_u")
     copies = copies.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     key = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy_no").cast("string")).cast("binary"))
     return copies.withColumn("shuffle_key", key).orderBy("shuffle_key").select(*df.columns, "copy_no", "n_copies", "shuffle_key")

@@ -207,6 +207,23 @@ def test_mixing(spark, odd, none):
         mixing.poisson_mix(big, weights=w, rows_wanted=1e8).count()
 
 
+def test_mixing_draws_any_rate(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3, "rare").otherwise("hot").alias("source"))
+    got = {r["doc_id"]: (r["c"], r["n"], r["m"]) for r in mixing.poisson_mix(df, temperature=0.0).filter("source = 'rare'").groupBy("doc_id").agg(F.countDistinct("copy_no").alias("c"), F.max("n_copies").alias("n"), F.max("copy_no").alias("m")).collect()}
+    rate, draws = 4000 / 2 / 3, 4  # 666.7 in parts of at most 200
+    p = np.exp(-rate / draws)
+    table = [p]
+    for k in range(1, 400):
+        p *= rate / draws / k
+        table.append(table[-1] + p)
+    want = {}
+    for i in range(3):
+        u = [int(hashlib.md5("|".join([mixing.SEED, str(i), *([str(j)] if j > 1 else [])]).encode()).hexdigest()[:13], 16) / 2**52 for j in range(1, draws + 1)]
+        want[i] = int(sum(np.searchsorted(table, x, "right") for x in u))
+    assert got == {i: (n, n, n - 1) for i, n in want.items()}
+    assert all(abs(n - rate) < 6 * rate**0.5 for n in want.values())
+
+
 def test_poisson_table(spark):
     t = spark.range(1).select(mixing.poisson_table(F.lit(2.5)).alias("t")).first()["t"]
     p, c = np.exp(-2.5), np.exp(-2.5)
