@@ -1,7 +1,7 @@
 """PII: format-preserving pseudonyms by keyed Feistel networks, in DataFrame functions only.
 
 Numbers and dates that pass the checks of their format are replaced by others of the same format: payment
-cards (Luhn), phone numbers (area, exchange and line as in North America), IPv4 addresses, social security numbers, calendar dates,
+cards (Luhn), phone numbers (area, exchange and line as in North America, others after + and a country code), IPv4 addresses, social security numbers, calendar dates,
 and mail addresses, whose letters and digits are permuted within their class. Each format's values are pairs
 (left, right) of numbers below two bases; a round adds a keyed hash of one half to the other, modulo its base,
 which can be undone with the key. So every value has one pseudonym, in every document, and no two values share
@@ -12,24 +12,39 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import constant, table
 
 KEY = "lumipep-pseudonyms-1"
 ROUNDS = 6
 #: Dates are permuted within these many days from 1900-01-01 (until 2099-08-05); others stay.
 DAYS = (270, 270)
+#: Dates with the year last are permuted within 1901 to 2096, cycles of 1461 days; others stay.
+CYCLES = 49
+
+
+def _offsets() -> list[list[int]]:
+    """Days of a cycle that one written form can hold: by digits of the day and of the month if both are at most 12 (11, 12, 21, 22), then by digits of the month if the day is above 12."""
+    days = [(i, d.day, d.month) for i in range(1461) for d in [date(1901, 1, 1) + timedelta(i)]]
+    low = [[i for i, d, m in days if d <= (9 if x == 1 else 12) and m <= (9 if y == 1 else 12)] for x in (1, 2) for y in (1, 2)]
+    return low + [[i for i, d, m in days if d > 12 and m <= (9 if y == 1 else 12)] for y in (1, 2)]
+
+
+OFFSETS = _offsets()
 
 #: What a value may look like. Fixed values; the order is that of preference.
 FORMATS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "phone": r"(?<![\w+])(?:\+1[ .-]?)?\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\w)|(?<![\w.+-])(?:\+1[ .-])?\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])",
-    "date": r"(?<![\w./-])\d{4}-\d{2}-\d{2}(?![\w/-])",
+    "phone": r"(?<![\w+])(?:\+1[ .-]?)?\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\w)|(?<![\w.+-])(?<!\d )(?:\+?1[ .-])?\d{3}[-. ]\d{3}[-. ]\d{4}(?![\w-])"
+    r"|(?<![\w+])\+[1-9](?:[ .-]?\(?\d\)?){6,14}(?![\w-])",
+    "date": r"(?<![\w./-])\d{4}(?:-\d{2}-|/\d{2}/|\.\d{2}\.)\d{2}(?:(?=T\d)|(?![\w/-]|\.\d))|(?<![\w./-])\d{1,2}(?:/\d{1,2}/|\.\d{1,2}\.|-\d{1,2}-)\d{4}(?![\w/-]|\.\d)",
     "ssn": r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "card": r"(?<![\w.-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\w-])",
+    "card": r"(?<![\w.-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\w-])"
+    r"|(?<![\w.-])[3-6](?:\d{3} \d{6} \d{4,5}|\d{3}-\d{6}-\d{4,5}|\d{3}-\d{4}-\d{4}-\d{4}-\d{1,3}|\d{12,18})(?![\w-])",
     "ip": r"(?<![\w.-])(?:\d{1,3}\.){3}\d{1,3}(?![\w-]|\.\d)",
 }
 ANY = "|".join(p.replace(r"([ -]?)", r"(?<sep>[ -]?)").replace(r"\1", r"\k<sep>") for p in FORMATS.values())
@@ -40,7 +55,7 @@ def _let(values: dict[str, Column], body) -> Column:
     return F.get(F.transform(F.array(F.struct(*[c.alias(n) for n, c in values.items()])), body), F.lit(0))
 
 
-def _permuted(key: str, fmt: str, left: Column, right: Column, a: int, b: int, inverse: bool, done) -> Column:
+def _permuted(key: str, fmt: str, left: Column, right: Column, a: int | Column, b: int | Column, inverse: bool, done) -> Column:
     """done(left', right') of a keyed permutation of the pairs with 0 <= left < a, 0 <= right < b; each round hashes one half, keyed, and adds it to the other."""
     start = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
 
@@ -96,13 +111,30 @@ class Pseudonyms:
         check = lambda p: ((10 - luhn_sum(p) % 10) % 10).cast("string")
         done = lambda x, y: _let({"p": F.concat(_pad(x, 7), _pad(y, 8))}, lambda s: _fill(v, F.concat(s["p"], check(s["p"]))))
         new = _permuted(self.key, "card", F.substring(d, 1, 7), F.substring(d, 8, 8), 10**7, 10**8, self.inverse, done)
-        return F.when(check(F.substring(d, 1, 15)) == F.substring(d, 16, 1), new).otherwise(v)
+        # Of other lengths than 16 the first digit stays, as it is part of the format.
+        n = F.length(d)
+        h = F.floor((n - 2) / 2).cast("int")
+        power = lambda k: F.pow(F.lit(10.0), k).cast("long")
+        padded = lambda x, k: F.lpad(x.cast("string"), k, "0")
+        other = lambda x, y: _let({"p": F.concat(F.substring(d, 1, 1), padded(x, h), padded(y, n - 2 - h))}, lambda s: _fill(v, F.concat(s["p"], check(s["p"]))))
+        free = _permuted(self.key, "card", F.substring(d, F.lit(2), h), F.substring(d, h + 2, n - 2 - h), power(h), power(n - 2 - h), self.inverse, other)
+        valid = check(F.substring(d, F.lit(1), n - 1)) == F.substring(d, n, F.lit(1))
+        return F.when(valid, F.when(n == 16, new).otherwise(free)).otherwise(v)
 
     def phone(self, v: Column) -> Column:
         d = _digits(v)
         ten = F.substring(d, -10, 10)
         done = lambda x, y: _fill(v, F.concat(_pad(x, 5), _pad(y, 5)), F.length(d) - 10)
-        return _permuted(self.key, "phone", F.substring(ten, 1, 5), F.substring(ten, 6, 5), 10**5, 10**5, self.inverse, done)
+        american = _permuted(self.key, "phone", F.substring(ten, 1, 5), F.substring(ten, 6, 5), 10**5, 10**5, self.inverse, done)
+        # Of all others the country code stays.
+        code = F.length(F.regexp_extract(d, r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})", 0))
+        n = F.length(d) - code
+        h = F.floor(n / 2).cast("int")
+        power = lambda k: F.pow(F.lit(10.0), k).cast("long")
+        padded = lambda x, k: F.lpad(x.cast("string"), k, "0")
+        far = lambda x, y: _fill(v, F.concat(padded(x, h), padded(y, n - h)), code)
+        abroad = _permuted(self.key, "phone", F.substring(d, code + 1, h), F.substring(d, code + 1 + h, n - h), power(h), power(n - h), self.inverse, far)
+        return F.when(v.startswith("+") & ~((F.length(d) == 11) & d.startswith("1")), abroad).otherwise(american)
 
     def ssn(self, v: Column) -> Column:
         """Area 001 to 899 but 666, group 01 to 99, serial 0001 to 9999."""
@@ -125,9 +157,31 @@ class Pseudonyms:
         return F.when(valid, _permuted(self.key, "ip", left, right, 1 << 16, 1 << 16, self.inverse, done)).otherwise(v)
 
     def date(self, v: Column) -> Column:
-        day = F.datediff(F.try_to_date(v, "yyyy-MM-dd"), F.lit("1900-01-01").cast("date"))
+        return F.when(v.rlike(r"^\d{4}"), self._year_first(v)).otherwise(self._year_last(v))
+
+    def _year_last(self, v: Column) -> Column:
+        """Day and month in either order: what is above 12 is the day; of two below, the first is taken for the month. The widths, the order and which part is above 12 stay."""
+        one, two, year = (F.regexp_extract(v, r"^(\d+)\D(\d+)\D(\d+)$", i) for i in (1, 2, 3))
+        day_first = one.cast("int") > 12
+        day, month = F.when(day_first, one).otherwise(two), F.when(day_first, two).otherwise(one)
+        when = F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
+        since = F.datediff(when, F.lit("1901-01-01").cast("date"))
+        form = F.when(day.cast("int") > 12, F.length(month) + 3).otherwise((F.length(day) - 1) * 2 + F.length(month) - 1)
+        days = F.get(constant(str(OFFSETS), "array<array<int>>"), form.cast("int"))
+
+        def done(x: Column, y: Column) -> Column:
+            new = F.date_add(F.lit("1901-01-01").cast("date"), (x * 1461 + F.get(days, y.cast("int"))).cast("int"))
+            d, m = F.lpad(F.day(new).cast("string"), F.length(day), "0"), F.lpad(F.month(new).cast("string"), F.length(month), "0")
+            return F.concat(F.when(day_first, d).otherwise(m), F.regexp_extract(v, r"\D", 0), F.when(day_first, m).otherwise(d), F.regexp_extract(v, r"\D", 0), F.year(new).cast("string"))
+
+        new = _permuted(self.key, "date", F.floor(since / 1461), F.array_position(days, (since % 1461).cast("int")) - 1, CYCLES, F.size(days), self.inverse, done)
+        return F.when((since >= 0) & (since < CYCLES * 1461), new).otherwise(v)
+
+    def _year_first(self, v: Column) -> Column:
+        between = F.substring(v, 5, 1)
+        day = F.datediff(F.try_to_date(F.translate(v, "/.", "--"), "yyyy-MM-dd"), F.lit("1900-01-01").cast("date"))
         a, b = DAYS
-        done = lambda x, y: F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), (x * b + y).cast("int")), "yyyy-MM-dd")
+        done = lambda x, y: F.replace(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), (x * b + y).cast("int")), "yyyy-MM-dd"), F.lit("-"), between)
         new = _permuted(self.key, "date", F.floor(day / b), day % b, a, b, self.inverse, done)
         return F.when((day >= 0) & (day < a * b), new).otherwise(v)
 

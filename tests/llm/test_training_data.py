@@ -309,6 +309,33 @@ def test_pii_is_a_permutation(spark):
     assert pii.pseudonymised(days, "d").select("d").distinct().count() == 3000
 
 
+MORE_PRIVATE = [
+    "2021-03-04T10:00", "2021/03/04", "2021.03.04", "04/07/1986", "4.7.1986", "25.12.1990", "12/25/1990", "29-2-2000", "378282246310005", "3782 822463 10005",
+    "3056-930902-5904", "30569309025904", "4222222222222", "6304000000000000000", "415 555 2671", "+1 415 555 2671", "+14155552671", "+44 20 7946 0958", "+49 (30) 901820", "+353 1 679 3600",
+]
+MORE_NOT = ["378282246310006", "31/02/1990", "13.13.2000", "1614850000000", "04/07/1786"]
+
+
+def test_pii_further_formats(spark):
+    texts = [f"x {v}, y {v}." for v in MORE_PRIVATE] + [f"x {v}, y" for v in MORE_NOT]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hidden = pii.pseudonymised(df).localCheckpoint()
+    out = {r["doc_id"]: r["text"] for r in hidden.collect()}
+    for i, v in enumerate(MORE_PRIVATE):
+        new = re.fullmatch(r"x (.*), y (.*)\.", out[i])
+        assert v not in out[i] and new[1] == new[2] and re.sub("[0-9]", "9", new[1]) == re.sub("[0-9]", "9", v)
+    assert [out[i] for i in range(len(MORE_PRIVATE), len(texts))] == texts[len(MORE_PRIVATE) :]
+    assert {r["doc_id"]: r["text"] for r in pii.pseudonymised(hidden, inverse=True).collect()} == dict(enumerate(texts))
+
+
+@pytest.mark.parametrize("form", ["d.M.yyyy", "MM/dd/yyyy"])
+def test_pii_year_last_is_a_permutation(spark, form):
+    days = spark.range(1500).select(F.date_format(F.date_add(F.lit("1999-01-01").cast("date"), F.col("id").cast("int")), form).alias("d"))
+    hidden = pii.pseudonymised(days, "d").localCheckpoint()
+    assert hidden.select("d").distinct().count() == 1500
+    assert pii.pseudonymised(hidden, "d", inverse=True).select("d").exceptAll(days).count() == 0
+
+
 # Quality and language ------------------------------------------------------------------------------------------
 
 
