@@ -1,10 +1,10 @@
-"""Exact dedup by a tree merge of sorted digest runs.
+"""Exact dedup by a tree of digest aggregations.
 
-Every partition makes one sorted run of (digest, smallest id, count). The runs are then exchanged in
-binomial rounds, FANOUT ways at a time: in round r a run's rows go to the partner whose r-th base-FANOUT
-digit is the r-th digit of the row's digest range, so after all rounds each slot holds one range of digests
-and no task ever sees more than its share. Each round sorts what it received (a multiway merge that can
-spill), and keeps one row for each digest, with the smallest id; a digest only merges with rows of the same
+Every partition makes one run of (digest, smallest id, count). The runs are then merged in rounds, FANOUT ways
+at a time: in round r a row's slot takes the r-th base-FANOUT digit of its digest range, so after all rounds each
+slot holds one range of digests. Each round is a shuffle by hash of (slot, digest) and a hash aggregation, which
+keeps one row for each digest, with the smallest id; nothing is sorted, as Catalyst drops a sort under an
+aggregation that needs no order. A digest only merges with rows of the same
 byte length and the same independent 64-bit hash, which verifies it. Copies shrink to one row for each run
 before anything moves, so a group with a third of all rows costs no more than any other.
 """
