@@ -3,8 +3,8 @@
 A document's set holds the 64-bit hashes of its distinct word n-grams. Sets fall into bands by size (powers of
 two). In a band the hashes are dealt into a fixed number of parts; two sets that are similar enough differ in
 at most d elements, so of the first d + 1 parts that are not empty, at least one is the same in both. Each of
-these parts names a tile: (band, part, content). A set also stands in the next band's tiles if a partner may
-be there. So every pair of similar sets meets in a tile, and unrelated sets hardly ever do.
+these parts names a tile: (band, part, content). A set also stands in the tiles of every larger band
+in which a partner may be. So every pair of similar sets meets in a tile, and unrelated sets hardly ever do.
 
 In a tile, pairs are bounded before they are compared: each set has a bitmap of as many bits as its size,
 in which every element flips one bit; the bits in which two bitmaps differ bound the elements in which the sets
@@ -123,8 +123,8 @@ class Rule:
         return self.differ(n, n * self.den // self.num) + 1
 
     def bands(self, n: int) -> list[int]:
-        band = int(n).bit_length()
-        return [band, band + 1] if n * self.den // self.num >= 1 << band else [band]
+        """Of its own size and of every larger one that a linked set may have."""
+        return list(range(int(n).bit_length(), (int(n) * self.den // self.num).bit_length() + 1))
 
     def tiles(self, s: np.ndarray) -> np.ndarray:
         """Keys of the tiles in which a set stands."""

@@ -179,6 +179,12 @@ def test_jaccard_against_brute_force(spark):
         assert_components(df, k, num)
 
 
+def test_jaccard_over_several_bands(spark):
+    df = spark.createDataFrame([(1, " ".join(WORDS[:10])), (2, " ".join(WORDS[:33])), (3, " ".join(WORDS[100:140]))], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(df, k=1, num=30).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_blocks_of_a_large_tile(spark, monkeypatch):
     """Tiles of several blocks lose no pair: a chain of neighbours whose ends differ."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 4)
