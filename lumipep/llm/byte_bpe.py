@@ -1,18 +1,18 @@
 """Byte-level BPE encoding and decoding with a given rank file, in Spark's higher-order functions.
 
-A text is cut by the tokenizer's pattern into words. The bytes of a word are held as characters U+0000 to
-U+00FF, its pieces between two marks. Every token is made by one merge of two tokens that rank below it, so a
-word is encoded by a fold over the tokens that occur in it, in the order of their ranks, each step joining the
-two pieces of that token wherever they stand side by side. (Always merging the lowest pair gives the same:
-when a token's turn comes, its bytes have gone through the same merges as on their own, unless a merge across
-its edge has taken a part of them.) Ranks and cuts are a literal map dealt into buckets by hash, since a lookup
-in one map of 50,000 entries would scan it.
-
-Distinct words are folded once: the words of all texts are counted, and the CACHE_WORDS most frequent ones are
-encoded by the fold and kept as a map, whose size is bounded by that number and by CACHE_CHARS. Of the other
-words of a text each is folded once. So the map's size changes the speed and never the result. Cutting texts,
-looking words up and joining ids and byte pieces is done in Arrow batches, next to the text; nothing is shuffled
-but the counts of words.
+A text is cut by the tokenizer's pattern into words (Java's regular expressions). A word is encoded by a fold over
+the array of its bytes: each element holds a piece's id and the rank of the merge with its right neighbour, and each
+step joins the leftmost pair of the lowest rank, until no pair merges. The ranks of pairs are a literal of the plan:
+an array in which every pair has a place of its own, at the offset of its left id, so a lookup reads one element
+instead of scanning a map of 50,000 entries.
+
+Distinct words are folded, not occurrences: the words of all texts are counted, and the CACHE_WORDS most frequent
+ones are encoded once by the fold and kept as a table, whose size is bounded by that number and by CACHE_CHARS. Of
+the other words of a text each is folded once. So the table's size changes the speed and never the result. Looking
+words up, putting ids in order and decoding (binary pieces are taken by id and stand one after the other) are whole
+Arrow columns at a time, next to the text; nothing is shuffled but the counts of words.
+
+The fold of one word takes time with the square of its length.
 """
 
 from __future__ import annotations
@@ -20,25 +20,22 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import constant, stage, table
 
 CACHE_WORDS = 1 << 20
-#: Longer words are never kept in the map.
+#: Longer words are never kept in the table.
 CACHE_CHARS = 32
-RANK_BUCKETS = 1 << 16
-#: A token's rank and the place where its last merge cuts it are kept as rank * CUTS + cut; tokens are shorter than CUTS.
-CUTS = 1 << 10
-#: Marks of a piece, outside the characters that stand for bytes.
-OPEN, CLOSE = "Ā", "ā"
+#: Rows whose ids a worker holds at a time.
+ROWS = 512
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -51,41 +48,16 @@ def java_pattern(pattern: str) -> str:
     return "(?U)" + pattern
 
 
-def python_pattern(pattern: str) -> str:
-    r"""The pattern for the regex module, with the same white space."""
-    return pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
-
-
-class Buckets:
-    """A map from strings, as an array of small maps by hash. Use it inside `with_maps`, which puts its literal into the plan once."""
-
-    def __init__(self, items: Iterable[tuple[str, int | str]], kind: str, buckets: int):
-        # As text from the start: a dict for each bucket would take far more of the driver's memory.
-        dealt = [""] * buckets
-        for k, v in items:
-            at = xxhash.xxh64_intdigest(k.encode("utf-8"), 42) % buckets
-            dealt[at] += ("," if dealt[at] else "") + json.dumps(k) + ":" + json.dumps(v)
-        self.literal, self.mask = constant("[" + ",".join("{" + x + "}" for x in dealt) + "]", f"array<map<string,{kind}>>"), buckets - 1
-
-    def get(self, maps: Column, key: Column) -> Column:
-        # The number of buckets is a power of 2, so the low bits of the signed hash name the bucket.
-        return F.try_element_at(F.get(maps, F.xxhash64(key).bitwiseAND(F.lit(self.mask)).cast("int")), key)
-
-
 def let(value: Column, body) -> Column:
     """body(value), with value computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def as_byte_chars(word: Column) -> Column:
-    return F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-
-
 def merges(ranks: dict[bytes, int]) -> dict[bytes, int]:
     """For each token of two bytes or more, the length of the left piece of the merge that makes it: the last step of its own encoding.
 
-    A vocabulary is refused if a token is not made of tokens that rank below it; then merging in the order of
-    ranks would not be the same as always merging the lowest pair.
+    A vocabulary is refused if a token is not made of tokens that rank below it. So a token comes about by one pair
+    of pieces only, wherever it stands: what lies inside its edges has gone through the same merges as on its own.
     """
     out = {}
     for token, own in ranks.items():
@@ -102,57 +74,87 @@ def merges(ranks: dict[bytes, int]) -> dict[bytes, int]:
     return out
 
 
+class PairRanks:
+    """The rank of the merge of two ids, as two literals: `moves` has an offset for each left id, and `places` at offset + right id the pair and its rank in one number."""
+
+    def __init__(self, pairs: dict[tuple[int, int], int]):
+        self.bits = max((r + 1 for r in pairs.values()), default=256).bit_length()
+        if self.bits > 20:
+            raise ValueError("ranks above 2^20")
+        self.none = 1 << self.bits
+        rows: dict[int, list[int]] = {}
+        for a, b in pairs:
+            rows.setdefault(a, []).append(b)
+        places, moves, start = np.full(4 * len(pairs) + 2 * self.none, 1 << 62), [0] * self.none, 0
+        for a, right in sorted(rows.items(), key=lambda x: -len(x[1])):
+            # The first offset at which all places of the row are free; a row finds none before that of a longer one's first.
+            at = np.array(right)
+            moves[a] = start = next(m for m in range(start if len(right) > 1 else 0, len(places)) if (places[at + m] == 1 << 62).all()) if len(right) > 1 else int(np.argmax(places[at[0] :] == 1 << 62))
+            places[at + moves[a]] = [self.packed(a, b) | pairs[a, b] for b in right]
+        last = int(np.flatnonzero(places != 1 << 62).max(initial=0)) + 1
+        self.places, self.moves = constant(json.dumps(places[:last].tolist()), "array<bigint>"), constant(json.dumps(moves), "array<bigint>")
+
+    def packed(self, a: int, b: int) -> int:
+        return (a << 2 * self.bits) | (b << self.bits)
+
+    def rank(self, tables: Column, a: Column, b: Column) -> Column:
+        """The rank, or `none` if the pair does not merge or b is null."""
+        stands = F.get(tables["places"], F.get(tables["moves"], a) + b)
+        # Without the pair's own bits: the rank, or a larger number if another pair stands there.
+        return F.least(stands.bitwiseXOR(F.shiftleft(a, 2 * self.bits).bitwiseOR(F.shiftleft(b, self.bits))), F.lit(self.none))
+
+
 class ByteBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern = java_pattern(pattern)
-        left = merges(ranks)
-        self.longest = max(map(len, ranks))
-        # Rank and cut of a token in one number: they sort by rank.
-        self.ranks = Buckets(((b.decode("latin-1"), r * CUTS + left.get(b, 0)) for b, r in ranks.items()), "int", RANK_BUCKETS)
-        pieces: list[str | None] = [None] * (max(ranks.values()) + 1)
+        if any(bytes([i]) not in ranks for i in range(256)):
+            raise ValueError("the vocabulary lacks single bytes")
+        self.pairs = PairRanks({(ranks[t[:n]], ranks[t[n:]]): ranks[t] for t, n in merges(ranks).items()})
+        # Ids of single bytes, in the order of the top 8 bits of their crc32, which differ for all bytes: Spark has no function that gives a byte's number.
+        one = sorted((zlib.crc32(bytes([i])) >> 24, ranks[bytes([i])]) for i in range(256))
+        self.bytes = constant(json.dumps([r for _, r in one]), "array<bigint>")
+        pieces: list[bytes | None] = [None] * (max(ranks.values()) + 1)
         for b, r in ranks.items():
-            pieces[r] = b.decode("latin-1")
-        self.pieces = constant(json.dumps(pieces), "array<string>")
-        self.python_pattern = python_pattern(pattern)
-        self.pieces_bytes = {str(r): b for b, r in ranks.items()}
-        #: Columns word, ids; as Arrow memory on the driver, as a dict only in the workers.
+            pieces[r] = b
+        self.pieces = pa.array(pieces, pa.binary())
+        #: Columns word, ids; Arrow memory on the driver and in the workers.
         self.known: pa.Table | None = None
 
     def words(self, text: Column) -> Column:
-        return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
+        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def _fold(self, ranks: Column, word: Column) -> Column:
-        """Ids of one word, as decimal numbers joined by a space."""
+    def _fold(self, tables: Column, word: Column) -> Column:
+        """Ids of one word. An element of the folded array is rank * 2^bits + id."""
+        p, bits = self.pairs, self.pairs.bits
+        element = lambda a, b: F.shiftleft(p.rank(tables, a, b), bits).bitwiseOR(a)
+        id_of = lambda x: x.bitwiseAND(F.lit(p.none - 1))
 
-        def id_of(token: Column) -> Column:
-            return F.floor(self.ranks.get(ranks, token) / CUTS).cast("string")
+        def joined(s: Column, new: Column, at: Column) -> Column:
+            here = element(new, id_of(F.get(s, at + 2)))
+            before = id_of(F.get(s, at - 1))
+            middle = F.when(at > 0, F.array(element(before, new), here)).otherwise(F.array(here))
+            return F.concat(F.slice(s, F.lit(1), F.greatest(at - 1, F.lit(0))), middle, F.slice(s, at + 3, F.size(s)))
 
-        def substrings(chars: Column, n: Column) -> Column:
-            """Rank and place of every substring that is a token of two bytes or more."""
-            at = lambda i: F.transform(
-                F.sequence(F.lit(2), F.least(n - i + 1, F.lit(self.longest))),
-                lambda m: F.struct(self.ranks.get(ranks, F.substring(chars, i, m)).alias("rank"), i.alias("i"), m.alias("m")),
-            )
-            return F.filter(F.flatten(F.transform(F.sequence(F.lit(1), n - 1), at)), lambda x: x["rank"].isNotNull())
+        def step(s: Column, _: Column) -> Column:
+            # The lowest rank and, of equal ones, the leftmost place.
+            low = F.array_min(F.transform(s, lambda x, i: F.shiftleft(F.shiftright(x, bits), 31).bitwiseOR(i.cast("long"))))
+            return let(low, lambda x: F.when(x < F.lit(p.none << 31), joined(s, F.shiftright(x, 31), x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))).otherwise(s))
 
-        def merge(chars: Column):
-            def step(pieces: Column, x: Column) -> Column:
-                cut = x["rank"] % CUTS
-                a, b = F.substring(chars, x["i"], cut), F.substring(chars, x["i"] + cut, x["m"] - cut)
-                return F.replace(pieces, F.concat(F.lit(OPEN), a, F.lit(CLOSE + OPEN), b, F.lit(CLOSE)), F.concat(F.lit(OPEN), a, b, F.lit(CLOSE)))
+        def ids(b: Column) -> Column:
+            start = F.zip_with(b, F.slice(b, F.lit(2), F.size(b)), element)
+            return F.aggregate(F.slice(b, F.lit(2), F.size(b)), start, step, lambda s: F.transform(s, lambda x: id_of(x).cast("int")))
 
-            return step
+        def of_bytes(b: Column) -> Column:
+            return F.transform(F.sequence(F.lit(1), F.octet_length(b)), lambda i: F.get(tables["bytes"], F.shiftright(F.crc32(F.substring(b, i, F.lit(1))), 24)))
 
-        def ids(chars: Column) -> Column:
-            start = F.regexp_replace(chars, "(?s)(.)", OPEN + "$1" + CLOSE)
-            end = F.aggregate(F.array_sort(substrings(chars, F.length(chars))), start, merge(chars))
-            pieces = F.split(F.btrim(end, F.lit(OPEN + CLOSE)), CLOSE + OPEN, -1)
-            return F.when(F.length(chars) == 0, "").otherwise(F.coalesce(id_of(chars), F.array_join(F.transform(pieces, id_of), " ")))
+        return F.when(word != "", let(let(F.encode(word, "UTF-8"), of_bytes), ids)).otherwise(F.array().cast("array<int>"))
 
-        return let(as_byte_chars(word), ids)
+    def with_tables(self, body) -> Column:
+        """body(tables), with the literals in the plan once."""
+        return let(F.struct(self.pairs.places.alias("places"), self.pairs.moves.alias("moves"), self.bytes.alias("bytes")), body)
 
     def fold(self, word: Column) -> Column:
-        return let(self.ranks.literal, lambda ranks: self._fold(ranks, word))
+        return self.with_tables(lambda t: self._fold(t, word))
 
     def learn_words(self, df: DataFrame, text: str = "text", most: int = CACHE_WORDS) -> ByteBPE:
         """Count the words of all texts, fold the most frequent ones once and keep their ids: at most `most` entries of at most CACHE_CHARS characters."""
@@ -165,14 +167,13 @@ class ByteBPE:
             if held > most:
                 break
             least = r["n"]
-        if least is None:
-            self.known = None
-            return self
-        self.known = counted.filter(F.col("n") >= least).select("word", self.fold(F.col("word")).alias("ids")).toArrow()
+        self.known = None
+        if least is not None:
+            self.known = counted.filter(F.col("n") >= least).select("word", self.fold(F.col("word")).alias("ids")).toArrow()
         return self
 
     def cut(self, df: DataFrame, text: str, columns: list[str]) -> DataFrame:
-        """The named columns, then what `joined` makes a text's ids of: _runs, _order, _rest.
+        """The named columns, then what `joined` makes a text's ids of: _ids, with -1, -2 ... for the words of _rest, and _rest, the folded ones.
 
         Words whose ids are known are looked up where the text is read; what is left of a text, each of its
         other words once, goes through the fold.
@@ -180,122 +181,174 @@ class ByteBPE:
         sink = pa.BufferOutputStream()
         if self.known is not None:
             with pa.ipc.new_stream(sink, self.known.schema) as out:
-                out.write_table(self.known)
+                out.write_table(self.known.combine_chunks())
         held = df.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
-        pattern = self.python_pattern
-        plain = df.select(*columns, F.coalesce(text, F.lit("")).alias("_text"))
+        plain = df.select(*columns, self.words(F.col(text)).alias("_words"))
 
         def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            find, known = regex.compile(pattern).findall, {}
-            for t in pa.ipc.open_stream(held.value) if held.value else ():
-                for part in pieces_of([t], 4096):
-                    known.update(zip(*(c.to_pylist() for c in part.columns), strict=True))
-            for b in pieces_of(batches):
-                runs, orders, rest = [], [], []
-                for t in b.column(b.num_columns - 1).to_pylist():
-                    words = find(t)
-                    ids = list(map(known.get, words))
-                    new: dict[str, int] = {}
-                    run, order, at = [], [], 0
-                    if None in ids:
-                        for i, x in enumerate(ids):
-                            if x is None:
-                                run.append(" ".join(ids[at:i]))
-                                order.append(new.setdefault(words[i], len(new)))
-                                at = i + 1
-                    run.append(" ".join(ids[at:]))
-                    runs.append(run)
-                    orders.append(order)
-                    rest.append(list(new))
-                cols = [pa.array(runs, pa.list_(pa.string())), pa.array(orders, pa.list_(pa.int32())), pa.array(rest, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=[*columns, "_runs", "_order", "_rest"])
-
-        found = plain.mapInArrow(look_up, schema_of(plain, columns) + "_runs array<string>, _order array<int>, _rest array<string>")
-        rest = let(self.ranks.literal, lambda ranks: F.transform("_rest", lambda w: self._fold(ranks, w)))
-        return found.select(*columns, "_runs", "_order", rest.alias("_rest"))
-
-    def ids_text(self, text: Column) -> Column:
-        """Ids of a text, as decimal numbers joined by a space, by the fold alone; null counts as empty."""
-        words = self.words(F.coalesce(text, F.lit("")))
-        return F.array_join(let(self.ranks.literal, lambda ranks: F.transform(words, lambda w: self._fold(ranks, w))), " ")
-
-    def decode(self, ids: Column) -> Column:
-        """Bytes of an array of ids, whole numbers or their decimal text; an id without a piece is an error."""
-
-        def known(pieces: Column) -> Column:
-            return F.transform(ids, lambda i: F.coalesce(F.get(pieces, i.cast("int")), F.raise_error(F.concat(F.lit("no piece has the id "), i.cast("string"))).cast("string")))
-
-        return F.encode(F.array_join(let(self.pieces, known), ""), "ISO-8859-1")
-
-
-def id_array(ids_text: Column) -> Column:
-    return F.transform(F.filter(F.split(ids_text, " "), lambda x: x != ""), lambda x: x.cast("int"))
-
-
-def pieces_of(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Batches of few rows: what a worker holds as Python objects stays small."""
-    for b in batches:
-        for lo in range(0, b.num_rows, rows):
-            yield b.slice(lo, rows)
+            known, starts, lengths, flat = vocabulary(held.value)
+            for b in batches:
+                words = b.column(b.num_columns - 1)
+                found = pc.fill_null(pc.index_in(words.values, known), -1).to_numpy()
+                for lo in range(0, b.num_rows, ROWS):
+                    part = b.slice(lo, ROWS)
+                    ids, rest = with_holes(part.column(b.num_columns - 1), found, starts, lengths, flat)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, rest], names=[*columns, "_ids", "_rest"])
+
+        found = plain.mapInArrow(look_up, schema_of(plain, columns) + "_ids array<int>, _rest array<string>")
+        return found.select(*columns, "_ids", self.with_tables(lambda t: F.transform("_rest", lambda w: self._fold(t, w))).alias("_rest"))
+
+    def ids_of(self, text: Column) -> Column:
+        """Ids of a text by the fold alone; null counts as empty."""
+        return self.with_tables(lambda t: F.flatten(F.transform(self.words(text), lambda w: self._fold(t, w))))
+
+
+def vocabulary(stream: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, and for each the start and length of its run in the last array: ids."""
+    none = np.zeros(0, np.int64)
+    if not stream:
+        return pa.array([], pa.string()), none, none, none.astype(np.int32)
+    t = pa.ipc.open_stream(stream).read_all().combine_chunks()
+    if not t.num_rows:
+        return pa.array([], pa.string()), none, none, none.astype(np.int32)
+    words, ids = t.column(0).chunk(0), t.column(1).chunk(0)
+    offsets = ids.offsets.to_numpy().astype(np.int64)
+    return words, offsets[:-1], np.diff(offsets), ids.values.to_numpy()
+
+
+def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1 ... of each run, one run after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def lists(values: pa.Array, offsets: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
+
+
+def with_holes(words: pa.ListArray, found: np.ndarray, starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> tuple[pa.ListArray, pa.ListArray]:
+    """Of each list of words the ids, with -1, -2 ... for the distinct words that are not known; and those words. found: of the parent's words, the number in the vocabulary or -1."""
+    offsets = words.offsets.to_numpy().astype(np.int64)
+    at = found[offsets[0] : offsets[-1]]
+    ends = offsets - offsets[0]
+    hole = np.flatnonzero(at < 0)
+    row = np.searchsorted(ends, hole, "right") - 1
+    unknown = words.values.slice(offsets[0], offsets[-1] - offsets[0]).take(pa.array(hole)).dictionary_encode()
+    code, distinct = unknown.indices.to_numpy().astype(np.int64), len(unknown.dictionary)
+    pair, inverse = np.unique(row * max(1, distinct) + code, return_inverse=True)
+    of_row = np.searchsorted(pair // max(1, distinct), np.arange(len(ends)))  # first distinct unknown word of each row
+    n = np.ones(len(at), np.int64)
+    n[at >= 0] = lengths[at[at >= 0]]
+    ends_of_words = np.r_[0, np.cumsum(n)]
+    ids = np.empty(ends_of_words[-1], np.int32)
+    in_ids = ends_of_words[:-1]
+    good = at >= 0
+    ids[runs(in_ids[good], n[good])] = flat[runs(starts[at[good]], n[good])]
+    ids[in_ids[hole]] = -1 - (inverse - of_row[row])
+    return lists(pa.array(ids), ends_of_words[ends]), lists(unknown.dictionary.take(pa.array(pair % max(1, distinct))), of_row)
 
 
 def schema_of(df: DataFrame, columns: list[str]) -> str:
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*columns).schema.fields)
 
 
-def joined(b: pa.RecordBatch) -> list[list[str]]:
-    """Ids of each row of a batch that ends in _runs, _order, _rest, as decimal text."""
-    out = []
-    for run, order, folded in zip(*(c.to_pylist() for c in b.columns[-3:]), strict=True):
-        parts = [run[0]]
-        for x, y in zip(order, run[1:], strict=True):
-            parts += (folded[x], y)
-        out.append(" ".join(filter(None, parts)).split())
-    return out
+def joined(b: pa.RecordBatch) -> pa.ListArray:
+    """Ids of each row of a batch that ends in _ids, _rest."""
+    held, rest = b.column(b.num_columns - 2), b.column(b.num_columns - 1)
+    ends = held.offsets.to_numpy().astype(np.int64)
+    ids = held.values.to_numpy()[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    hole = np.flatnonzero(ids < 0)
+    row = np.searchsorted(ends, hole, "right") - 1
+    word = rest.offsets.to_numpy()[row] - 1 - ids[hole]
+    bounds = rest.values.offsets.to_numpy().astype(np.int64)
+    base, begin, n = rest.values.values.to_numpy(), bounds[word], bounds[word + 1] - bounds[word]
+    lengths = np.ones(len(ids), np.int64)
+    lengths[hole] = n
+    places = np.r_[0, np.cumsum(lengths)]
+    out = np.empty(places[-1], np.int32)
+    whole = ids >= 0
+    out[places[:-1][whole]] = ids[whole]
+    out[runs(places[:-1][hole], n)] = base[runs(begin, n)]
+    return lists(pa.array(out), places[ends])
+
+
+def joined_pieces(ids: pa.ListArray, pieces: pa.Array) -> pa.BinaryArray:
+    """For each list of ids their pieces, one after the other. An id without a piece is an error."""
+    ends = ids.offsets.to_numpy()
+    taken = pieces.take(ids.values.slice(ends[0], ends[-1] - ends[0]))
+    if taken.null_count:
+        raise ValueError("an id has no piece")
+    _, offsets, data = taken.buffers()
+    at = np.frombuffer(offsets, np.int32)[taken.offset :][ends - ends[0]] if len(taken) else np.zeros(len(ends), np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(at)), data or pa.py_buffer(b"")])
+
+
+def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo in range(0, b.num_rows, ROWS):
+            yield b.slice(lo, ROWS)
 
 
 def encoded(df: DataFrame, bpe: ByteBPE, text: str = "text") -> DataFrame:
-    """df with `token_ids` (array<int>), which replaces a column of that name. A null or empty text has no ids; repeated rows are alike."""
+    """df with `token_ids` (array<int>), which replaces a column of that name.
+
+    A null or empty text has no ids; a long text is encoded whole; repeated rows are alike; an empty table gives an
+    empty one. Columns named _words, _ids or _rest are an error.
+    """
     kept = [c for c in df.columns if c != "token_ids"]
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces_of(batches):
-            yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array([np.array(i, np.int32) for i in joined(b)], pa.list_(pa.int32()))], names=[*kept, "token_ids"])
+        for b in _parts(batches):
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], joined(b)], names=[*kept, "token_ids"])
 
     return bpe.cut(df, text, kept).mapInArrow(ids, schema_of(df, kept) + "token_ids array<int>")
 
 
 def decoded(df: DataFrame, bpe: ByteBPE, ids: str = "token_ids") -> DataFrame:
-    """df with `decoded` (binary). Null ids give null; no ids, no bytes."""
-    return df.withColumn("decoded", bpe.decode(F.col(ids)))
+    """df with `decoded` (binary), which replaces a column of that name. Null ids give null; no ids, no bytes; an id without a piece is an error."""
+    kept, held = [c for c in df.columns if c != "decoded"], df.sparkSession.sparkContext.broadcast(bpe.pieces)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _parts(batches):
+            x = pc.fill_null(b.column(b.num_columns - 1), []) if b.column(b.num_columns - 1).null_count else b.column(b.num_columns - 1)
+            out = joined_pieces(x, held.value)
+            if b.column(b.num_columns - 1).null_count:
+                out = pc.if_else(b.column(b.num_columns - 1).is_valid(), out, None)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], out], names=[*kept, "decoded"])
+
+    return df.select(*kept, F.col(ids).cast("array<int>").alias("_ids")).mapInArrow(pieces, schema_of(df, kept) + "decoded binary")
 
 
 def digest_of_round_trip(df: DataFrame, bpe: ByteBPE, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256: encode every whole text, then decode the ids by joining their pieces."""
-    held = df.sparkSession.sparkContext.broadcast(bpe.pieces_bytes)
+    held = df.sparkSession.sparkContext.broadcast(bpe.pieces)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces_of(batches):
-            piece, rows = held.value.__getitem__, joined(b)
-            x = [hashlib.sha256(" ".join(ids).encode()).hexdigest() for ids in rows]
-            y = [hashlib.sha256(b"".join(map(piece, ids))).hexdigest() for ids in rows]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, rows), pa.int64()), pa.array(x, pa.string()), pa.array(y, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        numbers = pa.array([b" %d" % i for i in range(len(held.value))], pa.binary())
+        sha = lambda a, skip: pa.array([hashlib.sha256(memoryview(x.as_buffer())[skip:]).hexdigest() for x in a], pa.string())
+        for b in _parts(batches):
+            ids = joined(b)
+            yield pa.RecordBatch.from_arrays([b.column(0), pc.list_value_length(ids).cast(pa.int64()), sha(joined_pieces(ids, numbers), 1), sha(joined_pieces(ids, held.value), 0)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return bpe.cut(df, text, [id_col]).mapInArrow(digest, schema_of(df, [id_col]) + "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def round_trip(df: DataFrame, bpe: ByteBPE, text: str = "text") -> DataFrame:
-    """df with token_ids, n_tokens and `intact`: whether the ids decode to the bytes of the text. Columns of these names are replaced."""
+    """df with token_ids, n_tokens and `intact`: whether the ids decode to the bytes of the text. Columns of these names are replaced.
+
+    A null or empty text has no ids and is intact; a long text is encoded whole; repeated rows are alike; an empty
+    table gives an empty one.
+    """
     kept = [c for c in df.columns if c not in ("token_ids", "n_tokens", "intact")]
-    held = df.sparkSession.sparkContext.broadcast(bpe.pieces_bytes)
+    held = df.sparkSession.sparkContext.broadcast(bpe.pieces)
     at = kept.index(text)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces_of(batches):
-            piece, rows = held.value.__getitem__, joined(b)
-            ok = [b"".join(map(piece, ids)) == (t or "").encode("utf-8", "surrogatepass") for t, ids in zip(b.column(at).to_pylist(), rows, strict=True)]
-            ids = pa.array([np.array(i, np.int32) for i in rows], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-3], ids, pa.array(map(len, rows), pa.int64()), pa.array(ok, pa.bool_())], names=[*kept, "token_ids", "n_tokens", "intact"])
+        for b in _parts(batches):
+            ids = joined(b)
+            ok = pc.equal(joined_pieces(ids, held.value), pc.fill_null(b.column(at), "").cast(pa.binary()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], ids, pc.list_value_length(ids).cast(pa.int64()), ok], names=[*kept, "token_ids", "n_tokens", "intact"])
 
     return bpe.cut(df, text, kept).mapInArrow(check, schema_of(df, kept) + "token_ids array<int>, n_tokens long, intact boolean")
 
