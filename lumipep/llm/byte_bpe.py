@@ -21,7 +21,7 @@ import base64
 import hashlib
 import json
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +29,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import constant, stage, table
+from .common import constant, slices, stage, table
 
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 19
 #: Longer words are never kept in the table.
 CACHE_CHARS = 32
-#: Rows whose ids a worker holds at a time.
-ROWS = 512
+#: Rows whose ids a worker holds at a time, and words that it looks up at a time.
+ROWS, WORDS = 512, 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -169,7 +169,7 @@ class ByteBPE:
             least = r["n"]
         self.known = None
         if least is not None:
-            self.known = counted.filter(F.col("n") >= least).select("word", self.fold(F.col("word")).alias("ids")).toArrow()
+            self.known = counted.filter(F.col("n") >= least).select("word", self.fold(F.col("word")).alias("ids")).toArrow().combine_chunks()
         return self
 
     def cut(self, df: DataFrame, text: str, columns: list[str]) -> DataFrame:
@@ -178,22 +178,22 @@ class ByteBPE:
         Words whose ids are known are looked up where the text is read; what is left of a text, each of its
         other words once, goes through the fold.
         """
-        sink = pa.BufferOutputStream()
-        if self.known is not None:
-            with pa.ipc.new_stream(sink, self.known.schema) as out:
-                out.write_table(self.known.combine_chunks())
-        held = df.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+        held = df.sparkSession.sparkContext.broadcast(self.known)
         plain = df.select(*columns, self.words(F.col(text)).alias("_words"))
 
         def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known, starts, lengths, flat = vocabulary(held.value)
             for b in batches:
                 words = b.column(b.num_columns - 1)
-                found = pc.fill_null(pc.index_in(words.values, known), -1).to_numpy()
-                for lo in range(0, b.num_rows, ROWS):
-                    part = b.slice(lo, ROWS)
-                    ids, rest = with_holes(part.column(b.num_columns - 1), found, starts, lengths, flat)
-                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, rest], names=[*columns, "_ids", "_rest"])
+                ends, lo = words.offsets.to_numpy(), 0
+                while lo < b.num_rows:
+                    hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + WORDS, "right")) - 1)
+                    found = pc.fill_null(pc.index_in(words.values.slice(ends[lo], ends[hi] - ends[lo]), known), -1).to_numpy()
+                    for at in range(lo, hi, ROWS):
+                        part = b.slice(at, min(ROWS, hi - at))
+                        ids, rest = with_holes(part.column(b.num_columns - 1), found, ends[lo], starts, lengths, flat)
+                        yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, rest], names=[*columns, "_ids", "_rest"])
+                    lo = hi
 
         found = plain.mapInArrow(look_up, schema_of(plain, columns) + "_ids array<int>, _rest array<string>")
         return found.select(*columns, "_ids", self.with_tables(lambda t: F.transform("_rest", lambda w: self._fold(t, w))).alias("_rest"))
@@ -203,15 +203,11 @@ class ByteBPE:
         return self.with_tables(lambda t: F.flatten(F.transform(self.words(text), lambda w: self._fold(t, w))))
 
 
-def vocabulary(stream: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+def vocabulary(known: pa.Table | None) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """Words, and for each the start and length of its run in the last array: ids."""
-    none = np.zeros(0, np.int64)
-    if not stream:
-        return pa.array([], pa.string()), none, none, none.astype(np.int32)
-    t = pa.ipc.open_stream(stream).read_all().combine_chunks()
-    if not t.num_rows:
-        return pa.array([], pa.string()), none, none, none.astype(np.int32)
-    words, ids = t.column(0).chunk(0), t.column(1).chunk(0)
+    if known is None or not known.num_rows:
+        return pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    words, ids = known.column(0).chunk(0), known.column(1).chunk(0)
     offsets = ids.offsets.to_numpy().astype(np.int64)
     return words, offsets[:-1], np.diff(offsets), ids.values.to_numpy()
 
@@ -226,10 +222,10 @@ def lists(values: pa.Array, offsets: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
 
 
-def with_holes(words: pa.ListArray, found: np.ndarray, starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> tuple[pa.ListArray, pa.ListArray]:
-    """Of each list of words the ids, with -1, -2 ... for the distinct words that are not known; and those words. found: of the parent's words, the number in the vocabulary or -1."""
+def with_holes(words: pa.ListArray, found: np.ndarray, first: int, starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> tuple[pa.ListArray, pa.ListArray]:
+    """Of each list of words the ids, with -1, -2 ... for the distinct words that are not known; and those words. found: of the parent's words from `first` on, the number in the vocabulary or -1."""
     offsets = words.offsets.to_numpy().astype(np.int64)
-    at = found[offsets[0] : offsets[-1]]
+    at = found[offsets[0] - first : offsets[-1] - first]
     ends = offsets - offsets[0]
     hole = np.flatnonzero(at < 0)
     row = np.searchsorted(ends, hole, "right") - 1
@@ -284,12 +280,6 @@ def joined_pieces(ids: pa.ListArray, pieces: pa.Array) -> pa.BinaryArray:
     return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(at)), data or pa.py_buffer(b"")])
 
 
-def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for lo in range(0, b.num_rows, ROWS):
-            yield b.slice(lo, ROWS)
-
-
 def encoded(df: DataFrame, bpe: ByteBPE, text: str = "text") -> DataFrame:
     """df with `token_ids` (array<int>), which replaces a column of that name.
 
@@ -299,7 +289,7 @@ def encoded(df: DataFrame, bpe: ByteBPE, text: str = "text") -> DataFrame:
     kept = [c for c in df.columns if c != "token_ids"]
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _parts(batches):
+        for b in slices(batches, ROWS):
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], joined(b)], names=[*kept, "token_ids"])
 
     return bpe.cut(df, text, kept).mapInArrow(ids, schema_of(df, kept) + "token_ids array<int>")
@@ -310,7 +300,7 @@ def decoded(df: DataFrame, bpe: ByteBPE, ids: str = "token_ids") -> DataFrame:
     kept, held = [c for c in df.columns if c != "decoded"], df.sparkSession.sparkContext.broadcast(bpe.pieces)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _parts(batches):
+        for b in slices(batches, ROWS):
             x = pc.fill_null(b.column(b.num_columns - 1), []) if b.column(b.num_columns - 1).null_count else b.column(b.num_columns - 1)
             out = joined_pieces(x, held.value)
             if b.column(b.num_columns - 1).null_count:
@@ -327,7 +317,7 @@ def digest_of_round_trip(df: DataFrame, bpe: ByteBPE, text: str = "text", id_col
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = pa.array([b" %d" % i for i in range(len(held.value))], pa.binary())
         sha = lambda a, skip: pa.array([hashlib.sha256(memoryview(x.as_buffer())[skip:]).hexdigest() for x in a], pa.string())
-        for b in _parts(batches):
+        for b in slices(batches, ROWS):
             ids = joined(b)
             yield pa.RecordBatch.from_arrays([b.column(0), pc.list_value_length(ids).cast(pa.int64()), sha(joined_pieces(ids, numbers), 1), sha(joined_pieces(ids, held.value), 0)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -345,7 +335,7 @@ def round_trip(df: DataFrame, bpe: ByteBPE, text: str = "text") -> DataFrame:
     at = kept.index(text)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _parts(batches):
+        for b in slices(batches, ROWS):
             ids = joined(b)
             ok = pc.equal(joined_pieces(ids, held.value), pc.fill_null(b.column(at), "").cast(pa.binary()))
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], ids, pc.list_value_length(ids).cast(pa.int64()), ok], names=[*kept, "token_ids", "n_tokens", "intact"])

@@ -10,30 +10,31 @@ In a tile, pairs are bounded before they are compared: each set has a bitmap of
 in which every element flips one bit; the bits in which two bitmaps differ bound the elements in which the sets
 differ from below, and so the overlap from above. Only pairs that pass are intersected exactly.
 
-A tile with many copies is not expanded into pairs. Its members are first compared with a pivot, the smallest
-id; links make components, and what is in one component already needs no comparing. Tiles in which two
-components are left go through one more pivot, and then all their pairs of different components are bounded by
-bitmaps, in blocks of BLOCK members, and the pairs that pass are intersected.
+For components (`jaccard_components`) a tile with many copies is not expanded into pairs. Every document is first
+compared with one pivot, the smallest id it meets in its tiles; links make components, and what is in one component
+already needs no comparing. Tiles in which two components are left go through a pivot of their own, and then all
+their pairs of different components are bounded by bitmaps, in blocks of about BLOCK members, and the pairs that
+pass are intersected. `jaccard_links` gives every link: it bounds all pairs of a tile that way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import fresh, slices, stage, table
 
 #: Members of a tile that one task compares with as many others.
 BLOCK = 2048
 #: Sets below this size have a part for each element, as have all sets where they may differ in too large a share of them to fill as many parts.
 SINGLE = 64
 #: Bytes of text hashed at a time; sets seen in a task, for copies that need no tiles of their own; bits of the filter of ids.
-CHUNK, SEEN, FILTER_BITS = 1 << 20, 200_000, 1 << 26
+CHUNK, SEEN, FILTER_BITS = 1 << 20, 50_000, 1 << 26
 SEED = 7
 
 _TAB = np.random.default_rng(SEED).integers(0, 2**64, (64, 256), np.uint64).ravel()
@@ -114,6 +115,8 @@ class Rule:
     k: int
     num: int
     den: int
+    #: Deals the hashes into parts.
+    seed: int = 0
 
     def differ(self, n: int, m: int) -> int:
         """Most elements in which linked sets of these sizes can differ."""
@@ -126,9 +129,9 @@ class Rule:
         """Of its own size and of every larger one that a linked set may have."""
         return list(range(int(n).bit_length(), (int(n) * self.den // self.num).bit_length() + 1))
 
-    def tiles(self, s: np.ndarray) -> np.ndarray:
-        """Keys of the tiles in which a set stands."""
-        keys, want, dealt = [], self.parts_of(len(s)), mix(s + _ODD[50])
+    def tiles(self, s: np.ndarray) -> np.ndarray | None:
+        """Keys of the tiles in which a set stands; None if this seed leaves it too few parts."""
+        keys, want, dealt = [], self.parts_of(len(s)), mix(s + _ODD[50] * U(2 * self.seed + 1))
         for band in self.bands(len(s)):
             if 1 << band <= SINGLE or 5 * (self.den - self.num) > 2 * self.num:
                 parts, content = dealt, dealt
@@ -141,7 +144,7 @@ class Rule:
                 p = part[order]
                 begin = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
                 if len(begin) < want:
-                    raise ValueError(f"a set of {len(s)} fills {len(begin)} parts of the {want} it needs; take another SEED")
+                    return None
                 content, parts = np.add.reduceat(mix(dealt[order] ^ _ODD[51]), begin)[:want], p[begin][:want]
             keys.append(mix(content * _ODD[52] + parts * _ODD[53] + U(band)))
         return np.concatenate(keys)
@@ -177,29 +180,38 @@ def _arrow(df: DataFrame, f, schema: str) -> DataFrame:
 
 
 def signatures(docs: DataFrame, rule: Rule, text: str, id_col: str) -> DataFrame:
-    """doc, n, twin (an id of this task with the same set, if one came before), bits, tiles."""
+    """doc, n, name (64 bits of the whole set), twin (an id of this task with the same set, if one came before), bits, tiles; short: this seed leaves a set too few parts."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple, int] = {}
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo in range(0, len(ids), 512):
-                rows: list[list] = [[], [], [], [], []]
-                for i, s in zip(ids[lo : lo + 512], shingle_sets(texts[lo : lo + 512], rule.k), strict=True):
-                    twin = None
-                    linked = len(s) and i is not None
-                    if linked:
-                        name = (len(s), int(s.sum()), int(mix(s).sum()))
-                        twin = seen.get(name)
-                        if twin is None and len(seen) < SEEN:
-                            seen[name] = i
-                    alone = not linked or twin is not None
-                    for column, v in zip(rows, (i, len(s), twin, None if alone else bitmap(s), None if alone else rule.tiles(s).view(np.int64)), strict=True):
-                        column.append(v)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], ["doc", "n", "twin", "bits", "tiles"])
-
-    return _arrow(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text")), make, "doc long, n long, twin long, bits binary, tiles array<long>")
+        seen: dict[tuple[int, int], int] = {}
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.bool_())
+        for b in slices(batches):
+            rows: list[list] = [[] for _ in kinds]
+            for i, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), rule.k), strict=True):
+                twin = name = bits = tiles = None
+                if len(s):
+                    name = int(mix(s).sum().view(np.int64))
+                if len(s) and i is not None:
+                    twin = seen.get((len(s), name))
+                    if twin is None:
+                        if len(seen) < SEEN:
+                            seen[len(s), name] = i
+                        bits, tiles = bitmap(s), rule.tiles(s)
+                short = bits is not None and tiles is None
+                for column, v in zip(rows, (i, len(s), name, twin, bits, None if tiles is None else tiles.view(np.int64), short), strict=True):
+                    column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], ["doc", "n", "name", "twin", "bits", "tiles", "short"])
+
+    return _arrow(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text")), make, "doc long, n long, name long, twin long, bits binary, tiles array<long>, short boolean")
+
+
+def signed_with_tiles(docs: DataFrame, rule: Rule, text: str, id_col: str) -> DataFrame:
+    """Written signatures by the first seed that gives every set enough parts: nearly always the first."""
+    while True:
+        signed = stage(signatures(docs, rule, text, id_col), "signed")
+        if signed.filter("short").isEmpty():
+            return signed
+        rule = replace(rule, seed=rule.seed + 1)
 
 
 def shared_tiles(signed: DataFrame) -> DataFrame:
@@ -267,13 +279,13 @@ def sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule, text: str, id_col: s
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
-        for b in batches:
+        for b in slices(batches, 2048):
             h = b.column(2).to_numpy() % FILTER_BITS
             b = b.filter(pa.array((bits[h >> 3] >> (h & 7)) & 1 == 1))
             ids, texts = b.column(0), b.column(1).to_pylist()
-            for lo in range(0, len(texts), 512):
-                s = [x.tobytes() for x in shingle_sets(texts[lo : lo + 512], k)]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, 512), pa.array(s, pa.binary())], ["doc", "s"])
+            for lo in range(0, len(texts), 256):
+                s = [x.tobytes() for x in shingle_sets(texts[lo : lo + 256], k)]
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, 256), pa.array(s, pa.binary())], ["doc", "s"])
 
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"))
     return _arrow(rows.withColumn("h", F.xxhash64("doc")), make, "doc long, s binary")
@@ -314,11 +326,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def tile_pairs(members: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
     """members: tile, doc, comp. All pairs of different components in each tile that sizes and bitmaps leave possible, from blocks against blocks."""
-    w = Window.partitionBy("tile").orderBy("n", "doc")
-    rows = members.join(signed.filter("bits is not null").select("doc", "n", "bits"), "doc").withColumn("at", F.row_number().over(w) - 1)
-    blocks = F.floor((F.max("at").over(Window.partitionBy("tile"))) / BLOCK).cast("int")
-    mine = F.floor(F.col("at") / BLOCK).cast("int")
-    rows = rows.withColumn("mine", mine).withColumn("last", blocks)
+    # Blocks by a hash of the id, so no task needs a whole tile in order; a tile of few members is one block.
+    blocks = members.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = members.join(blocks, "tile").join(signed.filter("bits is not null").select("doc", "n", "bits"), "doc")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("doc"), "blocks").cast("int")).withColumn("last", F.col("blocks") - 1)
     # Block i meets the blocks j >= i: tile (i, j).
     meet = F.explode(F.concat(F.transform(F.sequence(F.col("mine"), F.col("last")), lambda j: F.struct(F.col("mine").alias("i"), j.alias("j"))), F.transform(F.when(F.col("mine") > 0, F.sequence(F.lit(0), F.col("mine") - 1)).otherwise(F.expr("cast(array() as array<int>)")), lambda i: F.struct(i.alias("i"), F.col("mine").alias("j")))))
     rows = rows.withColumn("meet", meet).select("tile", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), "mine", "doc", "comp", "n", "bits")
@@ -362,6 +373,44 @@ def tile_pairs(members: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
 
 
+def linked(pairs: DataFrame, docs: DataFrame, signed: DataFrame, rule: Rule, text: str, id_col: str) -> DataFrame | None:
+    """The pairs that link, written; None if none of them is plausible."""
+    left = stage(plausible(pairs, signed, rule), "plausible")
+    if left.isEmpty():
+        return None
+    wanted = left.select(F.col("a").alias("doc")).union(left.select("b")).distinct()
+    sets = stage(sets_of(docs, wanted, rule, text, id_col), "sets")
+    return stage(verified(left, sets, rule), "links")
+
+
+def jaccard_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The whole join, as pairs of class representatives and membership.
+
+    First every link between two different sets, as (a, b) with a < b: the smallest ids of the documents that have
+    these sets. Then one row for each row of docs: id, n_shingles, class_id (the smallest id with the same set; the
+    own id for an empty set, null for a null id) and n_links (to how many other classes its class links). Copies
+    share a class, so they are not expanded; between different sets no link is left out. Sets, links, nulls and
+    empty tables are as for `jaccard_components`. The result grows with the number of links.
+    """
+    rule = Rule(k, num, den)
+    signed = signed_with_tiles(docs, rule, text, id_col)
+    sets = signed.filter("doc is not null and n > 0")
+    classes = stage(sets.groupBy("n", "name").agg(F.min("doc").alias("class")), "classes")
+    # A class stands in tiles by any of its documents that have some; their pairs are pairs of classes.
+    of_doc = stage(sets.join(classes, ["n", "name"]).select("doc", "class").distinct(), "class_of")
+    members = stage(shared_tiles(signed).join(of_doc, "doc").select("tile", "doc", F.col("class").alias("comp")), "tiles")
+    one = members.groupBy("tile", "comp").agg(F.min("doc").alias("doc"))
+    found = linked(tile_pairs(one.select("tile", "doc", "comp"), signed, rule), docs, signed, rule, text, id_col)
+    if found is None:
+        found = docs.sparkSession.createDataFrame([], "a long, b long")
+    of = lambda c: of_doc.select(F.col("doc").alias(c), F.col("class").alias(f"class_{c}"))
+    links = found.join(of("a"), "a").join(of("b"), "b").select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).filter("a <> b").distinct()
+    links = stage(links, "class_links")
+    number = links.select(F.col("a").alias("class")).union(links.select("b")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
+    rows = signed.select("doc", "n").join(of_doc, "doc", "left").join(number, "class", "left")
+    return links, rows.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("class", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row for each row of docs: id, n_shingles, component_id (the smallest id that links lead to, its own included).
 
@@ -372,38 +421,34 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     result; further columns are ignored.
     """
     rule = Rule(k, num, den)
-    signed = stage(signatures(docs, rule, text, id_col), "signed")
+    signed = signed_with_tiles(docs, rule, text, id_col)
     members = stage(shared_tiles(signed), "tiles")
     links: DataFrame | None = None
 
-    def with_links(pairs: DataFrame, links: DataFrame | None) -> DataFrame | None:
-        """Adds the links among the pairs; returns the links as they were if no pair is plausible."""
-        left = stage(plausible(pairs, signed, rule), "plausible")
-        if left.isEmpty():
-            return links
-        wanted = left.select(F.col("a").alias("doc")).union(left.select("b")).distinct()
-        sets = stage(sets_of(docs, wanted, rule, text, id_col), "sets")
-        found = stage(verified(left, sets, rule), "links")
-        return found if links is None else links.unionByName(found)
-
-    links = with_links(members.filter("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct(), links)
+    def with_links(pairs: DataFrame) -> DataFrame | None:
+        found = linked(pairs, docs, signed, rule, text, id_col)
+        return found if links is None else links if found is None else links.unionByName(found)
+
+    # One pivot for each document: the smallest id of all its tiles.
+    links = with_links(members.groupBy(F.col("doc").alias("a")).agg(F.min("pivot").alias("b")).filter("a <> b"))
     own, rows = F.coalesce("comp", F.col("doc")), members
     for last in (False, True):
         comps = components(links) if links is not None else None
         known = rows.select("tile", "doc")
         known = known.join(comps, "doc", "left").select("tile", "doc", own.alias("comp")) if comps is not None else known.withColumn("comp", F.col("doc"))
+        known = stage(known, "known")
         spread = known.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
         open_tiles = stage(known.join(spread, "tile"), "open")
         if open_tiles.isEmpty():
             break
         rows = open_tiles  # components only grow: a tile that is down to one stays so
         if last:
-            links = with_links(tile_pairs(open_tiles.select("tile", "doc", "comp"), signed, rule), links)
+            links = with_links(tile_pairs(open_tiles.select("tile", "doc", "comp"), signed, rule))
         else:
             # The smallest id outside the tile's first component is compared with all other components.
             pivot = open_tiles.filter("comp <> lo").groupBy("tile").agg(F.min_by(F.struct("doc", "comp"), "doc").alias("p"))
             pairs = open_tiles.join(pivot, "tile").filter("comp <> p.comp").select(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b")).distinct()
-            links = with_links(pairs, links)
+            links = with_links(pairs)
     base = signed.select("doc", "n", F.coalesce("twin", "doc").alias("rep"))
     if links is not None:
         base = base.join(components(links).select(F.col("doc").alias("rep"), "comp"), "rep", "left").select("doc", "n", F.coalesce("comp", "rep").alias("root"))
@@ -415,9 +460,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
 
 def near_deduplicated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs that stand for their component (the smallest id), with all their columns; others go. Null ids stay."""
-    gone = jaccard_components(docs, k, num, den, text, id_col).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(stage(gone, "gone"), F.col(id_col) == F.col("_gone"), "left_anti")
+    """The rows of docs that stand for their component (the smallest id), with all their columns; others go.
+
+    Rows with a null id, an empty or null text stay; rows that share an id stay or go together; an empty table
+    gives an empty one.
+    """
+    name = fresh(docs, "_gone")
+    gone = jaccard_components(docs, k, num, den, text, id_col).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(stage(gone, "gone"), F.col(id_col) == F.col(name), "left_anti")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

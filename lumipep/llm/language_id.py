@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import fresh, held_out, slices, table
 
 FIT_DOCS = 2000
 PROFILE = 400
@@ -96,7 +96,7 @@ def fit(docs: DataFrame, text: str, lang: str, id_col: str, most: int = FIT_DOCS
     sample = docs.join(F.broadcast(chosen.select(F.col(id_col).alias("_id")).distinct()), F.col(id_col) == F.col("_id"), "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             for language, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 u, n = np.unique(grams(t or ""), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([language] * len(u), pa.string()), pa.array(u, pa.int64()), pa.array(n, pa.int64())], ["lang", "code", "n"])
@@ -121,10 +121,10 @@ def predicted(docs: DataFrame, profiles: Profiles, text: str, columns: list[str]
     predicted alike; further columns are ignored, and one named like an added column is replaced.
     """
     added = [("lang_pred", pa.string()), ("score", pa.float64()), ("distance", pa.float64())]
-    plain = docs.select(*[c for c in columns if c not in dict(added)], F.col(text).alias("_text"))
+    plain = docs.select(*[c for c in columns if c not in dict(added)], F.col(text).alias(fresh(docs, "_text")))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [profiles.predict(t) for t in b.column(b.num_columns - 1).to_pylist()]
             cols = [pa.array([f[i] for f in found], kind) for i, (_, kind) in enumerate(added)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=[*b.schema.names[:-1], *[n for n, _ in added]])
@@ -141,7 +141,7 @@ def accepted(docs: DataFrame, profiles: Profiles, text: str) -> DataFrame:
     """The rows of docs, with their columns, whose text has letters and lies no farther than FARTHEST from some profile; rows with a null text go. Without any profile all rows with a letter stay."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ok = [profiles.predict(t)[2] <= FARTHEST if profiles.languages else bool(t) and len(grams(t)) > 0 for t in b.column(b.schema.get_field_index(text)).to_pylist()]
             yield b.filter(pa.array(ok, pa.bool_()))
 

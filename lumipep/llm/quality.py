@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import fresh, held_out, slices, table
 
 FIT_DOCS = 1500
 DICTIONARY_BYTES = 256 << 10
@@ -110,10 +110,10 @@ def scored(docs: DataFrame, model: Compressor, text: str, columns: list[str]) ->
     every score is 0.5. Repeated rows score alike; further columns are ignored, and one named like an added
     column is replaced.
     """
-    plain = docs.select(*[c for c in columns if c not in ("score", "predicted")], F.coalesce(text, F.lit("")).alias("_text"))
+    plain = docs.select(*[c for c in columns if c not in ("score", "predicted")], F.coalesce(text, F.lit("")).alias(fresh(docs, "_text")))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             s = model.score(model.sizes([t.encode("utf-8", "surrogatepass") for t in b.column(b.num_columns - 1).to_pylist()]))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], names=[*b.schema.names[:-1], "score", "predicted"])
 

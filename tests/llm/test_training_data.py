@@ -477,3 +477,53 @@ def test_pipeline(spark, sf_dir):
     enc = reference()
     rows = five.collect()
     assert len(rows) == four.count() and all(r["intact"] and r["token_ids"] == enc.encode_ordinary(r["text"]) for r in rows)
+
+
+def test_jaccard_links(spark, odd, none, monkeypatch):
+    """All links between classes of equal sets, and their numbers, against brute force."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}x{j}" for j in range(int(rng.integers(2, 120)))]
+        for _ in range(8):
+            w = [x if rng.random() > 0.02 else f"r{rng.integers(0, 10**6)}" for x in base]
+            rows += [" ".join(w)] * int(rng.integers(1, 4))
+    df = spark.createDataFrame([*enumerate(rows), (None, rows[0]), (9999, None)], "doc_id long, text string").repartition(4)
+    links, members = jaccard_join.jaccard_links(df, 2, 70, 100)
+    sets = {i: frozenset(zip(t.split(), t.split()[1:], strict=False)) or frozenset([tuple(t.split())]) for i, t in enumerate(rows)}
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    reps = sorted(first.values())
+    want = {(a, b) for a in reps for b in reps if a < b and 100 * len(sets[a] & sets[b]) >= 70 * len(sets[a] | sets[b])}
+    assert {(r["a"], r["b"]) for r in links.collect()} == want and want
+    n = Counter(x for p in want for x in p)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in members.collect()}
+    assert got == {**{i: (first[sets[i]], n[first[sets[i]]]) for i in sets}, None: (None, 0), 9999: (9999, 0)}
+    links, members = jaccard_join.jaccard_links(none)
+    assert links.count() == 0 and members.count() == 0
+    assert jaccard_join.jaccard_links(odd)[1].count() == odd.count()
+
+
+@pytest.mark.parametrize("num", [30, 40])
+def test_jaccard_low_thresholds(spark, num):
+    """Linked sets of very different sizes."""
+    rng = np.random.default_rng(num)
+    rows = [(i, " ".join(f"v{x}" for x in rng.choice(60 if i % 2 else 400, int(rng.integers(5, 50)), replace=False))) for i in range(60)]
+    rows += [(100, " ".join(WORDS[:100])), (101, " ".join(WORDS[:250])), (102, " ".join(WORDS[:399]))]
+    assert_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 1, num)
+
+
+def test_jaccard_takes_another_seed(spark, monkeypatch):
+    """Where a set fills too few parts the job deals all sets anew."""
+    real, seeds = jaccard_join.signatures, []
+
+    def signatures(docs, rule, *more):
+        seeds.append(rule.seed)
+        return real(docs, rule, *more).withColumn("short", F.lit(rule.seed < 2))
+
+    monkeypatch.setattr(jaccard_join, "signatures", signatures)
+    df = spark.createDataFrame([(1, BASE), (2, NEAR), (3, "x")], "doc_id long, text string")
+    assert_components(df, 4, 85)
+    assert seeds == [0, 1, 2]
