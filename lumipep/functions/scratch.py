@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where that is unset."""
+    """spark.checkpoint.dir of the session; a temporary folder only where that is unset and driver and executors are one process."""
     where = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not where and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if not where:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumipep-"))
         where = spark.sparkContext.getCheckpointDir()

@@ -59,6 +59,15 @@ def engineering(x: Column, digits: int = 0) -> Column:
     return F.when(x >= 1e6, F.concat(F.format_string(f, x / 1e6), F.lit("M"))).when(x >= 1e3, F.concat(F.format_string(f, x / 1e3), F.lit("K"))).otherwise(F.format_string(f, x))
 
 
+def three_digits(x: Column) -> Column:
+    """1234567 as '1.23M', 2000 as '2K': three significant digits of the number, its thousands (K) or millions (M), without zeros after the point."""
+    def short(y: Column) -> Column:
+        fixed = F.when(y < 10, F.format_string("%.2f", y)).when(y < 100, F.format_string("%.1f", y)).otherwise(F.format_string("%.0f", y))
+        return F.when(F.contains(fixed, F.lit(".")), F.rtrim(F.rtrim(fixed, F.lit("0")), F.lit("."))).otherwise(fixed)
+
+    return F.when(x >= 1e6, F.concat(short(x / 1e6), F.lit("M"))).when(x >= 1e3, F.concat(short(x / 1e3), F.lit("K"))).otherwise(short(x))
+
+
 def dye_track(flu: Column, cycles: int, channels: int = 3) -> Column:
     """Dyes left after 0..cycles removals of the first residue, for each channel: cycles + 1 arrays of `channels` counts."""
     left = lambda c, ch: F.regexp_count(F.substring(flu, c + 1, F.length(flu)), F.lit(str(ch))).cast("int")

@@ -14,11 +14,11 @@ def digest(proteins: DataFrame, protease: str = "trypsin") -> DataFrame:
     return proteins.select("protein_id", F.posexplode(peptides(F.col("sequence"), protease)).alias("pos", "peptide"))
 
 
-def peptide_ids(digested: DataFrame) -> DataFrame:
-    """Adds peptide_id: a running number over (protein_id, pos), by a prefix sum of the peptides of each protein."""
-    per = digested.groupBy("protein_id").agg(F.count(F.lit(1)).alias("n"))
-    first = numbered(per, ["protein_id"], "_i", F.col("n"), "_first").select("protein_id", F.col("_first").cast("long").alias("_first"))
-    return digested.join(first, "protein_id").withColumn("peptide_id", F.col("_first") + F.col("pos")).drop("_first")
+def numbered_peptides(proteins: DataFrame, protease: str = "trypsin") -> DataFrame:
+    """protein_id, pos, peptide, peptide_id: a running number over (protein_id, pos). Each protein is cut once; its row carries its peptides through the prefix sum."""
+    cut = proteins.select("protein_id", peptides(F.col("sequence"), protease).alias("_peptides"))
+    first = numbered(cut, ["protein_id"], "_i", F.size("_peptides"), "_first")
+    return first.select("protein_id", F.col("_first").cast("long").alias("_first"), F.posexplode("_peptides").alias("pos", "peptide")).select("protein_id", "pos", "peptide", (F.col("_first") + F.col("pos")).alias("peptide_id"))
 
 
 def labelled(with_ids: DataFrame, labels: tuple[str, ...] = LABELS) -> DataFrame:

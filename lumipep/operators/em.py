@@ -4,32 +4,62 @@ With g_f = sum_I pi_I P(f|I), a read's likelihood is d_n = sum_f s_nf g_f + r_n,
 u_I = pi_I (sum_f P(f|I) w_f + R), with w_f = sum_n m_n s_nf / d_n and R = sum_n m_n r_n / d_n. The reads x
 proteins matrix is never made; an epoch costs the scores' rows plus the emission's rows.
 
-Static tables are partitioned once and persisted: scores by read, so that d_n is a window without an exchange,
-and emission by protein. Only pi goes through the driver (proteins x folds rows, bounded by MAX_STATE).
+Scores are partitioned once by read and persisted, so that d_n is a window; where the flus are few (FEW_FLUS, counted
+before) g is broadcast and an epoch moves no score. Each epoch's statistics and estimate are written tables: nothing
+of the size of the proteins goes through the driver, and a lost executor costs one epoch at most.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .emission import share
+from ..functions.scratch import written
+from .emission import share, to_abundance
 
-MAX_STATE = 5_000_000
+#: Up to so many rows (flus x folds, some 24 bytes each) g is broadcast; beyond, it is joined by flu.
+FEW_FLUS = 1 << 20
 
 
 @dataclass
 class Fit:
-    """pi of the last epoch; errors and log-likelihoods of every epoch (0: before the first)."""
+    """The estimates before the first epoch and after each (cv, protein_id, pi; u after an epoch), and each epoch's statistics, as written tables."""
 
-    pi: DataFrame
-    history: list[dict] = field(default_factory=list)
+    states: list[DataFrame]
+    statistics: list[DataFrame] = field(default_factory=list)
+
+    @property
+    def pi(self) -> DataFrame:
+        """cv, protein_id, pi of the last epoch."""
+        return self.states[-1].select("cv", "protein_id", "pi")
+
+    def by_epoch(self) -> DataFrame:
+        """cv, epoch (0: before the first), protein_id, pi."""
+        return reduce(DataFrame.unionByName, [s.select("cv", F.lit(i).alias("epoch"), "protein_id", "pi") for i, s in enumerate(self.states)])
 
     def history_frame(self) -> DataFrame:
-        return self.pi.sparkSession.createDataFrame([(h["cv"], h["epoch"], h["loglik"], h["sum_u"]) for h in self.history], "cv int, epoch int, loglik double, sum_u double")
+        """cv, epoch, loglik (under the estimate before that epoch), sum_u."""
+        logs = [w.groupBy("cv").agg(F.sum("loglik").alias("loglik")).withColumn("epoch", F.lit(i)) for i, w in enumerate(self.statistics)]
+        sums = [s.groupBy("cv").agg(F.sum("u").alias("sum_u")).withColumn("epoch", F.lit(i)) for i, s in enumerate(self.states[1:])]
+        both = reduce(DataFrame.unionByName, logs).join(reduce(DataFrame.unionByName, sums), ["cv", "epoch"])
+        return both.select("cv", "epoch", "loglik", "sum_u")
+
+    @property
+    def history(self) -> list[dict]:
+        return [r.asDict() for r in self.history_frame().orderBy("epoch", "cv").collect()]
+
+    def errors(self, truth: DataFrame, weights: DataFrame) -> DataFrame:
+        """cv, epoch (from 1), before, after: mean absolute error of the abundances before and after each epoch. truth: [cv,] protein_id, p_y; weights: protein_id, exp_n."""
+        p_y = to_abundance(self.by_epoch(), weights, ["cv", "epoch"]).select("cv", "epoch", "protein_id", "p_y")
+        true = truth.withColumnRenamed("p_y", "true")
+        both = p_y.join(true.select(*[c for c in ("cv", "protein_id", "true") if c in true.columns]), [c for c in ("cv", "protein_id") if c in true.columns])
+        mae = written(both.groupBy("cv", "epoch").agg(F.avg(F.abs(F.col("p_y") - F.col("true"))).alias("after")), "errors")
+        before = mae.select("cv", (F.col("epoch") + 1).alias("epoch"), F.col("after").alias("before"))
+        return mae.join(before, ["cv", "epoch"]).select("cv", "epoch", "before", "after")
 
 
 def _with_fold(df: DataFrame) -> DataFrame:
@@ -44,12 +74,13 @@ def collapse(scores: DataFrame) -> DataFrame:
     return once.select("cv", "read_id", "r", "m", F.inline("e"))
 
 
-def epoch(scores: DataFrame, emission: DataFrame, pi: DataFrame) -> DataFrame:
+def epoch(scores: DataFrame, emission: DataFrame, pi: DataFrame, few_flus: bool = False) -> DataFrame:
     """cv, flu_id, w, and the flu's shares of R (rest) and of the log-likelihood under pi (loglik): sums over reads, so those of parts add up.
 
     scores: cv, read_id, flu_id, s, r, m, first (true on one row of each read). Reads whose likelihood is 0 take no part.
     """
     g = emission.join(pi, "protein_id").groupBy("cv", "flu_id").agg(F.sum(F.col("pi") * F.col("p")).alias("g"))
+    g = F.broadcast(g) if few_flus else g
     # Left: a flu without emission adds nothing, but its read keeps its residual.
     part = F.sum(F.col("s") * F.coalesce("g", F.lit(0.0))).over(Window.partitionBy("cv", "read_id"))
     d = scores.join(g, ["cv", "flu_id"], "left").withColumn("d", part + F.col("r")).filter("d > 0")
@@ -60,35 +91,33 @@ def epoch(scores: DataFrame, emission: DataFrame, pi: DataFrame) -> DataFrame:
     )
 
 
-def fit(scores: DataFrame, emission: DataFrame, start: DataFrame, epochs: int, m: str | None = None) -> Fit:
+def updated(statistics: DataFrame, emission: DataFrame, pi: DataFrame) -> DataFrame:
+    """cv, protein_id, u, pi after the epoch with these statistics. A fold without a usable read keeps its estimate."""
+    w = statistics.groupBy("cv", "flu_id").agg(F.sum("w").alias("w"))
+    rest = statistics.groupBy("cv").agg(F.sum("rest").alias("rest"))
+    x = emission.select("protein_id", "flu_id", "p").join(w, "flu_id").groupBy("cv", "protein_id").agg(F.sum(F.col("p") * F.col("w")).alias("x"))
+    some = F.coalesce("x", F.lit(0.0)) + F.coalesce("rest", F.lit(0.0))
+    u = pi.select("cv", "protein_id", "pi").join(x, ["cv", "protein_id"], "left").join(F.broadcast(rest), "cv", "left").withColumn("u", F.col("pi") * some)  # a row a fold
+    sums = u.groupBy("cv").agg(F.sum("u").alias("total"))
+    return u.join(F.broadcast(sums), "cv").select("cv", "protein_id", "u", F.when(F.col("total") > 0, F.col("u") / F.col("total")).otherwise(F.col("pi")).alias("pi"))
+
+
+def fit(scores: DataFrame, emission: DataFrame, start: DataFrame, epochs: int) -> Fit:
     """scores: [cv,] read_id, flu_id, s, r [, m]; emission: protein_id, flu_id, p; start: [cv,] protein_id, pi."""
-    spark = scores.sparkSession
     rows = _with_fold(scores)
     rows = rows if "m" in rows.columns else rows.withColumn("m", F.lit(1.0))
     first = F.row_number().over(Window.partitionBy("cv", "read_id").orderBy("flu_id")) == 1
     rows = rows.select("cv", F.col("read_id"), "flu_id", "s", "r", F.col("m").cast("double").alias("m")).repartition("cv", "read_id").withColumn("first", first).persist(StorageLevel.MEMORY_AND_DISK)
     model = emission.select("protein_id", "flu_id", "p").persist(StorageLevel.MEMORY_AND_DISK)
-    state = [(r["cv"], r["protein_id"], r["pi"]) for r in _with_fold(start).select("cv", "protein_id", "pi").limit(MAX_STATE + 1).collect()]
-    if len(state) > MAX_STATE:
-        raise ValueError(f"more than {MAX_STATE} proteins x folds")
-    schema, out = "cv int, protein_id int, pi double", []
-    for i in range(epochs):
-        pi = spark.createDataFrame(state, schema)
-        w = epoch(rows, model, pi).persist(StorageLevel.MEMORY_AND_DISK)
-        stats = {r["cv"]: r for r in w.groupBy("cv").agg(F.sum("rest").alias("rest"), F.sum("loglik").alias("loglik")).collect()}
-        got = model.join(w.select("cv", "flu_id", "w"), "flu_id").groupBy("cv", "protein_id").agg(F.sum(F.col("p") * F.col("w")).alias("x")).collect()
-        w.unpersist()
-        x = {(r["cv"], r["protein_id"]): r["x"] for r in got}
-        u = [(cv, p, v * (x.get((cv, p), 0.0) + (stats[cv]["rest"] if cv in stats else 0.0))) for cv, p, v in state]
-        total: dict[int, float] = {}
-        for cv, _, v in u:
-            total[cv] = total.get(cv, 0.0) + v
-        out += [{"cv": cv, "epoch": i, "loglik": stats[cv]["loglik"], "sum_u": total[cv]} for cv in sorted(stats)]
-        # A fold without a usable read keeps its estimate.
-        state = [(cv, p, v / total[cv]) if total[cv] > 0 else old for (cv, p, v), old in zip(u, state, strict=True)]
+    out = Fit([written(_with_fold(start).select("cv", "protein_id", "pi"), "state")])
+    few = model.select("flu_id").distinct().count() * out.pi.select("cv").distinct().count() <= FEW_FLUS
+    for _ in range(epochs):
+        pi = out.pi
+        out.statistics.append(written(epoch(rows, model, pi, few), "statistics"))
+        out.states.append(written(updated(out.statistics[-1], model, pi), "state"))
     rows.unpersist()
     model.unpersist()
-    return Fit(spark.createDataFrame(state, schema), out)
+    return out
 
 
 def epoch_in_one_plan(scores: DataFrame, emission: DataFrame, pi: DataFrame) -> DataFrame:
@@ -103,15 +132,19 @@ def epoch_in_one_plan(scores: DataFrame, emission: DataFrame, pi: DataFrame) ->
     return share(u.drop("pi"), F.col("u"), "pi").select("protein_id", "u", "pi")
 
 
-def eta(scores: DataFrame, emission: DataFrame, proteins: DataFrame) -> DataFrame:
-    """read_id, protein_id, eta: likelihood of each read under each protein, residual included. For inspection and tests: reads x proteins rows."""
-    joint = scores.join(emission, "flu_id").groupBy("read_id", "protein_id").agg(F.sum(F.col("s") * F.col("p")).alias("x"))
-    reads = scores.groupBy("read_id").agg(F.first("r").alias("r"))
-    every = reads.crossJoin(F.broadcast(proteins.select("protein_id")))
-    return every.join(joint, ["read_id", "protein_id"], "left").select("read_id", "protein_id", (F.coalesce("x", F.lit(0.0)) + F.col("r")).alias("eta"))
+def eta(scores: DataFrame, emission: DataFrame) -> DataFrame:
+    """read_id, protein_id, eta, r: likelihood of each read under each protein that shares a flu with it, residual included. Under all other proteins it is r."""
+    shared = scores.join(emission.select("flu_id", "protein_id", "p"), "flu_id")
+    return shared.groupBy("read_id", "protein_id").agg((F.sum(F.col("s") * F.col("p")) + F.first("r")).alias("eta"), F.first("r").alias("r"))
 
 
 def responsibilities(etas: DataFrame, pi: DataFrame) -> DataFrame:
-    """read_id, protein_id, alpha: eta * pi, normalised for each read."""
-    joint = etas.join(pi.select("protein_id", "pi"), "protein_id").withColumn("j", F.col("eta") * F.col("pi"))
-    return joint.withColumn("alpha", F.col("j") / F.sum("j").over(Window.partitionBy("read_id"))).select("read_id", "protein_id", "alpha")
+    """read_id, protein_id, alpha, rest: share of the read that falls to the protein; to a protein that shares no flu with it falls rest * pi. pi sums to 1."""
+    joint = etas.join(pi.select("protein_id", "pi"), "protein_id")
+    d = F.sum((F.col("eta") - F.col("r")) * F.col("pi")).over(Window.partitionBy("read_id")) + F.col("r")
+    return joint.withColumn("d", d).select("read_id", "protein_id", (F.col("eta") * F.col("pi") / F.col("d")).alias("alpha"), (F.col("r") / F.col("d")).alias("rest"))
+
+
+def dense_eta(scores: DataFrame, emission: DataFrame) -> DataFrame:
+    """read_id, protein_id, eta of reads with a score for every flu (read_id, flu_id, s): the product of two matrices, as a join by flu and a sum."""
+    return scores.join(emission.select("flu_id", "protein_id", "p"), "flu_id").groupBy("read_id", "protein_id").agg(F.sum(F.col("s") * F.col("p")).alias("eta"))

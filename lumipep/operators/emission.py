@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import p_observable
@@ -16,8 +16,7 @@ def emission_counts(peps: DataFrame) -> DataFrame:
 def emission_model(counts: DataFrame, dyes: DataFrame, p_miss: float = 0.07) -> DataFrame:
     """protein_id, flu_id, n, n_dyes, w (n times the chance of being seen), p (rows of a protein sum to 1)."""
     w = counts.join(dyes, "flu_id").withColumn("w", F.col("n") * p_observable(F.col("n_dyes"), p_miss))
-    total = w.groupBy("protein_id").agg(F.sum("w").alias("exp_n"))
-    return w.join(total, "protein_id").withColumn("p", F.col("w") / F.col("exp_n")).select("protein_id", "flu_id", "n", "n_dyes", "w", "p")
+    return w.withColumn("p", F.col("w") / F.sum("w").over(Window.partitionBy("protein_id"))).select("protein_id", "flu_id", "n", "n_dyes", "w", "p")
 
 
 def protein_weights(emission: DataFrame) -> DataFrame:

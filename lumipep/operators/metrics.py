@@ -59,9 +59,9 @@ def memory_share(kept: DataFrame, n_reads: int, n_flu: int, row_pointer: bool) -
     return kept.agg(((F.count(F.lit(1)) * 6 + extra) / F.lit(float(n_reads) * n_flu * 4) * 100).alias("percent"))
 
 
-def distinct_share(rows: DataFrame, pattern: str) -> DataFrame:
-    """Distinct patterns over all rows: the accuracy no classifier of these patterns can pass."""
-    return rows.agg((F.countDistinct(pattern) / F.count(F.lit(1))).alias("max_accuracy"))
+def distinct_share(rows: DataFrame, pattern: str, by: list[str] | None = None) -> DataFrame:
+    """Distinct patterns over all rows (of each `by`): the accuracy no classifier of these patterns can pass."""
+    return rows.groupBy(*(by or [])).agg((F.countDistinct(pattern) / F.count(F.lit(1))).alias("max_accuracy"))
 
 
 def molecules(abundances: DataFrame, weights: DataFrame, n_reads: float) -> DataFrame:

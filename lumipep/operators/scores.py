@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import ramp
+from .folds import hashed
 
 
 def _by_score():
@@ -66,6 +67,36 @@ def head_per_group(df: DataFrame, by: str, order: list, k: int) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("_r") <= k).drop("_r")
 
 
+def head_with_more(held: DataFrame | None, more: DataFrame, by: str, order: list, k: int) -> DataFrame:
+    """The first k rows of each group after a further part has come: of the part only its own head meets what is held."""
+    part = head_per_group(more, by, order, k)
+    return part if held is None else head_per_group(held.unionByName(part), by, order, k)
+
+
+def label_table(spark, n_flu: int, reads_each: int) -> DataFrame:
+    """read_id, true_flu of a set with equally many reads of each flu, in runs."""
+    return spark.range(n_flu * reads_each).select(F.col("id").alias("read_id"), F.floor(F.col("id") / reads_each).cast("int").alias("true_flu"))
+
+
+def sure_oracle(labels: DataFrame, sure: float = 0.99) -> DataFrame:
+    """read_id, flu_id, s, r: one score for each read, `sure` on the truth, and nothing elsewhere."""
+    return labels.select("read_id", F.col("true_flu").alias("flu_id"), F.lit(float(sure)).alias("s"), F.lit(0.0).alias("r"))
+
+
+def random_scores(spark, n_reads: int, n_flu: int, density: float, seed: str = "random") -> DataFrame:
+    """read_id, flu_id, s: every entry of a reads x flus matrix is there with chance `density`, by a hash, and uniform in [0, 1)."""
+    cell = spark.range(n_reads).select(F.col("id").alias("read_id"), F.explode(F.sequence(F.lit(0), F.lit(n_flu - 1))).alias("flu_id"))
+    there = hashed(F.lit(seed), F.lit("there"), F.col("read_id"), F.col("flu_id")) < density
+    return cell.filter(there).select("read_id", "flu_id", hashed(F.lit(seed), F.lit("value"), F.col("read_id"), F.col("flu_id")).alias("s"))
+
+
+def densified(kept: DataFrame, n_flu: int) -> DataFrame:
+    """read_id, scores: an array of n_flu scores for each read, 0 where none was kept; of entries for one flu the sum."""
+    cells = F.map_from_entries(F.collect_list(F.struct("flu_id", "s")))
+    one = kept.groupBy("read_id", "flu_id").agg(F.sum("s").alias("s")).groupBy("read_id").agg(cells.alias("m"))
+    return one.select("read_id", F.transform(F.sequence(F.lit(0), F.lit(n_flu - 1)), lambda f: F.coalesce(F.try_element_at("m", f), F.lit(0.0))).alias("scores"))
+
+
 def linear_scores(spark, n_reads: int, n: int, n_flu: int, mass: float = 0.99) -> DataFrame:
     """Synthetic reads: n scores that fall evenly and sum to `mass`, on flus that wrap around."""
     step = mass / (n * (n + 1) / 2)

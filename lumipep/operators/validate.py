@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,14 +35,21 @@ def unseen_proteins(proteins: DataFrame, emission: DataFrame) -> DataFrame:
     return proteins.join(emission.select("protein_id").distinct(), "protein_id", "left_anti")
 
 
+def extremes(scores: DataFrame) -> DataFrame:
+    """max_score, max_flu, not_finite: the highest score and id of a set, and how many scores are null, NaN or infinite."""
+    bad = not_finite(F.col("s").cast("double"))
+    return scores.agg(F.max(F.when(~bad, F.col("s"))).alias("max_score"), F.max("flu_id").alias("max_flu"), F.count_if(bad).alias("not_finite"))
+
+
 def unassigned(selection: DataFrame) -> DataFrame:
     return selection.filter("read_id is null or read_id < 0")
 
 
-def require_sparsity(wanted: int, held: int) -> int:
+def sparsity(wanted: int, held: int) -> int:
+    """The scores a read to use: `wanted`, or what the dataset holds, with a warning, if that is fewer."""
     if wanted > held:
-        raise ValueError(f"{wanted} scores a read are asked for; the dataset holds {held}")
-    return wanted
+        warnings.warn(f"{wanted} scores a read are asked for; the dataset holds {held}", stacklevel=2)
+    return min(wanted, held)
 
 
 def report(scores: DataFrame, emission: DataFrame, proteins: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from ..functions.sequence import dye_count, dye_track, engineering, gene_token,
 from ..operators import digest as dg
 from ..operators import em, folds, metrics, scores, validate
 from ..operators import emission as emi
+from ..streaming import partial_statistics
+from ..sources import readers
 from .recast import MASS, P_MISS, Tables, em_sql, with_cte
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,7 +67,7 @@ def digest_endopro(t: Tables) -> DataFrame:
 
 
 def _flus(t: Tables) -> DataFrame:
-    return dg.labelled(dg.peptide_ids(dg.digest(t.proteins())))
+    return dg.labelled(dg.numbered_peptides(t.proteins()))
 
 
 @query(_FLU + "\nSELECT protein_id, pos, peptide_id, flustring FROM flus")
@@ -104,9 +106,9 @@ def first_row_per_protein(t: Tables) -> DataFrame:
     return dg.first_rows(_flus(t).filter("flustring <> ''").select("protein_id", "flustring", "peptide_id"), "protein_id", "peptide_id").select("protein_id", "flustring", "peptide_id")
 
 
-@query("SELECT page_id, regexp_extract(url, '://([^/?#\\s]+)', 1) AS token FROM pages")
+@query("SELECT page_id, regexp_extract(url, 'http[s]?://(\\S+)', 1) AS token FROM pages")
 def gene_token_of_url(t: Tables) -> DataFrame:
-    return t.read("pages").select("page_id", F.regexp_extract("url", r"://([^/?#\s]+)", 1).alias("token"))
+    return t.read("pages").select("page_id", gene_token(F.col("url"), "http[s]?://").alias("token"))
 
 
 CYCLES = 8
@@ -126,7 +128,7 @@ def dye_tracks(t: Tables) -> DataFrame:
 def max_accuracy_by_cycles(t: Tables) -> DataFrame:
     tracks = dg.flustring_catalog(_flus(t)).select("flu_id", dye_track(F.col("flustring"), CYCLES).alias("track"))
     rows = tracks.select(F.explode(F.sequence(F.lit(0), F.lit(CYCLES))).alias("cycles"), "track").withColumn("track", F.slice("track", F.lit(1), F.col("cycles") + 1))
-    return rows.groupBy("cycles").agg((F.countDistinct("track") / F.count(F.lit(1))).alias("max_accuracy"))
+    return metrics.distinct_share(rows, "track", ["cycles"])
 
 
 # Emission model ------------------------------------------------------------------------------------------------
@@ -304,8 +306,10 @@ def head_per_label(t: Tables) -> DataFrame:
 @query("WITH u AS (SELECT event_id, event_type, ts FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, event_type, ts FROM events WHERE event_id % 2 = 1)\nSELECT event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM u) WHERE r <= 50")
 def incremental_head(t: Tables) -> DataFrame:
     e = t.read("events")
-    two = e.filter("event_id % 2 = 0").unionByName(e.filter("event_id % 2 = 1"))
-    return scores.head_per_group(two, "event_type", ["ts", "event_id"], 50).select("event_id", "event_type")
+    held = None
+    for part in ("event_id % 2 = 0", "event_id % 2 = 1"):
+        held = scores.head_with_more(held, e.filter(part), "event_type", ["ts", "event_id"], 50)
+    return held.select("event_id", "event_type")
 
 
 @query("SELECT event_type, count(*) AS n FROM (SELECT event_type FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_type FROM events WHERE event_id % 3 <> 0) GROUP BY event_type")
@@ -316,43 +320,33 @@ def shards_union(t: Tables) -> DataFrame:
 
 # Estimation ----------------------------------------------------------------------------------------------------
 
-READS = 50  # for the dense forms: reads x proteins rows
+_ETA = with_cte("em", "prior") + """,
+eta AS (SELECT read_id, protein_id, sum(s * p) AS x, any_value(r) AS r FROM em JOIN emission e ON e.flu_id = em.flu_id GROUP BY ALL)"""
 
 
-def _few(t: Tables) -> DataFrame:
-    return t.em_rows().filter(F.col("read_id") <= READS)
-
-
-_ETA = with_cte("em", "prior") + f""",
-few AS (SELECT * FROM em WHERE read_id <= {READS}),
-j AS (SELECT read_id, protein_id, sum(s * p) AS x FROM few JOIN emission e ON e.flu_id = few.flu_id GROUP BY ALL),
-eta AS (SELECT a.read_id, b.protein_id, coalesce(x, 0) + a.r AS eta FROM (SELECT DISTINCT read_id, r FROM few) a CROSS JOIN prior b LEFT JOIN j ON j.read_id = a.read_id AND j.protein_id = b.protein_id)"""
-
-
-@query(_ETA + "\nSELECT read_id, protein_id, round(eta, 9) AS eta FROM eta")
+@query(_ETA + "\nSELECT read_id, protein_id, round(x + r, 9) AS eta FROM eta")
 def eta_sparse(t: Tables) -> DataFrame:
-    return em.eta(_few(t), t.emission(), t.prior()).select("read_id", "protein_id", r9("eta").alias("eta"))
+    return em.eta(t.em_rows(), t.emission()).select("read_id", "protein_id", r9("eta").alias("eta"))
 
 
-@query(with_cte("dense", "emission") + ",\nmx AS (SELECT max(flu_id) AS m FROM emission)\nSELECT read_id, protein_id, round(sum(s * p), 9) AS eta FROM dense JOIN emission e ON e.flu_id % 64 = dense.flu_id WHERE read_id < 20 GROUP BY ALL")
+@query(with_cte("dense", "emission") + "\nSELECT read_id, protein_id, round(sum(s * p), 9) AS eta FROM dense JOIN emission e ON e.flu_id % 64 = dense.flu_id GROUP BY ALL")
 def eta_dense(t: Tables) -> DataFrame:
-    few = t.dense().filter("read_id < 20").withColumnRenamed("flu_id", "column")
-    e = t.emission().withColumn("column", F.col("flu_id") % 64)
-    return few.join(e, "column").groupBy("read_id", "protein_id").agg(r9(F.sum(F.col("s") * F.col("p"))).alias("eta"))
+    e = t.emission().withColumn("flu_id", F.col("flu_id") % 64)
+    return em.dense_eta(t.dense(), e).select("read_id", "protein_id", r9("eta").alias("eta"))
 
 
 _ORACLE_EM = f"om AS (SELECT read_id, true_flu AS flu_id, (1 - {ERROR})::DOUBLE AS s, {ERROR}::DOUBLE / f AS r FROM labels_, nf)"
 
 
-@query(with_cte("labels", "nf", "prior") + f",\n{_ORACLE_EM}\nSELECT a.read_id, b.protein_id, round(a.r + a.s * coalesce(e.p, 0), 9) AS eta FROM om a CROSS JOIN prior b LEFT JOIN emission e ON e.flu_id = a.flu_id AND e.protein_id = b.protein_id WHERE a.read_id <= {READS}")
+@query(with_cte("labels", "nf", "emission") + f",\n{_ORACLE_EM}\nSELECT a.read_id, e.protein_id, round(a.r + a.s * e.p, 9) AS eta FROM om a JOIN emission e ON e.flu_id = a.flu_id")
 def eta_oracle(t: Tables) -> DataFrame:
-    o = scores.oracle(t.labels().filter(F.col("read_id") <= READS), ERROR, t.n_flu())
-    return em.eta(o, t.emission(), t.prior()).select("read_id", "protein_id", r9("eta").alias("eta"))
+    return em.eta(scores.oracle(t.labels(), ERROR, t.n_flu()), t.emission()).select("read_id", "protein_id", r9("eta").alias("eta"))
 
 
-@query(_ETA + "\nSELECT e.read_id, e.protein_id, round(eta * pi / sum(eta * pi) OVER (PARTITION BY e.read_id), 9) AS alpha FROM eta e JOIN prior ON prior.protein_id = e.protein_id")
+@query(_ETA + ",\nd AS (SELECT read_id, sum(x * pi) + any_value(r) AS d FROM eta JOIN prior ON prior.protein_id = eta.protein_id GROUP BY read_id)\nSELECT e.read_id, e.protein_id, round((x + r) * pi / d, 9) AS alpha, round(r / d, 9) AS rest FROM eta e JOIN prior ON prior.protein_id = e.protein_id JOIN d ON d.read_id = e.read_id")
 def alpha(t: Tables) -> DataFrame:
-    return em.responsibilities(em.eta(_few(t), t.emission(), t.prior()), t.prior()).select("read_id", "protein_id", r9("alpha").alias("alpha"))
+    a = em.responsibilities(em.eta(t.em_rows(), t.emission()), t.prior())
+    return a.select("read_id", "protein_id", r9("alpha").alias("alpha"), r9("rest").alias("rest"))
 
 
 @query(with_cte("em", "prior") + ",\n" + em_sql(1) + "\nSELECT protein_id, round(u, 6) AS u FROM pi1")
@@ -409,8 +403,12 @@ def _cv_sql(tail: Callable[[int], str]) -> str:
     return with_cte("em", "prior", "truth") + ",\n" + _SUBSET + ",\n" + ",\n".join(parts) + "\n" + " UNION ALL ".join(tail(cv) for cv in range(N_FOLDS))
 
 
+def _cv_fitted(t: Tables) -> em.Fit:
+    return _fitted(t, FOLD_EPOCHS, folds.expand(_subset(t), t.em_rows()), t.prior().withColumn("cv", F.explode(F.sequence(F.lit(0), F.lit(N_FOLDS - 1)))))
+
+
 def _cv_fit(t: Tables) -> DataFrame:
-    return _fitted(t, FOLD_EPOCHS, folds.expand(_subset(t), t.em_rows()), t.prior().withColumn("cv", F.explode(F.sequence(F.lit(0), F.lit(N_FOLDS - 1))))).pi
+    return _cv_fitted(t).pi
 
 
 @query(_cv_sql(lambda cv: f"SELECT {cv}::INTEGER AS cv, protein_id, round(pi, 9) AS pi FROM pi{FOLD_EPOCHS}_{cv} "))
@@ -429,6 +427,30 @@ def mae_mean_std(t: Tables) -> DataFrame:
     return out.select(*[r9(c).alias(c) for c in out.columns])
 
 
+_AFTER = "SELECT {e}::INTEGER AS epoch, {cv} AS cv, avg(abs(y.v - truth.p_y)) AS mae FROM (SELECT x.protein_id, " + _PY + " AS v FROM {pi} x JOIN prior q ON q.protein_id = x.protein_id) y JOIN truth ON truth.protein_id = y.protein_id"
+_BEFORE_AFTER = "SELECT a.epoch, a.cv, b.mae AS before, a.mae AS after FROM ({errors}) a JOIN ({errors}) b ON b.cv = a.cv AND b.epoch = a.epoch - 1"
+
+
+@query("SELECT epoch, round(before, 9) AS before, round(after, 9) AS after FROM (" + with_cte("em", "prior", "truth") + ",\n" + em_sql(4) + ",\nerr AS (" + " UNION ALL ".join(_AFTER.format(e=e, cv=0, pi=f"pi{e}" if e else "prior") for e in range(5)) + ")\n" + _BEFORE_AFTER.format(errors="SELECT * FROM err") + ")")
+def em_errors_by_epoch(t: Tables) -> DataFrame:
+    return _fitted(t, 4).errors(t.truth(), t.weights()).select("epoch", r9("before").alias("before"), r9("after").alias("after"))
+
+
+@query("SELECT epoch, round(avg(mae), 9) AS mean, round(stddev_samp(mae), 9) AS std FROM (" + _cv_sql(lambda cv: " UNION ALL ".join(_AFTER.format(e=e, cv=cv, pi=f"pi{e}_{cv}") for e in range(1, FOLD_EPOCHS + 1))) + ") GROUP BY epoch")
+def em_cv_errors(t: Tables) -> DataFrame:
+    e = _cv_fitted(t).errors(t.truth(), t.weights()).withColumnRenamed("after", "mae")
+    return metrics.mean_std(e, ["epoch"]).select("epoch", r9("mean").alias("mean"), r9("std").alias("std"))
+
+
+@query(with_cte("em", "prior") + ",\n" + em_sql(1) + "\nSELECT protein_id, round(pi, 9) AS pi FROM pi1")
+def em_of_parts(t: Tables) -> DataFrame:
+    """An epoch from the statistics of three parts of the reads, made one by one and added up."""
+    rows = t.em_rows().withColumns({"cv": F.lit(0), "m": F.lit(1.0), "first": F.row_number().over(Window.partitionBy("read_id").orderBy("flu_id")) == 1})
+    start = t.prior().select(F.lit(0).alias("cv"), "protein_id", "pi")
+    parts = [partial_statistics(rows.filter(F.col("read_id") % 3 == i), t.emission(), start) for i in range(3)]
+    return em.updated(parts[0].unionByName(parts[1]).unionByName(parts[2]), t.emission(), start).select("protein_id", r9("pi").alias("pi"))
+
+
 @query(with_cte("labels", "nf", "prior") + f",\n{_ORACLE_EM},\n" + em_sql(3, rows="om") + "\nSELECT protein_id, round(pi, 9) AS pi FROM pi3")
 def em_collapsed(t: Tables) -> DataFrame:
     o = scores.oracle(t.labels(), ERROR, t.n_flu()).select(F.lit(0).alias("cv"), "read_id", "flu_id", "s", "r", F.lit(1.0).alias("m"))
@@ -669,13 +691,13 @@ def zero_emission(t: Tables) -> DataFrame:
     return validate.zero_emission(t.emission()).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT c_custkey::BIGINT AS protein_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey::BIGINT AS protein_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%')")
 def unseen_proteins(t: Tables) -> DataFrame:
     every = t.read("customer").select(F.col("c_custkey").cast("long").alias("protein_id"))
-    return validate.unseen_proteins(every, t.read("orders").select(F.col("o_custkey").cast("long").alias("protein_id")))
+    return validate.unseen_proteins(every, t.read("orders").filter("o_orderpriority like '1%'").select(F.col("o_custkey").cast("long").alias("protein_id")))
 
 
-@query("SELECT s_suppkey::INTEGER AS protein_id, s_name FROM supplier WHERE s_suppkey % 7 <> 0")
+@query("SELECT (row_number() OVER (ORDER BY s_suppkey) - 1)::INTEGER AS index, s_name AS description FROM supplier WHERE s_suppkey % 7 <> 0")
 def excluded_ordinals(t: Tables) -> DataFrame:
-    s = t.read("supplier").select(F.col("s_suppkey").cast("int").alias("protein_id"), "s_name")
-    return s.join(s.filter("protein_id % 7 = 0").select("protein_id"), "protein_id", "left_anti")
+    s = t.read("supplier").select(F.col("s_suppkey").cast("int").alias("protein_id"), F.col("s_name").alias("header"))
+    return readers.without_ordinals(s, s.filter("protein_id % 7 = 0").select("protein_id"))

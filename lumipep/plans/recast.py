@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scratch import written
 from ..functions.sequence import sequence_of
 from ..operators.emission import emission_counts, emission_model, prior, protein_weights, share
 from ..operators.scores import residual
@@ -16,6 +17,7 @@ MASS = 0.9
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._emission: DataFrame | None = None
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -27,7 +29,10 @@ class Tables:
         return self.read("part").select(F.col("p_partkey").cast("int").alias("flu_id"), (F.col("p_size") % 5 + 1).cast("int").alias("n_dyes"))
 
     def emission(self) -> DataFrame:
-        return emission_model(emission_counts(self.peptides()), self.dyes(), P_MISS)
+        """Written once for all that a query makes of it."""
+        if self._emission is None:
+            self._emission = written(emission_model(emission_counts(self.peptides()), self.dyes(), P_MISS), "emission")
+        return self._emission
 
     def weights(self) -> DataFrame:
         return protein_weights(self.emission())

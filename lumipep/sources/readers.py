@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -107,6 +109,31 @@ def shards(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
     return rows.select("read_id", F.inline(F.arrays_zip(cut("flu_ids").alias("flu_id"), cut("scores").alias("s"))))
 
 
+def dataset(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a dataset folder that are there, by name; entries of the emission that are 0 raise a warning and are left out."""
+    out = {}
+    for name in ("emission", "protein", "reads", "scores", "cv_reads", "cv_truth"):
+        try:
+            out[name] = spark.read.parquet(f"{path}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    if "emission" in out and not (zero := out["emission"].filter("p = 0")).isEmpty():
+        warnings.warn(f"{zero.count()} entries of the emission are 0", stacklevel=2)
+        out["emission"] = out["emission"].filter("p <> 0")
+    return out
+
+
+def estimates_of_folds(spark: SparkSession, path: str) -> DataFrame:
+    """cv, protein_id, p_y as written by `sinks.estimates`."""
+    return spark.read.parquet(path).select("cv", "protein_id", "p_y")
+
+
+def sweep(spark: SparkSession, path: str) -> DataFrame:
+    """A sweep as written by `sinks.sweep`, with its setting as a column."""
+    return spark.read.parquet(path)
+
+
 def tsv_rows(spark: SparkSession, path: str, header_rows: int) -> DataFrame:
     """row (from 0, after the header), values (array<double>) of a tab-separated file."""
     rows = spark.read.text(path).withColumn("_o", F.monotonically_increasing_id())
@@ -121,7 +148,8 @@ def radiometries(spark: SparkSession, signal: str, true_ids: str) -> DataFrame:
 
 
 def _run(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+    """The run folder of a file, which may be a folder of parts itself."""
+    return F.regexp_extract(path, r"([^/]+)/(?:ErrVsEpochs\.csv|RunConfig\.txt)(?:/[^/]+)?$", 1)
 
 
 def run_errors(spark: SparkSession, path: str) -> DataFrame:

@@ -3,30 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..operators.em import epoch
+from ..operators.em import epoch, updated  # noqa: F401  updated: after the statistics of all batches
 
 
 def partial_statistics(scores: DataFrame, emission: DataFrame, pi: DataFrame) -> DataFrame:
-    """cv, flu_id, w, rest, loglik of one batch of reads; sums over batches are those of all reads."""
+    """cv, flu_id, w, rest, loglik of one batch of reads; sums over batches are those of all reads, as long as the rows of a read are in one batch."""
     return epoch(scores, emission, pi)
 
 
 def accumulate(stream: DataFrame, emission: DataFrame, pi: DataFrame, path: str, checkpoint: str):
-    """A streaming query that writes each micro-batch's statistics under its batch id, so that a batch that is repeated replaces itself."""
+    """A streaming query that writes each micro-batch's statistics under its batch id, so that a batch that is repeated replaces itself. A read's rows have to come in one file."""
 
     def one(batch: DataFrame, batch_id: int) -> None:
         partial_statistics(batch, emission, pi).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def updated(statistics: DataFrame, emission: DataFrame, pi: DataFrame) -> DataFrame:
-    """cv, protein_id, pi after the epoch whose statistics have been written."""
-    w = statistics.groupBy("cv", "flu_id").agg(F.sum("w").alias("w"))
-    rest = statistics.groupBy("cv").agg(F.sum("rest").alias("rest"))
-    x = emission.select("protein_id", "flu_id", "p").join(w, "flu_id").groupBy("cv", "protein_id").agg(F.sum(F.col("p") * F.col("w")).alias("x"))
-    u = pi.join(x, ["cv", "protein_id"], "left").join(rest, "cv").withColumn("u", F.col("pi") * (F.coalesce("x", F.lit(0.0)) + F.col("rest")))
-    total = u.groupBy("cv").agg(F.sum("u").alias("t"))
-    return u.join(total, "cv").select("cv", "protein_id", (F.col("u") / F.col("t")).alias("pi"))

@@ -27,7 +27,7 @@ def test_fasta(spark, tmp_path, end):
 
 def test_experiment_csv(spark, tmp_path):
     prots = spark.createDataFrame([(0, "MKPARDEK"), (1, "MDEACYKG")], "protein_id int, sequence string")
-    peps = dg.labelled(dg.peptide_ids(dg.digest(prots)))
+    peps = dg.labelled(dg.numbered_peptides(prots))
     table = dg.experiment_table(peps, dg.flustring_catalog(peps))
     sinks.experiment_csv(table, str(tmp_path / "t"))
     back = readers.experiment_csv(spark, str(tmp_path / "t"))

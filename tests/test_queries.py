@@ -10,7 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lumipep.plans import catalog
+from lumipep.plans import catalog, formats  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Covered by shorter ones of the same kind.
