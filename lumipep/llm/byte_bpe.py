@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import constant, slices, stage, table
+from .common import constant, in_arrow, slices, stage, table
 
 CACHE_WORDS = 1 << 19
 #: Longer words are never kept in the table.
@@ -195,7 +195,7 @@ class ByteBPE:
                         yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, rest], names=[*columns, "_ids", "_rest"])
                     lo = hi
 
-        found = plain.mapInArrow(look_up, schema_of(plain, columns) + "_ids array<int>, _rest array<string>")
+        found = in_arrow(plain, look_up, schema_of(plain, columns) + "_ids array<int>, _rest array<string>")
         return found.select(*columns, "_ids", self.with_tables(lambda t: F.transform("_rest", lambda w: self._fold(t, w))).alias("_rest"))
 
     def ids_of(self, text: Column) -> Column:
@@ -292,7 +292,7 @@ def encoded(df: DataFrame, bpe: ByteBPE, text: str = "text") -> DataFrame:
         for b in slices(batches, ROWS):
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], joined(b)], names=[*kept, "token_ids"])
 
-    return bpe.cut(df, text, kept).mapInArrow(ids, schema_of(df, kept) + "token_ids array<int>")
+    return in_arrow(bpe.cut(df, text, kept), ids, schema_of(df, kept) + "token_ids array<int>")
 
 
 def decoded(df: DataFrame, bpe: ByteBPE, ids: str = "token_ids") -> DataFrame:
@@ -307,7 +307,7 @@ def decoded(df: DataFrame, bpe: ByteBPE, ids: str = "token_ids") -> DataFrame:
                 out = pc.if_else(b.column(b.num_columns - 1).is_valid(), out, None)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], out], names=[*kept, "decoded"])
 
-    return df.select(*kept, F.col(ids).cast("array<int>").alias("_ids")).mapInArrow(pieces, schema_of(df, kept) + "decoded binary")
+    return in_arrow(df.select(*kept, F.col(ids).cast("array<int>").alias("_ids")), pieces, schema_of(df, kept) + "decoded binary")
 
 
 def digest_of_round_trip(df: DataFrame, bpe: ByteBPE, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -321,7 +321,7 @@ def digest_of_round_trip(df: DataFrame, bpe: ByteBPE, text: str = "text", id_col
             ids = joined(b)
             yield pa.RecordBatch.from_arrays([b.column(0), pc.list_value_length(ids).cast(pa.int64()), sha(joined_pieces(ids, numbers), 1), sha(joined_pieces(ids, held.value), 0)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return bpe.cut(df, text, [id_col]).mapInArrow(digest, schema_of(df, [id_col]) + "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_arrow(bpe.cut(df, text, [id_col]), digest, schema_of(df, [id_col]) + "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def round_trip(df: DataFrame, bpe: ByteBPE, text: str = "text") -> DataFrame:
@@ -340,7 +340,7 @@ def round_trip(df: DataFrame, bpe: ByteBPE, text: str = "text") -> DataFrame:
             ok = pc.equal(joined_pieces(ids, held.value), pc.fill_null(b.column(at), "").cast(pa.binary()))
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], ids, pc.list_value_length(ids).cast(pa.int64()), ok], names=[*kept, "token_ids", "n_tokens", "intact"])
 
-    return bpe.cut(df, text, kept).mapInArrow(check, schema_of(df, kept) + "token_ids array<int>, n_tokens long, intact boolean")
+    return in_arrow(bpe.cut(df, text, kept), check, schema_of(df, kept) + "token_ids array<int>, n_tokens long, intact boolean")
 
 
 def public_bpe(name: str = "byte_bpe_50k.tiktoken") -> ByteBPE:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scratch import written as stage  # noqa: F401  the operators' written tables
@@ -32,6 +32,16 @@ def held_out(c: Column) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+#: Bytes of an Arrow batch at which it is sent: rows hold whole texts, and Spark's default of 64 MB lies on both sides and as Python objects.
+BATCH_BYTES = 8 << 20
+
+
+def in_arrow(df: DataFrame, f, schema) -> DataFrame:
+    """df.mapInArrow in batches of about BATCH_BYTES (a setting of the session, which stays set)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(f, schema)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Batches of few rows: what a worker holds as Python objects stays small."""
     for b in batches:
@@ -45,3 +55,11 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def first_of_each(df: DataFrame, key: str, order: list[Column], most: int, number: str = "_n", salts: int = 64) -> DataFrame:
+    """The first `most` rows of each key, numbered from 1. A hot key is ranked in `salts` parts first, so its last task sees salts * most rows at most."""
+    salt = fresh(df, "_salt")
+    parts = df.withColumn(salt, F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    parts = parts.withColumn(number, F.row_number().over(Window.partitionBy(key, salt).orderBy(*order))).filter(F.col(number) <= most)
+    return parts.withColumn(number, F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col(number) <= most).drop(salt)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, slices, stage, table
+from .common import fresh, in_arrow, slices, stage, table
 
 #: Members of a tile that one task compares with as many others.
 BLOCK = 2048
@@ -175,10 +175,6 @@ def differing(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(fold(x, w) ^ fold(y, w)).sum())
 
 
-def _arrow(df: DataFrame, f, schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
-
-
 def signatures(docs: DataFrame, rule: Rule, text: str, id_col: str) -> DataFrame:
     """doc, n, name (64 bits of the whole set), twin (an id of this task with the same set, if one came before), bits, tiles; short: this seed leaves a set too few parts."""
 
@@ -202,7 +198,7 @@ def signatures(docs: DataFrame, rule: Rule, text: str, id_col: str) -> DataFrame
                     column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], ["doc", "n", "name", "twin", "bits", "tiles", "short"])
 
-    return _arrow(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text")), make, "doc long, n long, name long, twin long, bits binary, tiles array<long>, short boolean")
+    return in_arrow(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text")), make, "doc long, n long, name long, twin long, bits binary, tiles array<long>, short boolean")
 
 
 def signed_with_tiles(docs: DataFrame, rule: Rule, text: str, id_col: str) -> DataFrame:
@@ -244,7 +240,7 @@ def shared_tiles(signed: DataFrame) -> DataFrame:
 
     rows = signed.filter("tiles is not null").select(F.explode("tiles").alias("tile"), "doc")
     # Hash partitions by tile: a tile's run lies in one task, which reads it as a stream.
-    return _arrow(rows.repartition("tile").sortWithinPartitions("tile", "doc"), scan, "tile long, doc long, pivot long")
+    return in_arrow(rows.repartition("tile").sortWithinPartitions("tile", "doc"), scan, "tile long, doc long, pivot long")
 
 
 def plausible(pairs: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
@@ -259,7 +255,7 @@ def plausible(pairs: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
             ok = [differing(p, q) <= rule.differ(i, j) for i, j, p, q in zip(n, m, x, y, strict=True)]
             yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return _arrow(both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b"), bound, "a long, b long").distinct()
+    return in_arrow(both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b"), bound, "a long, b long").distinct()
 
 
 def _filter_of(ids: DataFrame) -> np.ndarray:
@@ -288,7 +284,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule, text: str, id_col: s
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, 256), pa.array(s, pa.binary())], ["doc", "s"])
 
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"))
-    return _arrow(rows.withColumn("h", F.xxhash64("doc")), make, "doc long, s binary")
+    return in_arrow(rows.withColumn("h", F.xxhash64("doc")), make, "doc long, s binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -307,7 +303,7 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
                 ok.append(bool(len(s)) and rule.enough(len(s), len(t), both))
             yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return _arrow(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b"), check, "a long, b long").distinct()
+    return in_arrow(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b"), check, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -325,7 +321,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def tile_pairs(members: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
-    """members: tile, doc, comp. All pairs of different components in each tile that sizes and bitmaps leave possible, from blocks against blocks."""
+    """members: tile, doc, comp. a, b, apart: all pairs of different components in each tile that sizes and bitmaps leave possible, from blocks against blocks, and in how many bits their bitmaps differ."""
     # Blocks by a hash of the id, so no task needs a whole tile in order; a tile of few members is one block.
     blocks = members.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     rows = members.join(blocks, "tile").join(signed.filter("bits is not null").select("doc", "n", "bits"), "doc")
@@ -334,12 +330,12 @@ def tile_pairs(members: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
     meet = F.explode(F.concat(F.transform(F.sequence(F.col("mine"), F.col("last")), lambda j: F.struct(F.col("mine").alias("i"), j.alias("j"))), F.transform(F.when(F.col("mine") > 0, F.sequence(F.lit(0), F.col("mine") - 1)).otherwise(F.expr("cast(array() as array<int>)")), lambda i: F.struct(i.alias("i"), F.col("mine").alias("j")))))
     rows = rows.withColumn("meet", meet).select("tile", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), "mine", "doc", "comp", "n", "bits")
 
-    def pairs(left: list, right: list, same: bool) -> tuple[list, list]:
+    def pairs(left: list, right: list, same: bool) -> tuple[list, list, list]:
         doc, comp, n = (np.array([r[i] for r in left], np.int64) for i in range(3))
         doc2, comp2, n2 = (np.array([r[i] for r in right], np.int64) for i in range(3))
         width = min(len(r[3]) for r in left + right) // 8
         fit = lambda rows: np.stack([fold(np.frombuffer(r[3], np.uint64), width) for r in rows])
-        x, y, a, b = fit(left), fit(right), [], []
+        x, y, a, b, apart = fit(left), fit(right), [], [], []
         for i in range(len(doc)):
             ok = (comp2 != comp[i]) & (np.minimum(n2, n[i]) * rule.den >= np.maximum(n2, n[i]) * rule.num)
             if same:
@@ -347,17 +343,19 @@ def tile_pairs(members: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
             j = np.flatnonzero(ok)
             if len(j):
                 most = (rule.den - rule.num) * (n2[j] + n[i]) // (rule.den + rule.num)
-                j = j[np.bitwise_count(y[j] ^ x[i]).sum(1) <= most]
-                a += [int(doc[i])] * len(j)
-                b += doc2[j].tolist()
-        return a, b
+                bits = np.bitwise_count(y[j] ^ x[i]).sum(1, dtype=np.int64)
+                near = bits <= most
+                a += [int(doc[i])] * int(near.sum())
+                b += doc2[j[near]].tolist()
+                apart += bits[near].tolist()
+        return a, b, apart
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, left, right = None, [], []
 
         def out():
-            a, b = pairs(left, left if key[1] == key[2] else right, key[1] == key[2]) if len(left) and (key[1] == key[2] or right) else ([], [])
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            found = pairs(left, left if key[1] == key[2] else right, key[1] == key[2]) if len(left) and (key[1] == key[2] or right) else ([], [], [])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b", "apart"])
 
         for batch in batches:
             for t, i, j, mine, doc, comp, n, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -369,13 +367,23 @@ def tile_pairs(members: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
         if key:
             yield out()
 
-    found = _arrow(rows.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j"), scan, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    found = in_arrow(rows.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j"), scan, "a long, b long, apart long")
+    return found.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("apart").alias("apart"))
+
+
+def of_components(pairs: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """The pairs whose ends are in different components, with these as low and high."""
+    low, high = F.col("a"), F.col("b")
+    if comps is not None:
+        for c in ("a", "b"):
+            pairs = pairs.join(comps.select(F.col("doc").alias(c), F.col("comp").alias(f"comp_{c}")), c, "left")
+        low, high = F.coalesce("comp_a", "a"), F.coalesce("comp_b", "b")
+    return pairs.withColumn("low", F.least(low, high)).withColumn("high", F.greatest(low, high)).filter("low <> high")
 
 
-def linked(pairs: DataFrame, docs: DataFrame, signed: DataFrame, rule: Rule, text: str, id_col: str) -> DataFrame | None:
-    """The pairs that link, written; None if none of them is plausible."""
-    left = stage(plausible(pairs, signed, rule), "plausible")
+def linked(pairs: DataFrame, docs: DataFrame, signed: DataFrame | None, rule: Rule, text: str, id_col: str) -> DataFrame | None:
+    """The pairs that link, written; None if none of them is plausible. Without signatures the pairs are bounded already."""
+    left = stage(plausible(pairs, signed, rule) if signed is not None else pairs, "plausible")
     if left.isEmpty():
         return None
     wanted = left.select(F.col("a").alias("doc")).union(left.select("b")).distinct()
@@ -400,7 +408,7 @@ def jaccard_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, te
     of_doc = stage(sets.join(classes, ["n", "name"]).select("doc", "class").distinct(), "class_of")
     members = stage(shared_tiles(signed).join(of_doc, "doc").select("tile", "doc", F.col("class").alias("comp")), "tiles")
     one = members.groupBy("tile", "comp").agg(F.min("doc").alias("doc"))
-    found = linked(tile_pairs(one.select("tile", "doc", "comp"), signed, rule), docs, signed, rule, text, id_col)
+    found = linked(tile_pairs(one.select("tile", "doc", "comp"), signed, rule).select("a", "b"), docs, None, rule, text, id_col)
     if found is None:
         found = docs.sparkSession.createDataFrame([], "a long, b long")
     of = lambda c: of_doc.select(F.col("doc").alias(c), F.col("class").alias(f"class_{c}"))
@@ -425,8 +433,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     members = stage(shared_tiles(signed), "tiles")
     links: DataFrame | None = None
 
-    def with_links(pairs: DataFrame) -> DataFrame | None:
-        found = linked(pairs, docs, signed, rule, text, id_col)
+    def with_links(pairs: DataFrame, bounded: bool = False) -> DataFrame | None:
+        found = linked(pairs, docs, None if bounded else signed, rule, text, id_col)
         return found if links is None else links if found is None else links.unionByName(found)
 
     # One pivot for each document: the smallest id of all its tiles.
@@ -443,7 +451,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
             break
         rows = open_tiles  # components only grow: a tile that is down to one stays so
         if last:
-            links = with_links(tile_pairs(open_tiles.select("tile", "doc", "comp"), signed, rule))
+            possible = stage(tile_pairs(open_tiles.select("tile", "doc", "comp"), signed, rule), "possible")
+            # Of the pairs between two components the one least apart first; then the others, where it did not link.
+            two = of_components(possible, comps)
+            links = with_links(two.groupBy("low", "high").agg(F.min_by(F.struct("a", "b"), "apart").alias("p")).select("p.a", "p.b"), bounded=True)
+            if links is not None:
+                links = with_links(of_components(possible, components(links)).select("a", "b"), bounded=True)
         else:
             # The smallest id outside the tile's first component is compared with all other components.
             pivot = open_tiles.filter("comp <> lo").groupBy("tile").agg(F.min_by(F.struct("doc", "comp"), "doc").alias("p"))
