@@ -5,7 +5,7 @@ cards (Luhn), phone numbers (area, exchange and line as in North America, others
 and mail addresses, whose letters and digits are permuted within their class. Each format's values are pairs
 (left, right) of numbers below two bases; a round adds a keyed hash of one half to the other, modulo its base,
 which can be undone with the key. So every value has one pseudonym, in every document, and no two values share
-one. A number that fails its check is not one of these and stays.
+one. A number that fails its check is not one of these and stays; phone numbers have no check but their form.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import constant, table
 
-KEY = "lumipep-pseudonyms-1"
+#: Setting of the session that holds the key, and the key of tests where it is unset.
+KEY_SETTING, KEY = "lumipep.pii.key", "lumipep-pseudonyms-1"
 ROUNDS = 6
 #: Dates are permuted within these many days from 1900-01-01 (until 2099-08-05); others stay.
 DAYS = (270, 270)
@@ -230,13 +231,14 @@ def _bare(pattern: str) -> str:
     return re.sub(r"\(\?<?[!=](?:[^()\[\]]|\[[^\]]*\])*\)", "", pattern)
 
 
-def pseudonymised(df: DataFrame, text: str = "text", key: str = KEY, inverse: bool = False) -> DataFrame:
+def pseudonymised(df: DataFrame, text: str = "text", key: str | None = None, inverse: bool = False) -> DataFrame:
     """df with the text column replaced, and n_found (values that look like one of FORMATS) added or replaced.
 
     A null text stays null and an empty one empty, with n_found 0. Values that fail their check stay as they
-    are. With inverse=True and the same key, pseudonyms turn back into values. Repeated rows get the same text;
+    are, and are counted. Without a key the session's setting KEY_SETTING is taken. With inverse=True and the same key, pseudonyms turn back into values. Repeated rows get the same text;
     all other columns stay. Nothing is shuffled.
     """
+    key = key or df.sparkSession.conf.get(KEY_SETTING, KEY)
     n = F.coalesce(F.size(F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))), F.lit(0))
     return df.withColumns({"n_found": n, text: Pseudonyms(key, inverse).text(F.col(text))})
 
