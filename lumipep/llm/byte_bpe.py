@@ -35,7 +35,7 @@ CACHE_WORDS = 1 << 19
 #: Longer words are never kept in the table.
 CACHE_CHARS = 32
 #: Rows whose ids a worker holds at a time, and words that it looks up at a time.
-ROWS, WORDS = 512, 1 << 20
+ROWS, WORDS = 256, 1 << 19
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
