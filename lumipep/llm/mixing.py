@@ -12,13 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 SEED = "mix-1"
 #: Target weight of a source with n rows: n ** TEMPERATURE.
 TEMPERATURE = 0.7
-#: Largest rate that one table of probabilities inverts; a larger one is the sum of independent draws of at most this rate. Also the largest rate that an explicit rows_wanted may ask for.
+#: Largest rate that one table of probabilities inverts; a larger one is the sum of independent draws of at most this rate.
 MAX_RATE = 200.0
+#: Up to so many sources (at most some 4 kB each) their rates are broadcast; beyond, they are joined by source.
+BROADCAST_SOURCES = 8192
 
 
 def uniform(*parts) -> Column:
@@ -54,33 +56,33 @@ def poisson_mix(
     weights: (source, weight), any positive scale; a source that is not listed there gets none. Without it
     a source of n rows weighs n ** temperature. rows_wanted: expected rows of the result; default the rows of df.
     Null sources are one source. A document with a null or empty text is replicated as any other. Equal ids
-    of one source draw equal numbers of copies. Columns of df with the names that are added are replaced.
-    A rate above MAX_RATE raises an error where rows_wanted is given, since the mix asked for would then rest on a
-    handful of rows; without it, every rate is drawn.
+    of one source draw equal numbers of copies. Columns of df with the names that are added are replaced; other
+    names do not matter. Weights of a source that is listed more than once add up. No rows, or no positive weight,
+    give an empty result. Any rate is drawn.
     """
     df = df.drop("copy_no", "n_copies", "shuffle_key")
     counts = df.groupBy(F.col(source).alias("_source")).agg(F.count(F.lit(1)).cast("double").alias("_rows"))
     if weights is None:
         rated = counts.withColumn("_weight", F.pow("_rows", F.lit(temperature)))
     else:
-        w = weights.select(F.col(weights.columns[0]).alias("_w_source"), F.col(weights.columns[1]).cast("double").alias("_weight"))
+        w = weights.select(F.col(weights.columns[0]).alias("_w_source"), F.col(weights.columns[1]).cast("double").alias("_weight")).groupBy("_w_source").agg(F.sum("_weight").alias("_weight"))
         rated = counts.join(w, F.col("_source").eqNullSafe(F.col("_w_source")), "left").drop("_w_source").fillna(0.0, ["_weight"])
-    # Totals come from one row for each source; the join below is by a constant-size side.
-    totals = rated.agg(F.sum("_weight").alias("_weights"), F.sum("_rows").alias("_all")).first()
+    totals = rated.agg(F.sum("_weight").alias("_weights"), F.sum("_rows").alias("_all"), F.count(F.lit(1)).alias("_sources")).first()
     if not totals["_weights"]:
         return df.withColumns({"copy_no": F.lit(0), "n_copies": F.lit(0), "shuffle_key": F.lit("")}).limit(0)
     wanted = float(rows_wanted if rows_wanted is not None else totals["_all"])
     rate = F.col("_weight") / F.lit(totals["_weights"]) * F.lit(wanted) / F.col("_rows")
-    if rows_wanted is not None:
-        rate = F.when(rate > MAX_RATE, F.raise_error(F.lit(f"repetition rate above {MAX_RATE}"))).otherwise(rate)
     rated = rated.select("_source", rate.alias("_rate")).withColumn("_draws", F.greatest(F.lit(1), F.ceil(F.col("_rate") / MAX_RATE)).cast("int"))
-    rated = rated.select("_source", "_draws", poisson_table(F.col("_rate") / F.col("_draws")).alias("_table"))
-    drawn = df.join(rated, F.col(source).eqNullSafe(F.col("_source")), "left").withColumn("_u", uniform(F.lit(seed), F.col(id_col)))
-    below = lambda u: F.size(F.filter("_table", lambda c: c <= u))
-    # The first draw is _u; the further ones of a large rate are hashed with their number.
-    more = F.aggregate(F.sequence(F.lit(2), F.col("_draws")), F.lit(0), lambda acc, j: acc + below(uniform(F.lit(seed), F.col(id_col), j)))
-    n = (below(F.col("_u")) + F.when(F.col("_draws") > 1, more).otherwise(0)).cast("int")
-    copies = drawn.withColumn("n_copies", n).filter("n_copies > 0").drop("_source", "_draws", "_table", "_u")
+    of = fresh(df, "_of_source")
+    rated = rated.select(F.struct("_source", "_draws", poisson_table(F.col("_rate") / F.col("_draws")).alias("_table")).alias(of))
+    rated = F.broadcast(rated) if totals["_sources"] <= BROADCAST_SOURCES else rated
+    drawn = df.join(rated, F.col(source).eqNullSafe(F.col(f"{of}._source")), "left")
+    below = lambda *more: F.size(F.filter(F.col(f"{of}._table"), lambda c: c <= uniform(F.lit(seed), F.col(id_col), *more)))
+    first = F.get(F.transform(F.array(uniform(F.lit(seed), F.col(id_col))), lambda u: F.size(F.filter(F.col(f"{of}._table"), lambda c: c <= u))), F.lit(0))
+    # The first draw is by the document's own number; the further ones of a large rate are hashed with theirs.
+    more = F.aggregate(F.sequence(F.lit(2), F.col(f"{of}._draws")), F.lit(0), lambda acc, j: acc + below(j))
+    n = (first + F.when(F.col(f"{of}._draws") > 1, more).otherwise(0)).cast("int")
+    copies = drawn.withColumn("n_copies", n).filter("n_copies > 0").drop(of)
     copies = copies.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     key = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy_no").cast("string")).cast("binary"))
     return copies.withColumn("shuffle_key", key).orderBy("shuffle_key").select(*df.columns, "copy_no", "n_copies", "shuffle_key")
