@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, held_out, slices, table
+from .common import first_of_each, fresh, held_out, in_arrow, slices, table
 
 FIT_DOCS = 2000
 PROFILE = 400
@@ -90,8 +90,8 @@ class Profiles:
 
 def fit(docs: DataFrame, text: str, lang: str, id_col: str, most: int = FIT_DOCS, length: int = PROFILE) -> Profiles:
     """Profiles of every non-null language, from up to `most` documents of each."""
-    order = Window.partitionBy(lang).orderBy(F.md5(F.col(id_col).cast("string")), id_col)
-    chosen = docs.filter(F.col(lang).isNotNull()).select(id_col, lang).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most)
+    order = [F.md5(F.col(id_col).cast("string")), F.col(id_col)]
+    chosen = first_of_each(docs.filter(F.col(lang).isNotNull()).select(id_col, lang), lang, order, most)
     # At most `most` ids a language: the sample's size is bounded, whatever the corpus holds.
     sample = docs.join(F.broadcast(chosen.select(F.col(id_col).alias("_id")).distinct()), F.col(id_col) == F.col("_id"), "left_semi")
 
@@ -101,7 +101,7 @@ def fit(docs: DataFrame, text: str, lang: str, id_col: str, most: int = FIT_DOCS
                 u, n = np.unique(grams(t or ""), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([language] * len(u), pa.string()), pa.array(u, pa.int64()), pa.array(n, pa.int64())], ["lang", "code", "n"])
 
-    counted = sample.filter(F.col(lang).isNotNull()).select(F.col(lang).cast("string"), text).mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counted = in_arrow(sample.filter(F.col(lang).isNotNull()).select(F.col(lang).cast("string"), text), count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     rows = counted.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= length).orderBy("lang", "r").limit(MAX_LANGUAGES * length + 1).collect()
     if len(rows) > MAX_LANGUAGES * length:
@@ -130,7 +130,7 @@ def predicted(docs: DataFrame, profiles: Profiles, text: str, columns: list[str]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=[*b.schema.names[:-1], *[n for n, _ in added]])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-1])
-    return plain.mapInArrow(score, schema + (", " if schema else "") + "lang_pred string, score double, distance double")
+    return in_arrow(plain, score, schema + (", " if schema else "") + "lang_pred string, score double, distance double")
 
 
 #: A text farther than this from every profile is in no language of theirs.
@@ -145,7 +145,7 @@ def accepted(docs: DataFrame, profiles: Profiles, text: str) -> DataFrame:
             ok = [profiles.predict(t)[2] <= FARTHEST if profiles.languages else bool(t) and len(grams(t)) > 0 for t in b.column(b.schema.get_field_index(text)).to_pylist()]
             yield b.filter(pa.array(ok, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return in_arrow(docs, keep, docs.schema)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,10 +16,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, held_out, slices, table
+from .common import first_of_each, fresh, held_out, in_arrow, slices, table
 
 FIT_DOCS = 1500
 DICTIONARY_BYTES = 256 << 10
@@ -61,10 +61,10 @@ class Compressor:
 
     @staticmethod
     def features(sizes: np.ndarray) -> np.ndarray:
-        """Normalised difference, the same weighted by how much text stands behind it, and how short the text is: a few words match no dictionary."""
+        """Normalised difference, and the same weighted by how much text stands behind it."""
         n = sizes[:, 2]
         d = (sizes[:, 1] - sizes[:, 0]) / np.maximum(n, 1)
-        return np.stack([d, d * np.log1p(n), 1 / (1 + n / 50)], 1)
+        return np.stack([d, d * np.log1p(n)], 1)
 
     def calibrate(self, sizes: np.ndarray, labels: np.ndarray) -> None:
         x, y = self.features(sizes), labels.astype(float)
@@ -91,8 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str, id_col: str, label: str =
     """docs: rows that may be learned from. labels: id, label 0 or 1; others and nulls are left out."""
     marked = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).alias("_y"))
     known = marked.join(docs.select(F.col(id_col).alias("_id")).distinct(), "_id", "left_semi")
-    order = Window.partitionBy("_y").orderBy(F.md5(F.col("_id").cast("string")), "_id")
-    chosen = known.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most)
+    chosen = first_of_each(known, "_y", [F.md5(F.col("_id").cast("string")), F.col("_id")], most)
     # At most 2 * most ids.
     rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select("_n", "_y", F.coalesce(text, F.lit("")).alias("t")).orderBy("_n", "_y", "t").limit(2 * most).collect()
     by = {(y, part): [r["t"].encode() for r in rows if r["_y"] == y and r["_n"] % 2 == part] for y in (0, 1) for part in (0, 1)}
@@ -118,7 +117,7 @@ def scored(docs: DataFrame, model: Compressor, text: str, columns: list[str]) ->
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], names=[*b.schema.names[:-1], "score", "predicted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-1])
-    return plain.mapInArrow(score, schema + (", " if schema else "") + "score double, predicted int")
+    return in_arrow(plain, score, schema + (", " if schema else "") + "score double, predicted int")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
