@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +42,7 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.asarray(a.astype(object) @ b.T.astype(object)).astype(np.int64)  # OverflowError beyond a long
 
 
-def best_of_tile(q_row, q_id, q, s_id, s, k: int, rows: int = 256) -> pd.DataFrame:
+def best_of_tile(q_row, q_id, q, s_id, s, k: int, rows: int = 256) -> dict[str, np.ndarray]:
     """Each query's k highest scores in this tile, ties to the smaller id; candidates with the query's own id are left out."""
     out = []
     for at in range(0, len(q), rows):
@@ -61,8 +61,9 @@ def best_of_tile(q_row, q_id, q, s_id, s, k: int, rows: int = 256) -> pd.DataFra
         first = np.r_[0, np.flatnonzero(np.diff(i)) + 1] if len(i) else np.zeros(0, int)
         nth = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)]))
         take = nth < k
-        out.append(pd.DataFrame({"q_row": qr[i[take]], "query_id": qid[i[take]], "vec_id": s_id[j[take]], "score": top[take]}))
-    return pd.concat(out) if out else pd.DataFrame({c.split()[0]: np.zeros(0, np.int64) for c in LIST.split(", ")})
+        out.append((qr[i[take]], qid[i[take]], s_id[j[take]], top[take]))
+    names = [c.split()[0] for c in LIST.split(", ")]
+    return dict(zip(names, map(np.concatenate, zip(*out, strict=True)), strict=True)) if out else {n: np.zeros(0, np.int64) for n in names}
 
 
 def exact_topk(
@@ -83,14 +84,14 @@ def exact_topk(
     s = base.select("vec_id", "v", F.size("v").alias("dim"), deal(shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     q = base.filter(is_query(F.col("vec_id"))).select("row", "vec_id", "v", F.size("v").alias("dim"), deal(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
 
-    def tile(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("q_row", "query_id", "vec_id", "score", "shard")})
-        if not len(left) or not len(right):
-            return none
-        a, b = np.array(left["v"].tolist(), np.int64).reshape(len(left), -1), np.array(right["v"].tolist(), np.int64).reshape(len(right), -1)
-        return best_of_tile(left["row"].to_numpy(), left["vec_id"].to_numpy(), a, right["vec_id"].to_numpy(), b, k).assign(shard=int(key[0]))
+    def tile(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        numbers = lambda t, c: t[c].to_numpy().astype(np.int64)
+        rows = lambda t: t["v"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        found = best_of_tile(numbers(left, "row"), numbers(left, "vec_id"), rows(left), numbers(right, "vec_id"), rows(right), k) if left.num_rows and right.num_rows else best_of_tile(*[np.zeros(0, np.int64)] * 5, k)
+        found = {**found, "shard": np.full(len(found["score"]), key[0].as_py(), np.int32)}
+        return pa.table(found)
 
-    lists = q.groupBy("shard", "block", "dim").cogroup(s.groupBy("shard", "block", "dim")).applyInPandas(tile, LIST + ", shard int")
+    lists = q.groupBy("shard", "block", "dim").cogroup(s.groupBy("shard", "block", "dim")).applyInArrow(tile, LIST + ", shard int")
     lists = stage(lists, "tiles")
     while True:
         shards = math.ceil(shards / FANOUT)
