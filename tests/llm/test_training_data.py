@@ -77,6 +77,26 @@ def test_tree_merge(spark, fanout, parts):
     assert got == {i: 10 for i in range(50)}
 
 
+def test_runs_over_several_batches(spark, odd):
+    """A digest whose rows come in several Arrow batches is one row."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(size, 2)
+    try:
+        rows = exact_dedup.digests(spark.range(40).select(F.col("id").alias("doc_id"), (F.col("id") % 3).cast("string").alias("text"))).coalesce(1)
+        assert {r["_keep"]: r["_n"] for r in exact_dedup.tree_merge(rows, 2).collect()} == {0: 14, 1: 13, 2: 13}
+        assert exact_dedup.exact_dedup(odd).count() == odd.count()
+    finally:
+        spark.conf.unset(size)
+
+
+def test_tree_merge_is_a_merge_of_sorted_runs(spark, odd):
+    """Every round is an exchange by slot, a sort and a stream over it; ids that are null come last."""
+    plan = exact_dedup.merged(odd.select(F.lit(0).cast("long").alias("_slot"), F.lit(b"x" * 32).alias("_sha"), F.lit(1).alias("_bytes"), F.lit(1).cast("long").alias("_check"), F.col("doc_id").alias("_keep"), F.lit(1).cast("long").alias("_n")).repartition(2, "_slot"))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in text and "Sort [" in text and "Aggregate" not in text
+    assert [(r["_keep"], r["_n"]) for r in plan.collect()] == [(1, odd.count())]
+
+
 # URL filter ----------------------------------------------------------------------------------------------------
 
 URLS = ["http://A.example.COM/en/7?x", "http://example.com/en/", "x://com/en/1#f", "http://notcom/en/", None, "no scheme", "http://a.example.net/de/80", "http://b.net/de/", "http://b.org/es", "http://c.org/es/#", "://", "http://com", "http://a..com/en/"]
@@ -209,8 +229,11 @@ def test_mixing(spark, odd, none):
     assert keys == sorted(keys)
     copies = {r["doc_id"]: (r["c"], r["n_copies"], r["m"]) for r in out.groupBy("doc_id", "n_copies").agg(F.count("*").alias("c"), F.max("copy_no").alias("m")).collect()}
     assert all(c == k and m == k - 1 for c, k, m in copies.values())
-    with pytest.raises(Exception, match="repetition rate"):
-        mixing.poisson_mix(big, weights=w, rows_wanted=1e8).count()
+    twice = w.union(w.limit(1))  # 2 : 3
+    n = {r["source"]: r["count"] for r in mixing.poisson_mix(big, weights=twice, rows_wanted=5000.0).groupBy("source").count().collect()}
+    assert abs(n["hot"] - 2000) < 200 and abs(n["b"] - 3000) < 250
+    many = mixing.poisson_mix(big.limit(4), weights=w, rows_wanted=4000.0).count()  # rates above MAX_RATE
+    assert abs(many - 4000) < 400
 
 
 def test_mixing_draws_any_rate(spark):
@@ -427,7 +450,7 @@ def test_line_dedup(spark):
     pages = [("a", f"<p>menu</p><p>line {i}</p><div>menu</div><script>x</script>") for i in range(6)] + [("b", "<p>menu</p>")] * 4 + [("a", None), ("c", "")]
     df = spark.createDataFrame([(i, h, t, 1) for i, (h, t) in enumerate(pages)], "page_id long, h string, html string, host int")
     got = {r["page_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in line_dedup.line_dedup(df, F.col("h")).collect()}
-    assert got[0] == (3, 2, "line 0") and got[6] == (1, 0, "menu") and got[10] == (0, 0, "") and got[11] == (0, 0, "")
+    assert got[0] == (3, 2, "line 0") and got[6] == (1, 1, "") and got[10] == (0, 0, "") and got[11] == (0, 0, "")
     assert line_dedup.line_dedup(df.limit(0), F.col("h")).count() == 0
 
 
@@ -527,3 +550,179 @@ def test_jaccard_takes_another_seed(spark, monkeypatch):
     df = spark.createDataFrame([(1, BASE), (2, NEAR), (3, "x")], "doc_id long, text string")
     assert_components(df, 4, 85)
     assert seeds == [0, 1, 2]
+
+
+# Against plain Python over all documents -----------------------------------------------------------------------
+
+
+def sha(*parts):
+    return hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()
+
+
+def feistel(fmt, left, right, a, b, key=pii.KEY):
+    for i in range(pii.ROUNDS):
+        if i % 2 == 0:
+            left = (left + int(sha(key, fmt, i, right)[:12], 16) % a) % a
+        else:
+            right = (right + int(sha(key, fmt, i, left)[:12], 16) % b) % b
+    return left, right
+
+
+def luhn(digits):
+    n = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits)))
+    return str(-n % 10)
+
+
+def refill(value, digits):
+    it = iter(digits)
+    return "".join(next(it) if c in "0123456789" else c for c in value)
+
+
+def mail(value, key=pii.KEY):
+    last = re.search(r"\.[A-Za-z0-9-]+$", value)[0]
+    head = value[: len(value) - len(last)]
+    half = (len(head) + 1) // 2
+    halves = [head[:half], head[half:]]
+
+    def shifted(s, by, i):
+        out = ""
+        for k, c in enumerate(s):
+            bits = int(sha(key, "email", i, by, k // 16)[k % 16 * 4 : k % 16 * 4 + 4], 16)
+            base, size = next(((b, n) for b, n, p in ((97, 26, "[a-z]"), (65, 26, "[A-Z]"), (48, 10, "[0-9]")) if re.match(p, c)), (0, 0))
+            out += chr((ord(c) - base + bits % size) % size + base) if size else c
+        return out
+
+    for i in range(pii.ROUNDS):
+        halves[i % 2] = shifted(halves[i % 2], halves[1 - i % 2], i)
+    return halves[0] + halves[1] + last
+
+
+def pseudonym(value):
+    """None for the forms that this test leaves to the round trip."""
+    d = re.sub(r"\D", "", value)
+    if "@" in value:
+        return mail(value)
+    if re.fullmatch(r"\d{3}-\d{2}-\d{4}", value):
+        area, group, serial = int(d[:3]), int(d[3:5]), int(d[5:])
+        if not (1 <= area <= 899 and area != 666 and group and serial):
+            return value
+        x, y = feistel("ssn", (area - 2 if area > 666 else area - 1) * 99 + group - 1, serial - 1, 898 * 99, 9999)
+        return f"{x // 99 + (2 if x // 99 >= 665 else 1):03d}-{x % 99 + 1:02d}-{y + 1:04d}"
+    if re.fullmatch(r"\d+\.\d+\.\d+\.\d+", value):
+        o = value.split(".")
+        if any(int(x) > 255 or (x[0] == "0" and len(x) > 1) for x in o):
+            return value
+        x, y = feistel("ip", int(o[0]) * 256 + int(o[1]), int(o[2]) * 256 + int(o[3]), 1 << 16, 1 << 16)
+        return f"{x // 256}.{x % 256}.{y // 256}.{y % 256}"
+    if len(d) == 16:
+        if luhn(d[:15] + "0") != d[15]:
+            return value
+        x, y = feistel("card", int(d[:7]), int(d[7:15]), 10**7, 10**8)
+        new = f"{x:07d}{y:08d}"
+        return refill(value, new + luhn(new + "0"))
+    if len(d) == 10 and not re.match(r"\d{4}\D|\d{1,2}\D", value) or len(d) == 11 and value[:2] == "+1":
+        x, y = feistel("phone", int(d[-10:-5]), int(d[-5:]), 10**5, 10**5)
+        return refill(value, d[:-10] + f"{x:05d}{y:05d}")
+    return None
+
+
+def test_op6_brute(spark, sf_dir):
+    any_form = re.compile("|".join(p.replace(r"([ -]?)", r"(?P<sep>[ -]?)").replace(r"\1", "(?P=sep)") for p in pii.FORMATS.values()), re.ASCII)
+    texts = dict(docs(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+    seen = Counter()
+    for r in pii.op6_pii(spark, sf_dir).collect():
+        t, new = texts[r["doc_id"]], r["text"]
+        found = [m for m in any_form.finditer(t or "")]
+        assert r["n_found"] == len(found)
+        at = shift = 0
+        for m in found:
+            want = pseudonym(m[0])
+            assert new[at + shift : m.start() + shift] == t[at : m.start()]
+            if want is None:
+                want = new[m.start() + shift : m.end() + shift]
+            else:
+                seen["@" in want] += 1
+            assert new[m.start() + shift :].startswith(want)
+            at, shift = m.end(), shift + len(want) - len(m[0])
+        assert (new or "")[at + shift :] == (t or "")[at:]
+    assert seen
+
+
+def test_op8_brute(spark, sf_dir):
+    """Profiles and distances by dictionaries."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1).alias("out")).collect()
+
+    def count(t):
+        words = "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+        s, n = " " + " ".join(words) + " ", Counter()
+        for k in (1, 2, 3):
+            for i in range(len(s) - k + 1):
+                g = s[i : i + k]
+                if g != " " and not (k == 3 and g[1] == " "):
+                    n[g] += 1
+        return n if words else Counter()
+
+    key = lambda g: [ord(c) for c in g]
+    code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    order = lambda n: [g for g, _ in sorted(n.items(), key=lambda x: (-x[1], code(x[0])))][: language_id.PROFILE]
+    assert key("a") == [97]
+    totals = {}
+    for r in rows:
+        if r["lang"] is not None and not r["out"]:
+            totals.setdefault(r["lang"], Counter()).update(count(r["text"]))
+    profiles = {lang: {g: i for i, g in enumerate(order(n))} for lang, n in totals.items()}
+    got = {r["doc_id"]: r for r in language_id.op8_language_id(spark, sf_dir).collect()}
+    for r in rows:
+        top = order(count(r["text"]))
+        g = got[r["doc_id"]]
+        if not top:
+            assert (g["lang_pred"], g["score"]) == ("und", 0.0)
+            continue
+        d = {lang: sum(min(abs(p[x] - i), language_id.PROFILE) if x in p else language_id.PROFILE for i, x in enumerate(top)) / language_id.PROFILE / len(top) for lang, p in profiles.items()}
+        best = min(sorted(d), key=d.get)
+        assert g["lang_pred"] == best and g["held_out"] == r["out"] and g["distance"] == pytest.approx(d[best])
+        assert g["score"] == pytest.approx(1 / sum(np.exp(-language_id.SHARPNESS * (x - d[best])) for x in d.values()))
+
+
+def test_op7_brute(spark, sf_dir):
+    """Sizes by two compressors and the curve, text by text."""
+    import zstandard
+
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1)
+    model = quality.fit(d.filter("not held_out"), spark.read.parquet(f"{sf_dir}/labels.parquet"), "text", "doc_id")
+    got = {r["doc_id"]: r["score"] for r in quality.op7_quality(spark, sf_dir).collect()}
+    for i, t in docs(d.select("doc_id", "text")):
+        b = (t or "").encode()
+        size = []
+        for content in (model.good, model.bad):
+            c = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(content), write_content_size=False, write_dict_id=False)
+            size.append(sum(len(c.compress(b[j : j + quality.BLOCK])) for j in range(0, len(b), quality.BLOCK)))
+        x = (size[1] - size[0]) / max(1, len(b))
+        z = x * model.slope[0] + x * np.log1p(len(b)) * model.slope[1] + model.offset
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-max(-50, min(50, z)))))
+
+
+def test_op5_over_all_documents(spark, sf_dir):
+    """The learned path against the tokenizer's own library."""
+    enc = reference()
+    want = {}
+    for i, t in docs(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")):
+        ids = enc.encode_ordinary(t or "")
+        want[i] = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in byte_bpe.op5_byte_bpe(spark, sf_dir).collect()} == want
+
+
+@pytest.mark.parametrize("rows", ["odd", "none"])
+def test_pipeline_of_odd_rows(spark, sf_dir, rows, request):
+    """Nulls, long texts, repeats and extra columns, and an empty table, through all stages."""
+    import corpus_pipeline
+
+    d = request.getfixturevalue(rows).select("doc_id", "text", "lang", "source", "n_chars", "score", F.lit("x").alias("_gone"), F.lit(1).alias("_row"), F.lit(1).alias("_text"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, d, sf_dir)
+        assert out.columns == d.columns, name
+        d = out
+    last = corpus_pipeline.STAGES[-1][1](spark, d, sf_dir)
+    assert last.filter("not intact").count() == 0
+    if rows == "none":
+        assert last.count() == 0
