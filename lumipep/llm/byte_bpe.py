@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import constant, in_arrow, slices, stage, table
+from .common import constant, give_back, in_arrow, slices, stage, table
 
 CACHE_WORDS = 1 << 19
 #: Longer words are never kept in the table.
@@ -170,6 +170,7 @@ class ByteBPE:
         self.known = None
         if least is not None:
             self.known = counted.filter(F.col("n") >= least).select("word", self.fold(F.col("word")).alias("ids")).toArrow().combine_chunks()
+        give_back()
         return self
 
     def cut(self, df: DataFrame, text: str, columns: list[str]) -> DataFrame:
@@ -346,7 +347,9 @@ def round_trip(df: DataFrame, bpe: ByteBPE, text: str = "text") -> DataFrame:
 def public_bpe(name: str = "byte_bpe_50k.tiktoken") -> ByteBPE:
     import public_tokenizers
 
-    return ByteBPE(read_ranks(public_tokenizers.path(name)), public_tokenizers.PATTERN)
+    bpe = ByteBPE(read_ranks(public_tokenizers.path(name)), public_tokenizers.PATTERN)
+    give_back()
+    return bpe
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
