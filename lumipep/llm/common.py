@@ -6,7 +6,9 @@ import ctypes
 import gc
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,3 +81,32 @@ def first_of_each(df: DataFrame, key: str, order: list[Column], most: int, numbe
     parts = df.withColumn(salt, F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
     parts = parts.withColumn(number, F.row_number().over(Window.partitionBy(key, salt).orderBy(*order))).filter(F.col(number) <= most)
     return parts.withColumn(number, F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col(number) <= most).drop(salt)
+
+
+#: A key is hot when it has more than this part of all rows, and more rows than HOT_ROWS: so at most HOT_PARTS keys are, and their list may be broadcast.
+HOT_PARTS, HOT_ROWS = 2048, 256
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], how: str = "inner", salts: int = 64) -> DataFrame:
+    """left joined with right on keys, where a key may hold any share of left's rows.
+
+    Rows of hot keys are dealt to `salts` parts by the columns in `spread` (which have to differ between them), and
+    right's rows of these keys go to every part. The keys' counts come first; left and right should be written tables.
+    """
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_count"))
+    total = counts.agg(F.sum("_count")).first()[0] or 0
+    hot = stage(counts.filter(F.col("_count") > max(HOT_ROWS, total // HOT_PARTS)).select(*keys, F.lit(True).alias("_hot")), "hot")
+    if hot.isEmpty():
+        return left.join(right, keys, how)
+    salted = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("_hot")
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copied = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(parts)).drop("_hot")
+    return salted.join(copied, [*keys, "_salt"], how).drop("_salt")
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of an Arrow column of strings, and the offset of each (and the end); null is empty. No copy unless there are nulls."""
+    texts = pc.fill_null(texts, "") if texts.null_count else texts
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    return (np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)), at - at[0]
