@@ -87,15 +87,18 @@ def first_of_each(df: DataFrame, key: str, order: list[Column], most: int, numbe
 HOT_PARTS, HOT_ROWS = 2048, 256
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], how: str = "inner", salts: int = 64) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], how: str = "inner", salts: int = 64, hot: DataFrame | None = None) -> DataFrame:
     """left joined with right on keys, where a key may hold any share of left's rows.
 
     Rows of hot keys are dealt to `salts` parts by the columns in `spread` (which have to differ between them), and
-    right's rows of these keys go to every part. The keys' counts come first; left and right should be written tables.
+    right's rows of these keys go to every part. The keys' counts come first, unless the caller knows the hot keys (HOT_PARTS
+    at most); left and right should be written tables, or little more than a scan of one.
     """
-    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_count"))
-    total = counts.agg(F.sum("_count")).first()[0] or 0
-    hot = stage(counts.filter(F.col("_count") > max(HOT_ROWS, total // HOT_PARTS)).select(*keys, F.lit(True).alias("_hot")), "hot")
+    if hot is None:
+        counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_count"))
+        total = counts.agg(F.sum("_count")).first()[0] or 0
+        hot = stage(counts.filter(F.col("_count") > max(HOT_ROWS, total // HOT_PARTS)).select(*keys), "hot")
+    hot = hot.select(*keys, F.lit(True).alias("_hot"))
     if hot.isEmpty():
         return left.join(right, keys, how)
     salted = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("_hot")
