@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
 from ..functions.scratch import shared_dir
 from ..functions.sequence import three_digits
 from ..operators import digest as dg
 from ..operators import scores, validate
 from ..operators import emission as emi
 from ..run import Settings, run
-from ..sources import readers, sinks
+from ..sources import interchange, readers, sinks
 from .catalog import _FLU, FOLD_EPOCHS, N_FOLDS, SQL, _flus, _subset, query, r9
 from .recast import Tables, with_cte
 
@@ -271,3 +272,76 @@ def three_digit_notation(t: Tables) -> DataFrame:
 @query(with_cte("emission") + "\nSELECT protein_id, count(*) AS n_flu FROM emission WHERE p <> 0 GROUP BY protein_id")
 def ragged_sizes(t: Tables) -> DataFrame:
     return emi.ragged(t.emission()).select("protein_id", F.size("entries").cast("long").alias("n_flu"))
+
+
+# Flat binary files ---------------------------------------------------------------------------------------------
+
+#: Proteins and reads by their position in the order of their ids.
+_PLACES = "pl AS (SELECT protein_id, (row_number() OVER (ORDER BY protein_id) - 1)::INTEGER AS protein FROM (SELECT DISTINCT protein_id FROM emission)),\nrl AS (SELECT read_id, row_number() OVER (ORDER BY read_id) - 1 AS read FROM (SELECT DISTINCT l_orderkey AS read_id FROM lineitem))"
+
+
+def _placed(rows: DataFrame, of: DataFrame, key: str) -> DataFrame:
+    """rows with `key` as its position among the keys of `of`."""
+    places = numbered(of.select(key).distinct(), [key], "place")
+    return rows.join(places, key).drop(key).withColumnRenamed("place", key)
+
+
+@query(with_cte("emission") + f",\n{_PLACES}\nSELECT protein AS protein_id, flu_id, round(p::FLOAT::DOUBLE, 6) AS p FROM emission JOIN pl USING (protein_id)")
+def emission_binary_round_trip(t: Tables) -> DataFrame:
+    """Four arrays: entries of each protein, their flus and probabilities in a row, and the weights."""
+    path = place(t, "flat")
+    interchange.write_emission(_placed(t.emission(), t.emission(), "protein_id"), _placed(t.weights(), t.emission(), "protein_id"), path)
+    return interchange.read_emission(t.spark, path)[0].select("protein_id", "flu_id", F.round("p", 6).alias("p"))
+
+
+@query(with_cte("emission", "weights") + f",\n{_PLACES}\nSELECT protein AS protein_id, round(exp_n::FLOAT::DOUBLE, 4) AS exp_n FROM weights JOIN pl USING (protein_id)")
+def weights_binary_round_trip(t: Tables) -> DataFrame:
+    path = place(t, "flat")
+    interchange.write_emission(_placed(t.emission(), t.emission(), "protein_id"), _placed(t.weights(), t.emission(), "protein_id"), path)
+    return interchange.read_emission(t.spark, path)[1].select("protein_id", F.round("exp_n", 4).alias("exp_n"))
+
+
+def _flat_scores(t: Tables, n: int) -> str:
+    path = place(t, "flat")
+    interchange.write_scores(_placed(t.scores(), t.scores(), "read_id"), n, path)
+    return path
+
+
+_FLAT_TOP = with_cte("emission", "scores") + f",\n{_PLACES},\n{_TOP}\nSELECT read AS read_id, flu_id, round(s::FLOAT::DOUBLE, 6) AS s FROM r JOIN rl USING (read_id) WHERE k <= 4"
+
+
+@query(_FLAT_TOP)
+def scores_binary_round_trip(t: Tables) -> DataFrame:
+    """Two arrays side by side, four entries a read; reads with fewer are filled up with 0, which is left out again."""
+    return interchange.read_scores(t.spark, _flat_scores(t, 4)).select("read_id", "flu_id", F.round("s", 6).alias("s"))
+
+
+@query(_FLAT_TOP + " AND read < 100")
+def scores_binary_of_first_reads(t: Tables) -> DataFrame:
+    """Only the bytes of the first 100 reads are read."""
+    return interchange.read_scores(t.spark, _flat_scores(t, 4), 100).select("read_id", "flu_id", F.round("s", 6).alias("s"))
+
+
+@query(with_cte("emission", "labels") + f",\n{_PLACES}\nSELECT read AS read_id, true_flu FROM labels_ JOIN rl USING (read_id)")
+def labels_binary_round_trip(t: Tables) -> DataFrame:
+    path = place(t, "flat")
+    interchange.write_labels(_placed(t.labels(), t.labels(), "read_id"), path)
+    return interchange.read_labels(t.spark, path)
+
+
+@query("SELECT (l_linenumber - 1)::INTEGER AS cv, l_partkey AS read_id, count(*) AS m FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL")
+def folds_binary_round_trip(t: Tables) -> DataFrame:
+    """Three folds, a file each: ids in order, each as often as it was drawn."""
+    path = place(t, "flat")
+    drawn = t.read("lineitem").filter("l_linenumber <= 3").groupBy((F.col("l_linenumber") - 1).cast("int").alias("cv"), F.col("l_partkey").alias("read_id")).agg(F.count(F.lit(1)).alias("m"))
+    truth = _placed(t.truth(), t.truth(), "protein_id").withColumn("cv", F.explode(F.array(*map(F.lit, range(3)))))
+    interchange.write_folds(drawn, truth, path)
+    return interchange.read_folds(t.spark, path, 3)[0]
+
+
+@query(with_cte("truth") + ",\npl AS (SELECT protein_id, (row_number() OVER (ORDER BY protein_id) - 1)::INTEGER AS protein FROM truth)\nSELECT cv::INTEGER AS cv, protein AS protein_id, round((p_y * (cv + 1))::FLOAT::DOUBLE, 7) AS p_y FROM truth JOIN pl USING (protein_id), (SELECT unnest([0, 1, 2]) AS cv)")
+def estimates_binary_round_trip(t: Tables) -> DataFrame:
+    path, p = place(t, "flat"), _placed(t.truth(), t.truth(), "protein_id")
+    n = p.count()
+    interchange.write_estimates(p.withColumn("cv", F.explode(F.array(*map(F.lit, range(3))))).withColumn("p_y", F.col("p_y") * (F.col("cv") + 1)), n, path)
+    return interchange.read_estimates(t.spark, f"{path}/{interchange.ESTIMATES[0]}", n).select("cv", "protein_id", F.round("p_y", 7).alias("p_y"))

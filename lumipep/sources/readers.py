@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbering import numbered
 from ..functions.sequence import gene_token
+from .flatfile import PART_BYTES, read_flat
+from .flatfile import Column as FlatColumn
 
 EXPERIMENT = "`Peptide Id` int, `Peptide String` string, `Original Protein Id` int, `Flustring Id` int, `Flustring` string"
 SIMULATION = "flu_i int, pro_i int, n_dyes_all_ch int"
@@ -69,31 +68,16 @@ def emission_csv(spark: SparkSession, counts: str, flus: str, ps: str) -> DataFr
     return at.join(both, "at").select("protein_id", "flu_id", "p")
 
 
-def flat_binary(spark: SparkSession, path: str, dtype: str, width: int = 1, rows_at_once: int = 1 << 20) -> DataFrame:
-    """row, values (array of `width`) of files of fixed-size little-endian numbers ('f4', 'u4', 'f8', 'i8'). The length comes from the file.
+def flat_binary(spark: SparkSession, path: str, dtype: str, width: int = 1, rows: int | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
+    """row, values (array of `width`) of a file of fixed-size little-endian numbers ('f4', 'f8', 'u4', 'i4', 'i8'); of the first `rows` rows, if given. Any number of tasks reads one file."""
+    return read_flat(spark, [FlatColumn("values", path, dtype, width)], rows, part_bytes)
 
-    A file is one row of Spark's binary source; what is made of it leaves in blocks."""
-    kind = {"f4": "float", "f8": "double", "u4": "long", "i4": "int", "i8": "long"}[dtype]
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                a = np.frombuffer(content, "<" + dtype)
-                if len(a) % width:
-                    raise ValueError(f"{name}: {len(a)} numbers are no whole rows of {width}")
-                a = a.reshape(-1, width)
-                for lo in range(0, len(a), rows_at_once):
-                    part = a[lo : lo + rows_at_once]
-                    yield pd.DataFrame({"path": name, "row": np.arange(lo, lo + len(part)), "values": list(part.astype(np.int64) if dtype == "u4" else part)})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, f"path string, row long, values array<{kind}>")
-
-
-def scores_binary(spark: SparkSession, scores: str, ids: str, n: int) -> DataFrame:
-    """read_id, flu_id, s of two parallel files with n entries a read."""
-    s = flat_binary(spark, scores, "f4", n).select("row", F.col("values").alias("s"))
-    f = flat_binary(spark, ids, "u4", n).select("row", F.col("values").alias("f"))
-    return s.join(f, "row").select(F.col("row").alias("read_id"), F.inline(F.arrays_zip(F.col("f").alias("f"), F.col("s").alias("s")))).select("read_id", F.col("f").cast("int").alias("flu_id"), F.col("s").cast("double").alias("s"))
+def scores_binary(spark: SparkSession, scores: str, ids: str, n: int, rows: int | None = None) -> DataFrame:
+    """read_id, flu_id, s of two parallel files with n entries a read, read side by side."""
+    both = read_flat(spark, [FlatColumn("s", scores, "f4", n), FlatColumn("flu_id", ids, "u4", n)], rows)
+    flat = both.select(F.col("row").alias("read_id"), F.inline(F.arrays_zip("flu_id", "s")))
+    return flat.select("read_id", F.col("flu_id").cast("int").alias("flu_id"), F.col("s").cast("double").alias("s"))
 
 
 def dense_scores(rows: DataFrame, read_id: str, values: Column, first: int | None = None) -> DataFrame:
