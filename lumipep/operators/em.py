@@ -4,21 +4,27 @@ With g_f = sum_I pi_I P(f|I), a read's likelihood is d_n = sum_f s_nf g_f + r_n,
 u_I = pi_I (sum_f P(f|I) w_f + R), with w_f = sum_n m_n s_nf / d_n and R = sum_n m_n r_n / d_n. The reads x
 proteins matrix is never made; an epoch costs the scores' rows plus the emission's rows.
 
-Scores are partitioned once by read and persisted, so that d_n is a window; where the flus are few (FEW_FLUS, counted
-before) g is broadcast and an epoch moves no score. Each epoch's statistics and estimate are written tables: nothing
-of the size of the proteins goes through the driver, and a lost executor costs one epoch at most.
+Scores are partitioned and sorted once by read and persisted, so that d_n is a window and no epoch moves or sorts a
+score. Where the flus are few (FEW_FLUS, counted before) g is broadcast. Where they are not, each partition of reads
+is sent g of the flus that its reads score: a table of routes, (partition, flu), made once, takes the place of scores
+in the exchange. Sums over reads are made within a partition before they move, in both cases. Each epoch's statistics
+and estimate are written tables: nothing of the size of the proteins goes through the driver, and a lost executor
+costs one epoch at most.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scratch import written
+from .blocks import product
 from .emission import share, to_abundance
 
 #: Up to so many rows (flus x folds, some 24 bytes each) g is broadcast; beyond, it is joined by flu.
@@ -74,16 +80,71 @@ def collapse(scores: DataFrame) -> DataFrame:
     return once.select("cv", "read_id", "r", "m", F.inline("e"))
 
 
-def epoch(scores: DataFrame, emission: DataFrame, pi: DataFrame, few_flus: bool = False) -> DataFrame:
+@contextmanager
+def layouts_kept(spark: SparkSession) -> Iterator[None]:
+    """Joins keep the layout of inputs that are partitioned alike by some of the join's columns; Spark deals them anew by all columns otherwise."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def even_keys(spark: SparkSession, n: int) -> list[int]:
+    """n numbers that hash partitioning sends to n partitions, one to each, in order."""
+    ids = spark.range(0, n * 64, numPartitions=1).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("at")).groupBy("at").agg(F.min("id").alias("id"))
+    held = {r["at"]: r["id"] for r in ids.collect()}
+    if len(held) < n:  # with 64 numbers a partition one is left out once in 10^27 cases
+        raise ValueError(f"no number for each of {n} partitions")
+    return [held[i] for i in range(n)]
+
+
+@dataclass
+class Routed:
+    """Scores by partitions of reads (column `part`), and the routes: part, cv, flu_id of all flus that a partition's reads score, laid out by flu."""
+
+    rows: DataFrame
+    routes: DataFrame
+
+    @classmethod
+    def of(cls, rows: DataFrame, reads: list[str]) -> Routed:
+        """rows: cv, read_id, flu_id, s, r, m; reads: the columns that tell reads apart. Both tables are persisted."""
+        spark = rows.sparkSession
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        keys = F.array(*[F.lit(k) for k in even_keys(spark, n)])
+        placed = rows.withColumn("part", F.get(keys, F.pmod(F.hash("read_id"), F.lit(n)))).repartition(n, "part")
+        first = F.row_number().over(Window.partitionBy("part", *reads).orderBy("flu_id")) == 1
+        held = placed.withColumn("first", first).persist(StorageLevel.MEMORY_AND_DISK)
+        routes = held.select("part", "cv", "flu_id").distinct().repartition(n, "cv", "flu_id").persist(StorageLevel.MEMORY_AND_DISK)
+        return cls(held, routes)
+
+    def with_g(self, g: DataFrame) -> DataFrame:
+        """The scores with their flu's g. What moves is g, once for each partition that needs it."""
+        n = int(g.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        sent = self.routes.join(g, ["cv", "flu_id"]).repartition(n, "part")
+        # The hash table is of what was sent, so the scores keep their order.
+        return self.rows.join(sent.hint("shuffle_hash"), ["part", "cv", "flu_id"], "left")
+
+    def unpersist(self) -> None:
+        self.routes.unpersist()
+        self.rows.unpersist()
+
+
+def epoch(scores: DataFrame | Routed, emission: DataFrame, pi: DataFrame, few_flus: bool = False, reads: tuple[str, ...] = ("cv", "read_id")) -> DataFrame:
     """cv, flu_id, w, and the flu's shares of R (rest) and of the log-likelihood under pi (loglik): sums over reads, so those of parts add up.
 
-    scores: cv, read_id, flu_id, s, r, m, first (true on one row of each read). Reads whose likelihood is 0 take no part.
+    scores: cv, read_id, flu_id, s, r, m, first (true on one row of each read), or the same by partitions; reads: the
+    columns that tell reads apart. Reads whose likelihood is 0 take no part.
     """
     g = emission.join(pi, "protein_id").groupBy("cv", "flu_id").agg(F.sum(F.col("pi") * F.col("p")).alias("g"))
-    g = F.broadcast(g) if few_flus else g
+    routed = isinstance(scores, Routed)
+    by = ["part", *reads] if routed else reads
     # Left: a flu without emission adds nothing, but its read keeps its residual.
-    part = F.sum(F.col("s") * F.coalesce("g", F.lit(0.0))).over(Window.partitionBy("cv", "read_id"))
-    d = scores.join(g, ["cv", "flu_id"], "left").withColumn("d", part + F.col("r")).filter("d > 0")
+    with_g = scores.with_g(g) if routed else scores.join(F.broadcast(g) if few_flus else g, ["cv", "flu_id"], "left")
+    part = F.sum(F.col("s") * F.coalesce("g", F.lit(0.0))).over(Window.partitionBy(*by))
+    d = with_g.withColumn("d", part + F.col("r")).filter("d > 0")
     return d.groupBy("cv", "flu_id").agg(
         F.sum(F.col("m") * F.col("s") / F.col("d")).alias("w"),
         F.sum(F.when(F.col("first"), F.col("m") * F.col("r") / F.col("d")).otherwise(0.0)).alias("rest"),
@@ -104,18 +165,25 @@ def updated(statistics: DataFrame, emission: DataFrame, pi: DataFrame) -> DataFr
 
 def fit(scores: DataFrame, emission: DataFrame, start: DataFrame, epochs: int) -> Fit:
     """scores: [cv,] read_id, flu_id, s, r [, m]; emission: protein_id, flu_id, p; start: [cv,] protein_id, pi."""
+    reads = ["cv", "read_id"] if "cv" in scores.columns else ["read_id"]  # a constant column would be folded away, and with it the order
     rows = _with_fold(scores)
     rows = rows if "m" in rows.columns else rows.withColumn("m", F.lit(1.0))
-    first = F.row_number().over(Window.partitionBy("cv", "read_id").orderBy("flu_id")) == 1
-    rows = rows.select("cv", F.col("read_id"), "flu_id", "s", "r", F.col("m").cast("double").alias("m")).repartition("cv", "read_id").withColumn("first", first).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = rows.select("cv", F.col("read_id"), "flu_id", "s", "r", F.col("m").cast("double").alias("m"))
     model = emission.select("protein_id", "flu_id", "p").persist(StorageLevel.MEMORY_AND_DISK)
     out = Fit([written(_with_fold(start).select("cv", "protein_id", "pi"), "state")])
-    few = model.select("flu_id").distinct().count() * out.pi.select("cv").distinct().count() <= FEW_FLUS
-    for _ in range(epochs):
-        pi = out.pi
-        out.statistics.append(written(epoch(rows, model, pi, few), "statistics"))
-        out.states.append(written(updated(out.statistics[-1], model, pi), "state"))
-    rows.unpersist()
+    folds = 1 if reads == ["read_id"] else out.pi.select("cv").distinct().count()
+    few = model.count() * folds <= FEW_FLUS or model.select("flu_id").distinct().count() * folds <= FEW_FLUS
+    if few:
+        first = F.row_number().over(Window.partitionBy(*reads).orderBy("flu_id")) == 1
+        held: DataFrame | Routed = rows.withColumn("first", first).persist(StorageLevel.MEMORY_AND_DISK)
+    else:
+        held = Routed.of(rows, reads)
+    with nullcontext() if few else layouts_kept(scores.sparkSession):
+        for _ in range(epochs):
+            pi = out.pi
+            out.statistics.append(written(epoch(held, model, pi, few, tuple(reads)), "statistics"))
+            out.states.append(written(updated(out.statistics[-1], model, pi), "state"))
+    held.unpersist()
     model.unpersist()
     return out
 
@@ -146,5 +214,7 @@ def responsibilities(etas: DataFrame, pi: DataFrame) -> DataFrame:
 
 
 def dense_eta(scores: DataFrame, emission: DataFrame) -> DataFrame:
-    """read_id, protein_id, eta of reads with a score for every flu (read_id, flu_id, s): the product of two matrices, as a join by flu and a sum."""
-    return scores.join(emission.select("flu_id", "protein_id", "p"), "flu_id").groupBy("read_id", "protein_id").agg(F.sum(F.col("s") * F.col("p")).alias("eta"))
+    """read_id, protein_id, eta of reads with a score for every flu (read_id, flu_id, s): the product of two matrices, by blocks."""
+    left = scores.select(F.col("read_id").alias("row"), F.col("flu_id").alias("mid"), F.col("s").alias("value"))
+    right = emission.select(F.col("flu_id").alias("mid"), F.col("protein_id").alias("col"), F.col("p").alias("value"))
+    return product(left, right).select(F.col("row").alias("read_id"), F.col("col").cast(emission.schema["protein_id"].dataType).alias("protein_id"), F.col("value").alias("eta"))

@@ -46,6 +46,12 @@ def residual(kept: DataFrame, n_flu: int, clip: bool = True) -> DataFrame:
     return kept.groupBy("read_id").agg((ramp(r) if clip else r).alias("r"))
 
 
+def with_residual(kept: DataFrame, n_flu: int, clip: bool = True) -> DataFrame:
+    """kept with r, as `residual`; over the read's rows, so nothing is joined."""
+    r = (1 - F.sum("s").over(Window.partitionBy("read_id"))) / F.lit(float(n_flu))
+    return kept.withColumn("r", ramp(r) if clip else r)
+
+
 def oracle(labels: DataFrame, error: float, n_flu: int, n_prot: int | None = None, form: str = "truth plus even") -> DataFrame:
     """read_id, flu_id, s, r of a classifier that knows the true flu but for an error.
 

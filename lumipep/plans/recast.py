@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scratch import written
 from ..functions.sequence import sequence_of
 from ..operators.emission import emission_counts, emission_model, prior, protein_weights, share
-from ..operators.scores import residual
+from ..operators.scores import with_residual
 
 P_MISS = 0.07
 MASS = 0.9
@@ -53,7 +53,7 @@ class Tables:
 
     def em_rows(self, kept: DataFrame | None = None) -> DataFrame:
         kept = self.scores() if kept is None else kept
-        return kept.join(residual(kept, self.n_flu()), "read_id")
+        return with_residual(kept, self.n_flu())
 
     def truth(self) -> DataFrame:
         s = self.read("supplier").select(F.col("s_suppkey").cast("int").alias("protein_id"), "s_acctbal")

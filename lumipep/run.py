@@ -29,17 +29,18 @@ class Settings:
 def fitted(tables: dict[str, DataFrame], settings: Settings) -> tuple[em.Fit, DataFrame]:
     """The fit of every fold of a dataset, and its weights (protein_id, exp_n).
 
-    tables: emission (protein_id, flu_id, w, p), scores (read_id, flu_id, s), cv_reads (cv, read_id[, m]), as
-    `readers.dataset` gives them.
+    tables: emission (protein_id, flu_id, p, and w without a table of proteins), protein (protein_id, exp_n), scores
+    (read_id, flu_id, s), cv_reads (cv, read_id[, m]), as `readers.dataset` and `interchange.read_dataset` give them.
     """
-    emission, weights = tables["emission"], protein_weights(tables["emission"])
+    emission = tables["emission"]
+    weights = tables["protein"].select("protein_id", "exp_n") if "protein" in tables else protein_weights(emission)
     n_flu = emission.select("flu_id").distinct().count()
     kept = tables["scores"]
     if settings.n_best is not None:
         held = kept.groupBy("read_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
         kept = scores.n_best(kept, validate.sparsity(settings.n_best, held))
     chosen = tables["cv_reads"] if settings.folds is None else tables["cv_reads"].filter(F.col("cv") < settings.folds)
-    rows = folds.expand(chosen, kept.join(scores.residual(kept, n_flu), "read_id"))
+    rows = folds.expand(chosen, scores.with_residual(kept, n_flu))
     start = prior(weights).select("protein_id", "pi").crossJoin(F.broadcast(chosen.select("cv").distinct()))  # a row a fold
     return em.fit(rows, emission, start, settings.epochs), weights
 
