@@ -22,6 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the files of a table written by `stage` before the application ends; it must not be read again."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def constant(values: str, kind: str) -> Column:
     """A foldable constant of a nested type, from its JSON text: Catalyst folds it into one literal."""
     return F.from_json(F.lit(values), kind)
@@ -44,11 +52,15 @@ def in_arrow(df: DataFrame, f, schema) -> DataFrame:
     """df.mapInArrow in batches of about BATCH_BYTES (a setting of the session, which stays set)."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
+    names = df.columns
+    # Names with dots, and repeated ones, cannot be told to mapInArrow: columns go by number and get their names back in the task.
+    plain = len({n.lower() for n in names}) == len(names) and not any(c in n for n in names for c in ".`")
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from f(batches)
+        yield from f(batches if plain else (pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches))
         give_back()
 
-    return df.mapInArrow(run, schema)
+    return (df if plain else df.toDF(*[f"c{i}" for i in range(len(names))])).mapInArrow(run, schema)
 
 
 def give_back() -> None:
@@ -67,6 +79,11 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield b.slice(lo, rows)
 
 
+def named(columns: list[str]) -> list[Column]:
+    """Columns by their whole names, which may have dots."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     taken = {c.lower() for c in df.columns}

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, fresh, in_arrow, stage, table
+from .common import BLANKS, fresh, in_arrow, named, stage, table
 
 FANOUT = 8
 #: What makes two texts the same: digest, and the length and hash that verify it.
@@ -123,7 +123,7 @@ def deduplicated(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> D
     copies = stage(rows.join(g, [F.col(c) == F.col(f"_g{c}") for c in SAME]).select(*SAME, row, F.col("_id").eqNullSafe(F.col("_g_keep")).alias("_first")), "copies")
     stays = copies.filter("_first").groupBy(*SAME).agg(F.min(row).alias(row))
     gone = copies.select(row).join(stays.select(row), row, "left_anti")
-    return numbered.join(gone, row, "left_anti").select(*df.columns)
+    return numbered.join(gone, row, "left_anti").select(*named(df.columns))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

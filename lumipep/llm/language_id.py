@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import first_of_each, fresh, held_out, in_arrow, slices, table
+from .common import first_of_each, fresh, held_out, in_arrow, named, slices, table
 
 FIT_DOCS = 2000
 PROFILE = 400
@@ -121,7 +121,7 @@ def predicted(docs: DataFrame, profiles: Profiles, text: str, columns: list[str]
     predicted alike; further columns are ignored, and one named like an added column is replaced.
     """
     added = [("lang_pred", pa.string()), ("score", pa.float64()), ("distance", pa.float64())]
-    plain = docs.select(*[c for c in columns if c not in dict(added)], F.col(text).alias(fresh(docs, "_text")))
+    plain = docs.select(*named([c for c in columns if c not in dict(added)]), F.col(text).alias(fresh(docs, "_text")))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -129,7 +129,7 @@ def predicted(docs: DataFrame, profiles: Profiles, text: str, columns: list[str]
             cols = [pa.array([f[i] for f in found], kind) for i, (_, kind) in enumerate(added)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=[*b.schema.names[:-1], *[n for n, _ in added]])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-1])
+    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-1])
     return in_arrow(plain, score, schema + (", " if schema else "") + "lang_pred string, score double, distance double")
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import fresh, named, table
 
 SEED = "mix-1"
 #: Target weight of a source with n rows: n ** TEMPERATURE.
@@ -85,7 +85,7 @@ def poisson_mix(
     copies = drawn.withColumn("n_copies", n).filter("n_copies > 0").drop(of)
     copies = copies.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     key = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy_no").cast("string")).cast("binary"))
-    return copies.withColumn("shuffle_key", key).orderBy("shuffle_key").select(*df.columns, "copy_no", "n_copies", "shuffle_key")
+    return copies.withColumn("shuffle_key", key).orderBy("shuffle_key").select(*named(df.columns), "copy_no", "n_copies", "shuffle_key")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
