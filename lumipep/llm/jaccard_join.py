@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, in_arrow, slices, stage, table
+from .common import fresh, in_arrow, slices, spread_join, stage, table
 
 #: Members of a tile that one task compares with as many others.
 BLOCK = 2048
@@ -391,6 +391,14 @@ def linked(pairs: DataFrame, docs: DataFrame, signed: DataFrame | None, rule: Ru
     return stage(verified(left, sets, rule), "links")
 
 
+def repeated_ids(signed: DataFrame) -> DataFrame | None:
+    """a, b: links between an id of several rows and the ids that stand for some of them (twins), so that all rows of an id are one document; None if no id has several rows."""
+    several = stage(signed.filter("doc is not null and n > 0").groupBy("doc").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("doc"), "repeated")
+    if several.isEmpty():
+        return None
+    return stage(signed.filter("twin <> doc").join(several, "doc").select(F.col("doc").alias("a"), F.col("twin").alias("b")).distinct(), "links")
+
+
 def jaccard_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """The whole join, as pairs of class representatives and membership.
 
@@ -431,7 +439,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     rule = Rule(k, num, den)
     signed = signed_with_tiles(docs, rule, text, id_col)
     members = stage(shared_tiles(signed), "tiles")
-    links: DataFrame | None = None
+    links = repeated_ids(signed)
 
     def with_links(pairs: DataFrame, bounded: bool = False) -> DataFrame | None:
         found = linked(pairs, docs, None if bounded else signed, rule, text, id_col)
@@ -469,7 +477,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         base = base.withColumnRenamed("rep", "root")
     base = stage(base, "roots")
     least = base.filter("root is not null and n > 0").groupBy("root").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    return base.join(least, "root", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "doc").alias("component_id"))
+    return spread_join(base, least, ["root"], ["doc"], "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "doc").alias("component_id"))
 
 
 def near_deduplicated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", id_col: str = "doc_id") -> DataFrame:
