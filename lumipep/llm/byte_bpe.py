@@ -12,13 +12,15 @@ the other words of a text each is folded once. So the table's size changes the s
 words up, putting ids in order and decoding (binary pieces are taken by id and stand one after the other) are whole
 Arrow columns at a time, next to the text; nothing is shuffled but the counts of words.
 
-The fold of one word takes time with the square of its length.
+The fold of one word takes time with the square of its length. Words of more than LONG_WORD bytes, which no language
+has, but encoded data do, are encoded next to the text instead, by a heap of pairs over a linked list of pieces.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
 import zlib
 from collections.abc import Iterator
@@ -29,11 +31,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import constant, give_back, in_arrow, slices, stage, table
+from .common import constant, fresh, give_back, in_arrow, named, slices, stage, table
 
 CACHE_WORDS = 1 << 19
 #: Longer words are never kept in the table.
 CACHE_CHARS = 32
+#: Longer words are not folded.
+LONG_WORD = 256
 #: Rows whose ids a worker holds at a time, and words that it looks up at a time.
 ROWS, WORDS = 256, 1 << 19
 
@@ -179,31 +183,67 @@ class ByteBPE:
         Words whose ids are known are looked up where the text is read; what is left of a text, each of its
         other words once, goes through the fold.
         """
-        held = df.sparkSession.sparkContext.broadcast(self.known)
-        plain = df.select(*columns, self.words(F.col(text)).alias("_words"))
+        held, tokens = (df.sparkSession.sparkContext.broadcast(x) for x in (self.known, self.pieces))
+        words_, ids_, rest_ = (fresh(df, n) for n in ("_words", "_ids", "_rest"))
+        plain = df.select(*named(columns), self.words(F.col(text)).alias(words_))
 
         def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known, starts, lengths, flat = vocabulary(held.value)
+            ranks: dict[bytes, int] = {}
             for b in batches:
                 words = b.column(b.num_columns - 1)
                 ends, lo = words.offsets.to_numpy(), 0
                 while lo < b.num_rows:
                     hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + WORDS, "right")) - 1)
-                    found = pc.fill_null(pc.index_in(words.values.slice(ends[lo], ends[hi] - ends[lo]), known), -1).to_numpy()
+                    flat_words = words.values.slice(ends[lo], ends[hi] - ends[lo])
+                    found = pc.fill_null(pc.index_in(flat_words, known), -1).to_numpy()
+                    long = np.flatnonzero((found < 0) & (pc.binary_length(flat_words).to_numpy() > LONG_WORD))
+                    if len(long):
+                        ranks = ranks or {x: i for i, x in enumerate(tokens.value.to_pylist()) if x is not None}
+                        of = {w: encode_long(w.encode(), ranks) for w in set(flat_words.take(pa.array(long)).to_pylist())}
+                        # For this part of the batch they stand behind the known words.
+                        at_ = {w: len(starts) + i for i, w in enumerate(of)}
+                        found = found.copy()
+                        found[long] = [at_[w] for w in flat_words.take(pa.array(long)).to_pylist()]
+                        n = np.array([len(x) for x in of.values()], np.int64)
+                        table_ = (np.r_[starts, len(flat) + np.cumsum(n) - n], np.r_[lengths, n], np.r_[flat, np.concatenate(list(of.values()))])
+                    else:
+                        table_ = (starts, lengths, flat)
                     for at in range(lo, hi, ROWS):
                         part = b.slice(at, min(ROWS, hi - at))
-                        ids, rest = with_holes(part.column(b.num_columns - 1), found, ends[lo], starts, lengths, flat)
-                        yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, rest], names=[*columns, "_ids", "_rest"])
+                        ids, rest = with_holes(part.column(b.num_columns - 1), found, ends[lo], *table_)
+                        yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, rest], names=[*columns, ids_, rest_])
                     lo = hi
 
-        found = in_arrow(plain, look_up, schema_of(plain, columns) + "_ids array<int>, _rest array<string>")
-        return found.select(*columns, "_ids", self.with_tables(lambda t: F.transform("_rest", lambda w: self._fold(t, w))).alias("_rest"))
+        found = in_arrow(plain, look_up, schema_of(plain, columns) + f"{ids_} array<int>, {rest_} array<string>")
+        return found.select(*named(columns), ids_, self.with_tables(lambda t: F.transform(rest_, lambda w: self._fold(t, w))).alias(rest_))
 
     def ids_of(self, text: Column) -> Column:
         """Ids of a text by the fold alone; null counts as empty."""
         return self.with_tables(lambda t: F.flatten(F.transform(self.words(text), lambda w: self._fold(t, w))))
 
 
+def encode_long(word: bytes, ranks: dict[bytes, int]) -> np.ndarray:
+    """Ids of a word, as the fold gives them: the pair of the lowest rank is joined first, of equal ones the leftmost. Time grows with n log n."""
+    n = len(word)
+    ends, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))  # by the place where a piece begins; n: none
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, end = heapq.heappop(heap)
+        j = after[i] if ends[i] else n
+        if j >= n or ends[j] != end:
+            continue  # one of the two has been joined to another since
+        ends[i], ends[j], after[i] = end, 0, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+            if (r := ranks.get(word[i : ends[after[i]]])) is not None:
+                heapq.heappush(heap, (r, i, ends[after[i]]))
+        if before[i] >= 0 and (r := ranks.get(word[before[i] : end])) is not None:
+            heapq.heappush(heap, (r, before[i], end))
+    return np.array([ranks[word[i : ends[i]]] for i in range(n) if ends[i]], np.int32)
+
+
 def vocabulary(known: pa.Table | None) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """Words, and for each the start and length of its run in the last array: ids."""
     if known is None or not known.num_rows:
@@ -246,7 +286,8 @@ def with_holes(words: pa.ListArray, found: np.ndarray, first: int, starts: np.nd
 
 
 def schema_of(df: DataFrame, columns: list[str]) -> str:
-    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*columns).schema.fields)
+    fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return "".join(f"`{c.replace('`', '``')}` {fields[c]}, " for c in columns)
 
 
 def joined(b: pa.RecordBatch) -> pa.ListArray:
@@ -285,7 +326,7 @@ def encoded(df: DataFrame, bpe: ByteBPE, text: str = "text") -> DataFrame:
     """df with `token_ids` (array<int>), which replaces a column of that name.
 
     A null or empty text has no ids; a long text is encoded whole; repeated rows are alike; an empty table gives an
-    empty one. Columns named _words, _ids or _rest are an error.
+    empty one. Other columns may have any names.
     """
     kept = [c for c in df.columns if c != "token_ids"]
 
@@ -308,7 +349,7 @@ def decoded(df: DataFrame, bpe: ByteBPE, ids: str = "token_ids") -> DataFrame:
                 out = pc.if_else(b.column(b.num_columns - 1).is_valid(), out, None)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], out], names=[*kept, "decoded"])
 
-    return in_arrow(df.select(*kept, F.col(ids).cast("array<int>").alias("_ids")), pieces, schema_of(df, kept) + "decoded binary")
+    return in_arrow(df.select(*named(kept), F.col(ids).cast("array<int>").alias(fresh(df, "_ids"))), pieces, schema_of(df, kept) + "decoded binary")
 
 
 def digest_of_round_trip(df: DataFrame, bpe: ByteBPE, text: str = "text", id_col: str = "doc_id") -> DataFrame:
