@@ -235,17 +235,19 @@ def pseudonymised(df: DataFrame, text: str = "text", key: str | None = None, inv
     """df with the text column replaced, and n_found (values that look like one of FORMATS) added or replaced.
 
     A null text stays null and an empty one empty, with n_found 0. Values that fail their check stay as they
-    are, and are counted. Without a key the session's setting KEY_SETTING is taken. With inverse=True and the same key, pseudonyms turn back into values. Repeated rows get the same text;
+    are, and are counted. Without a key the session's setting KEY_SETTING is taken; none at all is an error, since a key that is public hides nothing. With inverse=True and the same key, pseudonyms turn back into values. Repeated rows get the same text;
     all other columns stay. Nothing is shuffled.
     """
-    key = key or df.sparkSession.conf.get(KEY_SETTING, KEY)
+    key = key or df.sparkSession.conf.get(KEY_SETTING, "")
+    if not key:
+        raise ValueError(f"pseudonyms need a key that only you know: set {KEY_SETTING} or give one")
     n = F.coalesce(F.size(F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))), F.lit(0))
     return df.withColumns({"n_found": n, text: Pseudonyms(key, inverse).text(F.col(text))})
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymised(docs).select("doc_id", "n_found", "text")
+    return pseudonymised(docs, key=spark.conf.get(KEY_SETTING, KEY)).select("doc_id", "n_found", "text")
 
 
 SQL: dict[str, str] = {}

@@ -318,7 +318,7 @@ NOT = ["4539578763621487", "999.1.1.1", "2024-02-30", "000-12-3456", "1.2.3.4.5"
 def test_pii(spark, odd, none):
     texts = [f"x {v}, y {v}." for v in PRIVATE] + [f"x {v}, y" for v in NOT] + [None, ""]
     df = spark.createDataFrame([(i, t, 9) for i, t in enumerate(texts)], "doc_id long, text string, n_found int")
-    out = {r["doc_id"]: r for r in pii.pseudonymised(df).collect()}
+    out = {r["doc_id"]: r for r in pii.pseudonymised(df, key=pii.KEY).collect()}
     for i, v in enumerate(PRIVATE):
         t = out[i]["text"]
         assert v not in t and out[i]["n_found"] == 2
@@ -326,16 +326,16 @@ def test_pii(spark, odd, none):
         assert new[1] == new[2] and re.sub("[0-9]", "9", re.sub("[a-z]", "a", new[1])) == re.sub("[0-9]", "9", re.sub("[a-z]", "a", v)) or "." in v and "@" not in v
     for i in range(len(PRIVATE), len(texts)):
         assert out[i]["text"] == texts[i]
-    back = pii.pseudonymised(pii.pseudonymised(df), inverse=True)
+    back = pii.pseudonymised(pii.pseudonymised(df, key=pii.KEY), key=pii.KEY, inverse=True)
     assert {r["doc_id"]: r["text"] for r in back.collect()} == dict(enumerate(texts))
-    assert pii.pseudonymised(odd).columns == [*odd.columns, "n_found"] and pii.pseudonymised(none).count() == 0
+    assert pii.pseudonymised(odd, key=pii.KEY).columns == [*odd.columns, "n_found"] and pii.pseudonymised(none, key=pii.KEY).count() == 0
     other = pii.pseudonymised(df, key="other").filter("doc_id = 0").first()["text"]
     assert other != out[0]["text"]
 
 
 def test_pii_is_a_permutation(spark):
     days = spark.range(3000).select(F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
-    assert pii.pseudonymised(days, "d").select("d").distinct().count() == 3000
+    assert pii.pseudonymised(days, "d", pii.KEY).select("d").distinct().count() == 3000
 
 
 MORE_PRIVATE = [
@@ -348,21 +348,21 @@ MORE_NOT = ["378282246310006", "31/02/1990", "13.13.2000", "1614850000000", "04/
 def test_pii_further_formats(spark):
     texts = [f"x {v}, y {v}." for v in MORE_PRIVATE] + [f"x {v}, y" for v in MORE_NOT]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    hidden = pii.pseudonymised(df).localCheckpoint()
+    hidden = pii.pseudonymised(df, key=pii.KEY).localCheckpoint()
     out = {r["doc_id"]: r["text"] for r in hidden.collect()}
     for i, v in enumerate(MORE_PRIVATE):
         new = re.fullmatch(r"x (.*), y (.*)\.", out[i])
         assert v not in out[i] and new[1] == new[2] and re.sub("[0-9]", "9", new[1]) == re.sub("[0-9]", "9", v)
     assert [out[i] for i in range(len(MORE_PRIVATE), len(texts))] == texts[len(MORE_PRIVATE) :]
-    assert {r["doc_id"]: r["text"] for r in pii.pseudonymised(hidden, inverse=True).collect()} == dict(enumerate(texts))
+    assert {r["doc_id"]: r["text"] for r in pii.pseudonymised(hidden, key=pii.KEY, inverse=True).collect()} == dict(enumerate(texts))
 
 
 @pytest.mark.parametrize("form", ["d.M.yyyy", "MM/dd/yyyy"])
 def test_pii_year_last_is_a_permutation(spark, form):
     days = spark.range(1500).select(F.date_format(F.date_add(F.lit("1999-01-01").cast("date"), F.col("id").cast("int")), form).alias("d"))
-    hidden = pii.pseudonymised(days, "d").localCheckpoint()
+    hidden = pii.pseudonymised(days, "d", pii.KEY).localCheckpoint()
     assert hidden.select("d").distinct().count() == 1500
-    assert pii.pseudonymised(hidden, "d", inverse=True).select("d").exceptAll(days).count() == 0
+    assert pii.pseudonymised(hidden, "d", pii.KEY, inverse=True).select("d").exceptAll(days).count() == 0
 
 
 # Quality and language ------------------------------------------------------------------------------------------
