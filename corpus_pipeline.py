@@ -1,8 +1,7 @@
 """From raw documents to a mixed, tokenised corpus: five stages, each over all that its predecessor kept.
 
 Every stage takes an empty table (and gives one), texts of any length, repeated rows, nulls in any column and further
-columns of any name but those that the last stage adds or works with (token_ids, n_tokens, intact are replaced; _words,
-_ids and _rest are not allowed there).
+columns of any name; the last stage adds token_ids, n_tokens and intact, and replaces columns of these names.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumipep.llm import byte_bpe, exact_dedup, jaccard_join, language_id, mixing
-from lumipep.llm.common import held_out, stage, table
+from lumipep.llm.common import held_out, named, stage, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Poisson copies of each document at its source's rate, in a global random order. Null is a source of its own; rows of one id and source get equally many copies."""
-    return mixing.poisson_mix(docs).select(*docs.columns)
+    return mixing.poisson_mix(docs).select(*named(docs.columns))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
