@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbering import numbered
+from ..functions.scratch import shared_dir
 from ..functions.sequence import dye_count, dye_track, engineering, gene_token, p_observable
 from ..operators import digest as dg
 from ..operators import em, folds, metrics, scores, validate
 from ..operators import emission as emi
-from ..streaming import partial_statistics
+from ..streaming import accumulate, partial_statistics, statistics_of
 from ..sources import readers
 from .recast import MASS, P_MISS, Tables, em_sql, with_cte
 
@@ -701,3 +703,16 @@ def unseen_proteins(t: Tables) -> DataFrame:
 def excluded_ordinals(t: Tables) -> DataFrame:
     s = t.read("supplier").select(F.col("s_suppkey").cast("int").alias("protein_id"), F.col("s_name").alias("header"))
     return readers.without_ordinals(s, s.filter("protein_id % 7 = 0").select("protein_id"))
+
+
+@query(with_cte("em", "prior") + ",\n" + em_sql(1) + "\nSELECT protein_id, round(pi, 9) AS pi FROM pi1")
+def em_of_stream(t: Tables) -> DataFrame:
+    """An epoch over a stream that brings each read's scores in three micro-batches: open reads wait in the state."""
+    files, out, checkpoint = (f"{shared_dir(t.spark)}/lumipep-stream-{uuid.uuid4().hex}/{x}" for x in ("files", "statistics", "checkpoint"))
+    rows = t.scores().withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("read_id")))
+    for i in range(3):
+        rows.filter(F.col("flu_id") % 3 == i).coalesce(1).write.mode("append").parquet(files)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(files)
+    start = t.prior().select(F.lit(0).alias("cv"), "protein_id", "pi")
+    accumulate(stream, t.emission(), start, out, checkpoint, t.n_flu()).awaitTermination()
+    return em.updated(statistics_of(t.spark, out), t.emission(), start).select("protein_id", r9("pi").alias("pi"))

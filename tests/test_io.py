@@ -105,3 +105,41 @@ def test_stream_adds_up(spark, tmp_path):
     got = {r["protein_id"]: r["pi"] for r in updated(stats, emission, pi).collect()}
     want = {r["protein_id"]: r["pi"] for r in em.fit(scores.drop("first"), emission, pi, 1).pi.collect()}
     assert got == pytest.approx(want)
+
+
+def _dealt(spark, path, parts):
+    for part in parts:
+        spark.createDataFrame(part, "read_id long, flu_id int, s double, n int").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema("read_id long, flu_id int, s double, n int").option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_reads_over_several_batches(spark, tmp_path):
+    """Each read's rows come in three micro-batches, the last of some in a second run of the stream; the epoch is that of all reads at once."""
+    from pyspark.sql import functions as F
+
+    from lumipep.operators import em
+    from lumipep.operators.scores import with_residual
+    from lumipep.streaming import statistics_of
+
+    emission = spark.createDataFrame([(0, 0, 0.5), (0, 1, 0.5), (1, 1, 0.5), (1, 2, 0.5)], "protein_id int, flu_id int, p double")
+    every = [(i, f, 0.1 + (i * 7 + f * 3) % 5 / 20, 3) for i in range(40) for f in range(3)] + [(99, 1, 0.5, 1)]
+    parts = [[r for r in every if (r[0] + r[1]) % 3 == k] for k in range(3)]
+    pi = spark.createDataFrame([(0, 0, 0.5), (0, 1, 0.5)], "cv int, protein_id int, pi double")
+    run = lambda stream: accumulate(stream, emission, pi, str(tmp_path / "w"), str(tmp_path / "cp"), 3).awaitTermination()
+    run(_dealt(spark, str(tmp_path / "in"), parts[:2]))
+    early = spark.read.parquet(str(tmp_path / "w")).filter("w > 0").count()
+    run(_dealt(spark, str(tmp_path / "in"), parts[2:]))  # open reads have waited in the checkpoint
+    stats = statistics_of(spark, str(tmp_path / "w"))
+    got = {r["protein_id"]: r["pi"] for r in updated(stats, emission, pi).collect()}
+    scores = with_residual(spark.createDataFrame([r[:3] for r in every], "read_id long, flu_id int, s double"), 3)
+    want = {r["protein_id"]: r["pi"] for r in em.fit(scores, emission, pi.drop("cv"), 1).pi.collect()}
+    assert got == pytest.approx(want) and early <= 1
+    assert stats.agg(F.sum("loglik")).first()[0] == pytest.approx(em.fit(scores, emission, pi.drop("cv"), 1).history[0]["loglik"])
+
+
+def test_too_many_rows_of_a_read_raise(spark, tmp_path):
+    emission = spark.createDataFrame([(0, 0, 1.0)], "protein_id int, flu_id int, p double")
+    pi = spark.createDataFrame([(0, 0, 1.0)], "cv int, protein_id int, pi double")
+    stream = _dealt(spark, str(tmp_path / "in"), [[(1, 0, 0.5, 2)], [(1, 1, 0.5, 2), (1, 2, 0.5, 2)]])
+    with pytest.raises(Exception, match="read 1: 3 scores where its rows say 2"):
+        accumulate(stream, emission, pi, str(tmp_path / "w"), str(tmp_path / "cp"), 3).awaitTermination()
