@@ -26,11 +26,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import lists, schema_of
-from .common import HOT_PARTS, HOT_ROWS, in_arrow, slices, spread_join, stage, table, text_bytes
+from .common import HOT_PARTS, HOT_ROWS, discard, in_arrow, slices, spread_join, stage, table, text_bytes
 
 CACHE_SEGMENTS = 1 << 19
 #: Longer segments are never kept in the cache.
@@ -115,13 +116,13 @@ def groups(a: list[int], b: list[int], bytes_a: list[bytes | None], bytes_b: lis
 
 
 def aligned_segments(segments: DataFrame, a: str, b: str) -> DataFrame:
-    """seg, n, kept, and of each segment its groups as text (null if the tokens do not give its bytes), n_a, n_b, and the ids that end together, link_a and link_b."""
+    """seg, n, kept, and of each segment its groups as text (null if the tokens do not give its bytes), n_a and n_b."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = loaded(a, b)
         for batch in slices(batches, ROWS):
             texts = batch.column(0).to_pylist()
-            said, n_a, n_b, link_a, link_b = [], [], [], [], []
+            said, n_a, n_b = [], [], []
             for text, (x, y) in zip(texts, t.encode(texts), strict=True):
                 raw = text.encode()
                 parts_a, parts_b = [t.bytes_a[i] for i in x], [t.bytes_b[i] for i in y]
@@ -130,15 +131,9 @@ def aligned_segments(segments: DataFrame, a: str, b: str) -> DataFrame:
                 said.append(";".join([",".join(map(str, p)) + "|" + ",".join(map(str, q)) for p, q in found]) if good else None)
                 n_a.append(len(x) if good else 0)
                 n_b.append(len(y) if good else 0)
-                link_a.append([p[-1] for p, _ in found])
-                link_b.append([q[-1] for _, q in found])
-            ids = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(said, pa.string()), pa.array(n_a, pa.int32()), pa.array(n_b, pa.int32()), pa.array(link_a, ids), pa.array(link_b, ids)],
-                ["seg", "n", "kept", "said", "n_a", "n_b", "link_a", "link_b"],
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string()), pa.array(n_a, pa.int32()), pa.array(n_b, pa.int32())], ["seg", "n", "kept", "said", "n_a", "n_b"])
 
-    return in_arrow(segments.select("seg", "n", "kept"), align, "seg string, n long, kept boolean, said string, n_a int, n_b int, link_a array<int>, link_b array<int>")
+    return in_arrow(segments.select("seg", "n", "kept"), align, "seg string, n long, kept boolean, said string, n_a int, n_b int")
 
 
 def with_space(docs: DataFrame, text: str, *columns) -> DataFrame:
@@ -178,8 +173,17 @@ def least_count(counted: DataFrame, most: int) -> int:
     return least
 
 
+def packed(codes: np.ndarray) -> bytes:
+    """Numbers of 32 bits, compressed: all lowest bytes first, then the next."""
+    return zstandard.compress(np.ascontiguousarray(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()) if len(codes) else b""
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T.tobytes(), "<i4") if data else np.zeros(0, np.int32)
+
+
 def parts_of(docs: DataFrame, text: str, id_col: str, cache: pa.Table, cut: bool) -> DataFrame:
-    """_row, _id, codes (the number of each segment in the cache, or -1, -2 ... for those of rest), rest (the other segments, each once), bad (a segment of the cache has no alignment)."""
+    """_row, _id, codes (the number of each segment in the cache, or -1, -2 ... for those of rest; see `packed`), rest (the other segments, each once), bad (a segment of the cache has no alignment)."""
     held = docs.sparkSession.sparkContext.broadcast(cache)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,10 +201,11 @@ def parts_of(docs: DataFrame, text: str, id_col: str, cache: pa.Table, cut: bool
                 of_row = np.searchsorted(pair // distinct, np.arange(b.num_rows + 1))
                 at[hole] = -1 - (inverse - of_row[row[hole]])
                 rest = lists(unknown.dictionary.take(pa.array(pair % distinct)), of_row)
-                yield pa.RecordBatch.from_arrays([b.column(0), lists(pa.array(at.astype(np.int32)), before), rest, pa.array(bad)], ["_id", "codes", "rest", "bad"])
+                codes = [packed(at[lo:hi]) for lo, hi in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.binary()), rest, pa.array(bad)], ["_id", "codes", "rest", "bad"])
 
     rows = with_space(docs, text, F.col(id_col).alias("_id"))
-    out = in_arrow(rows, code, schema_of(rows, ["_id"]) + "codes array<int>, rest array<string>, bad boolean")
+    out = in_arrow(rows, code, schema_of(rows, ["_id"]) + "codes binary, rest array<string>, bad boolean")
     return stage(out.withColumn("_row", F.monotonically_increasing_id()), "parts")
 
 
@@ -211,8 +216,8 @@ def segments_of(parts: DataFrame, cache: pa.Table) -> DataFrame:
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = held.value["seg"].combine_chunks()
         for b in slices(batches, 64):
-            for codes, rest in zip(b.column(0), b.column(1), strict=True):
-                at, n = np.unique(codes.values.to_numpy(), return_counts=True)
+            for codes, rest in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                at, n = np.unique(unpacked(codes), return_counts=True)
                 segs = pa.concat_arrays([known.take(pa.array(at[at >= 0])), rest.values.take(pa.array(-1 - at[at < 0]))])
                 yield pa.RecordBatch.from_arrays([segs, pa.array(np.r_[n[at >= 0], n[at < 0]].astype(np.int64))], ["seg", "n"])
 
@@ -231,9 +236,15 @@ def without_bad(aligned: DataFrame, parts: DataFrame, cache: pa.Table) -> tuple[
     return stage(aligned.join(gone, "seg", "left").withColumn("n", left).drop("gone"), "aligned"), bad
 
 
+def with_links(aligned: DataFrame) -> DataFrame:
+    """aligned with the ids that end together, the last of each group: link_a, link_b."""
+    last = lambda pattern: F.regexp_extract_all("said", F.lit(pattern), F.lit(1)).cast("array<int>")
+    return aligned.withColumns({"link_a": last(r"(\d+)\|"), "link_b": last(r"(\d+)(?:;|$)")})
+
+
 def link_counts(aligned: DataFrame) -> DataFrame:
     """a, b, count (how many links hold these ids linked), best (no other id of A has more with this b)."""
-    links = aligned.filter("n > 0 and said is not null").select("n", F.inline(F.arrays_zip(F.col("link_a").alias("a"), F.col("link_b").alias("b"))))
+    links = with_links(aligned.filter("n > 0 and said is not null")).select("n", F.inline(F.arrays_zip(F.col("link_a").alias("a"), F.col("link_b").alias("b"))))
     pairs = stage(links.groupBy("a", "b").agg(F.sum("n").alias("count")), "pairs")
     most = pairs.groupBy("b").agg(F.max("count").alias("most"))  # a row an id of B
     return stage(pairs.join(F.broadcast(most), "b").select("a", "b", "count", (F.col("count") == F.col("most")).alias("best")), "links")
@@ -241,7 +252,7 @@ def link_counts(aligned: DataFrame) -> DataFrame:
 
 def valued(rows: DataFrame, links: DataFrame) -> DataFrame:
     """seg, said, n_a, n_b, n_links, n_best, count_sum of segments that have an alignment."""
-    keep = ["seg", "said", "n_a", "n_b"]
+    rows, keep = with_links(rows), ["seg", "said", "n_a", "n_b"]
     if links.count() > FEW_PAIRS:
         each = rows.select("seg", F.inline(F.arrays_zip(F.col("link_a").alias("a"), F.col("link_b").alias("b"))))
         sums = spread_join(each, links, ["a", "b"], ["seg"], "left").groupBy("seg").agg(F.sum(F.coalesce(F.col("best").cast("int"), F.lit(0))).alias("n_best"), F.sum("count").alias("count_sum"))
@@ -269,50 +280,87 @@ def valued(rows: DataFrame, links: DataFrame) -> DataFrame:
 SUMS = ["n_a", "n_b", "n_links", "n_best", "count_sum"]
 
 
+#: Marks between numbers as further hexadecimal digits, so that text of numbers takes half a byte a character.
+_MARKS, _DIGITS = " ,|;", "DABC"
+_BACK = bytes.maketrans(_DIGITS.lower().encode(), _MARKS.encode())
+
+
+def halved(text: Column) -> Column:
+    digits = F.translate(text, _MARKS, _DIGITS)
+    return F.unhex(F.concat(digits, F.when(F.length(digits) % 2 == 1, "F").otherwise("")))
+
+
+def unhalved(data: bytes) -> bytes:
+    return data.hex().encode().rstrip(b"f").translate(_BACK)
+
+
+#: A text's own row comes after those of its segments.
+_LAST = (1 << 31) - 1
+
+
 def composed(parts: DataFrame, known: DataFrame, others: DataFrame, hot: DataFrame, bad: DataFrame | None, cache: pa.Table) -> DataFrame:
-    """_id, n_a, n_b, n_groups, n_links, n_best, count_sum, said (the groups of the whole text; null without tokens). known, others: the values of segments in the cache, and of the rest."""
+    """_id, n_a, n_b, n_groups, n_links, n_best, count_sum, said (the groups of the whole text; null without tokens). known, others: the values of segments in the cache, and of the rest.
+
+    The values of a text's other segments and the text's own row come to one task in order, as a stream.
+    """
     found = known.toArrow().combine_chunks()
     taken = found.take(pc.index_in(cache["seg"].combine_chunks(), found["seg"].combine_chunks()))
     held = parts.sparkSession.sparkContext.broadcast((taken["said"].combine_chunks().cast(pa.binary()), [pc.fill_null(taken[c], 0).to_numpy().astype(np.int64) for c in SUMS]))
     holes = parts.filter("size(rest) > 0").select("_row", F.posexplode("rest").alias("k", "seg"))
-    filled = spread_join(holes, others, ["seg"], ["_row"], hot=hot).groupBy("_row").agg(F.collect_list(F.struct("k", "said", *SUMS)).alias("filled"))
+    short = others.select("seg", halved(F.concat_ws(" ", *[F.col(c).cast("string") for c in ("n_a", "n_best", "count_sum")], "said")).alias("data"))
     good = parts if bad is None else parts.join(bad, "_row", "left_anti")
-    rows = good.select("_row", "_id", "codes").join(filled, "_row", "left").select("_id", "codes", "filled")
+    own = good.select("_row", F.lit(_LAST).alias("k"), F.col("codes").alias("data"), "_id")
+    none = F.lit(None).cast(own.schema["_id"].dataType).alias("_id")
+    rows = spread_join(holes, short, ["seg"], ["_row"], hot=hot).select("_row", "k", "data", none).unionByName(own)
 
     def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         said, sums = held.value[0].to_pylist(), held.value[1]
-        for b in slices(batches, 64):
-            texts, totals = [], np.zeros((len(SUMS), b.num_rows), np.int64)
-            lists_, filled_ = b.column(1), b.column(2)
-            for i in range(b.num_rows):
-                codes = lists_[i].values.to_numpy()
-                inside = codes >= 0
-                of = codes if inside.all() else codes[inside]
-                for s, x in enumerate(sums):
-                    totals[s, i] = x[of].sum()
-                if len(of) == len(codes):
-                    parts_ = [said[c] for c in codes.tolist()]
+        row, fills = None, []
+        for b in slices(batches, 512):
+            at, k, texts, totals = [], b.column(1).to_pylist(), [], []
+            for i, (r, x, data) in enumerate(zip(b.column(0).to_pylist(), k, b.column(2).to_pylist(), strict=True)):
+                if r != row:
+                    row, fills = r, []
+                if x != _LAST:
+                    n_a, n_best, count_sum, text = unhalved(data).split(b" ", 3)
+                    n_links = text.count(b";") + 1
+                    fills.append((int(n_a), text.count(b",") + 2 * n_links - int(n_a), n_links, int(n_best), int(count_sum), text))
+                    continue
+                codes = unpacked(data)
+                inside = codes[codes >= 0]
+                total = np.array([c[inside].sum() for c in sums])
+                if len(inside) < len(codes):
+                    total += np.array([f[:-1] for f in fills], np.int64)[-1 - codes[codes < 0]].sum(0)
+                    parts_ = [said[c] if c >= 0 else fills[-1 - c][-1] for c in codes.tolist()]
                 else:
-                    f = filled_[i].values
-                    order = np.argsort(f.field("k").to_numpy())
-                    hole = f.field("said").cast(pa.binary()).take(pa.array(order)).to_pylist()
-                    at = -1 - codes[~inside]
-                    for s, c in enumerate(SUMS):
-                        totals[s, i] += f.field(c).to_numpy()[order].astype(np.int64)[at].sum()
-                    parts_ = [said[c] if c >= 0 else hole[-1 - c] for c in codes.tolist()]
+                    parts_ = [said[c] for c in codes.tolist()]
+                at.append(i)
                 texts.append(b";".join(parts_).decode() if parts_ else None)
+                totals.append(total)
+            n = np.array(totals, np.int64).reshape(-1, len(SUMS)).T
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *[pa.array(totals[s]) for s in (0, 1, 2, 2, 3, 4)], pa.array(texts, pa.string())],
+                [b.column(3).take(pa.array(at, pa.int32())), *[pa.array(n[s]) for s in (0, 1, 2, 2, 3, 4)], pa.array(texts, pa.string())],
                 ["_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "said"],
             )
 
-    out = in_arrow(rows, compose, schema_of(rows, ["_id"]) + "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, said string")
+    ordered = rows.repartition("_row").sortWithinPartitions("_row", "k")
+    out = in_arrow(ordered, compose, schema_of(parts, ["_id"]) + "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, said string")
     if bad is None:
         return out
     zeros = [F.lit(0).cast("long").alias(c) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")]
     return out.unionByName(parts.join(bad, "_row", "left_semi").select("_id", *zeros, F.lit(None).cast("string").alias("said")))
 
 
+def are_verified(spark: SparkSession, a: str, b: str) -> bool:
+    """`Tokenizers.verified`, looked up by an executor: the driver needs no vocabulary."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([loaded(a, b).verified])], ["verified"])
+
+    return spark.range(1, numPartitions=1).mapInArrow(look, "verified boolean").first()["verified"]
+
+
 def align_tokenizers(docs: DataFrame, a: str, b: str, text: str = "text", id_col: str = "doc_id", most: int = CACHE_SEGMENTS) -> tuple[DataFrame, DataFrame]:
     """Two tables. For each row of docs: id, n_a, n_b (tokens), n_groups, n_links, n_best, count_sum, groups; and a, b, count, best for each pair of linked ids.
 
@@ -323,13 +371,14 @@ def align_tokenizers(docs: DataFrame, a: str, b: str, text: str = "text", id_col
     A null id is kept; repeated rows are aligned and counted each; texts of any length are aligned whole; no rows, no
     result. Further columns are ignored. a, b: files that every executor can read.
     """
-    cut = loaded(a, b).verified
+    cut = are_verified(docs.sparkSession, a, b)
     counted = stage(segment_counts(docs, text, cut), "segments")
     kept = (F.col("n") >= least_count(counted, most)) & (F.octet_length("seg") <= CACHE_BYTES)
     aligned = stage(aligned_segments(counted.withColumn("kept", kept), a, b), "aligned")
     # Frequent ones get small numbers, which are stored short.
     cache = aligned.filter("kept").select("seg", "n", F.col("said").isNotNull().alias("good")).toArrow().sort_by([("n", "descending"), ("seg", "ascending")]).select(["seg", "good"]).combine_chunks()
-    total = counted.agg(F.sum("n")).first()[0] or 0
+    total = aligned.agg(F.sum("n")).first()[0] or 0
+    discard(counted)
     hot = stage(aligned.filter(~F.col("kept") & (F.col("n") > max(HOT_ROWS, total // HOT_PARTS))).select("seg"), "hot")
     parts = parts_of(docs, text, id_col, cache, cut)
     good, bad = without_bad(aligned, parts, cache)
