@@ -54,18 +54,19 @@ def gene_token(header: Column, tag: str = "GN=") -> Column:
 
 
 def engineering(x: Column, digits: int = 0) -> Column:
-    """1500000 as '2M' (digits=0) or '1.5M': thousands K, millions M; smaller numbers as they are."""
+    """1500000 as '2M' (digits=0) or '1.5M': thousands K, millions M, billions B; smaller numbers with as many digits."""
     f = f"%.{digits}f"
-    return F.when(x >= 1e6, F.concat(F.format_string(f, x / 1e6), F.lit("M"))).when(x >= 1e3, F.concat(F.format_string(f, x / 1e3), F.lit("K"))).otherwise(F.format_string(f, x))
+    return F.when(x >= 1e9, F.concat(F.format_string(f, x / 1e9), F.lit("B"))).when(x >= 1e6, F.concat(F.format_string(f, x / 1e6), F.lit("M"))).when(x >= 1e3, F.concat(F.format_string(f, x / 1e3), F.lit("K"))).otherwise(F.format_string(f, x))
 
 
 def three_digits(x: Column) -> Column:
-    """1234567 as '1.23M', 2000 as '2K': three significant digits of the number, its thousands (K) or millions (M), without zeros after the point."""
+    """1234567 as '1.23M', 2000 as '2K': three significant digits of the number's thousands (K), millions (M) or billions (B), without zeros after the point; numbers below 1000 as they are."""
     def short(y: Column) -> Column:
-        fixed = F.when(y < 10, F.format_string("%.2f", y)).when(y < 100, F.format_string("%.1f", y)).otherwise(F.format_string("%.0f", y))
+        # 9.995 and up have two digits before the point when they are rounded.
+        fixed = F.when(y < 9.995, F.format_string("%.2f", y)).when(y < 99.95, F.format_string("%.1f", y)).otherwise(F.format_string("%.0f", y))
         return F.when(F.contains(fixed, F.lit(".")), F.rtrim(F.rtrim(fixed, F.lit("0")), F.lit("."))).otherwise(fixed)
 
-    return F.when(x >= 1e6, F.concat(short(x / 1e6), F.lit("M"))).when(x >= 1e3, F.concat(short(x / 1e3), F.lit("K"))).otherwise(short(x))
+    return F.when(x >= 1e9, F.concat(short(x / 1e9), F.lit("B"))).when(x >= 1e6, F.concat(short(x / 1e6), F.lit("M"))).when(x >= 1e3, F.concat(short(x / 1e3), F.lit("K"))).otherwise(x.cast("string"))
 
 
 def dye_track(flu: Column, cycles: int, channels: int = 3) -> Column:

@@ -23,9 +23,11 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.keep import Kept
 from ..functions.scratch import written
 from .blocks import product
-from .emission import share, to_abundance
+from .emission import share, to_abundance, to_read_share
+from .scores import oracle_values
 
 #: Up to so many rows (flus x folds, some 24 bytes each) g is broadcast; beyond, it is joined by flu.
 FEW_FLUS = 1 << 20
@@ -58,10 +60,16 @@ class Fit:
     def history(self) -> list[dict]:
         return [r.asDict() for r in self.history_frame().orderBy("epoch", "cv").collect()]
 
-    def errors(self, truth: DataFrame, weights: DataFrame) -> DataFrame:
-        """cv, epoch (from 1), before, after: mean absolute error of the abundances before and after each epoch. truth: [cv,] protein_id, p_y; weights: protein_id, exp_n."""
-        p_y = to_abundance(self.by_epoch(), weights, ["cv", "epoch"]).select("cv", "epoch", "protein_id", "p_y")
-        true = truth.withColumnRenamed("p_y", "true")
+    def errors(self, truth: DataFrame, weights: DataFrame, of: str = "PY") -> DataFrame:
+        """cv, epoch (from 1), before, after: mean absolute error before and after each epoch, of the abundances ("PY") or of the shares of reads ("PI"). truth: [cv,] protein_id, p_y; weights: protein_id, exp_n."""
+        if of == "PY":
+            p_y = to_abundance(self.by_epoch(), weights, ["cv", "epoch"]).select("cv", "epoch", "protein_id", "p_y")
+            true = truth.withColumnRenamed("p_y", "true")
+        elif of == "PI":
+            p_y = self.by_epoch().withColumnRenamed("pi", "p_y")
+            true = to_read_share(truth, weights, ["cv"] if "cv" in truth.columns else None).drop("p_y").withColumnRenamed("pi", "true")
+        else:
+            raise ValueError(f"errors of {of!r}; known: PY, PI")
         both = p_y.join(true.select(*[c for c in ("cv", "protein_id", "true") if c in true.columns]), [c for c in ("cv", "protein_id") if c in true.columns])
         mae = written(both.groupBy("cv", "epoch").agg(F.avg(F.abs(F.col("p_y") - F.col("true"))).alias("after")), "errors")
         before = mae.select("cv", (F.col("epoch") + 1).alias("epoch"), F.col("after").alias("before"))
@@ -72,6 +80,18 @@ def _with_fold(df: DataFrame) -> DataFrame:
     return df if "cv" in df.columns else df.withColumn("cv", F.lit(0))
 
 
+def oracle_of_counts(selection: DataFrame, labels: DataFrame, error: float, n_flu: int, n_prot: int | None = None, form: str = "truth plus even") -> DataFrame:
+    """cv, read_id, flu_id, s, r, m of the oracle's reads, one for each label of a fold with the number of its reads: labels are counted, so no read is made, moved or compared.
+
+    selection: [cv,] read_id [, m]; labels: read_id, true_flu. The estimate is that of the reads one by one.
+    """
+    rows = selection.join(labels, "read_id")
+    m = F.sum("m") if "m" in selection.columns else F.count(F.lit(1))
+    counts = _with_fold(rows).groupBy("cv", "true_flu").agg(m.cast("double").alias("m"))
+    s, r = oracle_values(error, n_flu, n_prot, form)
+    return counts.select("cv", F.col("true_flu").cast("long").alias("read_id"), F.col("true_flu").alias("flu_id"), F.lit(s).alias("s"), F.lit(r).alias("r"), "m")
+
+
 def collapse(scores: DataFrame) -> DataFrame:
     """Reads with the same scores become one with a multiplicity. scores: cv, read_id, flu_id, s, r, m."""
     e = F.array_sort(F.collect_list(F.struct("flu_id", "s")))
@@ -163,14 +183,19 @@ def updated(statistics: DataFrame, emission: DataFrame, pi: DataFrame) -> DataFr
     return u.join(F.broadcast(sums), "cv").select("cv", "protein_id", "u", F.when(F.col("total") > 0, F.col("u") / F.col("total")).otherwise(F.col("pi")).alias("pi"))
 
 
-def fit(scores: DataFrame, emission: DataFrame, start: DataFrame, epochs: int) -> Fit:
-    """scores: [cv,] read_id, flu_id, s, r [, m]; emission: protein_id, flu_id, p; start: [cv,] protein_id, pi."""
+def fit(scores: DataFrame, emission: DataFrame, start: DataFrame, epochs: int, keep: Kept | None = None, chunks: int = 1) -> Fit:
+    """scores: [cv,] read_id, flu_id, s, r [, m]; emission: protein_id, flu_id, p; start: [cv,] protein_id, pi.
+
+    With `keep` every epoch's tables stay in its folder, the statistics of each of `chunks` parts of the reads by
+    themselves; a fit of the same inputs goes on after the last table that was written whole.
+    """
     reads = ["cv", "read_id"] if "cv" in scores.columns else ["read_id"]  # a constant column would be folded away, and with it the order
     rows = _with_fold(scores)
     rows = rows if "m" in rows.columns else rows.withColumn("m", F.lit(1.0))
     rows = rows.select("cv", F.col("read_id"), "flu_id", "s", "r", F.col("m").cast("double").alias("m"))
     model = emission.select("protein_id", "flu_id", "p").persist(StorageLevel.MEMORY_AND_DISK)
-    out = Fit([written(_with_fold(start).select("cv", "protein_id", "pi"), "state")])
+    save = (lambda name, df: written(df, name.split("-")[0])) if keep is None else keep.table
+    out = Fit([save("state-0", _with_fold(start).select("cv", "protein_id", "pi"))])
     folds = 1 if reads == ["read_id"] else out.pi.select("cv").distinct().count()
     few = model.count() * folds <= FEW_FLUS or model.select("flu_id").distinct().count() * folds <= FEW_FLUS
     if few:
@@ -179,15 +204,24 @@ def fit(scores: DataFrame, emission: DataFrame, start: DataFrame, epochs: int) -
     else:
         held = Routed.of(rows, reads)
     with nullcontext() if few else layouts_kept(scores.sparkSession):
-        for _ in range(epochs):
+        for k in range(1, epochs + 1):
             pi = out.pi
-            out.statistics.append(written(epoch(held, model, pi, few, tuple(reads)), "statistics"))
-            out.states.append(written(updated(out.statistics[-1], model, pi), "state"))
+            parts = [save(f"statistics-{k}-{c}", epoch(_chunk(held, c, chunks), model, pi, few, tuple(reads))) for c in range(chunks)]
+            out.statistics.append(reduce(DataFrame.unionByName, parts))
+            out.states.append(save(f"state-{k}", updated(out.statistics[-1], model, pi)))
     held.unpersist()
     model.unpersist()
     return out
 
 
+def _chunk(held: DataFrame | Routed, c: int, chunks: int) -> DataFrame | Routed:
+    """The reads of one of `chunks` parts, by hash."""
+    if chunks == 1:
+        return held
+    mine = F.pmod(F.xxhash64("read_id"), F.lit(chunks)) == c
+    return Routed(held.rows.filter(mine), held.routes) if isinstance(held, Routed) else held.filter(mine)
+
+
 def epoch_in_one_plan(scores: DataFrame, emission: DataFrame, pi: DataFrame) -> DataFrame:
     """One epoch without the driver: protein_id, pi. scores: read_id, flu_id, s, r. At most three of these in a row; `fit` loops."""
     first = F.row_number().over(Window.partitionBy("cv", "read_id").orderBy("flu_id")) == 1

@@ -4,10 +4,17 @@ Everything is drawn from hashes of (seed, fold, id), so folds can be made again
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbering import numbered
+from ..functions.scratch import written
 from .emission import flu_distribution, share, to_read_share
 
 
@@ -46,23 +53,112 @@ def sampled_reads(draws: DataFrame, reads: DataFrame, cv: int, seed: str = "read
     return want.join(nth, ["true_flu", "nth"]).groupBy("read_id").agg(F.count(F.lit(1)).alias("m")).select(F.lit(cv).alias("cv"), "read_id", "m")
 
 
+#: Children of a node when draws go down a tree of ids.
+CHILDREN = 256
+
+
+def drawn_counts(leaves: DataFrame, totals: DataFrame, by: list[str], n_col: str, mass: str, seed: str) -> DataFrame:
+    """by, id, m: how often each leaf is drawn when each group's draws fall to its leaves in proportion to their mass.
+
+    leaves: by, id (0 or more), mass; totals: by, n_col. Draws are never made one by one: a group's number goes down a
+    tree of its ids, CHILDREN a node, and every node deals its own to its children by a multinomial whose generator is
+    seeded with the node. So the counts are the same however rows lie, and those of a group add up to its number.
+    """
+    bits = CHILDREN.bit_length() - 1
+    top = leaves.agg(F.max("id")).first()[0]
+    if top is None:
+        return leaves.select(*by, "id", F.lit(0).cast("long").alias("m")).limit(0)
+    level = -(-max(1, int(top).bit_length()) // bits)
+    held = totals.select(*by, F.lit(0).cast("long").alias("node"), F.col(n_col).cast("long").alias("m")).filter("m > 0")
+
+    def dealt(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in parts:
+            out = []
+            for r in rows.itertuples(index=False):
+                kids = sorted((k["node"], k["mass"]) for k in r.kids)
+                p = np.array([x for _, x in kids], float)
+                name = "-".join(map(str, [seed, level, *r[: len(by)], r.parent]))
+                rng = np.random.default_rng(int.from_bytes(hashlib.md5(name.encode()).digest(), "little"))
+                m = rng.multinomial(int(r.m), p / p.sum())
+                out += [(*r[: len(by)], int(node), int(x)) for (node, _), x in zip(kids, m, strict=True) if x]
+            yield pd.DataFrame(out, columns=[*by, "node", "m"])
+
+    kinds = ", ".join(f"{c} {held.schema[c].dataType.simpleString()}" for c in by) + (", " if by else "")
+    while level > 0:
+        level -= 1
+        here = leaves.select(*by, F.shiftright("id", bits * level).alias("node"), F.col(mass).cast("double").alias("mass")).filter("mass > 0").groupBy(*by, "node").agg(F.sum("mass").alias("mass"))
+        kids = here.groupBy(*by, F.shiftright("node", bits).alias("parent")).agg(F.collect_list(F.struct("node", "mass")).alias("kids"))  # CHILDREN at most
+        met = held.withColumnRenamed("node", "parent").join(kids, [*by, "parent"]).select(*by, "parent", "m", "kids")
+        held = written(met.mapInPandas(dealt, kinds + "node long, m long"), "dealt")
+    return held.withColumnRenamed("node", "id")
+
+
+def sampled_counts(flu_p: DataFrame, reads: DataFrame, n: int, cv: int, seed: str = "fold") -> DataFrame:
+    """cv, read_id, m: n reads with replacement, the flu of each by flu_p (flu_id, p) and then one of the flu's reads. Flus without a read are not drawn. Counts throughout: the work does not grow with n."""
+    some = flu_p.join(reads.select(F.col("true_flu").alias("flu_id")).distinct(), "flu_id", "left_semi")
+    total = reads.sparkSession.createDataFrame([(n,)], "n long")
+    flus = drawn_counts(some.select(F.col("flu_id").cast("long").alias("id"), "p"), total, [], "n", "p", f"{seed}-{cv}-flu")
+    leaves = reads.select(F.col("true_flu").cast("long").alias("flu"), F.col("read_id").cast("long").alias("id"), F.lit(1.0).alias("one"))
+    m = drawn_counts(leaves, flus.select(F.col("id").alias("flu"), "m"), ["flu"], "m", "one", f"{seed}-{cv}-read")
+    return m.select(F.lit(cv).alias("cv"), F.col("id").alias("read_id"), "m")
+
+
 def weighted_fold(emission: DataFrame, weights: DataFrame, p_y: DataFrame, reads: DataFrame, n: int, cv: int) -> DataFrame:
     """cv, read_id, m: n reads of a sample with these abundances (p_y: protein_id, p_y)."""
-    return sampled_reads(sampled_labels(flu_distribution(emission, to_read_share(p_y, weights)), n, cv), reads, cv)
+    return sampled_counts(flu_distribution(emission, to_read_share(p_y, weights)), reads, n, cv)
+
+
+def weighted_folds(emission: DataFrame, weights: DataFrame, reads: DataFrame, n: int, n_folds: int, seed: str = "abundance") -> tuple[DataFrame, DataFrame]:
+    """cv_reads (cv, read_id, m) and cv_truth (cv, protein_id, p_y) of a whole cross-validation: random abundances, and n reads of a sample with them, for each fold."""
+    truth = written(random_abundances(weights, n_folds, seed), "truth")
+    parts = [weighted_fold(emission, weights, truth.filter(F.col("cv") == cv).drop("cv"), reads, n, cv) for cv in range(n_folds)]
+    return reduce(DataFrame.unionByName, parts), truth
+
+
+#: Hexadecimal digits of a hash by which rows are counted at a time.
+DIGITS = 4
+
+
+def first_by_hash(rows: DataFrame, n: int) -> DataFrame:
+    """Of each cv the n rows first by h (hexadecimal text), all if there are fewer; of rows with the same h any.
+
+    The n-th hash of a fold is found from counts by the next DIGITS digits below the digits already known, one short
+    table a level; no fold is sorted or ranked. What is collected is one row a fold.
+    """
+    spark, length = rows.sparkSession, 0
+    at = spark.createDataFrame([(r["cv"], "", n) for r in rows.select("cv").distinct().collect()], "cv int, prefix string, need long")
+    while True:
+        here = rows.join(F.broadcast(at), "cv").filter(F.substring("h", 1, length) == F.col("prefix")) if length else rows.join(F.broadcast(at), "cv")
+        bins = here.groupBy("cv", "prefix", "need", F.substring("h", length + 1, DIGITS).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+        up_to = F.sum("c").over(Window.partitionBy("cv").orderBy("bin"))  # 16^DIGITS rows a fold at most
+        found = {r["cv"]: r for r in bins.withColumn("up_to", up_to).filter((F.col("up_to") >= F.col("need")) & (F.col("up_to") - F.col("c") < F.col("need"))).collect()}
+        length += DIGITS
+        # A fold without such a bin has fewer than n rows: all of them come before "g".
+        state = [(r["cv"], (f := found.get(r["cv"])) and f["prefix"] + f["bin"] or "g", f["need"] - (f["up_to"] - f["c"]) if f else 0, f["c"] if f else 0) for r in at.collect()]
+        at = spark.createDataFrame([x[:3] for x in state], "cv int, prefix string, need long")
+        exact = all(need in (0, c) for _, _, need, c in state)
+        if exact or length >= 32:
+            break
+    met, mine = rows.join(F.broadcast(at), "cv"), F.substring("h", 1, length)
+    out = met.filter((mine < F.col("prefix")) | ((mine == F.col("prefix")) & F.lit(exact)))
+    if not exact:  # rows that share a whole hash, some of which are one too many
+        tied = met.filter(mine == F.col("prefix")).withColumn("_r", F.row_number().over(Window.partitionBy("cv").orderBy("h")))
+        out = out.unionByName(tied.filter(F.col("_r") <= F.col("need")).drop("_r"))
+    return out.drop("prefix", "need")
 
 
 def subsets(reads: DataFrame, n_folds: int, n: int) -> DataFrame:
-    """cv, read_id: of each fold the n reads first by md5(cv-read_id), without replacement.
-
-    A bound on the hash leaves about n + 6 sqrt(n) rows a fold to be ranked; a fold that ends up short is ranked in full."""
-    total = reads.count()
-    hashed_rows = reads.select("read_id").withColumn("cv", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1)))).withColumn("h", F.md5(F.concat_ws("-", F.col("cv").cast("string"), F.col("read_id").cast("string")).cast("binary")))
-    share_of_all = min(1.0, (n + 6 * n**0.5 + 20) / max(1, total))
-    if share_of_all < 0.5:
-        near = hashed_rows.filter(F.col("h") < F.lit(f"{int(share_of_all * 16**8):08x}"))
-        if near.groupBy("cv").count().filter(F.col("count") >= n).count() == n_folds:
-            hashed_rows = near
-    return hashed_rows.withColumn("r", F.row_number().over(Window.partitionBy("cv").orderBy("h", "read_id"))).filter(F.col("r") <= n).select("cv", "read_id")
+    """cv, read_id: of each fold the n reads first by md5(cv-read_id), without replacement."""
+    every = reads.select("read_id").withColumn("cv", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
+    return first_by_hash(every.withColumn("h", F.md5(F.concat_ws("-", F.col("cv").cast("string"), F.col("read_id").cast("string")).cast("binary"))), n).select("cv", "read_id")
+
+
+def subset_of_folds(cv_reads: DataFrame, n: int, seed: str = "subset") -> DataFrame:
+    """cv, read_id, m: n of each fold's draws (cv, read_id[, m]), without replacement; a read that was drawn m times counts as m draws."""
+    m = F.col("m") if "m" in cv_reads.columns else F.lit(1)
+    draws = cv_reads.select(F.col("cv").cast("int").alias("cv"), "read_id", F.explode(F.sequence(F.lit(1), m.cast("int"))).alias("j"))
+    h = F.md5(F.concat_ws("-", F.lit(seed), F.col("cv").cast("string"), F.col("read_id").cast("string"), F.col("j").cast("string")).cast("binary"))
+    return first_by_hash(draws.withColumn("h", h), n).groupBy("cv", "read_id").agg(F.count(F.lit(1)).alias("m"))
 
 
 def expand(selection: DataFrame, scores: DataFrame) -> DataFrame:

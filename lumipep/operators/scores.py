@@ -52,6 +52,17 @@ def with_residual(kept: DataFrame, n_flu: int, clip: bool = True) -> DataFrame:
     return kept.withColumn("r", ramp(r) if clip else r)
 
 
+def oracle_values(error: float, n_flu: int, n_prot: int | None = None, form: str = "truth plus even") -> tuple[float, float]:
+    """An oracle's score on the truth, and what every flu has beside it."""
+    e, f = float(error), float(n_flu)
+    return {
+        "truth plus even": (1 - e, e / f),
+        "even, one short": (1 - e - e / f, e / f),
+        "others only": (1 - e - e / (f - 1), e / (f - 1)) if f > 1 else (1 - e, 0.0),
+        "over proteins": (1 - e, e / float(n_prot or 1)),
+    }[form]
+
+
 def oracle(labels: DataFrame, error: float, n_flu: int, n_prot: int | None = None, form: str = "truth plus even") -> DataFrame:
     """read_id, flu_id, s, r of a classifier that knows the true flu but for an error.
 
@@ -59,13 +70,7 @@ def oracle(labels: DataFrame, error: float, n_flu: int, n_prot: int | None = Non
     truth has 1-e in all; 'others only': 1-e on the truth, e/(F-1) on the others; 'over proteins': e/n_prot
     added to every protein.
     """
-    e, f = float(error), float(n_flu)
-    s, r = {
-        "truth plus even": (1 - e, e / f),
-        "even, one short": (1 - e - e / f, e / f),
-        "others only": (1 - e - e / (f - 1), e / (f - 1)) if f > 1 else (1 - e, 0.0),
-        "over proteins": (1 - e, e / float(n_prot or 1)),
-    }[form]
+    s, r = oracle_values(error, n_flu, n_prot, form)
     return labels.select("read_id", F.col("true_flu").alias("flu_id"), F.lit(s).alias("s"), F.lit(r).alias("r"))
 
 
@@ -84,6 +89,12 @@ def label_table(spark, n_flu: int, reads_each: int) -> DataFrame:
     return spark.range(n_flu * reads_each).select(F.col("id").alias("read_id"), F.floor(F.col("id") / reads_each).cast("int").alias("true_flu"))
 
 
+def random_oracle(reads: DataFrame, n_flu: int, sure: float = 0.99, seed: str = "oracle") -> DataFrame:
+    """read_id, flu_id, s, r: one score for each read, `sure` on a flu drawn by a hash, and nothing elsewhere."""
+    at = F.floor(hashed(F.lit(seed), F.col("read_id")) * n_flu).cast("int")
+    return reads.select("read_id", at.alias("flu_id"), F.lit(float(sure)).alias("s"), F.lit(0.0).alias("r"))
+
+
 def sure_oracle(labels: DataFrame, sure: float = 0.99) -> DataFrame:
     """read_id, flu_id, s, r: one score for each read, `sure` on the truth, and nothing elsewhere."""
     return labels.select("read_id", F.col("true_flu").alias("flu_id"), F.lit(float(sure)).alias("s"), F.lit(0.0).alias("r"))
@@ -104,9 +115,9 @@ def densified(kept: DataFrame, n_flu: int) -> DataFrame:
 
 
 def linear_scores(spark, n_reads: int, n: int, n_flu: int, mass: float = 0.99) -> DataFrame:
-    """Synthetic reads: n scores that fall evenly and sum to `mass`, on flus that wrap around."""
-    step = mass / (n * (n + 1) / 2)
-    return spark.range(n_reads).select(F.col("id").alias("read_id"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: (n - j) * step)).alias("j", "s")).select(
+    """Synthetic reads: n scores (2 or more) that fall evenly to 0 and sum to `mass`, on flus that wrap around."""
+    step = mass / (n * (n - 1) / 2)
+    return spark.range(n_reads).select(F.col("id").alias("read_id"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: (n - 1 - j) * step)).alias("j", "s")).select(
         "read_id", F.pmod(F.col("read_id") + F.col("j"), F.lit(n_flu)).cast("int").alias("flu_id"), "s"
     )
 

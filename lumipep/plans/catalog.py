@@ -295,7 +295,7 @@ def oracle_padded(t: Tables) -> DataFrame:
     return scores.padded_oracle(t.labels(), 10, t.n_flu())
 
 
-@query("SELECT read_id, ((read_id + j) % 500)::INTEGER AS flu_id, round((10 - j) * (0.99::DOUBLE / 55), 9) AS s FROM (SELECT unnest(range(0, 1000)) AS read_id), (SELECT unnest(range(0, 10)) AS j)")
+@query("SELECT read_id, ((read_id + j) % 500)::INTEGER AS flu_id, round((9 - j) * (0.99::DOUBLE / 45), 9) AS s FROM (SELECT unnest(range(0, 1000)) AS read_id), (SELECT unnest(range(0, 10)) AS j)")
 def linear_scores(t: Tables) -> DataFrame:
     return _rounded(scores.linear_scores(t.spark, 1000, 10, 500))
 
@@ -455,6 +455,13 @@ def em_of_parts(t: Tables) -> DataFrame:
 
 @query(with_cte("labels", "nf", "prior") + f",\n{_ORACLE_EM},\n" + em_sql(3, rows="om") + "\nSELECT protein_id, round(pi, 9) AS pi FROM pi3")
 def em_collapsed(t: Tables) -> DataFrame:
+    rows = em.oracle_of_counts(t.labels().select("read_id"), t.labels(), ERROR, t.n_flu())
+    return _fitted(t, 3, rows.drop("cv")).pi.select("protein_id", r9("pi").alias("pi"))
+
+
+@query(SQL["em_collapsed"])
+def em_of_alike_reads(t: Tables) -> DataFrame:
+    """The same estimate from reads that are made one by one and found to be alike."""
     o = scores.oracle(t.labels(), ERROR, t.n_flu()).select(F.lit(0).alias("cv"), "read_id", "flu_id", "s", "r", F.lit(1.0).alias("m"))
     return _fitted(t, 3, em.collapse(o)).pi.select("protein_id", r9("pi").alias("pi"))
 
@@ -499,7 +506,8 @@ def _swept(t: Tables, rows: DataFrame, n: int, epochs: int = 2) -> DataFrame:
 def _errors(t: Tables) -> DataFrame:
     n = float(t.n_flu())
     point = F.explode(F.array(*[F.struct(F.lit(i).alias("cv"), F.lit(e).alias("e")) for i, e in enumerate(ERRORS)]))
-    return t.labels().withColumn("x", point).select("x.cv", "read_id", F.col("true_flu").alias("flu_id"), (1 - F.col("x.e")).alias("s"), (F.col("x.e") / n).alias("r"))
+    counts = t.labels().groupBy("true_flu").agg(F.count(F.lit(1)).alias("m"))  # the reads of a label are alike
+    return counts.withColumn("x", point).select("x.cv", F.col("true_flu").cast("long").alias("read_id"), F.col("true_flu").alias("flu_id"), (1 - F.col("x.e")).alias("s"), (F.col("x.e") / n).alias("r"), "m")
 
 
 @query(_sweep_sql([f"SELECT read_id, true_flu AS flu_id, (1 - {e})::DOUBLE AS s, {e}::DOUBLE / f AS r FROM labels_, nf" for e in ERRORS]))
@@ -563,9 +571,9 @@ def _draws(n: int) -> str:
     return f"(SELECT cv, protein_id, -ln(1 - ('0x' || substr(md5('mc-' || cv || '-' || protein_id), 1, 13))::BIGINT::DOUBLE / pow(2, 52)) AS x FROM (SELECT unnest(range(0, {n})) AS cv), (SELECT s_suppkey AS protein_id FROM supplier))"
 
 
-@query(f"SELECT round(avg(m), 9) AS mae FROM (SELECT avg(abs(1 / n - x / t)) AS m FROM (SELECT *, sum(x) OVER (PARTITION BY cv) AS t, count(*) OVER (PARTITION BY cv)::DOUBLE AS n FROM {_draws(200)}) GROUP BY cv)")
+@query(f"SELECT round(avg(m), 9) AS mae FROM (SELECT avg(abs(1 / n - x / t)) AS m FROM (SELECT *, sum(x) OVER (PARTITION BY cv) AS t, count(*) OVER (PARTITION BY cv)::DOUBLE AS n FROM {_draws(1000)}) GROUP BY cv)")
 def uniform_mae_monte_carlo(t: Tables) -> DataFrame:
-    draws = folds.random_abundances(t.read("supplier").select(F.col("s_suppkey").alias("protein_id")), 200, "mc")
+    draws = folds.random_abundances(t.read("supplier").select(F.col("s_suppkey").alias("protein_id")), 1000, "mc")
     return metrics.uniform_mae(draws, ["cv"]).agg(r9(F.avg("mae")).alias("mae"))
 
 
@@ -630,9 +638,9 @@ def expected_reads_share(t: Tables) -> DataFrame:
     return a.select(r9("share").alias("normalised")).crossJoin(b.select(r9("share").alias("raw")))
 
 
-@query("SELECT l_orderkey, l_linenumber::INTEGER AS l_linenumber, CASE WHEN x >= 1e6 THEN printf('%.1fM', x / 1e6) WHEN x >= 1e3 THEN printf('%.1fK', x / 1e3) ELSE printf('%.1f', x) END AS text FROM (SELECT l_orderkey, l_linenumber, floor(l_extendedprice) * 100 + 37 AS x FROM lineitem)")
+@query("SELECT l_orderkey, l_linenumber::INTEGER AS l_linenumber, CASE WHEN x >= 1e9 THEN printf('%.1fB', x / 1e9) WHEN x >= 1e6 THEN printf('%.1fM', x / 1e6) WHEN x >= 1e3 THEN printf('%.1fK', x / 1e3) ELSE printf('%.1f', x) END AS text FROM (SELECT l_orderkey, l_linenumber, (floor(l_extendedprice) * 100 + 37) * power(100, l_linenumber % 4) AS x FROM lineitem)")
 def eng_notation(t: Tables) -> DataFrame:
-    x = (F.floor("l_extendedprice") * 100 + 37).cast("double")
+    x = (F.floor("l_extendedprice") * 100 + 37).cast("double") * F.pow(F.lit(100.0), F.col("l_linenumber") % 4)
     return t.read("lineitem").select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), engineering(x, 1).alias("text"))
 
 
@@ -716,3 +724,51 @@ def em_of_stream(t: Tables) -> DataFrame:
     start = t.prior().select(F.lit(0).alias("cv"), "protein_id", "pi")
     accumulate(stream, t.emission(), start, out, checkpoint, t.n_flu()).awaitTermination()
     return em.updated(statistics_of(t.spark, out), t.emission(), start).select("protein_id", r9("pi").alias("pi"))
+
+
+_PLANTED = "CASE WHEN l_orderkey % 97 = 0 THEN 'nan'::DOUBLE WHEN l_orderkey % 89 = 0 THEN 'inf'::DOUBLE WHEN l_orderkey % 83 = 0 THEN NULL WHEN l_orderkey % 79 = 0 THEN 0.0 ELSE l_quantity END"
+
+
+@query(f"SELECT l_orderkey AS read_id, l_linenumber::INTEGER AS place FROM (SELECT *, {_PLANTED} AS s FROM lineitem) WHERE s IS NULL OR NOT isfinite(s)")
+def planted_bad_scores(t: Tables) -> DataFrame:
+    """Scores that are NaN, infinite or null, planted by order."""
+    return validate.bad_scores(_planted(t)).select("read_id", "place")
+
+
+@query("SELECT DISTINCT l_orderkey AS read_id FROM lineitem WHERE l_orderkey % 79 = 0 AND l_orderkey % 97 <> 0 AND l_orderkey % 89 <> 0 AND l_orderkey % 83 <> 0")
+def planted_zero_rows(t: Tables) -> DataFrame:
+    return validate.zero_rows(_planted(t).filter("s is not null and not isnan(s)"))
+
+
+def _planted(t: Tables) -> DataFrame:
+    key = F.col("l_orderkey")
+    s = F.when(key % 97 == 0, F.lit(float("nan"))).when(key % 89 == 0, F.lit(float("inf"))).when(key % 83 == 0, F.lit(None)).when(key % 79 == 0, F.lit(0.0)).otherwise(F.col("l_quantity"))
+    return t.read("lineitem").select(key.alias("read_id"), F.col("l_linenumber").cast("int").alias("place"), s.cast("double").alias("s"))
+
+
+@query(with_cte("emission") + "\nSELECT protein_id, flu_id FROM emission WHERE (protein_id + flu_id) % 11 < 2")
+def planted_zero_emission(t: Tables) -> DataFrame:
+    """Entries of the emission that are 0 or null, planted by their ids."""
+    at = (F.col("protein_id") + F.col("flu_id")) % 11
+    return validate.zero_emission(t.emission().withColumn("p", F.when(at == 0, 0.0).when(at == 1, F.lit(None)).otherwise(F.col("p")))).select("protein_id", "flu_id")
+
+
+_TWO_FOLDS = "folds_ AS (SELECT cv, l_orderkey AS read_id, count(*) AS m FROM lineitem, (SELECT unnest([0, 1]) AS cv) WHERE (l_linenumber + cv) % 2 = 0 GROUP BY ALL)"
+
+
+@query("WITH " + _TWO_FOLDS + """,
+d AS (SELECT cv, read_id, md5('subset-' || cv || '-' || read_id || '-' || j) AS h FROM (SELECT *, unnest(range(1, m + 1)) AS j FROM folds_))
+SELECT cv::INTEGER AS cv, read_id, count(*) AS m FROM (SELECT *, row_number() OVER (PARTITION BY cv ORDER BY h) AS r FROM d) WHERE r <= 7000 GROUP BY ALL""")
+def subset_of_draws(t: Tables) -> DataFrame:
+    """Of each fold 7000 of its draws; a read that was drawn several times counts as often."""
+    rows = t.read("lineitem").withColumn("cv", F.explode(F.array(F.lit(0), F.lit(1)))).filter((F.col("l_linenumber") + F.col("cv")) % 2 == 0)
+    return folds.subset_of_folds(rows.groupBy("cv", F.col("l_orderkey").alias("read_id")).agg(F.count(F.lit(1)).alias("m")), 7000)
+
+
+@query(with_cte("labels") + "\nSELECT cv::INTEGER AS cv, 100000000::BIGINT AS draws, 0::BIGINT AS strangers FROM (SELECT unnest([0, 1]) AS cv)")
+def folds_of_many_draws(t: Tables) -> DataFrame:
+    """Two folds of 10^8 draws each, as counts: their sum, and how many reads are none of the table's."""
+    labels = t.labels()
+    reads, _ = folds.weighted_folds(t.emission(), t.weights(), labels, 10**8, 2)
+    known = reads.join(labels.select("read_id", F.lit(1).alias("known")), "read_id", "left")
+    return known.groupBy("cv").agg(F.sum("m").alias("draws"), F.count_if(F.col("known").isNull()).alias("strangers"))

@@ -15,8 +15,8 @@ from ..operators import scores, validate
 from ..operators import emission as emi
 from ..run import Settings, run
 from ..sources import interchange, readers, sinks
-from .catalog import _FLU, FOLD_EPOCHS, N_FOLDS, SQL, _flus, _subset, query, r9
-from .recast import Tables, with_cte
+from .catalog import _AFTER, _FLU, _ORACLE_EM, _PI_OF_TRUTH, ERROR, FOLD_EPOCHS, N_FOLDS, SQL, _flus, _subset, query, r9
+from .recast import Tables, em_sql, with_cte
 
 
 def place(t: Tables, name: str) -> str:
@@ -178,6 +178,36 @@ def run_of_a_dataset(t: Tables) -> DataFrame:
     return readers.run_errors(t.spark, out).select("epoch", r9("mean").alias("mean"), r9("std").alias("std"))
 
 
+def _run_with(t: Tables, settings: Settings) -> DataFrame:
+    """Errors of a run over a dataset of one fold, all reads, as they are read back from its folder."""
+    path, out = place(t, "dataset"), place(t, "runs")
+    every = t.labels().select(F.lit(0).alias("cv"), "read_id")
+    sinks.dataset(path, emission=t.emission(), scores=t.scores(), reads=t.labels(), cv_reads=every, cv_truth=t.truth().withColumn("cv", F.lit(0)))
+    run(t.spark, path, out, settings)
+    return readers.run_errors(t.spark, out).select("epoch", F.round("mean", 7).alias("mean"))  # ten digits are written
+
+
+_RUN_PY = " UNION ALL ".join(f"SELECT epoch, round(mae, 7) AS mean FROM ({_AFTER.format(e=e, cv=0, pi=f'pi{e}')})" for e in (1, 2))
+
+
+@query(with_cte("labels", "nf", "prior", "truth") + f",\n{_ORACLE_EM},\n" + em_sql(2, rows="om") + "\n" + _RUN_PY)
+def run_with_an_oracle(t: Tables) -> DataFrame:
+    return _run_with(t, Settings(2, oracle_error=ERROR))
+
+
+@query(with_cte("em", "prior", "weights", "truth") + f",\n{_PI_OF_TRUTH},\n" + em_sql(2) + "\n" + " UNION ALL ".join(f"SELECT {e}::INTEGER AS epoch, round(avg(abs(x.pi - pit.pi)), 7) AS mean FROM pi{e} x JOIN pit ON pit.protein_id = x.protein_id" for e in (1, 2)))
+def run_with_errors_of_shares(t: Tables) -> DataFrame:
+    return _run_with(t, Settings(2, error="PI"))
+
+
+@query(with_cte("em", "prior", "truth") + """,
+chosen AS (SELECT read_id FROM (SELECT DISTINCT l_orderkey AS read_id FROM lineitem) ORDER BY md5('subset-0-' || read_id || '-1') LIMIT 3000),
+sm AS (SELECT em.* FROM em JOIN chosen ON chosen.read_id = em.read_id),
+""" + em_sql(2, rows="sm") + "\n" + _RUN_PY)
+def run_with_a_subset(t: Tables) -> DataFrame:
+    return _run_with(t, Settings(2, subset=3000))
+
+
 @query(with_cte("truth") + "\nSELECT cv::INTEGER AS cv, protein_id, round(p_y, 9) AS p_y FROM truth, (SELECT unnest([0, 1, 2]) AS cv)")
 def estimates_round_trip(t: Tables) -> DataFrame:
     path = place(t, "estimates")
@@ -261,12 +291,12 @@ def score_extremes(t: Tables) -> DataFrame:
     return validate.extremes(t.scores()).select(r9("max_score").alias("max_score"), "max_flu", "not_finite")
 
 
-_FIXED = "CASE WHEN y < 10 THEN printf('%.2f', y) WHEN y < 100 THEN printf('%.1f', y) ELSE printf('%.0f', y) END"
+_FIXED = "CASE WHEN y < 9.995 THEN printf('%.2f', y) WHEN y < 99.95 THEN printf('%.1f', y) ELSE printf('%.0f', y) END"
 
 
-@query(f"SELECT o_orderkey, CASE WHEN contains(f, '.') THEN rtrim(rtrim(f, '0'), '.') ELSE f END || unit AS text FROM (SELECT o_orderkey, unit, {_FIXED} AS f FROM (SELECT o_orderkey, CASE WHEN x >= 1e6 THEN x / 1e6 WHEN x >= 1e3 THEN x / 1e3 ELSE x END AS y, CASE WHEN x >= 1e6 THEN 'M' WHEN x >= 1e3 THEN 'K' ELSE '' END AS unit FROM (SELECT o_orderkey, floor(o_totalprice) * power(10, o_orderkey % 4) + 0.137 AS x FROM orders)))")
+@query(f"SELECT o_orderkey, CASE WHEN unit = '' THEN x::VARCHAR WHEN contains(f, '.') THEN rtrim(rtrim(f, '0'), '.') || unit ELSE f || unit END AS text FROM (SELECT o_orderkey, x, unit, {_FIXED} AS f FROM (SELECT o_orderkey, x, CASE WHEN x >= 1e9 THEN x / 1e9 WHEN x >= 1e6 THEN x / 1e6 WHEN x >= 1e3 THEN x / 1e3 ELSE x END AS y, CASE WHEN x >= 1e9 THEN 'B' WHEN x >= 1e6 THEN 'M' WHEN x >= 1e3 THEN 'K' ELSE '' END AS unit FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 7 THEN o_orderkey % 1000 + 0.125 ELSE floor(o_totalprice) * power(10, o_orderkey % 7) + 0.137 END AS x FROM orders)))")
 def three_digit_notation(t: Tables) -> DataFrame:
-    return t.read("orders").select("o_orderkey", three_digits(F.floor("o_totalprice") * F.pow(F.lit(10.0), F.col("o_orderkey") % 4) + 0.137).alias("text"))
+    return t.read("orders").select("o_orderkey", three_digits(F.when(F.col("o_orderkey") % 8 == 7, F.col("o_orderkey") % 1000 + 0.125).otherwise(F.floor("o_totalprice") * F.pow(F.lit(10.0), F.col("o_orderkey") % 7) + 0.137)).alias("text"))
 
 
 @query(with_cte("emission") + "\nSELECT protein_id, count(*) AS n_flu FROM emission WHERE p <> 0 GROUP BY protein_id")
@@ -345,3 +375,9 @@ def estimates_binary_round_trip(t: Tables) -> DataFrame:
     n = p.count()
     interchange.write_estimates(p.withColumn("cv", F.explode(F.array(*map(F.lit, range(3))))).withColumn("p_y", F.col("p_y") * (F.col("cv") + 1)), n, path)
     return interchange.read_estimates(t.spark, f"{path}/{interchange.ESTIMATES[0]}", n).select("cv", "protein_id", F.round("p_y", 7).alias("p_y"))
+
+
+@query(with_cte("labels", "nf") + "\nSELECT read_id, least(floor(('0x' || substr(md5('oracle-' || read_id), 1, 13))::BIGINT::DOUBLE / pow(2, 52) * f), f - 1)::INTEGER AS flu_id, 0.99::DOUBLE AS s, 0.0::DOUBLE AS r FROM labels_, nf")
+def oracle_random(t: Tables) -> DataFrame:
+    """One sure score for each read, on a flu drawn at random."""
+    return scores.random_oracle(t.labels(), t.n_flu())
