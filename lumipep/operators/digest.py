@@ -15,10 +15,13 @@ def digest(proteins: DataFrame, protease: str = "trypsin") -> DataFrame:
 
 
 def numbered_peptides(proteins: DataFrame, protease: str = "trypsin") -> DataFrame:
-    """protein_id, pos, peptide, peptide_id: a running number over (protein_id, pos). Each protein is cut once; its row carries its peptides through the prefix sum."""
-    cut = proteins.select("protein_id", peptides(F.col("sequence"), protease).alias("_peptides"))
-    first = numbered(cut, ["protein_id"], "_i", F.size("_peptides"), "_first")
-    return first.select("protein_id", F.col("_first").cast("long").alias("_first"), F.posexplode("_peptides").alias("pos", "peptide")).select("protein_id", "pos", "peptide", (F.col("_first") + F.col("pos")).alias("peptide_id"))
+    """protein_id, pos, peptide, peptide_id: a running number over (protein_id, pos).
+
+    Only the numbers of peptides are sorted, one a protein; their sums come back by protein, whose id is unique."""
+    cut = peptides(F.col("sequence"), protease)
+    first = numbered(proteins.select("protein_id", F.size(cut).alias("_size")), ["protein_id"], "_i", F.col("_size"), "_first").select("protein_id", F.col("_first").cast("long").alias("_first"))
+    rows = proteins.select("protein_id", "sequence").join(first, "protein_id")
+    return rows.select("protein_id", "_first", F.posexplode(cut).alias("pos", "peptide")).select("protein_id", "pos", "peptide", (F.col("_first") + F.col("pos")).alias("peptide_id"))
 
 
 def labelled(with_ids: DataFrame, labels: tuple[str, ...] = LABELS) -> DataFrame:

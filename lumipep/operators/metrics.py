@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
+
 
 def mae(estimate: DataFrame, truth: DataFrame, est: str, true: str, by: list[str] | None = None) -> DataFrame:
     """Mean absolute error over proteins, for each `by` (such as cv)."""
@@ -102,7 +104,18 @@ def relative_differences(a: DataFrame, b: DataFrame, keys: list[str], value: str
 
 def block_max(counts: DataFrame, order: str, n: str, blocks: int) -> DataFrame:
     """Largest number of elements in one of `blocks` runs of rows of near-equal length, the longer ones first."""
-    return counts.withColumn("block", F.ntile(blocks).over(Window.orderBy(order))).groupBy("block").agg(F.sum(n).alias("elements")).agg(F.max("elements").alias("max_elements"))
+    rows = numbered(counts.select(order, n), [order], "_at")
+    size, longer = divmod(rows.count(), blocks)
+    at, edge = F.col("_at"), longer * (size + 1)  # rows in the longer blocks
+    block = F.when(at < edge, F.floor(at / (size + 1))).otherwise(longer + F.floor((at - edge) / max(1, size)))
+    return rows.groupBy(block.alias("block")).agg(F.sum(n).alias("elements")).agg(F.max("elements").alias("max_elements"))
+
+
+def time_shares(runs: DataFrame, step: str, seconds: str) -> DataFrame:
+    """step, mean, total, percent: the mean time of each step over its runs, and its share of all time."""
+    sums = runs.groupBy(step).agg(F.avg(seconds).alias("mean"), F.sum(seconds).alias("total"))
+    every = sums.agg(F.sum("total").alias("_all"))  # one row
+    return sums.crossJoin(F.broadcast(every)).select(step, "mean", "total", (F.col("total") / F.col("_all") * 100).alias("percent"))
 
 
 def last_epoch(errors: DataFrame, run: str, value: str = "mae") -> DataFrame:

@@ -772,3 +772,8 @@ def folds_of_many_draws(t: Tables) -> DataFrame:
     reads, _ = folds.weighted_folds(t.emission(), t.weights(), labels, 10**8, 2)
     known = reads.join(labels.select("read_id", F.lit(1).alias("known")), "read_id", "left")
     return known.groupBy("cv").agg(F.sum("m").alias("draws"), F.count_if(F.col("known").isNull()).alias("strangers"))
+
+
+@query("SELECT o_orderpriority AS step, round(avg(o_totalprice), 4) AS mean, round(sum(o_totalprice) / sum(sum(o_totalprice)) OVER () * 100, 9) AS percent FROM orders GROUP BY o_orderpriority")
+def time_shares(t: Tables) -> DataFrame:
+    return metrics.time_shares(t.read("orders"), "o_orderpriority", "o_totalprice").select(F.col("o_orderpriority").alias("step"), F.round("mean", 4).alias("mean"), r9("percent").alias("percent"))

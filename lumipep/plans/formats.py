@@ -381,3 +381,10 @@ def estimates_binary_round_trip(t: Tables) -> DataFrame:
 def oracle_random(t: Tables) -> DataFrame:
     """One sure score for each read, on a flu drawn at random."""
     return scores.random_oracle(t.labels(), t.n_flu())
+
+
+@query("SELECT s_suppkey::INTEGER AS number, s_name AS description FROM supplier")
+def fixture_csv_without_header(t: Tables) -> DataFrame:
+    path = place(t, "fixture")
+    sinks.descriptions_csv(t.read("supplier").select("s_suppkey", "s_name"), path, header=False)
+    return t.spark.read.schema("number int, description string").csv(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbering import numbered
@@ -173,4 +173,5 @@ def estimates(spark: SparkSession, path: str, n_prot: int) -> DataFrame:
 
 
 def rank_by(df: DataFrame, column: str) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(column)))
+    """df with rank: 1, 2 ... in the order of a column."""
+    return numbered(df, [column], "_at").withColumn("rank", (F.col("_at") + 1).cast("int")).drop("_at")
