@@ -460,7 +460,7 @@ def test_line_dedup(spark):
 @pytest.mark.parametrize("name", sorted(llm.ORACLE_SQL))
 def test_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "conversations"):
         path = f"{sf_dir}/{t}.parquet"
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
     df = llm.QUERIES[name](spark, sf_dir)
