@@ -3,8 +3,9 @@
 Every partition makes one run: its digests in order, one row for each digest, with the smallest id and the count.
 The runs are then exchanged in rounds, FANOUT partners at a time: in round r a row's slot takes the r-th base-FANOUT
 digit of its digest range, so after all rounds each slot holds one range of digests. In each round the rows that a
-slot gets from its partners are merged in the order of digests, and a stream over the merged rows keeps, of rows
-with the same digest, the smallest id and the sum of the counts; the result is a written table of sorted runs. A
+slot gets from its partners are sorted again by Spark (its external sort stands for a multiway merge of the partners'
+runs), and a stream over them keeps, of rows with the same digest, the smallest id and the sum of the counts; the
+result is a written table of sorted runs. A
 digest only merges with rows of the same byte length and the same independent 64-bit hash, which verifies it at
 every level. Copies shrink to one row for each run before anything moves, so a group with a third of all rows costs
 no more than any other, and a stream holds one row and one batch, whatever the length of its run.
