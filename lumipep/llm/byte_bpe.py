@@ -8,12 +8,14 @@ instead of scanning a map of 50,000 entries.
 
 Distinct words are folded, not occurrences: the words of all texts are counted, and the CACHE_WORDS most frequent
 ones are encoded once by the fold and kept as a table, whose size is bounded by that number and by CACHE_CHARS. Of
-the other words of a text each is folded once. So the table's size changes the speed and never the result. Looking
-words up, putting ids in order and decoding (binary pieces are taken by id and stand one after the other) are whole
-Arrow columns at a time, next to the text; nothing is shuffled but the counts of words.
+the other words of a text each is folded once; a bitmap of the table's hashes, a literal too, tells them apart. So the
+table's size changes the speed and never the result. Looking words up, putting ids in order and decoding (binary pieces
+are taken by id and stand one after the other) are whole Arrow columns at a time, next to the text, in one Python
+worker a task; nothing is shuffled but the counts of words.
 
 The fold of one word takes time with the square of its length. Words of more than LONG_WORD bytes, which no language
-has, but encoded data do, are encoded next to the text instead, by a heap of pairs over a linked list of pieces.
+has, but encoded data do, are encoded next to the text instead, by a heap of pairs over a linked list of pieces. So are
+the few words that the bitmap takes for known by mistake (about one or two in a hundred of those that are not).
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ import hashlib
 import heapq
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -121,7 +124,7 @@ class ByteBPE:
         for b, r in ranks.items():
             pieces[r] = b
         self.pieces = pa.array(pieces, pa.binary())
-        #: Columns word, ids; Arrow memory on the driver and in the workers.
+        #: Columns word, ids, hash; Arrow memory on the driver and in the workers.
         self.known: pa.Table | None = None
 
     def words(self, text: Column) -> Column:
@@ -173,50 +176,61 @@ class ByteBPE:
             least = r["n"]
         self.known = None
         if least is not None:
-            self.known = counted.filter(F.col("n") >= least).select("word", self.fold(F.col("word")).alias("ids")).toArrow().combine_chunks()
+            self.known = counted.filter(F.col("n") >= least).select("word", self.fold(F.col("word")).alias("ids"), F.xxhash64("word").alias("hash")).toArrow().combine_chunks()
         give_back()
         return self
 
-    def cut(self, df: DataFrame, text: str, columns: list[str]) -> DataFrame:
-        """The named columns, then what `joined` makes a text's ids of: _ids, with -1, -2 ... for the words of _rest, and _rest, the folded ones.
+    def maybe_known(self) -> Callable[[Column], Column]:
+        """Whether a word may be in the table: true for all that are. Each word has two bits in one of the longs of a literal, of which there is one for four words."""
+        hashes = np.zeros(0, np.int64) if self.known is None else self.known["hash"].to_numpy()
+        size = max(1, (len(hashes) // 4).bit_length())  # longs: 2^size
+        longs = np.zeros(1 << size, np.uint64)
+        h = hashes.view(np.uint64)
+        for shift in (0, 6):
+            np.bitwise_or.at(longs, h >> np.uint64(64 - size), np.uint64(1) << (h >> np.uint64(shift) & np.uint64(63)))
+        bitmap = constant(json.dumps(longs.view(np.int64).tolist()), "array<bigint>")
 
-        Words whose ids are known are looked up where the text is read; what is left of a text, each of its
-        other words once, goes through the fold.
-        """
-        held, tokens = (df.sparkSession.sparkContext.broadcast(x) for x in (self.known, self.pieces))
-        words_, ids_, rest_ = (fresh(df, n) for n in ("_words", "_ids", "_rest"))
-        plain = df.select(*named(columns), self.words(F.col(text)).alias(words_))
+        def bit(w: Column, shift: int) -> Column:
+            h = F.xxhash64(w)
+            return F.getbit(F.get(bitmap, F.shiftrightunsigned(h, 64 - size).cast("int")), F.shiftright(h, shift).bitwiseAND(F.lit(63)).cast("int")) == 1
+
+        return lambda w: bit(w, 0) & bit(w, 6)
+
+    def with_ids(self, df: DataFrame, text: str, columns: list[str], make, schema: str) -> DataFrame:
+        """The rows that make(named columns, ids, pieces) gives for each batch of texts; ids: a list for each text.
 
-        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, starts, lengths, flat = vocabulary(held.value)
+        A text's words that are not known are folded, each once, before its words go to the worker, which looks all
+        of them up: in the table, among the folded ones, and what is in neither (long words, and those that the
+        bitmap took for known) is encoded there.
+        """
+        held = df.sparkSession.sparkContext.broadcast((self.known, self.pieces))
+        words_, rest_, ids_ = (fresh(df, n) for n in ("_words", "_rest", "_ids"))
+        known_ = self.maybe_known()
+        cut = df.select(*named(columns), self.words(F.col(text)).alias(words_))
+        cut = cut.select("*", F.array_distinct(F.filter(words_, lambda w: ~known_(w) & (F.octet_length(w) <= LONG_WORD))).alias(rest_))
+        cut = cut.select("*", self.with_tables(lambda t: F.transform(rest_, lambda w: self._fold(t, w))).alias(ids_))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, pieces = held.value
+            known = vocabulary(known)
             ranks: dict[bytes, int] = {}
             for b in batches:
-                words = b.column(b.num_columns - 1)
+                words, rest, folded = b.columns[-3:]
                 ends, lo = words.offsets.to_numpy(), 0
                 while lo < b.num_rows:
                     hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + WORDS, "right")) - 1)
                     flat_words = words.values.slice(ends[lo], ends[hi] - ends[lo])
-                    found = pc.fill_null(pc.index_in(flat_words, known), -1).to_numpy()
-                    long = np.flatnonzero((found < 0) & (pc.binary_length(flat_words).to_numpy() > LONG_WORD))
-                    if len(long):
-                        ranks = ranks or {x: i for i, x in enumerate(tokens.value.to_pylist()) if x is not None}
-                        of = {w: encode_long(w.encode(), ranks) for w in set(flat_words.take(pa.array(long)).to_pylist())}
-                        # For this part of the batch they stand behind the known words.
-                        at_ = {w: len(starts) + i for i, w in enumerate(of)}
-                        found = found.copy()
-                        found[long] = [at_[w] for w in flat_words.take(pa.array(long)).to_pylist()]
-                        n = np.array([len(x) for x in of.values()], np.int64)
-                        table_ = (np.r_[starts, len(flat) + np.cumsum(n) - n], np.r_[lengths, n], np.r_[flat, np.concatenate(list(of.values()))])
-                    else:
-                        table_ = (starts, lengths, flat)
+                    found, of = looked_up(flat_words, known, folded_words(rest.slice(lo, hi - lo), folded.slice(lo, hi - lo)))
+                    missing = np.flatnonzero(found < 0)
+                    if len(missing):
+                        ranks = ranks or {x: i for i, x in enumerate(pieces.to_pylist()) if x is not None}
+                        found, of = looked_up(flat_words, None, encoded_words(flat_words.take(pa.array(missing)).unique(), ranks), found, of)
                     for at in range(lo, hi, ROWS):
-                        part = b.slice(at, min(ROWS, hi - at))
-                        ids, rest = with_holes(part.column(b.num_columns - 1), found, ends[lo], *table_)
-                        yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, rest], names=[*columns, ids_, rest_])
+                        n = min(ROWS, hi - at)
+                        yield make(b.slice(at, n).columns[:-3], ids_of_words(ends[at : at + n + 1].astype(np.int64), found[ends[at] - ends[lo] : ends[at + n] - ends[lo]], *of), pieces)
                     lo = hi
 
-        found = in_arrow(plain, look_up, schema_of(plain, columns) + f"{ids_} array<int>, {rest_} array<string>")
-        return found.select(*named(columns), ids_, self.with_tables(lambda t: F.transform(rest_, lambda w: self._fold(t, w))).alias(rest_))
+        return in_arrow(cut, run, schema)
 
     def ids_of(self, text: Column) -> Column:
         """Ids of a text by the fold alone; null counts as empty."""
@@ -244,8 +258,11 @@ def encode_long(word: bytes, ranks: dict[bytes, int]) -> np.ndarray:
     return np.array([ranks[word[i : ends[i]]] for i in range(n) if ends[i]], np.int32)
 
 
-def vocabulary(known: pa.Table | None) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, and for each the start and length of its run in the last array: ids."""
+#: Words, and for each the start and length of its run in the last array, which holds ids.
+Words = tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]
+
+
+def vocabulary(known: pa.Table | None) -> Words:
     if known is None or not known.num_rows:
         return pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
     words, ids = known.column(0).chunk(0), known.column(1).chunk(0)
@@ -253,6 +270,32 @@ def vocabulary(known: pa.Table | None) -> tuple[pa.Array, np.ndarray, np.ndarray
     return words, offsets[:-1], np.diff(offsets), ids.values.to_numpy()
 
 
+def folded_words(words: pa.ListArray, ids: pa.ListArray) -> Words:
+    """The folded words of some texts."""
+    ids = ids.flatten()
+    offsets = ids.offsets.to_numpy().astype(np.int64)
+    return words.flatten(), offsets[:-1], np.diff(offsets), ids.values.to_numpy()
+
+
+def encoded_words(words: pa.Array, ranks: dict[bytes, int]) -> Words:
+    ids = [encode_long(w.encode(), ranks) for w in words.to_pylist()]
+    n = np.array([len(x) for x in ids], np.int64)
+    return words, np.cumsum(n) - n, n, np.concatenate(ids)
+
+
+def looked_up(words: pa.Array, known: Words | None, more: Words, found: np.ndarray | None = None, of: tuple | None = None) -> tuple[np.ndarray, tuple]:
+    """For each word its number among the known words (or what was found before), else among `more`, behind them, else -1; and the starts, lengths and ids of both."""
+    if known is not None:
+        found, of = pc.fill_null(pc.index_in(words, known[0]), -1).to_numpy(), known[1:]
+    missing = np.flatnonzero(found < 0)
+    if not len(missing):
+        return found, of
+    at = pc.fill_null(pc.index_in(words.take(pa.array(missing)), more[0]), -1).to_numpy()
+    found = found.copy()
+    found[missing] = np.where(at < 0, -1, len(of[0]) + at)
+    return found, (np.r_[of[0], len(of[2]) + more[1]], np.r_[of[1], more[2]], np.r_[of[2], more[3]])
+
+
 def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """start, start + 1 ... of each run, one run after the other."""
     ends = np.cumsum(lengths)
@@ -263,26 +306,10 @@ def lists(values: pa.Array, offsets: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
 
 
-def with_holes(words: pa.ListArray, found: np.ndarray, first: int, starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> tuple[pa.ListArray, pa.ListArray]:
-    """Of each list of words the ids, with -1, -2 ... for the distinct words that are not known; and those words. found: of the parent's words from `first` on, the number in the vocabulary or -1."""
-    offsets = words.offsets.to_numpy().astype(np.int64)
-    at = found[offsets[0] - first : offsets[-1] - first]
-    ends = offsets - offsets[0]
-    hole = np.flatnonzero(at < 0)
-    row = np.searchsorted(ends, hole, "right") - 1
-    unknown = words.values.slice(offsets[0], offsets[-1] - offsets[0]).take(pa.array(hole)).dictionary_encode()
-    code, distinct = unknown.indices.to_numpy().astype(np.int64), len(unknown.dictionary)
-    pair, inverse = np.unique(row * max(1, distinct) + code, return_inverse=True)
-    of_row = np.searchsorted(pair // max(1, distinct), np.arange(len(ends)))  # first distinct unknown word of each row
-    n = np.ones(len(at), np.int64)
-    n[at >= 0] = lengths[at[at >= 0]]
-    ends_of_words = np.r_[0, np.cumsum(n)]
-    ids = np.empty(ends_of_words[-1], np.int32)
-    in_ids = ends_of_words[:-1]
-    good = at >= 0
-    ids[runs(in_ids[good], n[good])] = flat[runs(starts[at[good]], n[good])]
-    ids[in_ids[hole]] = -1 - (inverse - of_row[row])
-    return lists(pa.array(ids), ends_of_words[ends]), lists(unknown.dictionary.take(pa.array(pair % max(1, distinct))), of_row)
+def ids_of_words(ends: np.ndarray, found: np.ndarray, starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> pa.ListArray:
+    """Of each list of words (by their offsets) the ids. found: the words' numbers, whose runs in `flat` start at `starts`."""
+    n = lengths[found]
+    return lists(pa.array(flat[runs(starts[found], n)]), np.r_[0, np.cumsum(n)][ends - ends[0]])
 
 
 def schema_of(df: DataFrame, columns: list[str]) -> str:
@@ -290,27 +317,6 @@ def schema_of(df: DataFrame, columns: list[str]) -> str:
     return "".join(f"`{c.replace('`', '``')}` {fields[c]}, " for c in columns)
 
 
-def joined(b: pa.RecordBatch) -> pa.ListArray:
-    """Ids of each row of a batch that ends in _ids, _rest."""
-    held, rest = b.column(b.num_columns - 2), b.column(b.num_columns - 1)
-    ends = held.offsets.to_numpy().astype(np.int64)
-    ids = held.values.to_numpy()[ends[0] : ends[-1]]
-    ends = ends - ends[0]
-    hole = np.flatnonzero(ids < 0)
-    row = np.searchsorted(ends, hole, "right") - 1
-    word = rest.offsets.to_numpy()[row] - 1 - ids[hole]
-    bounds = rest.values.offsets.to_numpy().astype(np.int64)
-    base, begin, n = rest.values.values.to_numpy(), bounds[word], bounds[word + 1] - bounds[word]
-    lengths = np.ones(len(ids), np.int64)
-    lengths[hole] = n
-    places = np.r_[0, np.cumsum(lengths)]
-    out = np.empty(places[-1], np.int32)
-    whole = ids >= 0
-    out[places[:-1][whole]] = ids[whole]
-    out[runs(places[:-1][hole], n)] = base[runs(begin, n)]
-    return lists(pa.array(out), places[ends])
-
-
 def joined_pieces(ids: pa.ListArray, pieces: pa.Array) -> pa.BinaryArray:
     """For each list of ids their pieces, one after the other. An id without a piece is an error."""
     ends = ids.offsets.to_numpy()
@@ -329,12 +335,8 @@ def encoded(df: DataFrame, bpe: ByteBPE, text: str = "text") -> DataFrame:
     empty one. Other columns may have any names.
     """
     kept = [c for c in df.columns if c != "token_ids"]
-
-    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, ROWS):
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], joined(b)], names=[*kept, "token_ids"])
-
-    return in_arrow(bpe.cut(df, text, kept), ids, schema_of(df, kept) + "token_ids array<int>")
+    make = lambda columns, ids, _: pa.RecordBatch.from_arrays([*columns, ids], names=[*kept, "token_ids"])
+    return bpe.with_ids(df, text, kept, make, schema_of(df, kept) + "token_ids array<int>")
 
 
 def decoded(df: DataFrame, bpe: ByteBPE, ids: str = "token_ids") -> DataFrame:
@@ -354,16 +356,19 @@ def decoded(df: DataFrame, bpe: ByteBPE, ids: str = "token_ids") -> DataFrame:
 
 def digest_of_round_trip(df: DataFrame, bpe: ByteBPE, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256: encode every whole text, then decode the ids by joining their pieces."""
-    held = df.sparkSession.sparkContext.broadcast(bpe.pieces)
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = pa.array([b" %d" % i for i in range(len(held.value))], pa.binary())
+    def digest(columns: list[pa.Array], ids: pa.ListArray, pieces: pa.Array) -> pa.RecordBatch:
         sha = lambda a, skip: pa.array([hashlib.sha256(memoryview(x.as_buffer())[skip:]).hexdigest() for x in a], pa.string())
-        for b in slices(batches, ROWS):
-            ids = joined(b)
-            yield pa.RecordBatch.from_arrays([b.column(0), pc.list_value_length(ids).cast(pa.int64()), sha(joined_pieces(ids, numbers), 1), sha(joined_pieces(ids, held.value), 0)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        numbers = decimals(len(pieces))
+        return pa.RecordBatch.from_arrays([*columns, pc.list_value_length(ids).cast(pa.int64()), sha(joined_pieces(ids, numbers), 1), sha(joined_pieces(ids, pieces), 0)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return bpe.with_ids(df, text, [id_col], digest, schema_of(df, [id_col]) + "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
-    return in_arrow(bpe.cut(df, text, [id_col]), digest, schema_of(df, [id_col]) + "n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+@lru_cache(1)
+def decimals(n: int) -> pa.BinaryArray:
+    """Each number below n, with a space before it."""
+    return pa.array([b" %d" % i for i in range(n)], pa.binary())
 
 
 def round_trip(df: DataFrame, bpe: ByteBPE, text: str = "text") -> DataFrame:
@@ -373,16 +378,13 @@ def round_trip(df: DataFrame, bpe: ByteBPE, text: str = "text") -> DataFrame:
     table gives an empty one.
     """
     kept = [c for c in df.columns if c not in ("token_ids", "n_tokens", "intact")]
-    held = df.sparkSession.sparkContext.broadcast(bpe.pieces)
     at = kept.index(text)
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, ROWS):
-            ids = joined(b)
-            ok = pc.equal(joined_pieces(ids, held.value), pc.fill_null(b.column(at), "").cast(pa.binary()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], ids, pc.list_value_length(ids).cast(pa.int64()), ok], names=[*kept, "token_ids", "n_tokens", "intact"])
+    def check(columns: list[pa.Array], ids: pa.ListArray, pieces: pa.Array) -> pa.RecordBatch:
+        ok = pc.equal(joined_pieces(ids, pieces), pc.fill_null(columns[at], "").cast(pa.binary()))
+        return pa.RecordBatch.from_arrays([*columns, ids, pc.list_value_length(ids).cast(pa.int64()), ok], names=[*kept, "token_ids", "n_tokens", "intact"])
 
-    return in_arrow(bpe.cut(df, text, kept), check, schema_of(df, kept) + "token_ids array<int>, n_tokens long, intact boolean")
+    return bpe.with_ids(df, text, kept, check, schema_of(df, kept) + "token_ids array<int>, n_tokens long, intact boolean")
 
 
 def public_bpe(name: str = "byte_bpe_50k.tiktoken") -> ByteBPE:
