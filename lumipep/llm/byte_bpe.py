@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import constant, fresh, give_back, in_arrow, named, slices, stage, table
 
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 18
 #: Longer words are never kept in the table.
 CACHE_CHARS = 32
 #: Longer words are not folded.
@@ -82,7 +82,7 @@ def merges(ranks: dict[bytes, int]) -> dict[bytes, int]:
 
 
 class PairRanks:
-    """The rank of the merge of two ids, as two literals: `moves` has an offset for each left id, and `places` at offset + right id the pair and its rank in one number."""
+    """The rank of the merge of two ids, as two literals: `moves` has an offset for each left id, and `places` at offset + right id the left id (from 1) and the rank in one number, or 0. The place tells the right id. Numbers are small, since plans print them."""
 
     def __init__(self, pairs: dict[tuple[int, int], int]):
         self.bits = max((r + 1 for r in pairs.values()), default=256).bit_length()
@@ -92,23 +92,20 @@ class PairRanks:
         rows: dict[int, list[int]] = {}
         for a, b in pairs:
             rows.setdefault(a, []).append(b)
-        places, moves, start = np.full(4 * len(pairs) + 2 * self.none, 1 << 62), [0] * self.none, 0
+        places, moves, start = np.zeros(4 * len(pairs) + 2 * self.none, np.int64), [0] * self.none, 0
         for a, right in sorted(rows.items(), key=lambda x: -len(x[1])):
             # The first offset at which all places of the row are free; a row finds none before that of a longer one's first.
             at = np.array(right)
-            moves[a] = start = next(m for m in range(start if len(right) > 1 else 0, len(places)) if (places[at + m] == 1 << 62).all()) if len(right) > 1 else int(np.argmax(places[at[0] :] == 1 << 62))
-            places[at + moves[a]] = [self.packed(a, b) | pairs[a, b] for b in right]
-        last = int(np.flatnonzero(places != 1 << 62).max(initial=0)) + 1
+            moves[a] = start = next(m for m in range(start if len(right) > 1 else 0, len(places)) if not places[at + m].any()) if len(right) > 1 else int(np.argmax(places[at[0] :] == 0))
+            places[at + moves[a]] = [(a + 1 << self.bits) | pairs[a, b] for b in right]
+        last = int(np.flatnonzero(places).max(initial=0)) + 1
         self.places, self.moves = constant(json.dumps(places[:last].tolist()), "array<bigint>"), constant(json.dumps(moves), "array<bigint>")
 
-    def packed(self, a: int, b: int) -> int:
-        return (a << 2 * self.bits) | (b << self.bits)
-
     def rank(self, tables: Column, a: Column, b: Column) -> Column:
         """The rank, or `none` if the pair does not merge or b is null."""
         stands = F.get(tables["places"], F.get(tables["moves"], a) + b)
-        # Without the pair's own bits: the rank, or a larger number if another pair stands there.
-        return F.least(stands.bitwiseXOR(F.shiftleft(a, 2 * self.bits).bitwiseOR(F.shiftleft(b, self.bits))), F.lit(self.none))
+        # Without the left id's own bits: the rank, or a larger number if another pair or none stands there.
+        return F.least(stands.bitwiseXOR(F.shiftleft(a + 1, self.bits)), F.lit(self.none))
 
 
 class ByteBPE:
@@ -190,11 +187,8 @@ class ByteBPE:
             np.bitwise_or.at(longs, h >> np.uint64(64 - size), np.uint64(1) << (h >> np.uint64(shift) & np.uint64(63)))
         bitmap = constant(json.dumps(longs.view(np.int64).tolist()), "array<bigint>")
 
-        def bit(w: Column, shift: int) -> Column:
-            h = F.xxhash64(w)
-            return F.getbit(F.get(bitmap, F.shiftrightunsigned(h, 64 - size).cast("int")), F.shiftright(h, shift).bitwiseAND(F.lit(63)).cast("int")) == 1
-
-        return lambda w: bit(w, 0) & bit(w, 6)
+        bit = lambda x, h, shift: F.getbit(x, F.shiftright(h, shift).bitwiseAND(F.lit(63)).cast("int")) == 1
+        return lambda w: let(F.xxhash64(w), lambda h: let(F.get(bitmap, F.shiftrightunsigned(h, 64 - size).cast("int")), lambda x: bit(x, h, 0) & bit(x, h, 6)))
 
     def with_ids(self, df: DataFrame, text: str, columns: list[str], make, schema: str) -> DataFrame:
         """The rows that make(named columns, ids, pieces) gives for each batch of texts; ids: a list for each text.
