@@ -41,7 +41,8 @@ def read_emission(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
     starts = numbered(proteins.filter("n_flu > 0"), ["row"], "_i", F.col("n_flu"), "start").withColumn("start", F.col("start").cast("long"))
     at = starts.select(F.col("row").cast("int").alias("protein_id"), F.explode(F.sequence("start", F.col("start") + F.col("n_flu") - 1)).alias("row"))
     entries = read_flat(spark, [_file("flu_id", folder, FLU), _file("p", folder, P)])
-    emission = at.join(entries, "row").select("protein_id", F.col("flu_id").cast("int").alias("flu_id"), F.col("p").cast("double").alias("p"))
+    # Spark takes `at` for as small as the table that it is exploded from, and would broadcast it.
+    emission = at.join(entries.hint("merge"), "row").select("protein_id", F.col("flu_id").cast("int").alias("flu_id"), F.col("p").cast("double").alias("p"))
     return emission, proteins.select(F.col("row").cast("int").alias("protein_id"), F.col("exp_n").cast("double").alias("exp_n"))
 
 
