@@ -30,3 +30,18 @@ def numbered(df: DataFrame, order: list, name: str, total: Column | None = None,
         before = Window.partitionBy("_part").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
         placed = placed.withColumn(running, F.col("_s") + F.coalesce(F.sum("_total").over(before), F.lit(0.0)))
     return placed.drop("_part", "_mid", "_n", "_s", "_total")
+
+
+def in_file_order(df: DataFrame, name: str) -> DataFrame:
+    """df, rows just as a reader gives them, with `name`: 0, 1, 2 ... through its files in order of their paths, and from each file's start to its end.
+
+    Spark deals blocks of files to tasks by their length, but reads a block from start to end. So nothing is sorted: a
+    row's number is its place in its block and the rows of the blocks before, of which one row each goes to the driver.
+    """
+    rows = written(df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_mid")), "read")
+    offsets, n = [], 0
+    for r in rows.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("n"), F.min("_mid").alias("first")).orderBy("_file", "_block").collect():
+        offsets.append((r["_file"], r["_block"], n - r["first"]))
+        n += r["n"]
+    placed = rows.join(F.broadcast(rows.sparkSession.createDataFrame(offsets, "_file string, _block long, _n long")), ["_file", "_block"])
+    return placed.withColumn(name, F.col("_n") + F.col("_mid")).drop("_file", "_block", "_mid", "_n")

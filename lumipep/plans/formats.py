@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbering import numbered
+from ..functions.numbering import in_file_order, numbered
 from ..functions.scratch import shared_dir
 from ..functions.sequence import three_digits
 from ..operators import digest as dg
@@ -83,7 +83,7 @@ def simulation_csv_scan(t: Tables) -> DataFrame:
 @query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS at, o_totalprice AS value FROM orders")
 def numbers_csv_scan(t: Tables) -> DataFrame:
     path = place(t, "numbers")
-    t.read("orders").orderBy("o_orderkey").coalesce(1).select("o_totalprice").write.csv(path)
+    t.read("orders").orderBy("o_orderkey").select("o_totalprice").write.csv(path)
     return readers.numbers_csv(t.spark, path)
 
 
@@ -91,7 +91,7 @@ def numbers_csv_scan(t: Tables) -> DataFrame:
 def emission_csv_round_trip(t: Tables) -> DataFrame:
     e, paths = t.emission(), [place(t, x) for x in ("counts", "flus", "ps")]
     for rows, path in zip((e.groupBy("protein_id").agg(F.count(F.lit(1)).alias("n")).orderBy("protein_id").select("n"), e.orderBy("protein_id", "flu_id").select("flu_id"), e.orderBy("protein_id", "flu_id").select("p")), paths, strict=True):
-        rows.coalesce(1).write.csv(path)
+        rows.write.csv(path)
     return readers.emission_csv(t.spark, *paths).select("protein_id", "flu_id", r9("p").alias("p"))
 
 
@@ -100,8 +100,6 @@ def emission_csv_round_trip(t: Tables) -> DataFrame:
 
 @query("SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount, l_tax) - 1 AS read_id, l_partkey::INTEGER AS true_flu, [l_quantity, l_discount, l_tax] AS signal FROM lineitem")
 def radiometries_round_trip(t: Tables) -> DataFrame:
-    from ..functions.numbering import numbered
-
     signal, ids = place(t, "signal"), place(t, "ids")
     rows = numbered(t.read("lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax"], "read_id")
     rows = rows.select("read_id", F.col("l_partkey").cast("int").alias("true_flu"), F.array("l_quantity", "l_discount", "l_tax").alias("signal"))
@@ -112,11 +110,9 @@ def radiometries_round_trip(t: Tables) -> DataFrame:
 
 @query(_FLU + "\nSELECT flu_id + 2 AS line, reverse(flustring) || chr(9) || '1' || chr(9) || flu_id AS value FROM cat UNION ALL SELECT 0, '3' UNION ALL SELECT 1, count(*)::VARCHAR FROM cat")
 def dye_sequences_lines(t: Tables) -> DataFrame:
-    from ..functions.numbering import numbered
-
     path = place(t, "dyes")
     sinks.dye_sequences(dg.flustring_catalog(_flus(t)), path)
-    return numbered(t.spark.read.text(path).withColumn("o", F.monotonically_increasing_id()), ["o"], "line").select("line", "value")
+    return in_file_order(t.spark.read.text(path), "line").select("line", "value")
 
 
 # Runs ----------------------------------------------------------------------------------------------------------

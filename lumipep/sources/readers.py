@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numbering import numbered
+from ..functions.numbering import in_file_order, numbered
 from ..functions.sequence import gene_token
 from .flatfile import PART_BYTES, read_flat
 from .flatfile import Column as FlatColumn
@@ -55,17 +55,17 @@ def simulation_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbers_csv(spark: SparkSession, path: str, kind: str = "double") -> DataFrame:
-    """at, value: one column without header, in file order."""
-    rows = spark.read.schema(f"value {kind}").csv(path).withColumn("_o", F.monotonically_increasing_id())
-    return numbered(rows, ["_o"], "at").select("at", "value")
+    """at, value: one column without header, in file order; of a folder of files in order of their names."""
+    return in_file_order(spark.read.schema(f"value {kind}").csv(path), "at").select("at", "value")
 
 
 def emission_csv(spark: SparkSession, counts: str, flus: str, ps: str) -> DataFrame:
     """protein_id, flu_id, p from three columns of numbers: entries of each protein, and all ids and probabilities in a row."""
     ends = numbered(numbers_csv(spark, counts, "int").withColumnRenamed("at", "protein_id").filter("value > 0"), ["protein_id"], "_i", F.col("value"), "start")
     at = ends.select(F.col("protein_id").cast("int").alias("protein_id"), F.explode(F.sequence(F.col("start").cast("long"), F.col("start").cast("long") + F.col("value") - 1)).alias("at"))
-    both = numbers_csv(spark, flus, "int").withColumnRenamed("value", "flu_id").join(numbers_csv(spark, ps).withColumnRenamed("value", "p"), "at")
-    return at.join(both, "at").select("protein_id", "flu_id", "p")
+    both = numbers_csv(spark, flus, "int").withColumnRenamed("value", "flu_id").join(numbers_csv(spark, ps).withColumnRenamed("value", "p").hint("merge"), "at")
+    # Spark takes `at` for as small as the table that it is exploded from, and would broadcast it.
+    return at.join(both.hint("merge"), "at").select("protein_id", "flu_id", "p")
 
 
 def flat_binary(spark: SparkSession, path: str, dtype: str, width: int = 1, rows: int | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -119,16 +119,15 @@ def sweep(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tsv_rows(spark: SparkSession, path: str, header_rows: int) -> DataFrame:
-    """row (from 0, after the header), values (array<double>) of a tab-separated file."""
-    rows = spark.read.text(path).withColumn("_o", F.monotonically_increasing_id())
-    n = numbered(rows, ["_o"], "row").filter(F.col("row") >= header_rows)
+    """row (from 0, after the header), values (array<double>) of a tab-separated file, or of one in parts, in order of their names."""
+    n = in_file_order(spark.read.text(path), "row").filter(F.col("row") >= header_rows)
     return n.select((F.col("row") - header_rows).alias("row"), F.transform(F.split("value", "\t"), lambda x: x.cast("double")).alias("values"))
 
 
 def radiometries(spark: SparkSession, signal: str, true_ids: str) -> DataFrame:
     """read_id, true_flu, signal: two files side by side, line by line."""
     s, t = tsv_rows(spark, signal, 3), tsv_rows(spark, true_ids, 1)
-    return s.select("row", F.col("values").alias("signal")).join(t.select("row", F.get("values", F.lit(0)).cast("int").alias("true_flu")), "row").select(F.col("row").alias("read_id"), "true_flu", "signal")
+    return s.select("row", F.col("values").alias("signal")).join(t.select("row", F.get("values", F.lit(0)).cast("int").alias("true_flu")).hint("merge"), "row").select(F.col("row").alias("read_id"), "true_flu", "signal")
 
 
 def _run(path: Column) -> Column:

@@ -143,3 +143,44 @@ def test_too_many_rows_of_a_read_raise(spark, tmp_path):
     stream = _dealt(spark, str(tmp_path / "in"), [[(1, 0, 0.5, 2)], [(1, 1, 0.5, 2), (1, 2, 0.5, 2)]])
     with pytest.raises(Exception, match="read 1: 3 scores where its rows say 2"):
         accumulate(stream, emission, pi, str(tmp_path / "w"), str(tmp_path / "cp"), 3).awaitTermination()
+
+
+def test_numbers_in_parts(spark, tmp_path):
+    """A column in parts of any lengths is numbered in order of the parts' names."""
+    for name, values in (("part-00000", [0]), ("part-00001", range(1, 500)), ("part-00002", [500, 501])):
+        (tmp_path / "n").mkdir(exist_ok=True)
+        (tmp_path / "n" / name).write_text("".join(f"{v}\n" for v in values))
+    assert rows(readers.numbers_csv(spark, str(tmp_path / "n"), "int"), "at", "value") == [(i, i) for i in range(502)]
+
+
+def test_entries_are_not_broadcast(spark, tmp_path):
+    """Rows exploded from a short table of counts are many: neither form of the emission joins them by a broadcast."""
+    from lumipep.sources import interchange
+
+    for name, values in (("n", [2, 1]), ("f", [0, 3, 3]), ("p", [0.25, 0.75, 1.0])):
+        (tmp_path / f"{name}.csv").write_text("".join(f"{v}\n" for v in values))
+    csv = readers.emission_csv(spark, *(str(tmp_path / f"{n}.csv") for n in "nfp"))
+    entries = spark.createDataFrame([(0, 0, 0.25), (0, 3, 0.75), (1, 3, 1.0)], "protein_id int, flu_id int, p double")
+    weights = spark.createDataFrame([(0, 1.0), (1, 1.0)], "protein_id int, exp_n double")
+    interchange.write_emission(entries, weights, str(tmp_path / "flat"))
+    flat = interchange.read_emission(spark, str(tmp_path / "flat"))[0]
+    for df in (csv, flat):
+        assert rows(df, "protein_id", "flu_id", "p") == [(0, 0, 0.25), (0, 3, 0.75), (1, 3, 1.0)]
+        joins = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+        assert sum("strategy=merge" in x for x in joins) == (2 if df is csv else 1)
+
+
+def test_lines_in_many_tasks(spark, tmp_path):
+    """A long text is written by more than one task, and read back line by line."""
+    df = spark.range(20000).selectExpr("id as read_id", "cast(id % 7 as int) as true_flu", "array(id / 2.0D) as signal")
+    sinks.radiometries_tsv(df, str(tmp_path / "r"), 1, 1)
+    sinks.true_ids_tsv(df, str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.radiometries_tsv(df, str(tmp_path / "r"), 1, 1)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(list((tmp_path / "r").glob("part*"))) > 1
+    back = readers.radiometries(spark, str(tmp_path / "r"), str(tmp_path / "t"))
+    assert rows(back, "read_id", "true_flu", "signal") == rows(df, "read_id", "true_flu", "signal")
