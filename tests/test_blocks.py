@@ -43,6 +43,15 @@ def test_no_row_for_a_term(spark):
     assert not any("Join" in line and "mid" in line for line in plan.splitlines())
 
 
+def test_results_are_not_moved(spark):
+    """What is dealt to tasks are blocks of the inputs; after the product there is no exchange and no sort."""
+    a = spark.range(64 * 64).select((F.col("id") % 64).alias("row"), F.floor(F.col("id") / 64).alias("mid"), F.lit(1.0).alias("value"))
+    df = blocks.product(a, a.select("mid", F.col("row").alias("col"), "value"), 4, 8, 4)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("MapInArrow")
+    assert df.count() == 64 * 64 and df.agg(F.sum("value")).first()[0] == 64**3
+
+
 @pytest.fixture(scope="module")
 def problem(spark):
     r = np.random.default_rng(3)
