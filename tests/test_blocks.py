@@ -104,3 +104,27 @@ def test_even_keys(spark):
     keys = em.even_keys(spark, 13)
     got = spark.createDataFrame([(k,) for k in keys], "id long").repartition(13, "id").select("id", F.spark_partition_id().alias("p")).collect()
     assert {r["id"]: r["p"] for r in got} == {k: i for i, k in enumerate(keys)}
+
+
+def test_likelihoods_by_read(spark, problem):
+    """Pairs of reads and proteins against a matrix product; no row for a pair is exchanged."""
+    e, scores, start = problem
+    s, p = np.zeros((300, 30)), np.zeros((30, 12))
+    for r in scores.collect():
+        s[r["read_id"], r["flu_id"]] = r["s"]
+    for r in e.collect():
+        p[r["flu_id"], r["protein_id"]] = r["p"]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # reads lie across batches
+    try:
+        x = s @ p
+        df = em.eta(scores, e)
+        assert df._jdf.queryExecution().optimizedPlan().toString().lstrip().startswith("MapInArrow")
+        got = {(r["read_id"], r["protein_id"]): r["eta"] for r in df.collect()}
+        assert got.keys() == set(zip(*np.nonzero(x), strict=True)) and all(abs(v - x[k] - 0.01) < 1e-12 for k, v in got.items())
+        d = x.sum(1) / 12 + 0.01
+        for r in em.responsibilities_of_scores(scores, e, start).collect():
+            n, i = r["read_id"], r["protein_id"]
+            assert abs(r["alpha"] - (x[n, i] + 0.01) / 12 / d[n]) < 1e-12 and abs(r["rest"] - 0.01 / d[n]) < 1e-12
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
