@@ -65,13 +65,14 @@ def partial_statistics(scores: DataFrame, emission: DataFrame, pi: DataFrame) ->
     return epoch(scores, emission, pi)
 
 
-def accumulate(stream: DataFrame, emission: DataFrame, pi: DataFrame, path: str, checkpoint: str, n_flu: int | None = None) -> StreamingQuery:
+def accumulate(stream: DataFrame, emission: DataFrame, pi: DataFrame, path: str, checkpoint: str, n_flu: int | None = None, buckets: int = BUCKETS) -> StreamingQuery:
     """A streaming query that writes each micro-batch's statistics under its batch id, so that a batch that is repeated replaces itself.
 
     stream: rows as `epoch` takes them, a read's in one file; or, with n_flu, bare scores with their number (as
-    `whole_reads` takes them), which may come in any files: the read's residual is made when it is complete.
+    `whole_reads` takes them), which may come in any files: the read's residual is made when it is complete. Open
+    reads are held in `buckets`, of which there should be more for a longer stream.
     """
-    source = stream if n_flu is None else whole_reads(stream)
+    source = stream if n_flu is None else whole_reads(stream, buckets)
 
     def one(batch: DataFrame, batch_id: int) -> None:
         rows = batch
