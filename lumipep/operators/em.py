@@ -180,16 +180,29 @@ def _by_flu(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "flu_id")
 
 
-def updated(statistics: DataFrame, emission: DataFrame, pi: DataFrame) -> DataFrame:
-    """cv, protein_id, u, pi after the epoch with these statistics. A fold without a usable read keeps its estimate."""
-    # Laid out by flu, as `fit` keeps the emission.
-    w = _by_flu(statistics.filter("flu_id is not null").select("cv", "flu_id", "w")).groupBy("cv", "flu_id").agg(F.sum("w").alias("w"))
-    rest = statistics.groupBy("cv").agg(F.sum("rest").alias("rest"))
+def unscaled(statistics: DataFrame, emission: DataFrame, pi: DataFrame, few_flus: bool = False) -> DataFrame:
+    """cv, protein_id, u, before: what falls to each protein in the epoch with these statistics, and pi before it. few_flus: w is sent to the emission, which nothing moves then; rows of one flu add up there."""
+    w = statistics.filter("flu_id is not null").select("cv", "flu_id", "w")
+    if few_flus:
+        w = F.broadcast(w)
+    else:  # laid out by flu, as `fit` keeps the emission
+        w = _by_flu(w).groupBy("cv", "flu_id").agg(F.sum("w").alias("w"))
+    rest = statistics.filter("flu_id is null").groupBy("cv").agg(F.sum("rest").alias("rest"))
     x = emission.select("protein_id", "flu_id", "p").join(w, "flu_id").groupBy("cv", "protein_id").agg(F.sum(F.col("p") * F.col("w")).alias("x"))
     some = F.coalesce("x", F.lit(0.0)) + F.coalesce("rest", F.lit(0.0))
-    u = pi.select("cv", "protein_id", "pi").join(x, ["cv", "protein_id"], "left").join(F.broadcast(rest), "cv", "left").withColumn("u", F.col("pi") * some)  # a row a fold
+    u = pi.select("cv", "protein_id", "pi").join(x, ["cv", "protein_id"], "left").join(F.broadcast(rest), "cv", "left")  # a row a fold
+    return u.select("cv", "protein_id", (F.col("pi") * some).alias("u"), F.col("pi").alias("before"))
+
+
+def scaled(u: DataFrame) -> DataFrame:
+    """cv, protein_id, u, pi of `unscaled`, which is read twice: a written table, or its work is done twice. A fold without a usable read keeps its estimate."""
     sums = u.groupBy("cv").agg(F.sum("u").alias("total"))
-    return u.join(F.broadcast(sums), "cv").select("cv", "protein_id", "u", F.when(F.col("total") > 0, F.col("u") / F.col("total")).otherwise(F.col("pi")).alias("pi"))
+    return u.join(F.broadcast(sums), "cv").select("cv", "protein_id", "u", F.when(F.col("total") > 0, F.col("u") / F.col("total")).otherwise(F.col("before")).alias("pi"))
+
+
+def updated(statistics: DataFrame, emission: DataFrame, pi: DataFrame) -> DataFrame:
+    """cv, protein_id, u, pi after the epoch with these statistics."""
+    return scaled(written(unscaled(statistics, emission, pi), "update"))
 
 
 def fit(scores: DataFrame, emission: DataFrame, start: DataFrame, epochs: int, keep: Kept | None = None, chunks: int = 1) -> Fit:
@@ -220,7 +233,7 @@ def fit(scores: DataFrame, emission: DataFrame, start: DataFrame, epochs: int, k
             sent = F.broadcast(pi) if few_proteins else pi
             parts = [save(f"statistics-{k}-{c}", epoch(_chunk(held, c, chunks), model, sent, few, tuple(reads))) for c in range(chunks)]
             out.statistics.append(reduce(DataFrame.unionByName, parts))
-            out.states.append(save(f"state-{k}", updated(out.statistics[-1], model, pi)))
+            out.states.append(scaled(save(f"state-{k}", unscaled(out.statistics[-1], model, pi, few and chunks == 1))))
     held.unpersist()
     model.unpersist()
     return out

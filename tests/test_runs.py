@@ -185,3 +185,15 @@ def test_weighted_folds(spark, tables):
     reads, truth = folds.weighted_folds(tables["emission"], protein_weights(tables["emission"]), labels, 1000, 3)
     assert values(reads.groupBy("cv").agg(F.sum("m")), "cv") == {(0,): 1000, (1,): 1000, (2,): 1000}
     assert values(truth.groupBy("cv").agg(F.sum("p_y")), "cv") == pytest.approx({(0,): 1.0, (1,): 1.0, (2,): 1.0})
+
+
+def test_update_is_made_once(spark, tables):
+    """What an epoch gives to the proteins is not made again for its sum."""
+    from lumipep.operators.emission import prior, protein_weights
+
+    e = tables["emission"]
+    stats = spark.createDataFrame([(0, 1, 2.0, 0.0, 0.0), (0, None, 0.0, 0.5, 1.0)], "cv int, flu_id int, w double, rest double, loglik double")
+    pi = prior(protein_weights(e)).select(F.lit(0).alias("cv"), "protein_id", "pi")
+    got = em.updated(stats, e, pi)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert got.agg(F.sum("pi")).first()[0] == pytest.approx(1.0)
