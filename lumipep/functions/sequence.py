@@ -17,7 +17,7 @@ LABELS = ("DE", "C", "Y")
 
 def sequence_of(text: Column) -> Column:
     """Letters only, upper case; filtered first, since upper() makes two letters of some."""
-    return F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z]", ""))
+    return F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z]+", ""))
 
 
 def peptides(sequence: Column, protease: str = "trypsin") -> Column:
@@ -32,7 +32,7 @@ def flustring(peptide: Column, labels: tuple[str, ...] = LABELS) -> Column:
     channel = {residue: str(i) for i, residues in enumerate(labels) for residue in residues}
     seen = "".join(channel)
     dots = F.regexp_replace(F.coalesce(peptide, F.lit("")), f"[^{seen}]", ".")
-    return F.regexp_replace(F.translate(dots, seen, "".join(channel.values())), r"\.+$", "")
+    return F.rtrim(F.translate(dots, seen, "".join(channel.values())), F.lit("."))
 
 
 def dye_count(flu: Column) -> Column:

@@ -241,3 +241,16 @@ def test_first_flustrings(spark):
     assert sorted(tuple(r) for r in first.collect()) == want and len(want) == 3
     assert [r[0] for r in dg.observable(p).orderBy("protein_id").collect()] == [r[0] for r in want]
     assert "Generate" not in first._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_labelled_peptides_are_labelled_once(spark):
+    """Flustrings made before a peptide is a row are the same, and a filter on them does not make them again."""
+    from lumipep.functions.sequence import sequence_of
+
+    texts = ["MKPARDEK", "AK", "KRRP", "MDEACYKG", "", "d e-c.Y\nk", None]
+    prots = spark.createDataFrame(list(enumerate(texts)), "protein_id long, text string").select("protein_id", sequence_of(F.col("text")).alias("sequence"))
+    one, two = dg.labelled_peptides(prots), dg.labelled(dg.numbered_peptides(prots))
+    assert sorted(map(tuple, one.collect())) == sorted(tuple(r) for r in two.select(*one.columns).collect())
+    plan = one.filter("flustring <> ''")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^DECY]") == 1
+    assert {r["flustring"] for r in dg.experiment_table(one, dg.flustring_catalog(one)).collect()} == {"00", ".00.12", "0012"}
