@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbering import numbered
 from ..functions.scratch import written
-from .emission import flu_distribution, share, to_read_share
+from .emission import flu_distribution, to_read_share
 
 
 def hashed(*parts) -> Column:
@@ -25,8 +25,12 @@ def hashed(*parts) -> Column:
 
 def random_abundances(proteins: DataFrame, n_folds: int, seed: str = "abundance") -> DataFrame:
     """cv, protein_id, p_y: uniform over the simplex, as normalised exponential draws."""
-    rows = proteins.select("protein_id").withColumn("cv", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
-    return share(rows, -F.log(1 - hashed(F.lit(seed), F.col("cv"), F.col("protein_id"))), "p_y", ["cv"]).select("cv", "protein_id", "p_y")
+    # Ids are dealt to tasks first: a file of them is short, but their draws are many.
+    ids = proteins.select("protein_id").repartition(int(proteins.sparkSession.conf.get("spark.sql.shuffle.partitions")), "protein_id")
+    rows = ids.withColumn("cv", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1)))).withColumn("x", -F.log(1 - hashed(F.lit(seed), F.col("cv"), F.col("protein_id"))))
+    # The sums, a row a fold, go to the draws, which are made again and not moved.
+    total = F.broadcast(rows.groupBy("cv").agg(F.sum("x").alias("total")))
+    return rows.join(total, "cv").select("cv", "protein_id", (F.col("x") / F.col("total")).alias("p_y"))
 
 
 def sampled_labels(flu_p: DataFrame, n: int, cv: int, seed: str = "label") -> DataFrame:

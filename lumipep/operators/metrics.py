@@ -26,7 +26,7 @@ def uniform_mae(truth: DataFrame, by: list[str] | None = None, true: str = "p_y"
     """Error of guessing all proteins equally abundant."""
     by = by or []
     n = truth.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    joined = truth.join(n, by) if by else truth.crossJoin(F.broadcast(n))
+    joined = truth.join(F.broadcast(n), by) if by else truth.crossJoin(F.broadcast(n))  # a row a fold
     return joined.groupBy(*by).agg(F.avg(F.abs(1 / F.col("n") - F.col(true))).alias("mae"))
 
 

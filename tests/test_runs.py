@@ -197,3 +197,10 @@ def test_update_is_made_once(spark, tables):
     got = em.updated(stats, e, pi)
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
     assert got.agg(F.sum("pi")).first()[0] == pytest.approx(1.0)
+
+
+def test_draws_of_one_file_are_made_in_many_tasks(spark):
+    a = folds.random_abundances(spark.range(5).coalesce(1).withColumnRenamed("id", "protein_id"), 3)
+    plan = a._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "strategy=broadcast" in plan
+    assert values(a.groupBy("cv").agg(F.sum("p_y")), "cv") == pytest.approx({(i,): 1.0 for i in range(3)})
