@@ -47,10 +47,11 @@ def to_read_share(p_y: DataFrame, weights: DataFrame, by: list[str] | None = Non
     return share(p_y.drop("exp_n").join(weights.select("protein_id", "exp_n"), "protein_id"), F.col("p_y") * F.col("exp_n"), "pi", by)
 
 
-def flu_distribution(emission: DataFrame, pi: DataFrame) -> DataFrame:
-    """flu_id, p: how often a random read shows each flustring."""
-    mass = emission.join(pi.select("protein_id", "pi"), "protein_id").groupBy("flu_id").agg(F.sum(F.col("p") * F.col("pi")).alias("m"))
-    return share(mass, F.col("m"), "p").select("flu_id", "p")
+def flu_distribution(emission: DataFrame, pi: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by, flu_id, p: how often a random read shows each flustring."""
+    by = by or []
+    mass = emission.join(pi.select(*by, "protein_id", "pi"), "protein_id").groupBy(*by, "flu_id").agg(F.sum(F.col("p") * F.col("pi")).alias("m"))
+    return share(mass, F.col("m"), "p", by).select(*by, "flu_id", "p")
 
 
 def ragged(emission: DataFrame) -> DataFrame:

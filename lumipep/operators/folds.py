@@ -6,10 +6,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,66 +57,79 @@ def sampled_reads(draws: DataFrame, reads: DataFrame, cv: int, seed: str = "read
     return want.join(nth, ["true_flu", "nth"]).groupBy("read_id").agg(F.count(F.lit(1)).alias("m")).select(F.lit(cv).alias("cv"), "read_id", "m")
 
 
-#: Children of a node when draws go down a tree of ids.
+#: Leaves, on an average, of a node among which draws are dealt at once.
 CHILDREN = 256
 
 
-def drawn_counts(leaves: DataFrame, totals: DataFrame, by: list[str], n_col: str, mass: str, seed: str) -> DataFrame:
-    """by, id, m: how often each leaf is drawn when each group's draws fall to its leaves in proportion to their mass.
+def drawn_counts(leaves: DataFrame, totals: DataFrame, by: list[str], n_col: str, mass: str, seed: str, runs: list[str] | None = None) -> DataFrame:
+    """by, runs, id, m: how often each leaf is drawn when each group's draws fall to its leaves in proportion to their mass.
 
-    leaves: by, id (0 or more), mass; totals: by, n_col. Draws are never made one by one: a group's number goes down a
-    tree of its ids, CHILDREN a node, and every node deals its own to its children by a multinomial whose generator is
-    seeded with the node. So the counts are the same however rows lie, and those of a group add up to its number.
+    leaves: by, id, mass; totals: by, runs, n_col, where `runs` tell apart draws from the same leaves. Draws are never
+    made one by one. A group of up to CHILDREN leaves deals its number to them by a multinomial whose generator is
+    seeded with the group; a larger one deals it to buckets of its ids first, which are drawn the same way. So the
+    counts are the same however rows lie, those of a group add up to its number, and a leaf is moved once for its bucket.
     """
-    bits = CHILDREN.bit_length() - 1
-    top = leaves.agg(F.max("id")).first()[0]
-    if top is None:
-        return leaves.select(*by, "id", F.lit(0).cast("long").alias("m")).limit(0)
-    level = -(-max(1, int(top).bit_length()) // bits)
-    held = totals.select(*by, F.lit(0).cast("long").alias("node"), F.col(n_col).cast("long").alias("m")).filter("m > 0")
-
-    def dealt(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in parts:
-            out = []
-            for r in rows.itertuples(index=False):
-                kids = sorted((k["node"], k["mass"]) for k in r.kids)
-                p = np.array([x for _, x in kids], float)
-                name = "-".join(map(str, [seed, level, *r[: len(by)], r.parent]))
-                rng = np.random.default_rng(int.from_bytes(hashlib.md5(name.encode()).digest(), "little"))
-                m = rng.multinomial(int(r.m), p / p.sum())
-                out += [(*r[: len(by)], int(node), int(x)) for (node, _), x in zip(kids, m, strict=True) if x]
-            yield pd.DataFrame(out, columns=[*by, "node", "m"])
-
-    kinds = ", ".join(f"{c} {held.schema[c].dataType.simpleString()}" for c in by) + (", " if by else "")
-    while level > 0:
-        level -= 1
-        here = leaves.select(*by, F.shiftright("id", bits * level).alias("node"), F.col(mass).cast("double").alias("mass")).filter("mass > 0").groupBy(*by, "node").agg(F.sum("mass").alias("mass"))
-        kids = here.groupBy(*by, F.shiftright("node", bits).alias("parent")).agg(F.collect_list(F.struct("node", "mass")).alias("kids"))  # CHILDREN at most
-        met = held.withColumnRenamed("node", "parent").join(kids, [*by, "parent"]).select(*by, "parent", "m", "kids")
-        held = written(met.mapInPandas(dealt, kinds + "node long, m long"), "dealt")
-    return held.withColumnRenamed("node", "id")
-
-
-def sampled_counts(flu_p: DataFrame, reads: DataFrame, n: int, cv: int, seed: str = "fold") -> DataFrame:
-    """cv, read_id, m: n reads with replacement, the flu of each by flu_p (flu_id, p) and then one of the flu's reads. Flus without a read are not drawn. Counts throughout: the work does not grow with n."""
+    runs = runs or []
+    leaves = leaves.select(*by, F.col("id").cast("long").alias("id"), F.col(mass).cast("double").alias("mass")).filter("mass > 0")
+    held = totals.select(*by, *runs, F.col(n_col).cast("long").alias("m")).filter("m > 0")
+    sizes = leaves.groupBy(*by).agg(F.count(F.lit(1)).alias("size"))
+    if (sizes.agg(F.max("size")).first()[0] or 0) <= CHILDREN:
+        return _dealt(leaves, held, by, runs, seed)
+    many = sizes.filter(F.col("size") > CHILDREN)
+    met = leaves.join(many, by, "left") if by else leaves.crossJoin(F.broadcast(many))
+    place = F.pmod(F.xxhash64("id"), F.ceil(F.coalesce("size", F.lit(1)) / CHILDREN))
+    placed = written(met.select(*by, place.alias("_bucket"), "id", "mass"), "leaves")
+    buckets = placed.groupBy(*by, F.col("_bucket").alias("id")).agg(F.sum("mass").alias("mass"))
+    among = drawn_counts(buckets, held, by, "m", "mass", f"{seed}-of", runs).withColumnRenamed("id", "_bucket")
+    return _dealt(placed, among, [*by, "_bucket"], runs, seed).drop("_bucket")
+
+
+def _dealt(leaves: DataFrame, totals: DataFrame, by: list[str], runs: list[str], seed: str) -> DataFrame:
+    """One level of `drawn_counts`: a group is one row, in which its leaves stand in order."""
+    pair = F.sort_array(F.collect_list(F.struct("id", "mass")))
+    groups = leaves.groupBy(*by).agg(pair.alias("x")).select(*by, F.col("x.id").alias("ids"), F.col("x.mass").alias("mass"))
+    keys = [*by, *runs]
+    met = (totals.join(groups, by) if by else totals.crossJoin(groups)).select(*keys, "m", "ids", "mass")
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, mass = b.columns[-2:]
+            size, n, p = pc.list_value_length(ids).to_numpy(), b.column(len(keys)).to_numpy(), mass.flatten().to_numpy()
+            drawn, names, at = np.zeros(len(p), np.int64), zip(*[c.to_pylist() for c in b.columns[: len(keys)]], strict=True) if keys else [()], 0
+            for name, k, m in zip(names, size, n, strict=True):
+                rng = np.random.default_rng(int.from_bytes(hashlib.md5("-".join(map(str, [seed, *name])).encode()).digest(), "little"))
+                drawn[at : at + k] = rng.multinomial(m, p[at : at + k] / p[at : at + k].sum())
+                at += k
+            some = pa.array(np.flatnonzero(drawn))
+            row = pa.array(np.repeat(np.arange(len(size)), size)).take(some)
+            yield pa.RecordBatch.from_arrays([*[c.take(row) for c in b.columns[: len(keys)]], ids.flatten().take(some), pa.array(drawn).take(some)], [*keys, "id", "m"])
+
+    kinds = "".join(f"{c} {met.schema[c].dataType.simpleString()}, " for c in keys)
+    return written(met.mapInArrow(dealt, f"{kinds}id long, m long"), "dealt")
+
+
+def sampled_folds(flu_p: DataFrame, reads: DataFrame, n: int, seed: str = "fold") -> DataFrame:
+    """cv, read_id, m: for each fold n reads with replacement, the flu of each by flu_p (cv, flu_id, p) and then one of the flu's reads. Flus without a read are not drawn. Counts throughout: the work does not grow with n."""
     some = flu_p.join(reads.select(F.col("true_flu").alias("flu_id")).distinct(), "flu_id", "left_semi")
-    total = reads.sparkSession.createDataFrame([(n,)], "n long")
-    flus = drawn_counts(some.select(F.col("flu_id").cast("long").alias("id"), "p"), total, [], "n", "p", f"{seed}-{cv}-flu")
-    leaves = reads.select(F.col("true_flu").cast("long").alias("flu"), F.col("read_id").cast("long").alias("id"), F.lit(1.0).alias("one"))
-    m = drawn_counts(leaves, flus.select(F.col("id").alias("flu"), "m"), ["flu"], "m", "one", f"{seed}-{cv}-read")
-    return m.select(F.lit(cv).alias("cv"), F.col("id").alias("read_id"), "m")
+    some = written(some.select("cv", F.col("flu_id").cast("long").alias("id"), "p"), "flus")
+    total = some.select("cv").distinct().withColumn("n", F.lit(n).cast("long"))
+    flus = drawn_counts(some, total, ["cv"], "n", "p", f"{seed}-flu").select("cv", F.col("id").alias("flu"), "m")
+    leaves = reads.select(F.col("true_flu").cast("long").alias("flu"), F.col("read_id").alias("id"), F.lit(1.0).alias("one"))
+    return drawn_counts(leaves, flus, ["flu"], "m", "one", f"{seed}-read", ["cv"]).select("cv", F.col("id").alias("read_id"), "m")
 
 
-def weighted_fold(emission: DataFrame, weights: DataFrame, p_y: DataFrame, reads: DataFrame, n: int, cv: int) -> DataFrame:
-    """cv, read_id, m: n reads of a sample with these abundances (p_y: protein_id, p_y)."""
-    return sampled_counts(flu_distribution(emission, to_read_share(p_y, weights)), reads, n, cv)
+def sampled_counts(flu_p: DataFrame, reads: DataFrame, n: int, cv: int, seed: str = "fold") -> DataFrame:
+    """cv, read_id, m of one fold. flu_p: flu_id, p."""
+    return sampled_folds(flu_p.withColumn("cv", F.lit(cv)), reads, n, seed)
 
 
 def weighted_folds(emission: DataFrame, weights: DataFrame, reads: DataFrame, n: int, n_folds: int, seed: str = "abundance") -> tuple[DataFrame, DataFrame]:
-    """cv_reads (cv, read_id, m) and cv_truth (cv, protein_id, p_y) of a whole cross-validation: random abundances, and n reads of a sample with them, for each fold."""
+    """cv_reads (cv, read_id, m) and cv_truth (cv, protein_id, p_y) of a whole cross-validation: random abundances, and n reads of a sample with them, for each fold. reads are read three times: a table."""
     truth = written(random_abundances(weights, n_folds, seed), "truth")
-    parts = [weighted_fold(emission, weights, truth.filter(F.col("cv") == cv).drop("cv"), reads, n, cv) for cv in range(n_folds)]
-    return reduce(DataFrame.unionByName, parts), truth
+    flus = flu_distribution(emission, to_read_share(truth, weights, ["cv"]), ["cv"])
+    return sampled_folds(flus, reads, n), truth
 
 
 #: Hexadecimal digits of a hash by which rows are counted at a time.

@@ -204,3 +204,14 @@ def test_draws_of_one_file_are_made_in_many_tasks(spark):
     plan = a._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan and "strategy=broadcast" in plan
     assert values(a.groupBy("cv").agg(F.sum("p_y")), "cv") == pytest.approx({(i,): 1.0 for i in range(3)})
+
+
+def test_leaves_are_dealt_once(spark, monkeypatch):
+    """Ids that lie far apart, in small groups: one level, whatever the ids' size."""
+    made, written = [], folds.written
+    monkeypatch.setattr(folds, "written", lambda df, label: made.append(label) or written(df, label))
+    leaves = spark.range(60).select((F.col("id") % 20).alias("flu"), (F.col("id") * 1_000_003).alias("id"), F.lit(1.0).alias("one"))
+    totals = spark.range(20).select(F.col("id").alias("flu"), F.lit(7).alias("m"))
+    got = folds.drawn_counts(leaves, totals, ["flu"], "m", "one", "x")
+    assert made == ["dealt"] and values(got.groupBy("flu").agg(F.sum("m")), "flu") == {(i,): 7 for i in range(20)}
+    assert got.join(leaves, ["flu", "id"], "left_anti").count() == 0
