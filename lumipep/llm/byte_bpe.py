@@ -7,15 +7,15 @@ an array in which every pair has a place of its own, at the offset of its left i
 instead of scanning a map of 50,000 entries.
 
 Distinct words are folded, not occurrences: the words of all texts are counted, and the CACHE_WORDS most frequent
-ones are encoded once by the fold and kept as a table, whose size is bounded by that number and by CACHE_CHARS. Of
-the other words of a text each is folded once; a bitmap of the table's hashes, a literal too, tells them apart. So the
-table's size changes the speed and never the result. Looking words up, putting ids in order and decoding (binary pieces
-are taken by id and stand one after the other) are whole Arrow columns at a time, next to the text, in one Python
-worker a task; nothing is shuffled but the counts of words.
+ones are encoded once by the fold and kept as a table, whose size is bounded by that number and by CACHE_CHARS. The
+other words go through the same fold next to their text, each once in a batch of texts and many at a time (`fold_all`:
+a step joins the leftmost lowest pair of every word), with the same two arrays of ranks. So the table's size changes
+the speed and never the result. Looking words up, folding, putting ids in order and decoding (binary pieces are taken
+by id and stand one after the other) are whole Arrow columns at a time, in one Python worker a task; nothing is
+shuffled but the counts of words, and the plan that reads the texts has no literal.
 
 The fold of one word takes time with the square of its length. Words of more than LONG_WORD bytes, which no language
-has, but encoded data do, are encoded next to the text instead, by a heap of pairs over a linked list of pieces. So are
-the few words that the bitmap takes for known by mistake (about one or two in a hundred of those that are not).
+has, but encoded data do, are encoded by a heap of pairs over a linked list of pieces instead.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import hashlib
 import heapq
 import json
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -34,15 +34,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import constant, fresh, give_back, in_arrow, named, slices, stage, table
+from .common import constant, fresh, give_back, in_arrow, named, slices, stage, table, text_bytes
 
 CACHE_WORDS = 1 << 18
 #: Longer words are never kept in the table.
 CACHE_CHARS = 32
 #: Longer words are not folded.
 LONG_WORD = 256
-#: Rows whose ids a worker holds at a time, and words that it looks up at a time.
-ROWS, WORDS = 256, 1 << 19
+#: Rows whose ids a worker holds at a time, words that it looks up at a time, and bytes of words that it folds at a time.
+ROWS, WORDS, FOLD_BYTES = 256, 1 << 19, 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -82,7 +82,7 @@ def merges(ranks: dict[bytes, int]) -> dict[bytes, int]:
 
 
 class PairRanks:
-    """The rank of the merge of two ids, as two literals: `moves` has an offset for each left id, and `places` at offset + right id the left id (from 1) and the rank in one number, or 0. The place tells the right id. Numbers are small, since plans print them."""
+    """The rank of the merge of two ids, by two arrays: `moves` has an offset for each left id, and `places` at offset + right id the left id (from 1) and the rank in one number, or 0. The place tells the right id. In a fold by columns they are literals; numbers are small, since plans print them."""
 
     def __init__(self, pairs: dict[tuple[int, int], int]):
         self.bits = max((r + 1 for r in pairs.values()), default=256).bit_length()
@@ -99,7 +99,14 @@ class PairRanks:
             moves[a] = start = next(m for m in range(start if len(right) > 1 else 0, len(places)) if not places[at + m].any()) if len(right) > 1 else int(np.argmax(places[at[0] :] == 0))
             places[at + moves[a]] = [(a + 1 << self.bits) | pairs[a, b] for b in right]
         last = int(np.flatnonzero(places).max(initial=0)) + 1
-        self.places, self.moves = constant(json.dumps(places[:last].tolist()), "array<bigint>"), constant(json.dumps(moves), "array<bigint>")
+        self.places, self.moves = places[:last], np.array(moves)
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair, or `none`."""
+        at = self.moves[a] + b
+        inside = at < len(self.places)
+        stands = np.where(inside, self.places[np.where(inside, at, 0)], 0)
+        return np.minimum(stands ^ (a + 1 << self.bits), self.none)
 
     def rank(self, tables: Column, a: Column, b: Column) -> Column:
         """The rank, or `none` if the pair does not merge or b is null."""
@@ -114,14 +121,14 @@ class ByteBPE:
         if any(bytes([i]) not in ranks for i in range(256)):
             raise ValueError("the vocabulary lacks single bytes")
         self.pairs = PairRanks({(ranks[t[:n]], ranks[t[n:]]): ranks[t] for t, n in merges(ranks).items()})
-        # Ids of single bytes, in the order of the top 8 bits of their crc32, which differ for all bytes: Spark has no function that gives a byte's number.
-        one = sorted((zlib.crc32(bytes([i])) >> 24, ranks[bytes([i])]) for i in range(256))
-        self.bytes = constant(json.dumps([r for _, r in one]), "array<bigint>")
+        self.one = np.array([ranks[bytes([i])] for i in range(256)])
+        # The same in the order of the top 8 bits of their crc32, which differ for all bytes: Spark has no function that gives a byte's number.
+        self.by_crc = [r for _, r in sorted((zlib.crc32(bytes([i])) >> 24, ranks[bytes([i])]) for i in range(256))]
         pieces: list[bytes | None] = [None] * (max(ranks.values()) + 1)
         for b, r in ranks.items():
             pieces[r] = b
         self.pieces = pa.array(pieces, pa.binary())
-        #: Columns word, ids, hash; Arrow memory on the driver and in the workers.
+        #: Columns word, ids; Arrow memory on the driver and in the workers.
         self.known: pa.Table | None = None
 
     def words(self, text: Column) -> Column:
@@ -155,7 +162,8 @@ class ByteBPE:
 
     def with_tables(self, body) -> Column:
         """body(tables), with the literals in the plan once."""
-        return let(F.struct(self.pairs.places.alias("places"), self.pairs.moves.alias("moves"), self.bytes.alias("bytes")), body)
+        literal = lambda x, name: constant(json.dumps(list(map(int, x))), "array<bigint>").alias(name)
+        return let(F.struct(literal(self.pairs.places, "places"), literal(self.pairs.moves, "moves"), literal(self.by_crc, "bytes")), body)
 
     def fold(self, word: Column) -> Column:
         return self.with_tables(lambda t: self._fold(t, word))
@@ -173,55 +181,40 @@ class ByteBPE:
             least = r["n"]
         self.known = None
         if least is not None:
-            self.known = counted.filter(F.col("n") >= least).select("word", self.fold(F.col("word")).alias("ids"), F.xxhash64("word").alias("hash")).toArrow().combine_chunks()
+            self.known = counted.filter(F.col("n") >= least).select("word", self.fold(F.col("word")).alias("ids")).toArrow().combine_chunks()
         give_back()
         return self
 
-    def maybe_known(self) -> Callable[[Column], Column]:
-        """Whether a word may be in the table: true for all that are. Each word has two bits in one of the longs of a literal, of which there is one for four words."""
-        hashes = np.zeros(0, np.int64) if self.known is None else self.known["hash"].to_numpy()
-        size = max(1, (len(hashes) // 4).bit_length())  # longs: 2^size
-        longs = np.zeros(1 << size, np.uint64)
-        h = hashes.view(np.uint64)
-        for shift in (0, 6):
-            np.bitwise_or.at(longs, h >> np.uint64(64 - size), np.uint64(1) << (h >> np.uint64(shift) & np.uint64(63)))
-        bitmap = constant(json.dumps(longs.view(np.int64).tolist()), "array<bigint>")
-
-        bit = lambda x, h, shift: F.getbit(x, F.shiftright(h, shift).bitwiseAND(F.lit(63)).cast("int")) == 1
-        return lambda w: let(F.xxhash64(w), lambda h: let(F.get(bitmap, F.shiftrightunsigned(h, 64 - size).cast("int")), lambda x: bit(x, h, 0) & bit(x, h, 6)))
-
     def with_ids(self, df: DataFrame, text: str, columns: list[str], make, schema: str) -> DataFrame:
         """The rows that make(named columns, ids, pieces) gives for each batch of texts; ids: a list for each text.
 
-        A text's words that are not known are folded, each once, before its words go to the worker, which looks all
-        of them up: in the table, among the folded ones, and what is in neither (long words, and those that the
-        bitmap took for known) is encoded there.
+        The worker looks the words of some texts up in the table, and folds what is not there, each word once.
         """
-        held = df.sparkSession.sparkContext.broadcast((self.known, self.pieces))
-        words_, rest_, ids_ = (fresh(df, n) for n in ("_words", "_rest", "_ids"))
-        known_ = self.maybe_known()
-        cut = df.select(*named(columns), self.words(F.col(text)).alias(words_))
-        cut = cut.select("*", F.array_distinct(F.filter(words_, lambda w: ~known_(w) & (F.octet_length(w) <= LONG_WORD))).alias(rest_))
-        cut = cut.select("*", self.with_tables(lambda t: F.transform(rest_, lambda w: self._fold(t, w))).alias(ids_))
+        held = df.sparkSession.sparkContext.broadcast((self.known, self.pieces, self.pairs, self.one))
+        cut = df.select(*named(columns), self.words(F.col(text)).alias(fresh(df, "_words")))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, pieces = held.value
+            known, pieces, pairs, one = held.value
             known = vocabulary(known)
-            ranks: dict[bytes, int] = {}
+            ranks: dict[bytes, int] = {}  # for long words, if there are any
             for b in batches:
-                words, rest, folded = b.columns[-3:]
+                words = b.columns[-1]
                 ends, lo = words.offsets.to_numpy(), 0
                 while lo < b.num_rows:
                     hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + WORDS, "right")) - 1)
                     flat_words = words.values.slice(ends[lo], ends[hi] - ends[lo])
-                    found, of = looked_up(flat_words, known, folded_words(rest.slice(lo, hi - lo), folded.slice(lo, hi - lo)))
+                    found, of = looked_up(flat_words, known)
                     missing = np.flatnonzero(found < 0)
                     if len(missing):
-                        ranks = ranks or {x: i for i, x in enumerate(pieces.to_pylist()) if x is not None}
-                        found, of = looked_up(flat_words, None, encoded_words(flat_words.take(pa.array(missing)).unique(), ranks), found, of)
+                        rest = flat_words.take(pa.array(missing)).unique()
+                        long = pc.greater(pc.binary_length(rest), LONG_WORD)
+                        found, of = looked_up(flat_words, folded_words(rest.filter(pc.invert(long)), pairs, one), found, of)
+                        if pc.any(long).as_py():
+                            ranks = ranks or {x: i for i, x in enumerate(pieces.to_pylist()) if x is not None}
+                            found, of = looked_up(flat_words, encoded_words(rest.filter(long), ranks), found, of)
                     for at in range(lo, hi, ROWS):
                         n = min(ROWS, hi - at)
-                        yield make(b.slice(at, n).columns[:-3], ids_of_words(ends[at : at + n + 1].astype(np.int64), found[ends[at] - ends[lo] : ends[at + n] - ends[lo]], *of), pieces)
+                        yield make(b.slice(at, n).columns[:-1], ids_of_words(ends[at : at + n + 1].astype(np.int64), found[ends[at] - ends[lo] : ends[at + n] - ends[lo]], *of), pieces)
                     lo = hi
 
         return in_arrow(cut, run, schema)
@@ -264,11 +257,43 @@ def vocabulary(known: pa.Table | None) -> Words:
     return words, offsets[:-1], np.diff(offsets), ids.values.to_numpy()
 
 
-def folded_words(words: pa.ListArray, ids: pa.ListArray) -> Words:
-    """The folded words of some texts."""
-    ids = ids.flatten()
-    offsets = ids.offsets.to_numpy().astype(np.int64)
-    return words.flatten(), offsets[:-1], np.diff(offsets), ids.values.to_numpy()
+def fold_all(word: np.ndarray, ids: np.ndarray, pairs: PairRanks) -> tuple[np.ndarray, np.ndarray]:
+    """The fold of many words at once: a step joins the lowest-ranked pair of each word, of equal ones the leftmost, and takes out the words in which no pair merges. word: the number of each id's word, ascending."""
+
+    def ranks_at(i: np.ndarray) -> np.ndarray:
+        j = np.minimum(i + 1, len(ids) - 1)
+        return np.where((j > i) & (word[i] == word[j]), pairs.of(ids[i], ids[j]), pairs.none)
+
+    done = [(word[:0], ids[:0])]
+    ids, rank = ids.copy(), ranks_at(np.arange(len(ids)))
+    while len(ids):
+        begin = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        low = np.minimum.reduceat(rank << 32 | np.arange(len(ids)), begin)
+        more = low >> 32 < pairs.none
+        keep = np.repeat(more, np.diff(np.r_[begin, len(ids)]))
+        done.append((word[~keep], ids[~keep]))
+        at = low[more] & (1 << 32) - 1
+        ids[at], keep[at + 1] = low[more] >> 32, False
+        at = np.cumsum(keep)[at] - 1
+        word, ids, rank = word[keep], ids[keep], rank[keep]
+        for i in (at, at[at > 0] - 1):
+            rank[i] = ranks_at(i)
+    word, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+    order = np.argsort(word, kind="stable")
+    return word[order], ids[order]
+
+
+def folded_words(words: pa.Array, pairs: PairRanks, one: np.ndarray) -> Words:
+    """Words and their ids. one: the ids of single bytes."""
+    data, ends = text_bytes(words)
+    lengths, flat, lo = np.zeros(len(words), np.int64), [np.zeros(0, np.int32)], 0
+    while lo < len(words):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + FOLD_BYTES, "right")) - 1)
+        word, ids = fold_all(np.repeat(np.arange(lo, hi), np.diff(ends[lo : hi + 1])), one[data[ends[lo] : ends[hi]]], pairs)
+        lengths[lo:hi] = np.bincount(word - lo, minlength=hi - lo)
+        flat.append(ids.astype(np.int32))
+        lo = hi
+    return words, np.cumsum(lengths) - lengths, lengths, np.concatenate(flat)
 
 
 def encoded_words(words: pa.Array, ranks: dict[bytes, int]) -> Words:
@@ -277,13 +302,11 @@ def encoded_words(words: pa.Array, ranks: dict[bytes, int]) -> Words:
     return words, np.cumsum(n) - n, n, np.concatenate(ids)
 
 
-def looked_up(words: pa.Array, known: Words | None, more: Words, found: np.ndarray | None = None, of: tuple | None = None) -> tuple[np.ndarray, tuple]:
-    """For each word its number among the known words (or what was found before), else among `more`, behind them, else -1; and the starts, lengths and ids of both."""
-    if known is not None:
-        found, of = pc.fill_null(pc.index_in(words, known[0]), -1).to_numpy(), known[1:]
+def looked_up(words: pa.Array, more: Words, found: np.ndarray | None = None, of: tuple | None = None) -> tuple[np.ndarray, tuple]:
+    """For each word its number among `more`, or, after an earlier call, the number found before and else one behind what was there, and -1 if it is nowhere; and the starts, lengths and ids of all."""
+    if found is None or of is None:
+        return pc.fill_null(pc.index_in(words, more[0]), -1).to_numpy(), more[1:]
     missing = np.flatnonzero(found < 0)
-    if not len(missing):
-        return found, of
     at = pc.fill_null(pc.index_in(words.take(pa.array(missing)), more[0]), -1).to_numpy()
     found = found.copy()
     found[missing] = np.where(at < 0, -1, len(of[0]) + at)
