@@ -82,7 +82,7 @@ def fitted(tables: dict[str, DataFrame], settings: Settings, keep: Kept | None =
     chosen = tables["cv_reads"] if settings.folds is None else tables["cv_reads"].filter(F.col("cv") < settings.folds)
     if settings.subset is not None:
         chosen = folds.subset_of_folds(chosen, settings.subset)
-    numbers = chosen.select("cv").distinct()
+    numbers, taken = chosen.select("cv").distinct(), chosen.select("read_id")
     if checks is not None:
         # Rows without a flu or with an unusable number would go into the sums unseen.
         emission = checks.on("emission", emission, zero=F.coalesce(F.col("p") == 0, F.lit(True)))
@@ -93,6 +93,8 @@ def fitted(tables: dict[str, DataFrame], settings: Settings, keep: Kept | None =
         kept = tables["scores"]
         if checks is not None:
             kept = checks.on("scores", kept, not_finite=validate.not_finite(F.col("s").cast("double")), zero=F.col("s") == 0)
+        # Scores of reads that no fold takes go no further: what is ranked, summed and moved grows with the folds' reads.
+        kept = kept.join(taken, "read_id", "left_semi")
         if settings.n_best is not None:
             most = tables["scores"].groupBy("read_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
             kept = scores.n_best(kept, validate.sparsity(settings.n_best, most))
