@@ -13,13 +13,16 @@ differ from below, and so the overlap from above. Only pairs that pass are inter
 For components (`jaccard_components`) a tile with many copies is not expanded into pairs. Every document is first
 compared with one pivot, the smallest id it meets in its tiles; links make components, and what is in one component
 already needs no comparing. Tiles in which two components are left go through a pivot of their own, and then all
-their pairs of different components are bounded by bitmaps, in blocks of about BLOCK members, and the pairs that
-pass are intersected. `jaccard_links` gives every link: it bounds all pairs of a tile that way.
+their pairs of different components are bounded by bitmaps, in blocks of about BLOCK members. The pairs that pass are
+not written: a block gives the edges of a forest that connects what they connect. Documents so connected are a group;
+a group's sets come together, in blocks too, and its pairs are intersected where they lie, which again gives a forest,
+of links between components. So the rows made grow with the members of a block, not with their pairs.
+`jaccard_links` goes the same way, but gives every link of a group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -29,8 +32,10 @@ from pyspark.sql import functions as F
 
 from .common import fresh, in_arrow, slices, spread_join, stage, table
 
-#: Members of a tile that one task compares with as many others.
-BLOCK = 2048
+#: Members of a tile or group that one task compares with as many others, and bytes of their sets.
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
+#: Bits an element in the bitmaps of a group's sets: most pairs that do not link need no intersection.
+WIDE = 8
 #: Sets below this size have a part for each element, as have all sets where they may differ in too large a share of them to fill as many parts.
 SINGLE = 64
 #: Bytes of text hashed at a time; sets seen in a task, for copies that need no tiles of their own; bits of the filter of ids.
@@ -152,10 +157,19 @@ class Rule:
     def enough(self, a: int, b: int, both: int) -> bool:
         return self.den * both >= self.num * (a + b - both)
 
+    def links(self, s: np.ndarray, t: np.ndarray) -> bool:
+        """By exact intersection of two sorted arrays."""
+        if len(s) > len(t):
+            s, t = t, s
+        if not len(s):
+            return False
+        at = np.searchsorted(t, s)
+        return self.enough(len(s), len(t), int((t[np.minimum(at, len(t) - 1)] == s).sum()))
 
-def bitmap(s: np.ndarray) -> bytes:
-    """One bit for each element flipped, in max(64, |s| rounded up to a power of 2) bits."""
-    bits = max(64, 1 << max(0, len(s) - 1).bit_length())
+
+def bitmap(s: np.ndarray, wide: int = 1) -> bytes:
+    """One bit for each element flipped, in max(64, |s| rounded up to a power of 2) bits, or `wide` (a power of 2) times as many."""
+    bits = max(64, wide << max(0, len(s) - 1).bit_length())
     where = (mix(s + _ODD[54]) & U(bits - 1)).astype(np.int64)
     flips = np.bincount(where, minlength=bits).astype(np.uint8) & 1
     return np.packbits(flips, bitorder="little").tobytes()
@@ -293,14 +307,7 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(s) > len(t):
-                    s, t = t, s
-                at = np.searchsorted(t, s)
-                both = int((t[np.minimum(at, len(t) - 1)] == s).sum()) if len(t) else 0
-                ok.append(bool(len(s)) and rule.enough(len(s), len(t), both))
+            ok = [rule.links(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return in_arrow(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b"), check, "a long, b long").distinct()
@@ -320,70 +327,105 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("doc", "comp")
 
 
-def tile_pairs(members: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
-    """members: tile, doc, comp. a, b, apart: all pairs of different components in each tile that sizes and bitmaps leave possible, from blocks against blocks, and in how many bits their bitmaps differ."""
-    # Blocks by a hash of the id, so no task needs a whole tile in order; a tile of few members is one block.
-    blocks = members.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(blocks, "tile").join(signed.filter("bits is not null").select("doc", "n", "bits"), "doc")
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("doc"), "blocks").cast("int")).withColumn("last", F.col("blocks") - 1)
-    # Block i meets the blocks j >= i: tile (i, j).
-    meet = F.explode(F.concat(F.transform(F.sequence(F.col("mine"), F.col("last")), lambda j: F.struct(F.col("mine").alias("i"), j.alias("j"))), F.transform(F.when(F.col("mine") > 0, F.sequence(F.lit(0), F.col("mine") - 1)).otherwise(F.expr("cast(array() as array<int>)")), lambda i: F.struct(i.alias("i"), F.col("mine").alias("j")))))
-    rows = rows.withColumn("meet", meet).select("tile", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), "mine", "doc", "comp", "n", "bits")
-
-    def pairs(left: list, right: list, same: bool) -> tuple[list, list, list]:
-        doc, comp, n = (np.array([r[i] for r in left], np.int64) for i in range(3))
-        doc2, comp2, n2 = (np.array([r[i] for r in right], np.int64) for i in range(3))
-        width = min(len(r[3]) for r in left + right) // 8
-        fit = lambda rows: np.stack([fold(np.frombuffer(r[3], np.uint64), width) for r in rows])
-        x, y, a, b, apart = fit(left), fit(right), [], [], []
-        for i in range(len(doc)):
-            ok = (comp2 != comp[i]) & (np.minimum(n2, n[i]) * rule.den >= np.maximum(n2, n[i]) * rule.num)
-            if same:
-                ok[: i + 1] = False
-            j = np.flatnonzero(ok)
+def near(n: np.ndarray, bits: list[bytes], rule: Rule, unlike: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Sets that come in order of their sizes n. For each: the places of those after it whose sizes and bitmaps leave room for a link, and in how many bits they differ. Only pairs that differ in each array of `unlike` count; the caller may change these between two steps."""
+    last = np.searchsorted(n, n * rule.den // rule.num, "right")
+    width = np.array([len(b) // 8 for b in bits])
+    for w in np.unique(width):
+        at = np.flatnonzero(width == w)  # a run, since larger sets have no narrower bitmaps
+        base = int(at[0])
+        rows = np.stack([fold(np.frombuffer(b, np.uint64), w) for b in bits[base : last[at[-1]]]])
+        for i in at.tolist():
+            j = np.arange(i + 1, last[i])
+            for x in unlike:
+                j = j[x[j] != x[i]]
             if len(j):
-                most = (rule.den - rule.num) * (n2[j] + n[i]) // (rule.den + rule.num)
-                bits = np.bitwise_count(y[j] ^ x[i]).sum(1, dtype=np.int64)
-                near = bits <= most
-                a += [int(doc[i])] * int(near.sum())
-                b += doc2[j[near]].tolist()
-                apart += bits[near].tolist()
-        return a, b, apart
+                apart = np.bitwise_count(rows[j - base] ^ rows[i - base]).sum(1, dtype=np.int64)
+                ok = apart <= (rule.den - rule.num) * (n[j] + n[i]) // (rule.den + rule.num)
+                if ok.any():
+                    yield i, j[ok], apart[ok]
+
+
+def in_blocks(rows: DataFrame, key: str, data: str, find: Callable[..., list[tuple[int, int]]]) -> DataFrame:
+    """rows: key, doc, comp, n, blocks, data. a, b (a < b) of what `find` gives for every two of a key's blocks, and each block by itself: from docs, comps, n and data, in order of n, and the blocks that the two of a pair must not share, if there are two."""
+    # Blocks by a hash of the id, so no task needs all of a key's rows in order; a key of few rows is one block.
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("doc"), "blocks").cast("int")).withColumn("last", (F.col("blocks") - 1).cast("int"))
+    # Block i meets the blocks j >= i: (i, j).
+    meet = F.explode(F.concat(F.transform(F.sequence(F.col("mine"), F.col("last")), lambda j: F.struct(F.col("mine").alias("i"), j.alias("j"))), F.transform(F.when(F.col("mine") > 0, F.sequence(F.lit(0), F.col("mine") - 1)).otherwise(F.expr("cast(array() as array<int>)")), lambda i: F.struct(i.alias("i"), F.col("mine").alias("j")))))
+    rows = rows.withColumn("meet", meet).select(key, F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), "mine", "doc", "comp", "n", data)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, left, right = None, [], []
+        at, held, found = None, [], []
 
-        def out():
-            found = pairs(left, left if key[1] == key[2] else right, key[1] == key[2]) if len(left) and (key[1] == key[2] or right) else ([], [], [])
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b", "apart"])
+        def close() -> list[tuple[int, int]]:
+            if len(held) < 2:
+                return []
+            mine, doc, comp, n, values = zip(*held, strict=True)
+            return find(np.array(doc), np.array(comp), np.array(n), values, np.array(mine) if at[1] != at[2] else None)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f(p) for p in found], pa.int64()) for f in (min, max)], ["a", "b"])
 
         for batch in batches:
-            for t, i, j, mine, doc, comp, n, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (t, i, j) != key:
-                    if key:
+            for t, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (t, i, j) != at:
+                    found += close()
+                    at, held = (t, i, j), []
+                    if len(found) >= 10_000:
                         yield out()
-                    key, left, right = (t, i, j), [], []
-                (left if mine == i else right).append((doc, comp, n, bits))
-        if key:
+                        found = []
+                held.append(row)
+        found += close()
+        if found:
             yield out()
 
-    found = in_arrow(rows.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j"), scan, "a long, b long, apart long")
-    return found.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("apart").alias("apart"))
+    return in_arrow(rows.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "n", "doc"), scan, "a long, b long").filter("a <> b")
+
+
+def tile_forest(members: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
+    """members: tile, doc, comp. a, b: edges that connect, in each tile, the documents of different components that sizes and bitmaps leave possible; of two blocks no more than they have members."""
+    blocks = members.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    rows = members.join(blocks, "tile").join(signed.filter("bits is not null").select("doc", "n", "bits"), "doc")
 
+    def find(doc: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list[bytes], block: np.ndarray | None) -> list[tuple[int, int]]:
+        tree, edges = np.unique(doc, return_inverse=True)[1], []
+        for i, places, _ in near(n, bits, rule, [comp, tree, *([] if block is None else [block])]):
+            for j in places.tolist():
+                if tree[i] != tree[j]:
+                    edges.append((int(doc[i]), int(doc[j])))
+                    tree[tree == tree[j]] = tree[i]
+        return edges
 
-def of_components(pairs: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """The pairs whose ends are in different components, with these as low and high."""
-    low, high = F.col("a"), F.col("b")
-    if comps is not None:
-        for c in ("a", "b"):
-            pairs = pairs.join(comps.select(F.col("doc").alias(c), F.col("comp").alias(f"comp_{c}")), c, "left")
-        low, high = F.coalesce("comp_a", "a"), F.coalesce("comp_b", "b")
-    return pairs.withColumn("low", F.least(low, high)).withColumn("high", F.greatest(low, high)).filter("low <> high")
+    return in_blocks(rows, "tile", "bits", find).distinct()
 
 
-def linked(pairs: DataFrame, docs: DataFrame, signed: DataFrame | None, rule: Rule, text: str, id_col: str) -> DataFrame | None:
-    """The pairs that link, written; None if none of them is plausible. Without signatures the pairs are bounded already."""
-    left = stage(plausible(pairs, signed, rule) if signed is not None else pairs, "plausible")
+def tile_links(members: DataFrame, docs: DataFrame, signed: DataFrame, rule: Rule, text: str, id_col: str, every: bool) -> DataFrame | None:
+    """members: tile, doc, comp. Links between documents of different components that share a tile, written: every one, or as many as connect what they connect; None if none is plausible."""
+    edges = stage(tile_forest(members, signed, rule), "plausible")
+    if edges.isEmpty():
+        return None
+    # What links is in one group: a link is plausible, and the edges connect what is.
+    groups = stage(members.join(components(edges).select("doc", F.col("comp").alias("group")), "doc").select("doc", "comp", "group").distinct(), "groups")
+    sets = stage(sets_of(docs, groups.select("doc").distinct(), rule, text, id_col), "sets")
+    rows = sets.join(groups, "doc").withColumn("n", (F.length("s") / 8).cast("long")).filter("n > 0")
+    blocks = rows.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(8 * F.sum("n") / BLOCK_BYTES)).alias("blocks"))
+
+    def find(doc: np.ndarray, comp: np.ndarray, n: np.ndarray, values: list[bytes], block: np.ndarray | None) -> list[tuple[int, int]]:
+        sets, links = [np.frombuffer(v, np.uint64) for v in values], []
+        for i, places, apart in near(n, [bitmap(s, WIDE) for s in sets], rule, [doc, comp, *([] if block is None else [block])]):
+            for j in places[np.argsort(apart, kind="stable")].tolist():
+                if comp[i] != comp[j] and rule.links(sets[i], sets[j]):
+                    links.append((int(doc[i]), int(doc[j])))
+                    if not every:
+                        comp[comp == comp[j]] = comp[i]
+        return links
+
+    return stage(in_blocks(rows.join(blocks, "group"), "group", "s", find).distinct(), "links")
+
+
+def linked(pairs: DataFrame, docs: DataFrame, signed: DataFrame, rule: Rule, text: str, id_col: str) -> DataFrame | None:
+    """The pairs that link, written; None if none of them is plausible."""
+    left = stage(plausible(pairs, signed, rule), "plausible")
     if left.isEmpty():
         return None
     wanted = left.select(F.col("a").alias("doc")).union(left.select("b")).distinct()
@@ -416,7 +458,7 @@ def jaccard_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, te
     of_doc = stage(sets.join(classes, ["n", "name"]).select("doc", "class").distinct(), "class_of")
     members = stage(shared_tiles(signed).join(of_doc, "doc").select("tile", "doc", F.col("class").alias("comp")), "tiles")
     one = members.groupBy("tile", "comp").agg(F.min("doc").alias("doc"))
-    found = linked(tile_pairs(one.select("tile", "doc", "comp"), signed, rule).select("a", "b"), docs, None, rule, text, id_col)
+    found = tile_links(stage(one.select("tile", "doc", "comp"), "tiles"), docs, signed, rule, text, id_col, every=True)
     if found is None:
         found = docs.sparkSession.createDataFrame([], "a long, b long")
     of = lambda c: of_doc.select(F.col("doc").alias(c), F.col("class").alias(f"class_{c}"))
@@ -441,12 +483,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     members = stage(shared_tiles(signed), "tiles")
     links = repeated_ids(signed)
 
-    def with_links(pairs: DataFrame, bounded: bool = False) -> DataFrame | None:
-        found = linked(pairs, docs, None if bounded else signed, rule, text, id_col)
+    def with_links(found: DataFrame | None) -> DataFrame | None:
         return found if links is None else links if found is None else links.unionByName(found)
 
+    def compared(pairs: DataFrame) -> DataFrame | None:
+        return with_links(linked(pairs, docs, signed, rule, text, id_col))
+
     # One pivot for each document: the smallest id of all its tiles.
-    links = with_links(members.groupBy(F.col("doc").alias("a")).agg(F.min("pivot").alias("b")).filter("a <> b"))
+    links = compared(members.groupBy(F.col("doc").alias("a")).agg(F.min("pivot").alias("b")).filter("a <> b"))
     own, rows = F.coalesce("comp", F.col("doc")), members
     for last in (False, True):
         comps = components(links) if links is not None else None
@@ -459,17 +503,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
             break
         rows = open_tiles  # components only grow: a tile that is down to one stays so
         if last:
-            possible = stage(tile_pairs(open_tiles.select("tile", "doc", "comp"), signed, rule), "possible")
-            # Of the pairs between two components the one least apart first; then the others, where it did not link.
-            two = of_components(possible, comps)
-            links = with_links(two.groupBy("low", "high").agg(F.min_by(F.struct("a", "b"), "apart").alias("p")).select("p.a", "p.b"), bounded=True)
-            if links is not None:
-                links = with_links(of_components(possible, components(links)).select("a", "b"), bounded=True)
+            links = with_links(tile_links(open_tiles.select("tile", "doc", "comp"), docs, signed, rule, text, id_col, every=False))
         else:
             # The smallest id outside the tile's first component is compared with all other components.
             pivot = open_tiles.filter("comp <> lo").groupBy("tile").agg(F.min_by(F.struct("doc", "comp"), "doc").alias("p"))
             pairs = open_tiles.join(pivot, "tile").filter("comp <> p.comp").select(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b")).distinct()
-            links = with_links(pairs)
+            links = compared(pairs)
     base = signed.select("doc", "n", F.coalesce("twin", "doc").alias("rep"))
     if links is not None:
         base = base.join(components(links).select(F.col("doc").alias("rep"), "comp"), "rep", "left").select("doc", "n", F.coalesce("comp", "rep").alias("root"))

@@ -213,6 +213,51 @@ def test_blocks_of_a_large_tile(spark, monkeypatch):
     assert_components(df, 1, 90)
 
 
+def hardly_linked(size, seed):
+    """Near copies that differ in about 28 elements of 100: bitmaps leave many pairs possible, of which few differ in 22 or less and link."""
+    rng, rows = np.random.default_rng(seed), []
+    for i in range(size):
+        w = [f"w{j}" for j in range(100)]
+        for j in rng.choice(100, 7, replace=False):
+            w[j] = f"r{i}x{j}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_rows_of_a_group_that_hardly_links(spark, monkeypatch):
+    """Four times the members of a group make about four times the rows, not sixteen times."""
+    real, made = jaccard_join.stage, {}
+
+    def stage(df, label):
+        out = real(df, label)
+        made[label] = max(made.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stage", stage)
+    counts = []
+    for size in (40, 160):
+        made.clear()
+        assert_components(spark.createDataFrame(hardly_linked(size, 11), "doc_id long, text string").repartition(3), 1, 80)
+        counts.append(dict(made))
+    few, many = counts
+    assert many["plausible"] > few["plausible"] > 39
+    assert {k: (few.get(k), n) for k, n in many.items() if n > 500 and n > 8 * few.get(k, 0)} == {}
+
+
+def test_groups_of_several_blocks(spark, monkeypatch):
+    """Sets of a group that come in blocks, by number and by bytes, lose no link."""
+    rows = hardly_linked(60, 12)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
+    links, _ = jaccard_join.jaccard_links(df, 1, 80, 100)
+    sets = {i: set(t.split()) for i, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert {(r["a"], r["b"]) for r in links.collect()} == want and want
+    monkeypatch.setattr(jaccard_join, "BLOCK", 2048)
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 4000)
+    assert_components(df, 1, 80)
+
+
 # Mixing --------------------------------------------------------------------------------------------------------
 
 
