@@ -27,13 +27,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.keep import Kept
+from ..functions.numbering import even_keys
 from ..functions.scratch import written
 from .blocks import product
 from .emission import share, to_abundance, to_read_share
+from .packed import Packed
 from .scores import oracle_values
 
 #: Up to so many rows (flus or proteins x folds, some 24 bytes each) g and pi are broadcast; beyond, they are joined.
 FEW_FLUS = 1 << 20
+#: Up to so many proteins x folds their shares are broadcast as an array of 8 bytes each, and epochs are packed.
+PACKED_PROTEINS = 1 << 23
 
 
 @dataclass
@@ -115,15 +119,6 @@ def layouts_kept(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def even_keys(spark: SparkSession, n: int) -> list[int]:
-    """n numbers that hash partitioning sends to n partitions, one to each, in order."""
-    ids = spark.range(0, n * 64, numPartitions=1).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("at")).groupBy("at").agg(F.min("id").alias("id"))
-    held = {r["at"]: r["id"] for r in ids.collect()}
-    if len(held) < n:  # with 64 numbers a partition one is left out once in 10^27 cases
-        raise ValueError(f"no number for each of {n} partitions")
-    return [held[i] for i in range(n)]
-
-
 @dataclass
 class Routed:
     """Scores by partitions of reads (column `part`), and the routes: part, cv, flu_id of all flus that a partition's reads score, laid out by flu."""
@@ -136,7 +131,7 @@ class Routed:
         """rows: cv, read_id, flu_id, s, r, m; reads: the columns that tell reads apart. Both tables are persisted."""
         spark = rows.sparkSession
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        keys = F.array(*[F.lit(k) for k in even_keys(spark, n)])
+        keys = F.array(*[F.lit(k).cast("long") for k in even_keys(spark, n)])  # a long's hash is not that of an int
         placed = rows.withColumn("part", F.get(keys, F.pmod(F.hash("read_id"), F.lit(n)))).repartition(n, "part")
         first = F.row_number().over(Window.partitionBy("part", *reads).orderBy("flu_id")) == 1
         held = placed.withColumn("first", first).persist(StorageLevel.MEMORY_AND_DISK)
@@ -215,11 +210,15 @@ def fit(scores: DataFrame, emission: DataFrame, start: DataFrame, epochs: int, k
     rows = _with_fold(scores)
     rows = rows if "m" in rows.columns else rows.withColumn("m", F.lit(1.0))
     rows = rows.select("cv", F.col("read_id"), "flu_id", "s", "r", F.col("m").cast("double").alias("m"))
-    model = _by_flu(emission.select("protein_id", "flu_id", "p")).persist(StorageLevel.MEMORY_AND_DISK)
     save = (lambda name, df: written(df, name.split("-")[0])) if keep is None else keep.table
     out = Fit([save("state-0", _with_fold(start).select("cv", "protein_id", "pi"))])
     folds = 1 if reads == ["read_id"] else out.pi.select("cv").distinct().count()
-    few_proteins = out.pi.count() <= FEW_FLUS
+    proteins = out.pi.count()
+    whole_ids = all(df.schema["flu_id"].dataType.typeName() in ("byte", "short", "integer", "long") for df in (rows, emission))
+    if keep is None and chunks == 1 and whole_ids and 0 < proteins <= PACKED_PROTEINS * min(FEW_FLUS, 1):
+        return _fit_packed(out, rows, reads, emission.select("protein_id", "flu_id", "p"), epochs)
+    model = _by_flu(emission.select("protein_id", "flu_id", "p")).persist(StorageLevel.MEMORY_AND_DISK)
+    few_proteins = proteins <= FEW_FLUS
     few = model.count() * folds <= FEW_FLUS or model.select("flu_id").distinct().count() * folds <= FEW_FLUS
     if few:
         first = F.row_number().over(Window.partitionBy(*reads).orderBy("flu_id")) == 1
@@ -239,6 +238,18 @@ def fit(scores: DataFrame, emission: DataFrame, start: DataFrame, epochs: int, k
     return out
 
 
+def _fit_packed(out: Fit, rows: DataFrame, reads: list[str], emission: DataFrame, epochs: int) -> Fit:
+    """The rest of `fit` by packed parts: an epoch is one written table."""
+    packed = Packed(rows, reads, emission, out.pi)
+    state = packed.first()
+    for k in range(1, epochs + 1):
+        state = written(packed.epoch(state, k > 1), f"state-{k}")
+        out.statistics.append(packed.statistics(state))
+        out.states.append(scaled(packed.update(state)))
+    packed.unpersist()
+    return out
+
+
 def _chunk(held: DataFrame | Routed, c: int, chunks: int) -> DataFrame | Routed:
     """The reads of one of `chunks` parts, by hash."""
     if chunks == 1:
