@@ -9,7 +9,7 @@ score. Where the flus are few (FEW_FLUS, counted before) g is broadcast. Where t
 is sent g of the flus that its reads score: a table of routes, (partition, flu), made once, takes the place of scores
 in the exchange. The emission is laid out by flu once, so that no epoch moves it as long as pi can be sent to it. Sums over reads are made within a partition before they move, in both cases. Each epoch's statistics
 and estimate are written tables: nothing of the size of the proteins goes through the driver, and a lost executor
-costs one epoch at most.
+costs one epoch at most. `fit` runs over packed parts (`packed.Packed`) where it need not keep statistics of flus.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ PACKED_PROTEINS = 1 << 23
 
 @dataclass
 class Fit:
-    """The estimates before the first epoch and after each (cv, protein_id, pi; u after an epoch), and each epoch's statistics, as written tables."""
+    """The estimates before the first epoch and after each (cv, protein_id, pi; u after an epoch), and each epoch's statistics, as written tables. Packed epochs keep the statistics of reads only: w is 0."""
 
     states: list[DataFrame]
     statistics: list[DataFrame] = field(default_factory=list)
